@@ -1,6 +1,6 @@
 """Queries of this subpackage and the SQL for those that SQL can express."""
 
-from tessera.llm import mixing, quality_rules, secret_scan
+from tessera.llm import mixing, quality_rules, secret_scan, url_filter
 
-QUERIES = {"op2_mixing": mixing.op2_mixing, "op4_secret_scan": secret_scan.op4_secret_scan, "op5_quality_rules": quality_rules.op5_quality_rules}
-ORACLE_SQL = {"op2_mixing": mixing.ORACLE, "op4_secret_scan": secret_scan.ORACLE, "op5_quality_rules": quality_rules.ORACLE}
+QUERIES = {"op2_mixing": mixing.op2_mixing, "op4_secret_scan": secret_scan.op4_secret_scan, "op7_url_filter": url_filter.op7_url_filter, "op5_quality_rules": quality_rules.op5_quality_rules}
+ORACLE_SQL = {"op2_mixing": mixing.ORACLE, "op4_secret_scan": secret_scan.ORACLE, "op7_url_filter": url_filter.ORACLE, "op5_quality_rules": quality_rules.ORACLE}
