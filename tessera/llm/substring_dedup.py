@@ -26,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, staged, table
+from tessera.llm.shingles import WordHashes, scramble
 
 WINDOW = 50
 SEED_WORDS = 8
@@ -40,31 +40,16 @@ _WORD = re.compile(WORD)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    """64-bit hash of each word, kept while a task runs and emptied when large."""
-
-    def __missing__(self, w: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
-        return h
-
-
-def word_hashes(words: list[str], known: _Hashes) -> np.ndarray:
+def word_hashes(words: list[str], known: WordHashes) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def _scramble(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    return h ^ (h >> np.uint64(27))
-
-
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n-word sequence."""
     out = np.zeros(len(h) - n + 1, np.uint64)
     for i in range(n):
         out = out * _MIX + h[i : i + len(out)]
-    return _scramble(out)
+    return scramble(out)
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -88,7 +73,7 @@ def super_kmers(h: np.ndarray, window: int = WINDOW, seed_words: int = SEED_WORD
 
 
 def _minimisers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known = _Hashes()
+    known = WordHashes()
     for f in frames:
         keys, docs = [], []
         for doc_id, text in zip(f.pid, f.text):
@@ -100,7 +85,7 @@ def _minimisers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known = _Hashes()
+    known = WordHashes()
     for f in frames:
         out, held = [], 0
         for pid, row, text, wanted in zip(f.pid, f.row, f.text, f.wanted):
