@@ -1,6 +1,6 @@
 """Queries of this subpackage and the SQL for those that SQL can express."""
 
-from tessera.llm import decontamination, mixing, quality_rules, secret_scan, substring_dedup, url_filter, warc_archive
+from tessera.llm import decontamination, mixing, quality_rules, secret_scan, substring_dedup, toxicity, url_filter, warc_archive
 
-QUERIES = {"op2_mixing": mixing.op2_mixing, "op4_secret_scan": secret_scan.op4_secret_scan, "op6_warc": warc_archive.op6_warc, "op7_url_filter": url_filter.op7_url_filter, "op8_substring_dedup": substring_dedup.op8_substring_dedup, "op9_decontamination": decontamination.op9_decontamination, "op5_quality_rules": quality_rules.op5_quality_rules}
+QUERIES = {"op2_mixing": mixing.op2_mixing, "op3_toxicity": toxicity.op3_toxicity, "op4_secret_scan": secret_scan.op4_secret_scan, "op6_warc": warc_archive.op6_warc, "op7_url_filter": url_filter.op7_url_filter, "op8_substring_dedup": substring_dedup.op8_substring_dedup, "op9_decontamination": decontamination.op9_decontamination, "op5_quality_rules": quality_rules.op5_quality_rules}
 ORACLE_SQL = {"op2_mixing": mixing.ORACLE, "op4_secret_scan": secret_scan.ORACLE, "op6_warc": warc_archive.ORACLE, "op7_url_filter": url_filter.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE, "op9_decontamination": decontamination.ORACLE, "op5_quality_rules": quality_rules.ORACLE}
