@@ -1,0 +1,214 @@
+"""HTML pages to text, tables, sections and segments, by the standard library's parser in Arrow batches."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+DROPPED = {"script", "style", "meta", "link", "noscript", "iframe", "img", "ix:header", "ix:hidden", "ix:references", "ix:resources", "xbrli:context", "xbrli:unit"}
+VOID = {"meta", "link", "img", "br", "hr", "input", "col", "area", "base", "embed", "source", "track", "wbr"}
+BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "tr", "table", "section", "article", "header", "footer", "nav", "br", "hr", "blockquote", "pre", "title", "body", "td", "th", "caption"}
+MAX_TITLE = 160
+
+
+class _Page(HTMLParser):
+    """Collects text blocks, and each table as a block of its own."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks: list[str] = []
+        self.text: list[str] = []
+        self.hidden = 0
+        self.tables: list[dict] = []
+        self.cell: list[str] | None = None
+        self.caption: list[str] | None = None
+        self.n_tables = 0
+        self.title = ""
+        self.in_title = False
+
+    def flush(self) -> None:
+        t = re.sub(r"\s+", " ", "".join(self.text)).strip()
+        if t:
+            self.blocks.append(t)
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in DROPPED:
+            self.hidden += tag not in VOID
+            return
+        if tag == "title":
+            self.in_title = True
+        if tag == "table":
+            self.flush()
+            a = dict(attrs)
+            self.tables.append({"rows": [], "title": a.get("summary") or a.get("aria-label") or a.get("title") or ""})
+        elif self.tables and tag == "tr":
+            self.tables[-1]["rows"].append([])
+        elif self.tables and tag in ("td", "th"):
+            self.cell, self.head = [], tag == "th"
+        elif self.tables and tag == "caption":
+            self.caption = []
+        elif tag in BLOCKS:
+            self.flush()
+
+    def handle_startendtag(self, tag, attrs):
+        if tag not in DROPPED:
+            self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if tag in DROPPED:
+            self.hidden = max(0, self.hidden - (tag not in VOID))
+        elif tag == "title":
+            self.in_title = False
+            self.text = []
+        elif self.tables and tag in ("td", "th") and self.cell is not None:
+            value = re.sub(r"\s+", " ", "".join(self.cell)).strip()
+            rows = self.tables[-1]["rows"]
+            if not rows:
+                rows.append([])
+            rows[-1].append((value, self.head))
+            self.cell = None
+        elif self.tables and tag == "caption" and self.caption is not None:
+            self.tables[-1]["title"] = re.sub(r"\s+", " ", "".join(self.caption)).strip() or self.tables[-1]["title"]
+            self.caption = None
+        elif tag == "table" and self.tables:
+            self.n_tables += 1
+            before = self.blocks[-1] if self.blocks and not self.blocks[-1].startswith("[TABLE]") and len(self.blocks[-1]) <= MAX_TITLE else ""
+            block = serialised(self.tables.pop(), before, self.n_tables)
+            if self.tables:
+                self.tables[-1]["rows"].append([(block, False)])
+            elif block:
+                self.blocks.append(block)
+        elif tag in BLOCKS and not self.tables:
+            self.flush()
+
+    def handle_data(self, data):
+        if self.hidden:
+            return
+        if self.in_title:
+            self.title += data
+        elif self.cell is not None:
+            self.cell.append(data)
+        elif self.caption is not None:
+            self.caption.append(data)
+        elif not self.tables:
+            self.text.append(data)
+
+
+_PERIOD_CELL = re.compile(r"(?:19|20)\d{2}|(?:three|six|nine|twelve) months|quarter|year ended|in (?:millions|thousands)|\$|%", re.I)
+
+
+def serialised(table: dict, before: str, number: int) -> str:
+    """[TABLE] title, [HEADER] and [ROW] lines, cells joined by a bar.
+
+    The header is the rows of th cells, else leading rows whose cells all name periods or units. A first
+    row of one cell is the title if there is none; else the short block before the table, else its number.
+    """
+    rows = [[c for c in r if c[0]] for r in table["rows"]]
+    rows = [r for r in rows if r]
+    if not rows:
+        return ""
+    title = table["title"]
+    if not title and len(rows) > 1 and len(rows[0]) == 1 and not _PERIOD_CELL.fullmatch(rows[0][0][0]):
+        title = rows.pop(0)[0][0]
+    title = title or before or f"Table {number}"
+    n = 0
+    while n < len(rows) and all(h for _, h in rows[n]):
+        n += 1
+    if not n:
+        while n < min(3, len(rows) - 1) and all(_PERIOD_CELL.search(c) for c, _ in rows[n]):
+            n += 1
+    lines = [f"[TABLE] {title}"]
+    if n:
+        lines.append("[HEADER] " + " | ".join(c for r in rows[:n] for c, _ in r))
+    lines += ["[ROW] " + " | ".join(c for c, _ in r) for r in rows[n:]]
+    return "\n".join([*lines, "[/TABLE]"])
+
+
+def page(html: str | None) -> tuple[str, list[str]]:
+    """(title, blocks of text and tables in order)."""
+    p = _Page()
+    p.feed(html or "")
+    p.close()
+    p.flush()
+    return re.sub(r"\s+", " ", p.title).strip(), p.blocks
+
+
+BLOCKS_TYPE = T.StructType([T.StructField("title", T.StringType()), T.StructField("blocks", T.ArrayType(T.StringType()))])
+
+
+@F.pandas_udf(BLOCKS_TYPE)
+def html_page(html: pd.Series) -> pd.DataFrame:
+    parsed = [page(h) for h in html]
+    return pd.DataFrame({"title": [t for t, _ in parsed], "blocks": [b for _, b in parsed]})
+
+
+_ITEM = re.compile(r"^item\s+(\d{1,2}[A-C]?)[.:\s—–-]*(.*)$", re.I)
+_PART = re.compile(r"^part\s+(I{1,3}|IV)\b", re.I)
+
+
+def sections(blocks: list[str], least: int = 200) -> list[tuple[str, str]]:
+    """(section, text) split at item headings, with the part in effect; short sections go, without headings all is one."""
+    part, name, held, out = "", None, [], []
+
+    def close() -> None:
+        text = "\n".join(held).strip()
+        if name is not None and len(text) >= least:
+            out.append((name, text))
+
+    for b in blocks:
+        m = _PART.match(b) if len(b) < 40 else None
+        if m:
+            part = m[1].upper()
+        m = _ITEM.match(b) if len(b) < MAX_TITLE else None
+        if m:
+            close()
+            name, held = (f"Part {part} " if part else "") + f"Item {m[1].upper()}" + (f" {m[2].strip()}" if m[2].strip() else ""), []
+        else:
+            held.append(b)
+    close()
+    return out or [("Full Document", "\n".join(blocks).strip())]
+
+
+def segments(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, idx, section, kind, text): narrative and table segments in order."""
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for k, h in zip(f[key], f[html]):
+                i = 0
+                for name, text in sections(page(h)[1]):
+                    for piece in re.split(r"(\[TABLE\].*?\[/TABLE\])", text, flags=re.S):
+                        if piece.strip():
+                            out.append((k, i, name, "table" if piece.startswith("[TABLE]") else "narrative", piece.strip()))
+                            i += 1
+            yield pd.DataFrame(out, columns=[key, "idx", "section", "kind", "text"])
+
+    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, idx int, section string, kind string, text string")
+
+
+def table_children(table: str) -> list[str]:
+    """One text per row with a number: title, header and year rows that precede it, then the row; repeats go, malformed tables give none."""
+    lines = table.split("\n")
+    if not lines[0].startswith("[TABLE]") or lines[-1] != "[/TABLE]":
+        return []
+    context, out = [lines[0].removeprefix("[TABLE] ")], []
+    for line in lines[1:-1]:
+        text = re.sub(r"^\[(?:HEADER|ROW)\] ", "", line)
+        cells = text.split(" | ")
+        label = line.startswith("[HEADER]") or all(re.fullmatch(r"(?:FY\s?)?(?:19|20)\d{2}", c) for c in cells) or not re.search(r"\d", text)
+        if label:
+            context.append(text)
+        else:
+            out.append("\n".join([*context, text]))
+    return list(dict.fromkeys(out))
+
+

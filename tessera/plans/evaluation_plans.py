@@ -1 +1,174 @@
-from tessera.plans.registry import query  # noqa: F401
+"""Evaluation and claim queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import text as X
+from tessera.operators import claims as C
+from tessera.operators import evaluation as E
+from tessera.operators import retrieval as R
+from tessera.plans.registry import query
+from tessera.plans.retrieval_plans import _TERMS, sparse
+from tessera.sources.tables import table
+
+
+def _norm(c: str) -> str:
+    pair = "'([0-9]),([0-9])', '\\1\\2', 'g'"
+    return f"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({c}, '')), {pair}), {pair}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _tokens(c: str, clean: bool = True) -> str:
+    t = _norm(c)
+    if clean:
+        for p in X.BOILERPLATE:
+            t = f"replace({t}, '{p}', ' ')"
+    stop = " AND x NOT IN (" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + ")" if clean else ""
+    return f"list_distinct(list_filter(string_split({t}, ' '), lambda x: x <> ''{stop}))"
+
+
+_SETS = f"dt AS (SELECT doc_id, {_tokens('text')} AS t FROM documents), gt AS (SELECT item_id, {_tokens('text')} AS t FROM benchmark)"
+_PAIRS = f"""{_SETS}, g AS (SELECT item_id, len(t) AS n, unnest(t) AS token FROM gt), d AS (SELECT doc_id, unnest(t) AS token FROM dt),
+o AS (SELECT item_id, doc_id, count(*) / n AS overlap FROM d JOIN g USING (token) GROUP BY item_id, doc_id, n)"""
+
+
+@query("token_overlap", f"WITH {_PAIRS} SELECT item_id, doc_id, round(overlap, 6) AS overlap FROM o WHERE overlap >= 0.2")
+def token_overlap(spark, sf_dir):
+    o = E.all_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "item_id", "doc_id", 0.2)
+    return o.select("item_id", "doc_id", F.round("overlap", 6).alias("overlap"))
+
+
+_RETRIEVED = f"{_TERMS}, r AS (SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hits) WHERE rank <= 10)"
+
+
+def retrieved(spark, sf_dir):
+    return R.ranked(sparse(spark, sf_dir, False), "item_id", [F.desc("score"), F.asc("doc_id")]).where("rank <= 10").select("item_id", "doc_id", "rank")
+
+
+def _overlaps(name: str, clean: bool) -> str:
+    return f"""{name} AS (SELECT r.item_id, r.doc_id, rank, CASE WHEN len(g.t) > 0 THEN len(list_intersect(d.t, g.t)) / len(g.t) ELSE 0.0 END AS overlap
+  FROM r JOIN (SELECT doc_id, {_tokens('text', clean)} AS t FROM documents) d USING (doc_id) JOIN (SELECT item_id, {_tokens('text', clean)} AS t FROM benchmark) g USING (item_id))"""
+
+
+def overlaps(spark, sf_dir, clean=True):
+    return E.with_overlap(retrieved(spark, sf_dir), table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "item_id", "doc_id", clean)
+
+
+_LEVELS = "(SELECT unnest([0.2, 0.3, 0.4, 0.5, 0.6, 0.7])::DOUBLE AS threshold) th"
+
+
+@query("overlap_first_hit", f"WITH {_RETRIEVED}, {_overlaps('v', True)} SELECT item_id, threshold, min(CASE WHEN overlap >= threshold THEN rank END)::INTEGER AS hit_rank FROM v, {_LEVELS} GROUP BY item_id, threshold")
+def overlap_first_hit(spark, sf_dir):
+    return E.first_hits(overlaps(spark, sf_dir), "item_id")
+
+
+def _grid(v: str) -> str:
+    return f"""SELECT '{v}' AS variant, threshold, k, round(avg(f), 4) AS recall, round(avg(f), 4) AS hit, round(avg(CASE WHEN f > 0 THEN 1.0 / h ELSE 0 END), 4) AS mrr FROM (
+  SELECT threshold, k, h, (CASE WHEN h <= k THEN 1 ELSE 0 END)::DOUBLE AS f FROM (SELECT item_id, threshold, min(CASE WHEN overlap >= threshold THEN rank END) AS h FROM {v}, {_LEVELS} GROUP BY ALL), (SELECT unnest([1, 3, 5, 10])::INTEGER AS k)) GROUP BY threshold, k"""
+
+
+@query("recall_mrr_grid", f"WITH {_RETRIEVED}, {_overlaps('clean', True)}, {_overlaps('raw', False)} {_grid('clean')} UNION ALL {_grid('raw')}")
+def recall_mrr_grid(spark, sf_dir):
+    one = lambda name, clean: E.metric_grid(E.first_hits(overlaps(spark, sf_dir, clean), "item_id"), "item_id").select(F.lit(name).alias("variant"), "*")
+    return one("clean", True).unionByName(one("raw", False))
+
+
+_BEST = f"WITH {_PAIRS}, b AS (SELECT item_id, coalesce(max(overlap), 0.0)::DOUBLE AS best FROM benchmark LEFT JOIN o USING (item_id) GROUP BY item_id)"
+_CEILING = f"{_BEST} SELECT threshold, count(*) FILTER (best >= threshold) AS reachable, count(*) AS spans, round(avg(best), 4) AS mean, round(median(best), 4) AS median, round(min(best), 4) AS low, round(max(best), 4) AS high FROM b, {_LEVELS} GROUP BY threshold"
+
+
+def best_overlap(spark, sf_dir):
+    o = E.all_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "item_id", "doc_id", 1e-9).groupBy("item_id").agg(F.max("overlap").alias("best"))
+    return table(spark, sf_dir, "benchmark").select("item_id").join(o, "item_id", "left").fillna(0.0, ["best"])
+
+
+@query("oracle_ceiling", _CEILING)
+def oracle_ceiling(spark, sf_dir):
+    return E.ceiling(best_overlap(spark, sf_dir))
+
+
+@query("gate_diagnostics", f"WITH {_RETRIEVED}, p AS (SELECT item_id, count(*) FILTER (source = 'src' || (item_id % 20)) AS n FROM r JOIN documents USING (doc_id) GROUP BY item_id) SELECT round(avg(n), 4) AS mean_passing, count(*) FILTER (n = 0) AS zero_passing, count(*) AS queries FROM p")
+def gate_diagnostics(spark, sf_dir):
+    r = retrieved(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return E.gate_diagnostics(r, "item_id", F.col("source") == F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")))
+
+
+@query("paired_decision", f"""WITH {_RETRIEVED}, {_overlaps('v', True)}, h AS (SELECT item_id, min(CASE WHEN overlap >= 0.5 THEN rank END) AS h FROM v GROUP BY item_id),
+p AS (SELECT round(avg((coalesce(h, 99) <= 5)::INT), 4) AS old_recall, round(avg((coalesce(h, 99) <= 10)::INT), 4) AS new_recall FROM h),
+l AS (SELECT quantile_disc(value, 0.95) FILTER (event_id % 2 = 0) AS old_p95, quantile_disc(value, 0.95) FILTER (event_id % 2 = 1) AS new_p95 FROM events)
+SELECT old_recall, new_recall, new_recall >= 0.25 AS recall_ok, new_p95 <= 1.5 * old_p95 AS latency_ok, new_recall >= 0.25 AND new_p95 <= 1.5 * old_p95 AS accepted FROM p, l""")
+def paired_decision(spark, sf_dir):
+    h = E.first_hits(overlaps(spark, sf_dir), "item_id", [0.5])
+    recall = lambda k: F.round(F.avg(F.coalesce(F.col("hit_rank") <= k, F.lit(False)).cast("double")), 4)
+    p95 = lambda odd: F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY value) FILTER (WHERE event_id % 2 = {odd})")
+    a, b = h.agg(recall(5).alias("old_recall"), recall(10).alias("new_recall")), table(spark, sf_dir, "events").agg(p95(0).alias("old_p95"), p95(1).alias("new_p95"))
+    pair = a.join(F.broadcast(b)).withColumns({"old_zero_passing": F.lit(0), "new_zero_passing": F.lit(0), "old_reachable": F.lit(0), "new_reachable": F.lit(0)})
+    return E.paired_decision(pair).select("old_recall", "new_recall", "recall_ok", "latency_ok", "accepted")
+
+
+@query("holdout_select", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND source NOT IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND doc_id % 4 = 0)")
+def holdout_select(spark, sf_dir):
+    d, labels = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels")
+    return E.held_out(d, labels, d.join(labels.where("toxic = 1 AND doc_id % 4 = 0"), "doc_id"), "doc_id", "source").select("doc_id", "source")
+
+
+_ANSWERS = [
+    ("a1", "Revenue was $1,234.5 million [1].", False, False, [], ["1234.5"], 2, [1]), ("a2", "It fell by (12.5) percent [2, 3]", False, False, [], ["-12.5"], 3, [2]),
+    ("a3", "Forty two", False, False, ["forty-two"], [], 1, [1]), ("a4", "", True, True, [], [], 0, []), ("a5", "Net sales rose [4].", False, True, [], ["7"], 3, [1]),
+    ("a6", "The margin was 12% [1][2].", False, False, [], ["12"], 2, [2]),
+]
+_ANSWER_SQL = "SELECT * FROM (VALUES ('a1', true, true, true, 1.0, true), ('a2', true, true, true, 0.5, true), ('a3', true, true, false, 0.0, false), ('a4', true, false, false, 0.0, true), ('a5', false, false, false, 0.0, false), ('a6', true, true, true, 0.5, true)) AS t(id, answerability_ok, correct, citations_ok, support_precision, end_to_end)"
+
+
+@query("citation_scoring", _ANSWER_SQL.replace("1.0,", "1.0::DOUBLE,"))
+def citation_scoring(spark, sf_dir):
+    schema = "id string, answer string, abstained boolean, should_abstain boolean, accepted array<string>, expected array<string>, n_chunks int, supporting array<int>"
+    return E.answer_scores(spark.createDataFrame(_ANSWERS, schema)).select("id", "answerability_ok", "correct", "citations_ok", "support_precision", "end_to_end")
+
+
+_CLAIMS = r"""n AS (SELECT conv_id, turn, trim(regexp_replace(translate(text, '“”‘’', '""'''''), '\s+', ' ', 'g')) AS t FROM conversations),
+p AS (SELECT conv_id, turn, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS piece FROM (SELECT conv_id, turn, string_split_regex(t, '[.;!?]\s+') AS x FROM n)),
+c AS (SELECT conv_id, turn, i, unnest(range(1, len(y) + 1)) AS j, trim(unnest(y)) AS claim FROM (SELECT conv_id, turn, i, string_split_regex(trim(piece), '\s*,\s*(?:and/or|and|or)\s+') AS y FROM p)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, lower(claim) ORDER BY i, j) AS n FROM c WHERE claim <> '' AND lower(claim) NOT IN ('and', 'or', 'and/or')),
+s AS (SELECT conv_id * 1000 + turn AS id, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i, j)::INTEGER AS idx, claim FROM o WHERE n = 1)"""
+
+
+def split(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return C.split_claims(c, "id")
+
+
+@query("claim_split", f"WITH {_CLAIMS} SELECT id, idx, claim FROM s")
+def claim_split(spark, sf_dir):
+    return split(spark, sf_dir)
+
+
+def _any(words):
+    return "(" + " OR ".join(f"contains(lower(claim), '{w}')" for w in words) + ")"
+
+
+_TYPE = f"CASE WHEN {_any(C.PREDICTION)} THEN 'prediction' WHEN regexp_matches(claim, '[-+]?[0-9][0-9,]*(?:\\.[0-9]+)?') AND {_any(C.METRIC_NEAR_NUMBER)} THEN 'reported_numeric' " + " ".join(f"WHEN {_any(w)} THEN '{n}'" for n, w in C.FAMILIES) + " ELSE 'narrative_disclosure' END"
+
+
+@query("claim_types", f"WITH {_CLAIMS}, t AS (SELECT id, idx, claim, {_TYPE} AS kind FROM s) SELECT id, idx, kind, CASE WHEN kind = 'prediction' THEN 'watch_later' WHEN kind = 'opinion' THEN 'non_verifiable' ELSE 'check_now' END AS check_now, 'claim_' || substr(sha1('ACME::' || lower(trim(claim))), 1, 12) || '_' || lpad(idx::VARCHAR, greatest(2, length(idx::VARCHAR))::INT, '0') AS claim_id FROM t")
+def claim_types(spark, sf_dir):
+    t = split(spark, sf_dir).withColumn("kind", C.claim_type(F.col("claim")))
+    return t.select("id", "idx", "kind", C.checkability(F.col("kind"), F.lit("ACME")).alias("check_now"), C.claim_id(F.col("claim"), F.lit("ACME"), F.col("idx")).alias("claim_id"))
+
+
+@query("claim_numeric")
+def claim_numeric(spark, sf_dir):
+    found = C.numeric_bindings(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", found.alias("found"))
+    p = C.primary(F.col("found"))
+    return rows.select("doc_id", F.size("found").alias("n_numbers"), p["value"].alias("value"), p["unit"].alias("unit"))
+
+
+@query("claim_verdict")
+def claim_verdict(spark, sf_dir):
+    c = split(spark, sf_dir).select(F.col("id"), "claim", C.claim_type(F.col("claim"), loose_k=False).alias("kind"), C.claim_id(F.col("claim"), F.lit("ACME"), F.col("idx")).alias("hash"), "idx")
+    c = c.withColumn("claim_id", F.concat_ws("/", F.col("id").cast("string"), F.col("hash"))).withColumn("found", C.numeric_bindings(F.col("claim")))
+    claims = c.select("claim_id", "claim", C.checkability(F.col("kind"), F.lit("ACME")).alias("check"), C.metric(F.col("claim")).alias("metric"), C.comparator(F.col("claim")).alias("comparator"), C.primary(F.col("found"))["value"].alias("value"), F.lit(2024).alias("as_of_year"), "id")
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.lit(2020).alias("fiscal_year"))
+    evidence = claims.select("claim_id", "id").join(turns, "id").select("claim_id", "text", "fiscal_year", C.numeric_bindings(F.col("text")).alias("found"))
+    return C.verify(claims.drop("id"), evidence)
