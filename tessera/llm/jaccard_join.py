@@ -257,7 +257,9 @@ def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     comps = staged(connected_components(edges).select(F.col("id").alias("cls"), F.col("component").alias("comp")).join(reps.select("cls", "rep", "copies", "n"), "cls"), "components")
     sizes = comps.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / SHINGLES)).alias("blocks"))
     comps = comps.join(sizes, "comp")
-    texts = rows.select("pid", "cls", "text").join(comps.select(F.col("rep").alias("pid"), "cls"), ["pid", "cls"], "left_semi").dropDuplicates(["cls"]).select("cls", "text")
+    # always by shuffling: a plan that changes with the size would not show on small tables what large ones cost
+    wanted = comps.select(F.col("rep").alias("pid"), "cls").hint("merge")
+    texts = rows.select("pid", "cls", "text").join(wanted, ["pid", "cls"], "left_semi").dropDuplicates(["cls"]).select("cls", "text")
     group = ["comp", "b1", "b2"]
     tasks = _dealt(comps, "comp", "blocks").join(texts, "cls").select(*group, "block", "blocks", "cls", "rep", "copies", "text")
     checked = staged(tasks.repartition(parts, *group).sortWithinPartitions(*group).mapInPandas(_verify, VERIFIED), "verified")
@@ -277,7 +279,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     kept = classes(docs, key).groupBy("class_id").agg(F.min(F.struct("pid", "cls")).alias("k")).select(F.col("k.pid").alias("_pid"), F.col("k.cls").alias("_cls"))
     kept = staged(kept, "kept")
     marked = docs.withColumn("_pid", F.coalesce(F.col(key).cast("long"), F.lit(BIG))).withColumn("_cls", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    joined = marked.join(kept, ["_pid", "_cls"], "left_semi")
+    joined = marked.join(kept.hint("merge"), ["_pid", "_cls"], "left_semi")
     order = W.partitionBy("_pid", "_cls").orderBy(*[c for c, t in docs.dtypes if c != "text" and not t.startswith("map")])
     return joined.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
 
