@@ -97,3 +97,34 @@ def answer_scores(answers: DataFrame) -> DataFrame:
 def held_out(records: DataFrame, seen_ids: DataFrame, seen_groups: DataFrame, key: str, group: str) -> DataFrame:
     """Records whose id and group are both new."""
     return records.join(seen_ids.select(key).distinct(), key, "left_anti").join(seen_groups.select(group).distinct(), group, "left_anti")
+
+
+def requirements(records: DataFrame, doc: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(one row per document in order, documents whose records disagree)."""
+    g = records.groupBy(doc).agg(*[F.min(f).alias(f) for f in fields], F.count_distinct(F.struct(*fields)).alias("_n"))
+    return g.where("_n = 1").drop("_n").orderBy(doc), g.where("_n > 1").select(doc)
+
+
+def partition_errors(ids: DataFrame, curated: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
+    """Ids that are not in exactly one of curated and excluded, or unknown: key, reason."""
+    mark = lambda df, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    j = mark(ids, "_i").join(mark(curated, "_c"), key, "full").join(mark(excluded, "_x"), key, "full")
+    reason = F.when(F.col("_i").isNull(), "unknown").when(F.col("_c") & F.col("_x"), "both").when(F.col("_c").isNull() & F.col("_x").isNull(), "neither")
+    return j.withColumn("reason", reason).where("reason IS NOT NULL").select(key, "reason")
+
+
+def answer_rates(scored: DataFrame) -> DataFrame:
+    """Rates over scored answers; those that need an answer count only where one is due."""
+    due = ~F.col("should_abstain")
+    rate = lambda c, cond=None: F.round(F.coalesce(F.avg((F.when(cond, F.col(c)) if cond is not None else F.col(c)).cast("double")), F.lit(0.0)), 4)
+    return scored.agg(
+        F.count("*").alias("n"), rate("answerability_ok").alias("answerability"), rate("correct", due & ~F.col("abstained")).alias("accuracy"), rate("citations_ok", due & ~F.col("abstained")).alias("citation_validity"),
+        rate("support_precision", due & ~F.col("abstained")).alias("support_precision"), rate("end_to_end").alias("end_to_end"),
+    )
+
+
+def model_report(outputs: DataFrame) -> DataFrame:
+    """pass@1, coverage and mean latency of outputs (predicted, gold, latency)."""
+    return outputs.agg(
+        F.round(F.avg(F.coalesce(F.col("predicted") == F.col("gold"), F.lit(False)).cast("double")), 4).alias("pass_at_1"), F.round(F.avg(F.col("predicted").isNotNull().cast("double")), 4).alias("coverage"), F.round(F.avg("latency"), 4).alias("mean_latency")
+    )

@@ -65,3 +65,36 @@ def manifest(filings: DataFrame, counts: dict[str, DataFrame], key: list[str]) -
     for name, t in counts.items():
         out = out.join(F.broadcast(t.agg(F.count("*").alias(f"{name}_count"))))
     return out
+
+
+def full_match(expected: DataFrame, found: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Keys that are missing, unexpected, repeated or differ in a column, with the reason; no rows if the sets are equal."""
+    e = expected.groupBy(key).agg(F.count("*").alias("_ne"), *[F.first(c).alias(f"_e_{c}") for c in columns])
+    f = found.groupBy(key).agg(F.count("*").alias("_nf"), *[F.first(c).alias(f"_f_{c}") for c in columns])
+    differs = F.lit(False)
+    for c in columns:
+        differs = differs | ~F.col(f"_e_{c}").eqNullSafe(F.col(f"_f_{c}"))
+    reason = F.when(F.col("_nf").isNull(), "missing").when(F.col("_ne").isNull(), "unexpected").when((F.col("_ne") > 1) | (F.col("_nf") > 1), "repeated").when(differs, "different")
+    return e.join(f, key, "full").withColumn("reason", reason).where("reason IS NOT NULL").select(key, "reason")
+
+
+def manifest_errors(manifest_row: DataFrame, filings: DataFrame) -> DataFrame:
+    """Checks a manifest row (n_rows, digest) against the filings it describes: check_name, passed."""
+    now = content_digest(filings, filings.columns).select(F.col("digest").alias("_d"), F.col("n_rows").alias("_n"))
+    both = manifest_row.select("digest", "n_rows").join(F.broadcast(now))
+    return both.select(F.explode(F.array(F.struct(F.lit("digest").alias("check_name"), (F.col("digest") == F.col("_d")).alias("passed")), F.struct(F.lit("n_rows").alias("check_name"), (F.col("n_rows") == F.col("_n")).alias("passed")))).alias("c")).select("c.*")
+
+
+def preconditions(pairs: list[tuple[str, str, str, str]], spark) -> DataFrame:
+    """Assertions as rows (check_name, left, right, passed); pairs: name, left, right, 'eq' or 'ne'."""
+    rows = [(n, str(a), str(b), (a == b) == (how == "eq")) for n, a, b, how in pairs]
+    return spark.createDataFrame(rows, "check_name string, left string, right string, passed boolean")
+
+
+def chained(entries: DataFrame, order: str, payload: str, previous: str, own: str) -> DataFrame:
+    """Entries of an append log whose hash or link to the entry before does not hold. The log is one ordered file."""
+    from pyspark.sql import Window as W
+
+    w = W.orderBy(order)
+    want = F.sha2(F.concat(F.coalesce(F.col(previous), F.lit("")), F.col(payload)), 256)
+    return entries.withColumn("_before", F.lag(own).over(w)).where((F.col(own) != want) | ~F.col(previous).eqNullSafe(F.col("_before"))).drop("_before")

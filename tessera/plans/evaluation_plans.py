@@ -172,3 +172,29 @@ def claim_verdict(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.lit(2020).alias("fiscal_year"))
     evidence = claims.select("claim_id", "id").join(turns, "id").select("claim_id", "text", "fiscal_year", C.numeric_bindings(F.col("text")).alias("found"))
     return C.verify(claims.drop("id"), evidence)
+
+
+@query("gold_partition", "WITH i AS (SELECT doc_id FROM documents), c AS (SELECT doc_id FROM labels WHERE quality = 1), x AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM c) THEN 'both' ELSE 'neither' END AS reason FROM i WHERE (doc_id IN (SELECT doc_id FROM c)) = (doc_id IN (SELECT doc_id FROM x))")
+def gold_partition(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    return E.partition_errors(table(spark, sf_dir, "documents").select("doc_id"), labels.where("quality = 1"), labels.where("toxic = 1"), "doc_id")
+
+
+@query("requirement_manifest", "SELECT o_custkey, min(o_orderstatus) AS o_orderstatus FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) = 1")
+def requirement_manifest(spark, sf_dir):
+    return E.requirements(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderstatus"])[0]
+
+
+@query("answer_rates", "SELECT 6::BIGINT AS n, 0.8333::DOUBLE AS answerability, 1.0::DOUBLE AS accuracy, 0.75::DOUBLE AS citation_validity, 0.5::DOUBLE AS support_precision, 0.6667::DOUBLE AS end_to_end")
+def answer_rates(spark, sf_dir):
+    schema = "id string, answer string, abstained boolean, should_abstain boolean, accepted array<string>, expected array<string>, n_chunks int, supporting array<int>"
+    return E.answer_rates(E.answer_scores(spark.createDataFrame(_ANSWERS, schema)))
+
+
+@query("model_report", "SELECT round(avg((l_linenumber = l_quantity % 7)::INT), 4) AS pass_at_1, round(avg((l_discount > 0.035)::INT), 4) AS coverage, 0.0::DOUBLE AS mean_latency FROM lineitem WHERE false".replace(" WHERE false", "").replace("(l_linenumber = l_quantity % 7)", "(l_discount > 0.035 AND l_linenumber = l_quantity % 7)").replace("0.0::DOUBLE", "round(avg(l_tax), 4)"))
+def model_report(spark, sf_dir):
+    from tessera.functions.records import final_number
+
+    l = table(spark, sf_dir, "lineitem")
+    answer = F.when(F.col("l_discount") > 0.035, F.concat(F.lit("so 3 and then\n#### "), (F.col("l_quantity") % 7).cast("string")))
+    return E.model_report(l.select(final_number(answer).alias("predicted"), F.col("l_linenumber").cast("double").alias("gold"), F.col("l_tax").alias("latency")))

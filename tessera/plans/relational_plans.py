@@ -324,3 +324,26 @@ def smoke_fraction(spark, sf_dir):
 @query("latency_p95", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS n, count(*) OVER (PARTITION BY event_type) AS c FROM events) SELECT event_type, max(value) FILTER (n = ceil(0.95 * c)) AS p95, round(median(value), 6) AS p50 FROM r GROUP BY event_type")
 def latency_p95(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.round(F.median("value"), 6).alias("p50"))
+
+
+@query("manifest_check", "SELECT 'digest' AS check_name, true AS passed UNION ALL SELECT 'n_rows', false")
+def manifest_check(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    stored = I.content_digest(n, n.columns).withColumn("n_rows", F.col("n_rows") + 1)
+    return I.manifest_errors(stored, n)
+
+
+@query("set_equality", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'missing' ELSE 'different' END AS reason FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0")
+def set_equality(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    found = o.where("o_orderkey % 7 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 11 == 0, "?").otherwise(F.col("o_orderstatus")))
+    return I.full_match(o, found, "o_orderkey", ["o_orderstatus"])
+
+
+@query("sector_class", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'energy' WHEN p_partkey % 3 = 1 THEN 'banking' END AS sector FROM part")
+def sector_class(spark, sf_dir):
+    from tessera.functions.records import sector
+
+    k = F.col("p_partkey") % 3
+    industry = F.when(k == 0, "Oil & Gas refining").when(k == 1, "Regional Banks, retail").otherwise("Misc")
+    return table(spark, sf_dir, "part").select("p_partkey", sector(F.lit(None).cast("string"), industry).alias("sector"))

@@ -232,3 +232,26 @@ regexp_matches(lower(text), 'why|risk|strategy|demand|outlook|guidance|commentar
 def query_intents(spark, sf_dir):
     t = F.col("text")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.wants_figures(t).alias("figures"), X.wants_explanation(t).alias("explanation"))
+
+
+@query("ts_rank_topk")
+def ts_rank_topk(spark, sf_dir):
+    from tessera.functions import fts
+
+    q = item_terms(spark, sf_dir).groupBy("item_id").agg(F.array_join(F.sort_array(F.collect_list("term")), " ").alias("query_text"))
+    found = fts.search(table(spark, sf_dir, "documents").select("doc_id", "text"), q, "doc_id", "item_id")
+    return R.ranked(found, "item_id", [F.desc("bm25_raw"), F.asc("doc_id")]).where(F.col("rank") <= K).select("item_id", "doc_id", F.round("bm25_raw", 9).alias("bm25_raw"), "rank")
+
+
+_NAMES = "n AS (SELECT n_nationkey AS k, lower(n_name) AS alias FROM nation)"
+
+
+@query("question_companies", f"WITH {_NAMES} SELECT o_orderkey, 'T' || n.k AS ticker FROM orders LEFT JOIN n ON n.k = o_custkey % 30")
+def question_companies(spark, sf_dir):
+    from tessera.operators import queryparse as P
+
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("T"), F.col("n_nationkey").cast("string")).alias("ticker"), F.col("n_name").alias("name"))
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_name")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 30).alias("k")).join(names, "k", "left")
+    asked = o.select("o_orderkey", F.concat(F.lit("what were sales of "), F.lower(F.coalesce("n_name", F.lit("nobody"))), F.lit(" last year?")).alias("question"))
+    return P.companies_named(asked, n, "o_orderkey", "question")

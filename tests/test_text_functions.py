@@ -69,3 +69,51 @@ def test_features(spark):
 def test_citations_and_numbers(spark):
     assert one(spark, "so [1], and [2, 3]", X.citations) == [1, 2, 3]
     assert [float(x) for x in one(spark, "$1,200.5 and (7) and -3", X.numbers_in)] == [1200.5, -7.0, -3.0]
+
+
+def test_stems():
+    from tessera.functions.fts import stem
+
+    words = {"caresses": "caress", "ponies": "poni", "running": "run", "relational": "relat", "hopping": "hop", "motoring": "motor", "happy": "happi", "adjustment": "adjust", "controlling": "control", "electricity": "electr", "filings": "file"}
+    assert {w: stem(w) for w in words} == words
+
+
+def test_rank_prefers_near_and_frequent_words():
+    from tessera.functions.fts import positions, rank
+
+    one = rank(positions("revenue grew"), ["revenu"])
+    assert abs(one - 0.1 / 1.64493406685) < 1e-12
+    assert rank(positions("revenue revenue"), ["revenu"]) > one
+    near, far = rank(positions("net revenue grew"), ["net", "revenu"]), rank(positions("net a b c d e f g revenue"), ["net", "revenu"])
+    assert near > far > 0 and rank(positions("net"), ["net", "revenu"]) == 0.0
+
+
+def test_search_needs_all_lexemes(spark):
+    from tessera.functions import fts
+
+    d = spark.createDataFrame([(1, "The company's revenues grew quickly"), (2, "growth of the company"), (3, None)], "k int, text string")
+    q = spark.createDataFrame([(7, "company revenue"), (8, "the of")], "q int, query_text string")
+    assert [(r.q, r.k) for r in fts.search(d, q, "k", "q").collect()] == [(7, 1)]
+
+
+def test_records(spark):
+    from tessera.functions import records as D
+
+    row = spark.createDataFrame([("Acme Q3 2023 call", "AMAZON_2019Q2_10K", "I say 4.\n#### 1,234", "0000320193-20-000096", "320193", "https://www.sec.gov/Archives/x")], "t string, d string, a string, acc string, cik string, u string")
+    y, q = D.title_period(F.col("t"))
+    got = row.select(y.alias("y"), q.alias("q"), D.final_number(F.col("a")).alias("n"), D.gold_document(F.col("d"), F.lit("10k"), F.lit("2019"))[2].alias("gq"), D.manifest_field_errors(F.col("acc"), F.col("cik"), F.col("u")).alias("ok"), D.manifest_field_errors(F.col("t"), F.col("t"), F.lit("http://u:p@evil/../x")).alias("bad")).first()
+    assert (got.y, got.q, got.n, got.gq, got.ok) == (2023, 3, 1234.0, "Q2", []) and got.bad == ["accession", "cik", "source_url"]
+    assert one(spark, "Long\n\nFinal answer: it is 7", D.final_scope) == "it is 7" and one(spark, "short", D.final_scope) == "short"
+
+
+def test_question_parsing(spark):
+    from tessera.operators import queryparse as P
+
+    c = spark.createDataFrame([("JNJ", "Johnson & Johnson"), ("COST", "Costco Wholesale Corporation"), ("ARE", "Alexandria Real Estate Equities, Inc.")], "ticker string, name string")
+    q = spark.createDataFrame([(1, "Are JnJ's sales up?"), (2, "What did Costco earn?"), (3, "COST revenue"), (4, "nothing here"), (5, None)], "k int, t string")
+    got = {r.k: r.ticker for r in P.companies_named(q, c, "k", "t").collect()}
+    assert got == {1: "JNJ", 2: "COST", 3: "COST", 4: None, 5: None}
+    f = spark.createDataFrame([("cost",), ("johnson & johnson",), ("Costco",), ("Other",)], "n string")
+    assert [r.resolved for r in P.resolved_filter(f.withColumn("k", F.lit(1)), c, "k", "n").orderBy("n").collect()] == ["COST", "Other", "COST", "JNJ"]
+    s = spark.createDataFrame([("AMZN revenue 2019", ["AMZN", "Amazon"]), ("amazon", ["Amazon"])], "q string, n array<string>")
+    assert [r.x for r in s.select(P.without_mentions(F.col("q"), F.col("n")).alias("x")).collect()] == ["revenue 2019", "amazon"]
