@@ -54,10 +54,15 @@ def ranked(rows: DataFrame, by: str | list[str], order: list[Column], name: str
     return rows.withColumn(name, F.row_number().over(W.partitionBy(by).orderBy(*order)))
 
 
-def term_frequencies(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, term, tf, n_terms): lower-case alphanumeric terms of each document."""
+def term_frequencies(docs: DataFrame, key: str, text: Column, terms: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf, n_terms): lower-case alphanumeric terms of each document, or those of them that terms (term) holds.
+
+    Terms that no query asks for are dropped before anything is counted, so they are never shuffled.
+    """
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
     rows = docs.select(key, words.alias("w")).select(key, F.size("w").alias("n_terms"), F.explode("w").alias("term"))
+    if terms is not None:
+        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
     return rows.groupBy(key, "n_terms", "term").agg(F.count("*").alias("tf"))
 
 
@@ -67,7 +72,7 @@ def sparse_scores(tf: DataFrame, query_terms: DataFrame, key: str, query: str, a
     Terms meet in an equi-join on the term; query terms that all documents share are summed before the shuffle.
     """
     need = query_terms.groupBy(query).agg(F.count("*").alias("need"))
-    hits = tf.join(query_terms, "term").groupBy(query, key).agg(F.count("*").alias("hits"), F.sum(F.log(1.0 + F.col("tf")) / F.log(1.0 + F.col("n_terms"))).alias("score"))
+    hits = tf.join(query_terms, "term").groupBy(query, key).agg(F.count("*").alias("hits"), F.round(F.sum(F.log(1.0 + F.col("tf")) / F.log(1.0 + F.col("n_terms"))), 9).alias("score"))
     hits = hits.join(need, query)
     return (hits.where("hits = need") if all_terms else hits).drop("need")
 

@@ -84,7 +84,7 @@ _TERMS = """tf AS (
     SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 5)[1:3]) AS term FROM benchmark)
 ), need AS (SELECT item_id, count(*) AS need FROM q GROUP BY item_id),
 hits AS (
-  SELECT item_id, doc_id, count(*) AS hits, sum(ln(1.0 + tf) / ln(1.0 + n_terms)) AS score FROM tf JOIN q USING (term) GROUP BY ALL
+  SELECT item_id, doc_id, count(*) AS hits, round(sum(ln(1.0 + tf) / ln(1.0 + n_terms)), 9) AS score FROM tf JOIN q USING (term) GROUP BY ALL
 )"""
 
 
@@ -95,8 +95,9 @@ def item_terms(spark, sf_dir) -> DataFrame:
 
 
 def sparse(spark, sf_dir, all_terms: bool) -> DataFrame:
-    tf = R.term_frequencies(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
-    return R.sparse_scores(tf, item_terms(spark, sf_dir), "doc_id", "item_id", all_terms)
+    terms = item_terms(spark, sf_dir)
+    tf = R.term_frequencies(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), terms)
+    return R.sparse_scores(tf, terms, "doc_id", "item_id", all_terms)
 
 
 @query("sparse_term_match", f"WITH {_TERMS} SELECT item_id, doc_id, hits::BIGINT AS hits FROM hits JOIN need USING (item_id) WHERE hits = need")
