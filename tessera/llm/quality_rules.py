@@ -20,7 +20,7 @@ MIN_WORDS = 20
 #: Per cent of words in repeated windows above which a document fails.
 MAX_REPEAT_PCT = 30
 #: Symbols for every 100 words, and repeated lines for every 100 lines, above which a document fails.
-MAX_SYMBOL_PCT = 60
+MAX_SYMBOL_PCT = 40
 MAX_DUP_LINE_PCT = 60
 #: Mean word length outside these bounds fails.
 MEAN_WORD = (2.0, 16.0)
@@ -159,7 +159,7 @@ WITH d AS (
   FROM d LEFT JOIN rep USING (k)
 ), j AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-         100 * n_symbols > 60 * n_words OR 100 * n_dup_lines > 60 * n_lines
+         100 * n_symbols > 40 * n_words OR 100 * n_dup_lines > 60 * n_lines
            OR coalesce(wc, 0) < 2.0 * n_words OR coalesce(wc, 0) > 16.0 * n_words AS soft
   FROM s
 ), h AS (
