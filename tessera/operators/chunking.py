@@ -147,3 +147,40 @@ def transcript_sections(docs: DataFrame, key: str, text: Column) -> DataFrame:
     rest = F.when(q > 0, F.substr(t, q)).otherwise("")
     c = F.regexp_instr(rest, F.lit(r"(?i)this concludes|end of (?:the )?call|thank you for joining"))
     return docs.select(key, F.when(q > 0, F.substr(t, F.lit(1), q - 1)).otherwise(t).alias("prepared"), F.when(c > 0, F.substr(rest, F.lit(1), c - 1)).otherwise(rest).alias("qa"), F.when(c > 0, F.substr(rest, c)).otherwise("").alias("closing"))
+
+
+def body_of_filing(text: Column) -> Column:
+    """A filing without its cover page and signatures: from the first item heading if that stands in the first third, up to the signatures if they stand in the last third."""
+    n = F.length(text)
+    start = F.regexp_instr(text, F.lit(r"(?im)^\s*item\s+1[.:\s]"))
+    begin = F.when((start > 0) & (start * 3 <= n), start).otherwise(1)
+    stop = F.regexp_instr(text, F.lit(r"(?m)^\s*SIGNATURES?\s*$"))
+    end = F.when((stop > 0) & (stop * 3 >= 2 * n), stop - 1).otherwise(n)
+    return F.substr(text, begin, end - begin + 1)
+
+
+def embedded(docs: DataFrame, key: str, dim: int = 64, embed=None, text: str = "text") -> DataFrame:
+    """(key, embedding): unit vectors of texts, by embed(list of texts) or else a hashed bag of words; an empty text counts as a blank.
+
+    embed is called once per batch and may keep a model per worker.
+    """
+    import zlib
+
+    kind = docs.schema[key].dataType.simpleString()
+
+    def bag(texts: list[str]) -> list[list[float]]:
+        out = []
+        for t in texts:
+            v = [0.0] * dim
+            for w in re.findall(r"[a-z0-9]+", t.lower()) or [" "]:
+                h = zlib.crc32(w.encode())
+                v[h % dim] += 1.0 if h & 0x80000000 else -1.0
+            length = sum(x * x for x in v) ** 0.5 or 1.0
+            out.append([x / length for x in v])
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({key: f[key], "embedding": (embed or bag)([t or " " for t in f[text]])})
+
+    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<float>")

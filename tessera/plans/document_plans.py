@@ -132,3 +132,8 @@ def company_aliases(spark, sf_dir):
 @query("excerpts", "SELECT doc_id, CASE WHEN length(text) <= 260 THEN text ELSE substr(text, 1, 128) || '…' || right(text, 128) END AS short, CASE WHEN length(text) > 120 THEN rtrim(substr(text, 1, 120)) || ' …' ELSE text END AS block FROM documents")
 def excerpts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.shortened(F.col("text")).alias("short"), X.excerpt(F.col("text"), 120).alias("block"))
+
+
+@query("batch_embed")
+def batch_embed(spark, sf_dir):
+    return K.embedded(table(spark, sf_dir, "benchmark"), "item_id")

@@ -59,3 +59,22 @@ def parse_timestamp(c):
         F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss")),
         F.try_to_timestamp(c, F.lit("yyyy-MM-dd")),
     )
+
+
+def submission_documents(texts: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """(key, seq, type, text): the <DOCUMENT> blocks of full submissions."""
+    blocks = F.regexp_extract_all(column, F.lit(r"(?s)<DOCUMENT>(.*?)</DOCUMENT>"), F.lit(1))
+    rows = texts.select(key, F.posexplode(blocks).alias("seq", "_b"))
+    return rows.select(key, "seq", F.trim(F.regexp_extract("_b", r"<TYPE>([^\r\n<]*)", 1)).alias("type"), F.regexp_extract("_b", r"(?s)<TEXT>(.*?)(?:</TEXT>|$)", 1).alias("text"))
+
+
+def primary_documents(documents: DataFrame, forms: DataFrame, key: str) -> DataFrame:
+    """Per submission its first document of the form (key, form), and for a 10-K also the longest annual-report exhibit with two of three financial signals."""
+    d = documents.join(forms, key)
+    first = W.partitionBy(key).orderBy("seq")
+    main = d.where(F.col("type") == F.col("form")).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    low = F.lower("text")
+    signals = sum(low.contains(w).cast("int") for w in ("balance sheet", "cash flow", "net income"))
+    extra = d.where((F.col("form") == "10-K") & (F.col("type").startswith("ARS") | F.col("type").startswith("EX-13")) & (signals >= 2))
+    extra = extra.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(F.length("text")), "seq"))).where("_n = 1").drop("_n")
+    return main.withColumn("role", F.lit("primary")).unionByName(extra.withColumn("role", F.lit("annual_report")))

@@ -77,3 +77,27 @@ def test_transcript_sections(spark):
     d = spark.createDataFrame([(1, "Hello all. Question-and-answer: what? This concludes our call."), (2, "Only remarks")], "k int, t string")
     got = {r.k: (r.prepared, r.qa, r.closing) for r in K.transcript_sections(d, "k", F.col("t")).collect()}
     assert got[1] == ("Hello all. ", "Question-and-answer: what? ", "This concludes our call.") and got[2] == ("Only remarks", "", "")
+
+
+def test_submission_documents(spark):
+    from tessera.sources import tables as T
+
+    doc = lambda kind, text: f"<DOCUMENT>\n<TYPE>{kind}\n<TEXT>{text}</TEXT>\n</DOCUMENT>\n"
+    sub = doc("10-K", "main") + doc("EX-13", "Balance sheet and net income") + doc("EX-13.1", "Balance sheet and net income, longer") + doc("EX-21", "list") + doc("10-K", "second")
+    texts = spark.createDataFrame([(1, sub), (2, "no blocks")], "k int, text string")
+    docs = T.submission_documents(texts, "k")
+    assert docs.count() == 5
+    got = T.primary_documents(docs, spark.createDataFrame([(1, "10-K")], "k int, form string"), "k").orderBy("role").collect()
+    assert [(r.role, r.type, r.text) for r in got] == [("annual_report", "EX-13.1", "Balance sheet and net income, longer"), ("primary", "10-K", "main")]
+
+
+def test_body_of_filing(spark):
+    body = "x" * 300
+    texts = spark.createDataFrame([(f"cover\nItem 1. Business\n{body}\nSIGNATURES\nnames",), (body,)], "t string")
+    got = [r[0] for r in texts.select(K.body_of_filing(F.col("t"))).collect()]
+    assert got[0].strip().startswith("Item 1.") and "names" not in got[0] and got[1] == body
+
+
+def test_embedding_is_a_unit_vector(spark):
+    got = K.embedded(spark.createDataFrame([(1, "net sales"), (2, None)], "k int, text string"), "k", dim=8).collect()
+    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-6 for r in got)
