@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: White space that separates words: space and the controls 9 to 13.
 SPACE = " \t\n\x0b\x0c\r"
@@ -110,9 +109,15 @@ def _digest(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
-def sha_of_list(parts: Column) -> Column:
-    """Lower-case hex SHA-256 of the comma-joined parts."""
-    return F.sha2(F.concat_ws(",", parts), 256)
+def least_hashes(keys: DataFrame, key: str, n_rows: int, limit: int) -> DataFrame:
+    """At most limit keys, those with the least hashes, of a table of n_rows rows.
 
-
-LONGS = T.ArrayType(T.LongType())
+    Only hashes in a range that holds about four times limit are sorted, so what meets in one task
+    stays as small however many rows and partitions there are.
+    """
+    share = min(1.0, 4 * limit / max(n_rows, 1))
+    h = F.xxhash64(key)
+    near = keys.select(key).where(F.col(key).isNotNull())
+    if share < 1:
+        near = near.where(h <= int(-(2**63) + share * 2**64))
+    return near.distinct().orderBy(h, key).limit(limit)
