@@ -70,10 +70,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -85,22 +85,30 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     so a node with very many neighbours is a skewed join key that Spark can split, never a list in one task.
     """
     spark = edges.sparkSession
-    now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
-    for _ in range(max_rounds):
+    at = new_path(spark, "components")
+    now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "", f"{at}/0")
+    before = _digest(now)
+    for k in range(1, max_rounds + 1):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # what is joined is written first: then both sides of a join are plain exchanges, which Spark can split at a node with very many neighbours
+        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "", f"{at}/{k}-least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = staged(large, "", f"{at}/{k}-large")
+        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "", f"{at}/{k}-low")
         small = (
             large.join(low, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v").where("u <> v").distinct()
         )
-        new = staged(small, "cc")
-        same = _digest(new) == _digest(now)
-        now = new
-        if same:
+        now = staged(small, "", f"{at}/{k}")
+        for old in (k - 1, f"{k}-least", f"{k}-large", f"{k}-low"):
+            drop_path(spark, f"{at}/{old}")
+        after = _digest(now)
+        if after == before:
             break
+        before = after
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
 
 
