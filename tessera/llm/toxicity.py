@@ -1,19 +1,21 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 3).
 
-Two models, one of toxic and one of ordinary texts, spell a word character by character, each given
-all characters before it (up to DEPTH). Class counts are discounted absolutely; the discounted mass
+Two models, one of toxic and one of ordinary texts, spell a word character by character to its end,
+each given the characters of the word before it, the last DEPTH of them where there are more. Class counts are discounted absolutely; the discounted mass
 goes to a backoff that both classes share, whose counts are Kneser-Ney's: in how many different
-beginnings of words, of either class, a character follows the last two. A beginning seen once keeps
+contexts, of either class, a character follows the last two. A context seen once keeps
 nothing of its own (its discount is its count), one never seen differs between the classes only by
 their backoff weights, so rare expressions weigh little.
 
 A text is judged by length-normalised differences of the two log-likelihoods: over all its words, over
 the words that speak for toxicity, and over its three strongest words. A logistic curve fitted on
-labelled texts that the counts have not seen turns them into a score.
+labelled texts that the counts have not seen turns them into a score. A run without spaces that is longer than
+PIECE is judged in pieces of that length, each with the characters before it as context, so that a
+sentence of a script without spaces is as many words as it has pieces.
 
 Counts cover every labelled training row and grow with the input. They are summed by Spark; the
 ratios go to the tasks as sorted arrays of 16 bytes an entry, at most MODEL_ENTRIES at a time, with
-one pass over the texts for each such part of the vocabulary.
+one pass over the texts for each such part of the contexts; the sums of the passes meet word by word.
 
 Defined cases: null or blank texts score as the calibrated prior of a text without evidence; a null id
 counts as held out; labels that are null or without a text are not used, of repeated labels the
@@ -24,19 +26,20 @@ in the training rows every score is the share of toxic labels; other columns are
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, least_hashes, staged, table
+from tessera.llm.shingles import chunks, scramble
 
-DEPTH = 8
+#: Characters of context, and of a piece of a run without spaces.
+DEPTH, PIECE = 8, 16
 DISCOUNT = 0.75
 #: Entries of the model that go to the tasks at once (16 bytes each).
 MODEL_ENTRIES = 6_000_000
@@ -44,38 +47,52 @@ MODEL_ENTRIES = 6_000_000
 FIT_ROWS = 20_000
 #: Labels up to this many are broadcast to the texts (16 bytes each); more are joined by shuffling.
 BROADCAST_LABELS = 2_000_000
-ROOTS = 1024
 #: Words that a task counts before it passes the counts on, and whose ratios it remembers.
 WORDS_HELD = 150_000
 #: Log ratio from which a word speaks for toxicity.
 EVIDENCE = 1.0
 _WORD = re.compile(WORD)
-_CODE = xxhash.xxh3_64_intdigest
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def beginnings(word: str) -> list[str]:
-    """The marked beginnings of a word, each one character longer, up to DEPTH characters."""
+def pieces(word: str) -> list[str]:
+    """The marked word, in pieces of PIECE characters; all but the first begin with a line feed and DEPTH characters of context."""
     w = f"^{word}$"
-    return [w[: i + 1] for i in range(min(len(w), DEPTH + 1))]
+    return [w[: PIECE + 1]] + [f"\n{w[i - DEPTH : i + PIECE]}" for i in range(PIECE + 1, len(w), PIECE)]
 
 
-def root_of(word: str) -> int:
-    """Part of the vocabulary: words that share a beginning of three characters (the end mark counts) are together."""
-    return zlib.crc32(f"{word}$"[:3].encode()) % ROOTS
+def units(text: str) -> list[str]:
+    """The words of a text, those of PIECE characters and more as their pieces."""
+    return [p for w in _WORD.findall(text.lower()) for p in ((w,) if len(w) < PIECE else pieces(w))]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+def windows(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each scored character with the up to DEPTH before it, hash of those before it, its last three characters, how many each unit has)."""
+    marked = [w if len(w) > PIECE or w[0] == "\n" else f"^{w}$" for w in found]
+    c = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    context = np.fromiter((DEPTH + 1 if w[0] == "\n" else 1 for w in marked), np.int64, len(marked))
+    pos = np.arange(len(c)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    before = lambda x: np.r_[x[:1], x[:-1]]
+    x = scramble((c + np.uint64(1)) * _MIX)
+    g, h, ctx = x, x, x
+    for n in range(1, DEPTH + 1):
+        g = before(g) * _MIX + x
+        ctx, h = h, np.where(pos >= n, g, h)
+    last2, last3 = np.where(pos >= 1, before(c), 0), np.where(pos >= 2, before(before(c)), 0)
+    tail = (last3 << np.uint64(42)) | (last2 << np.uint64(21)) | c
+    own = pos >= np.repeat(context, sizes)
+    return scramble(h)[own].view(np.int64), scramble(before(ctx))[own].view(np.int64), tail[own].view(np.int64), sizes - context
 
 
-COUNTS = "h long, ctx long, tail string, root int, n1 long, n0 long"
+COUNTS = "h long, ctx long, tail long, n1 long, n0 long"
 
 
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held = (Counter(), Counter())
     for f in frames:
         for text, toxic in zip(f.text, f.toxic):
-            held[int(toxic)].update(_WORD.findall(text.lower()))
+            held[int(toxic)].update(units(text))
         if len(held[0]) + len(held[1]) > WORDS_HELD:
             yield _count_rows(held)
             held = (Counter(), Counter())
@@ -83,27 +100,25 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _count_rows(held: tuple[Counter, Counter]) -> pd.DataFrame:
-    sums: dict[str, list[int]] = {}
-    for k in (0, 1):
-        for word, n in held[k].items():
-            for b in beginnings(word):
-                s = sums.get(b)
-                if s is None:
-                    s = sums[b] = [0, 0]
-                s[k] += n
-    rows = [(_signed(_CODE(b)), _signed(_CODE(b[:-1])), b[-3:], root_of(b[1:]) if len(b) > 3 else -1, s[1], s[0]) for b, s in sums.items()]
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in COUNTS.split(", ")])
+    found = list(held[0].keys() | held[1].keys())
+    names = [x.split()[0] for x in COUNTS.split(", ")]
+    if not found:
+        return pd.DataFrame({c: np.zeros(0, np.int64) for c in names})
+    h, ctx, tail, sizes = windows(found)
+    h, at, owner = np.unique(h, return_index=True, return_inverse=True)
+    n1, n0 = (np.bincount(owner, np.repeat(np.fromiter((held[k][w] for w in found), np.int64, len(found)), sizes)).astype(np.int64) for k in (1, 0))
+    return pd.DataFrame(dict(zip(names, (h, ctx[at], tail[at], n1, n0))))
 
 
 def train(labelled: DataFrame) -> DataFrame:
-    """One row per beginning seen twice or more: h, root, ratio of its last character, ratio of a character never seen after it.
+    """One row per window seen twice or more, or context that tells: h, ctx, ratio of its last character, ratio of a character never seen after it.
 
     labelled: text, toxic (0 or 1). Ratios are logarithms of the toxic to the ordinary model.
     """
-    counts = staged(labelled.mapInPandas(_count, COUNTS).groupBy("h", "ctx", "tail", "root").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "tox-counts")
+    counts = staged(labelled.mapInPandas(_count, COUNTS).groupBy("h", "ctx", "tail").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "tox-counts")
     # shared backoff: continuation counts of the last character after two, one and none before it
     three = counts.groupBy("tail").agg(F.count("*").alias("t"))
-    three = three.withColumn("two", F.expr("left(tail, length(tail) - 1)")).withColumn("last", F.expr("right(tail, 1)"))
+    three = three.withColumn("two", F.shiftright("tail", 21)).withColumn("last", F.col("tail").bitwiseAND(F.lit((1 << 21) - 1)))
     ctx3 = three.groupBy("two").agg(F.sum("t").alias("two_t"), F.count("*").alias("two_n"))
     one = three.groupBy("last").agg(F.count("*").alias("one_t"))
     total = one.agg(F.sum("one_t").alias("s"), F.count("*").alias("n")).first()
@@ -117,17 +132,26 @@ def train(labelled: DataFrame) -> DataFrame:
     by_ctx = by_ctx.select("ctx", "c0", "c1", weight("0").alias("w0"), weight("1").alias("w1"))
     prob = lambda k: F.when(F.col(f"c{k}") > 0, kept(k) / F.col(f"c{k}")).otherwise(0.0) + F.col(f"w{k}") * F.col("backoff")
     seen = counts.where("n0 + n1 > 1").join(by_ctx, "ctx").join(shared, "tail")
-    seen = seen.select("h", "root", F.log(prob("1") / prob("0")).cast("float").alias("ratio"))
-    after = by_ctx.select(F.col("ctx").alias("h"), F.log(F.col("w1") / F.col("w0")).cast("float").alias("other"))
-    return seen.join(after, "h", "left").select("h", "root", F.coalesce("ratio", F.lit(0.0)).cast("float").alias("ratio"), F.coalesce("other", F.lit(0.0)).cast("float").alias("other"))
+    seen = seen.select("h", "ctx", F.log(prob("1") / prob("0")).cast("float").alias("ratio"))
+    after = by_ctx.select(F.col("ctx").alias("h"), F.log(F.col("w1") / F.col("w0")).cast("float").alias("other")).where("other <> 0")
+    return seen.join(after, "h", "full").select("h", "ctx", F.coalesce("ratio", F.lit(0.0)).cast("float").alias("ratio"), F.coalesce("other", F.lit(0.0)).cast("float").alias("other"), F.col("ratio").isNotNull().alias("seen"))
 
 
 class Ratios:
-    """Log ratios of words, from sorted arrays; words met lately are remembered."""
+    """Log ratios of words or pieces, from sorted arrays; those met lately are remembered.
 
-    def __init__(self, h: np.ndarray, ratio: np.ndarray, other: np.ndarray):
+    Of several parts, one adds the characters whose context is its own. Windows without seen are contexts only.
+    """
+
+    def __init__(self, h: np.ndarray, ratio: np.ndarray, other: np.ndarray, seen: np.ndarray | None = None, part: int = 0, parts: int = 1):
         order = np.argsort(h, kind="stable")
         self.h, self.ratio, self.other, self.known = h[order], ratio[order], other[order], {}
+        self.seen = np.ones(len(h), bool) if seen is None else seen[order]
+        self.part, self.parts = part, parts
+
+    def _at(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.h, h), max(len(self.h) - 1, 0))
+        return at, self.h[at] == h if len(self.h) else np.zeros(len(h), bool)
 
     def of(self, words: list[str]) -> np.ndarray:
         known = self.known
@@ -136,21 +160,19 @@ class Ratios:
             if len(known) > WORDS_HELD:
                 known.clear()
                 new = list(dict.fromkeys(words))
-            parts = [beginnings(w)[1:] for w in new]
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-            h = np.fromiter((_CODE(b) for p in parts for b in p), np.uint64, int(sizes.sum())).view(np.int64)
-            at = np.minimum(np.searchsorted(self.h, h), max(len(self.h) - 1, 0))
-            hit = self.h[at] == h if len(self.h) else np.zeros(len(h), bool)
-            first = np.cumsum(sizes) - sizes
-            value = np.where(hit, self.ratio[at] if len(self.h) else 0.0, 0.0)
-            # after the last known beginning comes one character that is new there; what follows is shared
+            h, ctx, _, sizes = windows(new)
+            at, hit = self._at(h)
+            value = np.zeros(len(h))
+            if len(self.h):
+                hit &= self.seen[at]
+                value[hit] = self.ratio[at[hit]]
+            # a character that is new after a known context; after an unknown one, what follows is shared
             lost = np.flatnonzero(~hit)
-            owner = np.repeat(np.arange(len(parts)), sizes)
-            lost = lost[np.unique(owner[lost], return_index=True)[1]] if len(lost) else lost
-            inner = lost[lost > first[owner[lost]]] if len(lost) else lost
-            if len(inner):
-                value[inner] = np.where(hit[inner - 1], self.other[at[inner - 1]], 0.0)
-            for w, v in zip(new, np.add.reduceat(value, first).tolist()):
+            at, there = self._at(ctx[lost])
+            value[lost[there]] = self.other[at[there]]
+            if self.parts > 1:
+                value[ctx % self.parts != self.part] = 0.0
+            for w, v in zip(new, np.add.reduceat(value, np.cumsum(sizes) - sizes).tolist()):
                 known[w] = v
         return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
 
@@ -158,43 +180,56 @@ class Ratios:
 FEATURES = "n long, total double, n_strong long, strong double, top array<double>"
 
 
+def _summed(values: list[np.ndarray], f: pd.DataFrame) -> pd.DataFrame:
+    """f with the features' sums of the values of each row's words."""
+    out = []
+    for v in values:
+        strong = v[v > EVIDENCE]
+        out.append((len(v), float(v.sum()), len(strong), float(strong.sum()), np.sort(v)[-3:].tolist()))
+    f[["n", "total", "n_strong", "strong", "top"]] = pd.DataFrame(out, columns=["n", "total", "n_strong", "strong", "top"], index=f.index)
+    return f
+
+
 def _evidence(model, part: int, parts: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ratios = Ratios(*model.value)
+        ratios = Ratios(*model.value, part, parts)
         for f in frames:
-            out = []
-            for text in f.text:
-                words = _WORD.findall(text.lower())
-                if parts > 1:
-                    words = [w for w in words if root_of(w) % parts == part]
-                v = ratios.of(words) if words else np.zeros(0)
-                strong = v[v > EVIDENCE]
-                out.append((len(v), float(v.sum()), len(strong), float(strong.sum()), np.sort(v)[-3:].tolist()))
+            values, texts = [], f.text.tolist()
+            for s in chunks(texts, 200_000):
+                found = [units(t) for t in texts[s]]
+                values += np.split(ratios.of(list(chain.from_iterable(found))), np.cumsum([len(u) for u in found])[:-1])
             f = f.drop(columns="text")
-            f[["n", "total", "n_strong", "strong", "top"]] = pd.DataFrame(out, columns=["n", "total", "n_strong", "strong", "top"], index=f.index)
-            yield f
+            if parts > 1:
+                f["sums"] = [v.astype(np.float32).tobytes() for v in values]
+                yield f
+            else:
+                yield _summed(values, f)
 
     return run
 
 
+def _met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        values = [sum(np.frombuffer(b, np.float32).astype(np.float64) for b in x) for x in f.sums]
+        yield _summed(values, f.drop(columns="sums"))
+
+
 def evidence(texts: DataFrame, model: DataFrame) -> DataFrame:
     """texts (row, text, further columns) without text, with the sums that the features come from."""
     spark = texts.sparkSession
     entries = model.count()
-    parts = max(1, -(-entries // MODEL_ENTRIES))
-    schema = ", ".join(f"`{c}` {t}" for c, t in texts.drop("text").dtypes) + ", " + FEATURES
+    # a window is in the part of its context, and as a context in its own
+    parts = 1 if entries <= MODEL_ENTRIES else -(-2 * entries // MODEL_ENTRIES)
+    keys = ", ".join(f"`{c}` {t}" for c, t in texts.drop("text").dtypes)
     out = None
     for k in range(parts):
-        own = model if parts == 1 else model.where((F.col("root") < 0) | (F.col("root") % parts == k))
-        t = own.select("h", "ratio", "other").toArrow()
-        arrays = spark.sparkContext.broadcast(tuple(t[c].to_numpy() for c in ("h", "ratio", "other")))
-        some = texts.mapInPandas(_evidence(arrays, k, parts), schema)
+        own = model if parts == 1 else model.where((F.pmod("ctx", F.lit(parts)) == k) | (F.pmod("h", F.lit(parts)) == k))
+        t = own.select("h", "ratio", "other", "seen").toArrow()
+        arrays = spark.sparkContext.broadcast(tuple(t[c].to_numpy() for c in ("h", "ratio", "other", "seen")))
+        some = texts.mapInPandas(_evidence(arrays, k, parts), f"{keys}, {FEATURES if parts == 1 else 'sums binary'}")
         out = some if out is None else out.unionByName(some)
     if parts > 1:
-        keys = [c for c in texts.columns if c != "text"]
-        out = out.groupBy(*keys).agg(
-            *[F.sum(c).alias(c) for c in ("n", "total", "n_strong", "strong")], F.slice(F.sort_array(F.flatten(F.collect_list("top")), False), 1, 3).alias("top")
-        )
+        out = out.groupBy(*[c for c in texts.columns if c != "text"]).agg(F.collect_list("sums").alias("sums")).mapInPandas(_met, f"{keys}, {FEATURES}")
     return out
 
 

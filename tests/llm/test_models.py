@@ -87,6 +87,31 @@ def test_model_is_a_probability(spark):
     assert v[0] > 2 and abs(v[1]) < 1.5
 
 
+def test_ends_of_long_runs_count(spark):
+    """Words alike in their first eight characters, and texts without spaces, are told apart by what follows."""
+    rnd = random.Random(7)
+    texts, y = [], []
+    for i in range(1000):
+        bad = rnd.random() < 0.3
+        runs = ["".join(rnd.choice(["an", "er", "on", "th", "le", "ti"]) for _ in range(40)) for _ in range(3)]
+        runs[1] = runs[1][:50] + ("vlugmorgrub" if bad else "vlugmorfolk") + runs[1][50:]
+        texts.append("".join(runs) if i % 2 else " ".join(["commonwealth" + ("grub" if bad else "folk")] * 2 + ["other", "words"] * 10))
+        y.append(int(bad))
+    labels = spark.createDataFrame([(i, 1, k) for i, k in enumerate(y)], "doc_id long, quality int, toxic int")
+    got = toxicity.score(frame(spark, rows(texts)), labels).toPandas().sort_values("doc_id")
+    for odd in (0, 1):
+        some = got[got.held_out & (got.doc_id % 2 == odd)]
+        assert auc(some.score.to_numpy(), np.array(y)[some.doc_id]) > 0.9
+
+
+def test_every_character_is_in_a_window():
+    for n in range(1, 70):
+        word = "".join(chr(97 + i % 26) for i in range(n))
+        h, ctx, tail, sizes = toxicity.windows(toxicity.units(word))
+        assert "".join(chr(t & (1 << 21) - 1) for t in tail.tolist()) == word + "$" and sizes.sum() == n + 1
+        assert len(set(zip(h.tolist(), ctx.tolist()))) == min(n + 1, 8 + 26 + 1)
+
+
 # personal data
 
 E_ = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
