@@ -19,7 +19,8 @@ pruned with a probability of at most TOLERANCE at each comparison.
 
 Defined cases: null or blank texts have no shingles and no links, each is its own class; a text of
 one to four words is one shingle; rows with equal id and text are copies of each other; a null id
-ranks last; an empty table gives an empty result; other columns are ignored by the join and kept by
+ranks last and is no class: of texts without any id, class_id is null, and those that are not linked all
+stay; texts that share an id only are not linked; an empty table gives an empty result; other columns are ignored by the join and kept by
 the filter.
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, staged, table
+from tessera.llm.common import WORD, connected_components, staged, table
 from tessera.llm.shingles import WordHashes, chunks, minima32, scramble, shingles
 
 THRESHOLD = 0.8
@@ -189,11 +190,11 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-VERIFIED = "cls binary, links long, label long, other binary"
+VERIFIED = "cls binary, links long, label long, root binary, other binary"
 
 
 def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (cls, links, label) of each member; of a component in blocks, label is null and rows with other are its links' forest."""
+    """Rows (cls, links, label, root) of each member; of a component in blocks, label and root are null and rows with other are its links' forest."""
     known = WordHashes()
     out: list[tuple] = []
     for g in _groups(frames, ["comp", "b1", "b2"]):
@@ -212,12 +213,14 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             edges, root = forest(len(g), *np.nonzero(np.triu(linked)))
             if g.blocks.iloc[0] == 1:
                 least: dict[int, int] = {}
-                for r, p in zip(root, g.rep.tolist()):
+                first: dict[int, bytes] = {}
+                for r, p, c in zip(root, g.rep.tolist(), cls):
                     least[r] = min(least.get(r, BIG), p)
-                out += [(c, int(k), least[r], None) for c, k, r in zip(cls, links, root) if k]
+                    first[r] = min(first.get(r, c), c)
+                out += [(c, int(k), least[r], first[r], None) for c, k, r in zip(cls, links, root) if k]
             else:
-                out += [(c, int(k), None, None) for c, k in zip(cls, links) if k]
-                out += [(cls[a], 0, None, cls[b]) for a, b in edges]
+                out += [(c, int(k), None, None, None) for c, k in zip(cls, links) if k]
+                out += [(cls[a], 0, None, None, cls[b]) for a, b in edges]
         if len(out) > 5000:
             yield _verified(out)
             out = []
@@ -225,7 +228,7 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _verified(rows: list[tuple]) -> pd.DataFrame:
-    f = pd.DataFrame(rows, columns=["cls", "links", "label", "other"])
+    f = pd.DataFrame(rows, columns=["cls", "links", "label", "root", "other"])
     f["label"] = f["label"].astype("Int64")
     return f
 
@@ -239,9 +242,10 @@ def _dealt(members: DataFrame, key: str, blocks: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, pid, cls, class_id, n_links) of every row of docs (key, text).
+    """(key, pid, cls, root, class_id, n_links) of every row of docs (key, text).
 
-    class_id: least id among the documents that links connect; n_links: other documents linked directly.
+    root: least cls among the texts that links connect, null for texts without shingles; class_id: least id among the documents that links connect; n_links: other documents linked directly.
+    Ids may be null or repeated, so class_id is for output only; what is one class has one root.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -263,24 +267,31 @@ def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     group = ["comp", "b1", "b2"]
     tasks = _dealt(comps, "comp", "blocks").join(texts, "cls").select(*group, "block", "blocks", "cls", "rep", "copies", "text")
     checked = staged(tasks.repartition(parts, *group).sortWithinPartitions(*group).mapInPandas(_verify, VERIFIED), "verified")
-    links = checked.where("other IS NULL").groupBy("cls").agg(F.sum("links").alias("links"), F.min("label").alias("label"))
+    links = checked.where("other IS NULL").groupBy("cls").agg(F.sum("links").alias("links"), F.min("label").alias("label"), F.min("root").alias("near_root"))
     split = connected_components(checked.where("other IS NOT NULL").select(F.col("cls").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "cls")
     split = split.join(reps.select("cls", "rep"), "cls")
-    labels = split.join(split.groupBy("component").agg(F.min("rep").alias("far")), "component").select("cls", "far")
+    labels = split.join(split.groupBy("component").agg(F.min("rep").alias("far")), "component").select("cls", "far", F.col("component").alias("far_root"))
     per_class = reps.select("cls", "rep", "copies").join(links, "cls", "left").join(labels, "cls", "left").select(
-        "cls", F.coalesce("far", "label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "cls", F.coalesce("far_root", "near_root", "cls").alias("root"), F.coalesce("far", "label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     out = rows.select(key, "pid", "cls").join(per_class, "cls", "left")
-    return out.select(key, "pid", "cls", F.coalesce("class_id", "pid").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    class_id = F.coalesce("class_id", "pid")
+    class_id = F.when(class_id == BIG, F.col(key).cast("long")).otherwise(class_id).alias("class_id")
+    return out.select(key, "pid", "cls", "root", class_id, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs, one of each class: the one with the least id."""
-    kept = classes(docs, key).groupBy("class_id").agg(F.min(F.struct("pid", "cls")).alias("k")).select(F.col("k.pid").alias("_pid"), F.col("k.cls").alias("_cls"))
+    found = classes(docs, key)
+    alone = F.col("root").isNull()
+    kept = found.groupBy("root", F.when(alone, F.col("pid")), F.when(alone, F.col("cls"))).agg(F.min(F.struct("pid", "cls")).alias("k")).select(F.col("k.pid").alias("_pid"), F.col("k.cls").alias("_cls"))
     kept = staged(kept, "kept")
-    marked = docs.withColumn("_pid", F.coalesce(F.col(key).cast("long"), F.lit(BIG))).withColumn("_cls", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = docs.withColumn("_pid", F.coalesce(F.col(key).cast("long"), F.lit(BIG))).withColumn("_cls", F.unhex(F.md5(text)))
+    # without id and words nothing says that two rows are one document
+    marked = marked.withColumn("_own", F.when(F.col(key).isNull() & ~text.rlike(WORD), F.monotonically_increasing_id()))
     joined = marked.join(kept.hint("merge"), ["_pid", "_cls"], "left_semi")
-    order = W.partitionBy("_pid", "_cls").orderBy(*[c for c, t in docs.dtypes if c != "text" and not t.startswith("map")])
+    order = W.partitionBy("_pid", "_cls", "_own").orderBy(*[c for c, t in docs.dtypes if c != "text" and not t.startswith("map")])
     return joined.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
 
 

@@ -74,6 +74,21 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(brute_links(data)[1]))
 
 
+def test_keep_one_with_null_and_repeated_ids(spark, monkeypatch):
+    """Different texts without an id, or under one id, are different documents; equal and near ones are not."""
+    near = near_copies(seed=6, groups=1, size=12)
+    data = [(None, f"text {i} without an id of its own", "en", "s", 1) for i in "abc"] * 2 + [(None, t, "en", "s", 1) for t in near]
+    data += [(7, "one text of some words here", "en", "s", 1), (7, "quite another text under that id", "en", "s", 1), (None, None, "en", "s", 1), (None, " ", "en", "s", 2), (None, None, "en", "s", 1), (8, "", "en", "s", 0), (8, "", "en", "s", 0)]
+    n = len(set(brute_links([(i, t) for i, t in enumerate(near)])[1]))
+    want = sorted(map(repr, set((d, t) for d, t, *_ in data if t not in near) | {(None, None)})) + ["(None, None)"]
+    for block in (jaccard_join.BLOCK, 5):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        got = [(r.doc_id, r.text) for r in jaccard_join.keep_one(frame(spark, data)).collect()]
+        assert sorted(repr(x) for x in got if x[1] not in near) == sorted(want)
+        assert sum(x[1] in near for x in got) == n
+    assert {r.class_id for r in jaccard_join.classes(frame(spark, data)).where("doc_id IS NULL").collect()} == {None}
+
+
 def test_posterior_prunes_only_what_cannot_reach(spark):
     for n, s in jaccard_join.LEAST.items():
         p = lambda k: sum(jaccard_join.comb(n + 1, i) * 0.8**i * 0.2 ** (n + 1 - i) for i in range(k + 1))
