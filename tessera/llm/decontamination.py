@@ -1,9 +1,11 @@
 """Benchmark decontamination by size-partitioned MinHash containment search (operator 9).
 
 A test item is short and a document may be long, so their Jaccard similarity says little. Items are
-partitioned by size: those with up to S = 16, 32, 64, ... shingles are looked for in segments of 2 S
+partitioned by size. Those with up to EXACT shingles are looked up by so many of their shingle hashes
+that a document with 0.8 of them holds one, so none is missed. Those with up to S = 16, 32, 64, ...
+shingles are looked for in segments of 2 S
 shingles that overlap by S, so that a passage as long as the item lies whole in one segment. An item
-and the segment that holds 0.8 of it have a Jaccard similarity of at least 0.8 q / (2 S + 0.2 q) > 0.18,
+of q shingles, more than EXACT, and the segment that holds 0.8 of it have a Jaccard similarity of at least 0.8 q / (2 S + 0.2 q) > 0.18,
 and one of HASHES equal MinHash values makes a candidate: a passage at that bound is missed with a
 probability below 4e-6. Minima of the larger segments come from those of the smaller. Candidates are
 verified by the exact share of the item's shingles in the whole document.
@@ -30,6 +32,8 @@ from tessera.llm.shingles import WordHashes, chunks, minima, shingles
 HASHES = 64
 THRESHOLD = 0.8
 SMALLEST = 16
+#: Items of up to so many shingles are looked up without MinHash, whose segments are too long for them.
+EXACT = 8
 #: Items of one pass; about 1 KB each goes to every executor.
 ITEM_BLOCK = 20_000
 SEED = 9
@@ -43,9 +47,15 @@ class ItemIndex:
         values, counts = shingles(texts, WordHashes())
         for i, x in enumerate(np.split(values, np.cumsum(counts)[:-1]) if len(counts) else []):
             self.sets.append(np.unique(x))
-            if len(x):
+            if len(x) and len(self.sets[-1]) > EXACT:
                 level = max(0, int(np.ceil(np.log2(len(self.sets[-1]) / SMALLEST)))) if len(self.sets[-1]) > SMALLEST else 0
                 self.classes.setdefault(level, []).append(i)
+        small = [i for i, x in enumerate(self.sets) if 0 < len(x) <= EXACT]
+        # at least ceil(0.8 n) of n are shared, so of any n - ceil(0.8 n) + 1 one is
+        heads = [self.sets[i][: len(self.sets[i]) // 5 + 1] for i in small]
+        keys, items = np.concatenate([*heads, np.zeros(0, np.uint64)]), np.repeat(np.asarray(small, np.int64), [len(x) for x in heads])
+        order = np.argsort(keys, kind="stable")
+        self.small = keys[order], items[order]
         self.lookup = {}
         for level, members in self.classes.items():
             flat, starts = np.concatenate([self.sets[i] for i in members]), np.cumsum([0, *[len(self.sets[i]) for i in members[:-1]]])
@@ -57,13 +67,26 @@ class ItemIndex:
         """(text, item, shingles shared) of every verified pair."""
         values, counts = shingles(texts, known)
         used = np.flatnonzero(counts)
-        if not len(used) or not self.lookup:
+        if not len(used) or not (self.lookup or len(self.small[0])):
             return []
-        first = np.cumsum(counts) - counts
+        first, found = np.cumsum(counts) - counts, set()
+        keys, items = self.small
+        if len(keys):
+            near = np.searchsorted(keys, values)
+            held = np.flatnonzero(keys[np.minimum(near, len(keys) - 1)] == values)
+            ends = np.searchsorted(keys, values[held], "right")
+            for d, lo, hi in zip(np.searchsorted(first + counts, held, "right").tolist(), near[held].tolist(), ends.tolist()):
+                found.update((d, i) for i in items[lo:hi].tolist())
+        if self.lookup:
+            self._like(found, values, counts, used, first)
+        return self._verified(found, values, counts, first)
+
+    def _like(self, found: set, values: np.ndarray, counts: np.ndarray, used: np.ndarray, first: np.ndarray) -> None:
+        """Adds the pairs (text, item) of a segment and a larger item with an equal MinHash value."""
         blocks = -(-counts[used] // SMALLEST)
         owner = np.repeat(used, blocks)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        sig, found = minima(values, first[owner] + SMALLEST * within, HASHES, SEED), set()
+        sig = minima(values, first[owner] + SMALLEST * within, HASHES, SEED)
         for level in range(max(self.lookup) + 1):
             if level:
                 head = np.flatnonzero(within % 2 == 0)
@@ -78,6 +101,8 @@ class ItemIndex:
                 lo, hi = np.searchsorted(ks, row, "left"), np.searchsorted(ks, row, "right")
                 for s in np.flatnonzero(hi > lo):
                     found.update((int(owner[s]), int(i)) for i in its[lo[s] : hi[s]])
+
+    def _verified(self, found: set, values: np.ndarray, counts: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
         out, at, own = [], -1, None
         for d, i in sorted(found):
             if d != at:

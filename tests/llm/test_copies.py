@@ -243,3 +243,19 @@ def test_empty_tables(spark, tmp_path):
     assert decontamination.contained_items(docs, none).count() == 0 and decontamination.drop_contaminated(docs, none).count() == 0
     warc_archive.write(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e"))
     assert warc_archive.restore(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_short_items_in_long_documents(spark):
+    """Every item of one to twelve shingles that a long document holds is found, whole or but for a fifth."""
+    rnd = random.Random(11)
+    docs, items = [], []
+    for i in range(3000):
+        n = i % 12 + 1
+        item = [f"q{i}x{j}" for j in range(n + 4)]
+        items.append((i, " ".join(item)))
+        held = item[: 4 + -(-4 * n // 5)] if i % 2 else item
+        docs.append([f"f{rnd.randint(0, 10**6)}" for _ in range(rnd.randint(0, 90))] + held + [f"f{rnd.randint(0, 10**6)}" for _ in range(90)])
+    texts = [" ".join(w) for w in docs]
+    index = decontamination.ItemIndex([i for i, _ in items], [t for _, t in items])
+    got = {(d, i) for d, i, _ in index.search(texts, decontamination.WordHashes())}
+    assert got == {(i, i) for i in range(3000)}
