@@ -6,6 +6,7 @@ ts_rank with its default weight; no database was at hand to compare with.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from functools import lru_cache
@@ -90,12 +91,19 @@ def stem(w: str) -> str:
     return w
 
 
+# PostgreSQL's text search keeps so many positions of a lexeme and counts no further than the highest.
+MAX_POSITIONS, MAX_POSITION = 255, 16383
+_stem = functools.lru_cache(maxsize=200_000)(stem)
+
+
 def positions(text: str | None) -> dict[str, list[int]]:
     """Lexemes with their positions; stop words take a position but are no lexemes."""
     out: dict[str, list[int]] = {}
     for i, w in enumerate(_WORD.findall((text or "").lower()), 1):
         if w not in STOP:
-            out.setdefault(stem(w), []).append(i)
+            at = out.setdefault(_stem(w), [])
+            if len(at) < MAX_POSITIONS:
+                at.append(min(i, MAX_POSITION))
     return out
 
 

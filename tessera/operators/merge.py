@@ -5,7 +5,7 @@ Each returns the table's new state; atomic_write swaps a path, so a reader sees
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -71,15 +71,57 @@ def contiguity(rows: DataFrame, group: list[str], index: str, start: int = 0) ->
     return a.withColumn("contiguous", (F.col("n") == F.col("n_distinct")) & (F.col("low") == start) & (F.col("high") == F.col("n") - 1 + start))
 
 
-def atomic_write(df: DataFrame, path: str) -> None:
-    """Write beside path, then swap: a failed write leaves the old state."""
-    spark = df.sparkSession
+def _paths(spark: SparkSession, path: str):
+    """(file system, target, new, old, mark of a complete new state)."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, old, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (path + ".new", path + ".old", path))
+    target, new, old, mark = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".new", path + ".old", path + ".new/_SUCCESS"))
+    return target.getFileSystem(conf), target, new, old, mark
+
+
+def _rename(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"could not rename {source} to {target}")
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Bring a table back that a crash left between the two renames of atomic_write; whether there is a table.
+
+    The complete new state moves in if there is one, else the old one moves back; neither is deleted before.
+    """
+    fs, target, new, old, mark = _paths(spark, path)
+    if not fs.exists(target):
+        if fs.exists(mark) and fs.exists(old):
+            _rename(fs, new, target)
+        elif fs.exists(old):
+            _rename(fs, old, target)
+    return fs.exists(target)
+
+
+def atomic_write(df: DataFrame, path: str, keep_backup: bool = False) -> None:
+    """Write beside path, then swap: after a crash at any point, recover finds the old or the new state whole.
+
+    With keep_backup the state before stays at path.old, for rollback.
+    """
+    spark = df.sparkSession
+    fs, target, new, old, _ = _paths(spark, path)
+    recover(spark, path)
     df.write.mode("overwrite").parquet(path + ".new")
-    fs = target.getFileSystem(conf)
-    fs.delete(old, True)
     if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(new, target)
-    fs.delete(old, True)
+        fs.delete(old, True)
+        _rename(fs, target, old)
+    _rename(fs, new, target)
+    if not keep_backup:
+        fs.delete(old, True)
+
+
+def rollback(spark: SparkSession, path: str) -> None:
+    """Put the backup that atomic_write kept in the place of the table."""
+    fs, target, new, old, _ = _paths(spark, path)
+    if not fs.exists(old):
+        raise FileNotFoundError(f"no backup of {path}")
+    fs.delete(new, True)
+    if fs.exists(target):
+        _rename(fs, target, new)
+        fs.delete(new.suffix("/_SUCCESS"), False)
+    _rename(fs, old, target)
+    fs.delete(new, True)

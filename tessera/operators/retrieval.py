@@ -37,6 +37,10 @@ def matching(rows: DataFrame, **wanted) -> DataFrame:
     return rows
 
 
+#: Query vectors of a block (about 8 KB each at 1,024 dimensions, so 16 MB at a time).
+QUERY_BLOCK = 2000
+
+
 def dense_topk(corpus: DataFrame, vector: Sequence[float], k: int, key: str, boost_by: Column | None = None, column: str = "embedding") -> DataFrame:
     """k rows with the highest boosted cosine similarity to one vector: key, cos_sim, score_v and the other columns."""
     scored = corpus.where(F.col(column).isNotNull()).withColumn("cos_sim", cosine_with(F.col(column), vector))
@@ -45,9 +49,18 @@ def dense_topk(corpus: DataFrame, vector: Sequence[float], k: int, key: str, boo
 
 
 def dense_topk_many(corpus: DataFrame, queries: DataFrame, k: int, key: str, query: str, column: str = "embedding") -> DataFrame:
-    """Per query (query, query_vector) its k nearest rows with rank; the queries are a stated, small set."""
-    scored = corpus.where(F.col(column).isNotNull()).join(F.broadcast(queries)).withColumn("cos_sim", cosine(F.col(column), F.col("query_vector")))
-    return ranked(scored.drop(column, "query_vector"), query, [F.desc("cos_sim"), F.asc(key)]).where(F.col("rank") <= k)
+    """Per query (query, query_vector) its k nearest rows with rank.
+
+    The queries are a stated set that goes to the tasks in blocks of at most about QUERY_BLOCK vectors.
+    """
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    out = None
+    for b in range(blocks):
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
+        scored = corpus.where(F.col(column).isNotNull()).join(F.broadcast(some)).withColumn("cos_sim", cosine(F.col(column), F.col("query_vector")))
+        near = ranked(scored.drop(column, "query_vector"), query, [F.desc("cos_sim"), F.asc(key)]).where(F.col("rank") <= k)
+        out = near if out is None else out.unionByName(near)
+    return out
 
 
 def ranked(rows: DataFrame, by: str | list[str], order: list[Column], name: str = "rank") -> DataFrame:
@@ -136,7 +149,8 @@ def with_fallback(scoped: DataFrame, unscoped: DataFrame, queries: DataFrame, qu
 
 def confidence(pool: DataFrame, queries: DataFrame, query: str, top1_min: float = TOP1_FLOOR, mean3_min: float = MEAN3_FLOOR) -> DataFrame:
     """Per query the gate's status from the cosine similarities of its candidates (null: sparse only)."""
-    sims = pool.groupBy(query).agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("cos_sim"), asc=False), 1, 3).alias("top"))
+    placed = ranked(pool, query, [F.desc_nulls_last("cos_sim")], "_place")
+    sims = placed.groupBy(query).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("_place") <= 3, F.col("cos_sim"))), asc=False).alias("top"))
     got = queries.select(query).distinct().join(sims, query, "left")
     top1 = F.get("top", F.lit(0))
     mean3 = F.when(F.size("top") > 0, F.aggregate("top", F.lit(0.0), lambda a, x: a + x) / F.size("top"))

@@ -136,4 +136,4 @@ def excerpts(spark, sf_dir):
 
 @query("batch_embed")
 def batch_embed(spark, sf_dir):
-    return K.embedded(table(spark, sf_dir, "benchmark"), "item_id")
+    return K.embedded(table(spark, sf_dir, "documents"), "doc_id")

@@ -95,15 +95,26 @@ def gate_diagnostics(spark, sf_dir):
 
 @query("paired_decision", f"""WITH {_RETRIEVED}, {_overlaps('v', True)}, h AS (SELECT item_id, min(CASE WHEN overlap >= 0.5 THEN rank END) AS h FROM v GROUP BY item_id),
 p AS (SELECT round(avg((coalesce(h, 99) <= 5)::INT), 4) AS old_recall, round(avg((coalesce(h, 99) <= 10)::INT), 4) AS new_recall FROM h),
-l AS (SELECT quantile_disc(value, 0.95) FILTER (event_id % 2 = 0) AS old_p95, quantile_disc(value, 0.95) FILTER (event_id % 2 = 1) AS new_p95 FROM events)
-SELECT old_recall, new_recall, new_recall >= 0.25 AS recall_ok, new_p95 <= 1.5 * old_p95 AS latency_ok, new_recall >= 0.25 AND new_p95 <= 1.5 * old_p95 AS accepted FROM p, l""")
+l AS (SELECT quantile_disc(value, 0.95) FILTER (event_id % 2 = 0) AS old_p95, quantile_disc(value, 0.95) FILTER (event_id % 2 = 1) AS new_p95 FROM events),
+i AS (SELECT item_id, count(*) FILTER (source = 'src' || (item_id % 20) AND rank <= 5) AS o, count(*) FILTER (source = 'src' || (item_id % 20)) AS n, max((overlap >= 0.5 AND rank <= 5)::INT) AS ro, max((overlap >= 0.5)::INT) AS rn
+  FROM v JOIN documents USING (doc_id) GROUP BY item_id),
+z AS (SELECT count(*) FILTER (o = 0) AS old_zero, count(*) FILTER (n = 0) AS new_zero, sum(ro)::BIGINT AS old_reachable, sum(rn)::BIGINT AS new_reachable FROM i)
+SELECT old_recall, new_recall, old_zero AS old_zero_passing, new_zero AS new_zero_passing, old_reachable, new_reachable, new_recall >= 0.25 AS recall_ok, new_zero <= old_zero AS provenance_ok, new_reachable >= old_reachable AS ceiling_ok,
+new_p95 <= 1.5 * old_p95 AS latency_ok, new_recall >= 0.25 AND new_zero <= old_zero AND new_reachable >= old_reachable AND new_p95 <= 1.5 * old_p95 AS accepted FROM p, l, z""")
 def paired_decision(spark, sf_dir):
     h = E.first_hits(overlaps(spark, sf_dir), "item_id", [0.5])
     recall = lambda k: F.round(F.avg(F.coalesce(F.col("hit_rank") <= k, F.lit(False)).cast("double")), 4)
     p95 = lambda odd: F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY value) FILTER (WHERE event_id % 2 = {odd})")
     a, b = h.agg(recall(5).alias("old_recall"), recall(10).alias("new_recall")), table(spark, sf_dir, "events").agg(p95(0).alias("old_p95"), p95(1).alias("new_p95"))
-    pair = a.join(F.broadcast(b)).withColumns({"old_zero_passing": F.lit(0), "new_zero_passing": F.lit(0), "old_reachable": F.lit(0), "new_reachable": F.lit(0)})
-    return E.paired_decision(pair).select("old_recall", "new_recall", "recall_ok", "latency_ok", "accepted")
+    passes = F.col("source") == F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
+    rows = overlaps(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    per = rows.groupBy("item_id").agg(
+        F.count_if(passes & (F.col("rank") <= 5)).alias("o"), F.count_if(passes).alias("n"), F.max(((F.col("overlap") >= 0.5) & (F.col("rank") <= 5)).cast("int")).alias("ro"), F.max((F.col("overlap") >= 0.5).cast("int")).alias("rn")
+    )
+    c = per.agg(F.count_if(F.col("o") == 0).alias("old_zero_passing"), F.count_if(F.col("n") == 0).alias("new_zero_passing"), F.sum("ro").alias("old_reachable"), F.sum("rn").alias("new_reachable"))
+    pair = a.join(F.broadcast(b)).join(F.broadcast(c))
+    cols = ["old_recall", "new_recall", "old_zero_passing", "new_zero_passing", "old_reachable", "new_reachable", "recall_ok", "provenance_ok", "ceiling_ok", "latency_ok", "accepted"]
+    return E.paired_decision(pair).select(*cols)
 
 
 @query("holdout_select", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND source NOT IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND doc_id % 4 = 0)")
@@ -185,10 +196,20 @@ def requirement_manifest(spark, sf_dir):
     return E.requirements(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderstatus"])[0]
 
 
-@query("answer_rates", "SELECT 6::BIGINT AS n, 0.8333::DOUBLE AS answerability, 1.0::DOUBLE AS accuracy, 0.75::DOUBLE AS citation_validity, 0.5::DOUBLE AS support_precision, 0.6667::DOUBLE AS end_to_end")
+@query("answer_rates", """WITH a AS (SELECT l_suppkey % 4 = 0 AS due_no, (l_suppkey % 4 = 0) <> (l_partkey % 10 = 0) AS abst, l_partkey % 3 <> 0 AS correct, l_linenumber <= 5 AS ok, (l_linenumber <= 3)::INT AS support FROM lineitem)
+SELECT count(*) AS n, round(avg((due_no = abst)::INT), 4) AS answerability, round(avg(correct::INT) FILTER (NOT due_no AND NOT abst), 4) AS accuracy, round(avg(ok::INT) FILTER (NOT due_no AND NOT abst), 4) AS citation_validity,
+round(avg(support) FILTER (NOT due_no AND NOT abst), 4) AS support_precision, round(avg(CASE WHEN due_no THEN abst::INT ELSE (NOT abst AND correct AND ok)::INT END), 4) AS end_to_end FROM a""")
 def answer_rates(spark, sf_dir):
-    schema = "id string, answer string, abstained boolean, should_abstain boolean, accepted array<string>, expected array<string>, n_chunks int, supporting array<int>"
-    return E.answer_rates(E.answer_scores(spark.createDataFrame(_ANSWERS, schema)))
+    """Each line of an order is an answer that states its price and cites one of five chunks."""
+    price = F.format_string("%.2f", F.col("l_extendedprice").cast("double"))
+    due_no = F.col("l_suppkey") % 4 == 0
+    wrong = F.format_string("%.2f", F.col("l_extendedprice").cast("double") + 10_000_000.0)
+    answers = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("The price was $"), price, F.lit(" ["), F.col("l_linenumber").cast("string"), F.lit("].")).alias("answer"), (due_no != (F.col("l_partkey") % 10 == 0)).alias("abstained"),
+        due_no.alias("should_abstain"), F.array().cast("array<string>").alias("accepted"), F.array(F.when(F.col("l_partkey") % 3 == 0, wrong).otherwise(price)).alias("expected"),
+        F.lit(5).alias("n_chunks"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("supporting"),
+    )
+    return E.answer_rates(E.answer_scores(answers))
 
 
 @query("model_report", "SELECT round(avg((l_linenumber = l_quantity % 7)::INT), 4) AS pass_at_1, round(avg((l_discount > 0.035)::INT), 4) AS coverage, 0.0::DOUBLE AS mean_latency FROM lineitem WHERE false".replace(" WHERE false", "").replace("(l_linenumber = l_quantity % 7)", "(l_discount > 0.035 AND l_linenumber = l_quantity % 7)").replace("0.0::DOUBLE", "round(avg(l_tax), 4)"))

@@ -227,12 +227,14 @@ def table_stats(spark, sf_dir):
     return I.table_counts({n: table(spark, sf_dir, n) for n in _TABLES})
 
 
-_DAILY = "d AS (SELECT event_type, ts::DATE AS day, avg(value) AS value FROM events WHERE (event_id // 50) % 3 = 0 GROUP BY ALL), sp AS (SELECT event_type, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM d GROUP BY event_type), j AS (SELECT sp.event_type, sp.day, value FROM sp LEFT JOIN d ON d.event_type = sp.event_type AND d.day = sp.day)"
+#: Values below it are no measurement, so days without a higher one are gaps that the fills close.
+LEAST_VALUE = 300.0
+_DAILY = f"d AS (SELECT event_type, ts::DATE AS day, avg(CASE WHEN value >= {LEAST_VALUE} THEN value END) AS value FROM events GROUP BY ALL HAVING max(value) >= {LEAST_VALUE}), sp AS (SELECT event_type, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM d GROUP BY event_type), j AS (SELECT sp.event_type, sp.day, value FROM sp LEFT JOIN d ON d.event_type = sp.event_type AND d.day = sp.day)"
 
 
 def daily_means(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("(event_id div 50) % 3 = 0")
-    return e.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("value"))
+    measured = F.when(F.col("value") >= LEAST_VALUE, F.col("value"))
+    return table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg(measured).alias("value")).where("value IS NOT NULL")
 
 
 def _fill(fn, frame):

@@ -81,7 +81,7 @@ _TERMS = """tf AS (
       SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents)) GROUP BY ALL
 ), q AS (
   SELECT DISTINCT item_id, term FROM (
-    SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 5)[1:3]) AS term FROM benchmark)
+    SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM benchmark)
 ), need AS (SELECT item_id, count(*) AS need FROM q GROUP BY item_id),
 hits AS (
   SELECT item_id, doc_id, count(*) AS hits, round(sum(ln(1.0 + tf) / ln(1.0 + n_terms)), 9) AS score FROM tf JOIN q USING (term) GROUP BY ALL
@@ -89,9 +89,9 @@ hits AS (
 
 
 def item_terms(spark, sf_dir) -> DataFrame:
-    """The first three words of five letters or more of each benchmark item, as its query."""
-    w = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: F.length(x) >= 5)
-    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.slice(w, 1, 3)).alias("term")).distinct()
+    """All terms of each benchmark item's whole text, as its query."""
+    w = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(w).alias("term")).distinct()
 
 
 def sparse(spark, sf_dir, all_terms: bool) -> DataFrame:

@@ -12,24 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators.merge import atomic_write, replace_rows
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+from tessera.operators.merge import atomic_write, recover, replace_rows
 
 
 def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: list[str], transform: Callable[[DataFrame], DataFrame], format: str = "json") -> None:
     """Read the files that are new since the last call, transform them, and merge them by key into target.
 
-    A batch that is run again after a failure writes the same state: the merge replaces rows by key.
+    A batch that is run again after a failure writes the same state: the merge replaces rows by key, and a crash
+    between the renames of a swap is mended before the table is read.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         new = transform(batch)
         new = new.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*[F.desc(c) for c in new.columns]))).where("_n = 1").drop("_n")
-        state = replace_rows(spark.read.parquet(target), new, key) if _exists(spark, target) else new
+        state = replace_rows(spark.read.parquet(target), new, key) if recover(spark, target) else new
         atomic_write(state, target)
 
     stream = spark.readStream.schema(schema).format(format).load(source)

@@ -90,3 +90,47 @@ def test_ingest_is_incremental_and_idempotent(spark, tmp_path):
 def test_windowed_counts_on_a_table(spark):
     rows = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, m), "a") for m in (1, 2, 11)], "ts timestamp, k string")
     assert sorted(r.n for r in windowed_counts(rows, "ts", "k", "10 minutes", "5 minutes").collect()) == [1, 2]
+
+
+def test_a_crash_between_the_renames_loses_nothing(spark, tmp_path):
+    import os
+
+    from tessera.operators import merge as M
+
+    def rows(p):
+        return sorted(r.k for r in spark.read.parquet(p).collect())
+
+    first, both = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    for complete in (True, False):
+        p = str(tmp_path / f"t{complete}")
+        M.atomic_write(first, p)
+        both.write.parquet(p + ".new")
+        os.rename(p, p + ".old")  # here the process dies
+        if not complete:
+            os.remove(p + ".new/_SUCCESS")
+        assert M.recover(spark, p) and rows(p) == ([1, 2, 3] if complete else [1, 2])
+    M.atomic_write(both, p, keep_backup=True)
+    assert rows(p) == [1, 2, 3]
+    M.rollback(spark, p)
+    assert rows(p) == [1, 2] and not os.path.exists(p + ".old")
+
+
+def test_ingest_after_a_crash_keeps_old_rows(spark, tmp_path):
+    import json
+    import os
+
+    from tessera.streaming.ingest import ingest
+
+    source, target, check = (str(tmp_path / n) for n in ("in", "table", "check"))
+    os.mkdir(source)
+
+    def put(name, k):
+        with open(f"{source}/{name}.json", "w") as f:
+            f.write(json.dumps({"k": k}) + "\n")
+        ingest(spark, source, "k int", target, check, ["k"], lambda d: d)
+
+    put("a", 1)
+    put("b", 2)
+    os.rename(target, target + ".old")
+    put("c", 3)
+    assert sorted(r.k for r in spark.read.parquet(target).collect()) == [1, 2, 3]
