@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ def let(value: Column, body) -> Column:
 
 def words(text: Column) -> Column:
     """Array of the words of a text, none for null or blank."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")
+    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), SPACE, " " * len(SPACE)), " "), lambda w: w != "")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         here = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = here.get() if here.isDefined() else "/tmp/checkpoints"
+        if here.isDefined():
+            base = here.get()
+        elif spark.sparkContext.master.startswith("local"):
+            base = tempfile.mkdtemp(prefix="tessera-")  # one machine: driver and executors are one process
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", base)
     app = spark.sparkContext.applicationId
     path = f"{base}/tessera-{app}"
@@ -60,8 +67,27 @@ def _forget_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(drop)
 
 
+#: Folders of staged tables in the order in which they were made.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def mark() -> int:
+    """A point in the list of staged tables, for drop_since."""
+    return len(_made)
+
+
+def drop_since(spark: SparkSession, point: int, keep: str) -> None:
+    """Delete all tables that were staged since the point but one, once nothing reads them any more."""
+    for path in _made[point:]:
+        if path != keep:
+            drop_path(spark, path)
+    _made[point:] = [keep]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -78,17 +104,17 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of the undirected edges (a, b); component is the least id reachable.
 
-    Alternates the large-star and small-star steps. Each step is a minimum per node and an equi-join,
+    Goes on until nothing changes, about the logarithm of the longest path in rounds. Alternates the large-star and small-star steps. Each step is a minimum per node and an equi-join,
     so a node with very many neighbours is a skewed join key that Spark can split, never a list in one task.
     """
     spark = edges.sparkSession
     at = new_path(spark, "components")
     now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "", f"{at}/0")
     before = _digest(now)
-    for k in range(1, max_rounds + 1):
+    for k in count(1):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # what is joined is written first: then both sides of a join are plain exchanges, which Spark can split at a node with very many neighbours
         least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "", f"{at}/{k}-least")
@@ -107,8 +133,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
 
 
