@@ -1,26 +1,30 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 3).
 
-Two models, one of toxic and one of ordinary texts, spell a word character by character to its end,
-each given the characters of the word before it, the last DEPTH of them where there are more. Class counts are discounted absolutely; the discounted mass
-goes to a backoff that both classes share, whose counts are Kneser-Ney's: in how many different
-contexts, of either class, a character follows the last two. A context seen once keeps
-nothing of its own (its discount is its count), one never seen differs between the classes only by
-their backoff weights, so rare expressions weigh little.
-
-A text is judged by length-normalised differences of the two log-likelihoods: over all its words, over
-the words that speak for toxicity, and over its three strongest words. A logistic curve fitted on
-labelled texts that the counts have not seen turns them into a score. A run without spaces that is longer than
-PIECE is judged in pieces of that length, each with the characters before it as context, so that a
-sentence of a script without spaces is as many words as it has pieces.
-
-Counts cover every labelled training row and grow with the input. They are summed by Spark; the
-ratios go to the tasks as sorted arrays of 16 bytes an entry, at most MODEL_ENTRIES at a time, with
-one pass over the texts for each such part of the contexts; the sums of the passes meet word by word.
-
-Defined cases: null or blank texts score as the calibrated prior of a text without evidence; a null id
-counts as held out; labels that are null or without a text are not used, of repeated labels the
-largest counts; repeated rows are scored alike; empty tables give an empty result; without both labels
-in the training rows every score is the share of toxic labels; other columns are ignored.
+Two models, one of toxic and one of ordinary texts, spell an expression (a word) to its end: its first HEAD
+characters at once, then character by character, each given all that comes before it in the word. A run of letters
+without a space that is longer than RUN is read as all its windows of PIECE characters, so that expressions of scripts
+without spaces are met wherever they stand.
+
+Class counts are discounted absolutely; one that was seen once keeps nothing of its own (its discount is 1). What is
+taken away goes to a backoff that both classes share: the counts of both together, discounted in turn, and below them
+the Kneser-Ney continuation of the character (in how many different contexts it follows). So an expression that is rare
+in both classes is judged by shared counts and weighs nothing, and only what a class has seen repeatedly moves the ratio.
+
+A text is judged by the difference of its two log-likelihoods over its length, and by the part of that difference that
+strong expressions (log ratio above EVIDENCE) make, each counted once: over the length, in all, and as a power mean that
+the strongest dominate. A logistic curve fitted on labelled texts that the counts have not seen makes a score of them.
+
+How it runs, with one plan at every size: each task numbers the texts of a batch and writes, for each distinct word of
+the batch, its class counts and in which texts it stands how often. Word counts are summed and spelled, sorted by word,
+a run of whole heads at a time; a word's ratio meets the batches in a join that Spark can split at frequent words, and
+sums per text come back to their batch. No model is collected or broadcast (but one number for each character that
+occurs, of 1.1 million that Unicode has), and whole texts are read once, never shuffled unless the labels are too many
+for Spark to broadcast.
+
+Defined cases: null or blank texts score as texts without evidence; a null id counts as held out; labels that are null,
+neither 0 nor 1, or without a text are not used, of repeated labels the largest counts; repeated rows are scored alike;
+empty tables give an empty result; without labels every score is 0, with labels of one class only the share of toxic
+ones; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,220 +32,322 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, least_hashes, staged, table
-from tessera.llm.shingles import chunks, scramble
+from tessera.llm.common import staged, table
 
-#: Characters of context, and of a piece of a run without spaces.
-DEPTH, PIECE = 8, 16
+HEAD = 3
+#: Characters of the longest run that is one word, and of the windows of longer ones.
+RUN, PIECE = 16, 6
+END = "$"
 DISCOUNT = 0.75
-#: Entries of the model that go to the tasks at once (16 bytes each).
-MODEL_ENTRIES = 6_000_000
+#: Log ratio from which an expression speaks for toxicity, and the power of the mean that the strongest dominate.
+EVIDENCE, POWER = 2.0, 4
+#: Characters and texts of a batch, words that are spelled at a time, and sums that a task holds before it passes them on.
+BATCH_CHARS, BATCH_TEXTS, SPELLED, HELD = 8_000_000, 60_000, 200_000, 2_000_000
 #: Labelled rows at most that the logistic curve is fitted on, least hashes first.
 FIT_ROWS = 20_000
-#: Labels up to this many are broadcast to the texts (16 bytes each); more are joined by shuffling.
-BROADCAST_LABELS = 2_000_000
-#: Words that a task counts before it passes the counts on, and whose ratios it remembers.
-WORDS_HELD = 150_000
-#: Log ratio from which a word speaks for toxicity.
-EVIDENCE = 1.0
-_WORD = re.compile(WORD)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def pieces(word: str) -> list[str]:
-    """The marked word, in pieces of PIECE characters; all but the first begin with a line feed and DEPTH characters of context."""
-    w = f"^{word}$"
-    return [w[: PIECE + 1]] + [f"\n{w[i - DEPTH : i + PIECE]}" for i in range(PIECE + 1, len(w), PIECE)]
-
-
-def units(text: str) -> list[str]:
-    """The words of a text, those of PIECE characters and more as their pieces."""
-    return [p for w in _WORD.findall(text.lower()) for p in ((w,) if len(w) < PIECE else pieces(w))]
-
-
-def windows(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each scored character with the up to DEPTH before it, hash of those before it, its last three characters, how many each unit has)."""
-    marked = [w if len(w) > PIECE or w[0] == "\n" else f"^{w}$" for w in found]
-    c = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
-    context = np.fromiter((DEPTH + 1 if w[0] == "\n" else 1 for w in marked), np.int64, len(marked))
-    pos = np.arange(len(c)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    before = lambda x: np.r_[x[:1], x[:-1]]
-    x = scramble((c + np.uint64(1)) * _MIX)
-    g, h, ctx = x, x, x
-    for n in range(1, DEPTH + 1):
-        g = before(g) * _MIX + x
-        ctx, h = h, np.where(pos >= n, g, h)
-    last2, last3 = np.where(pos >= 1, before(c), 0), np.where(pos >= 2, before(before(c)), 0)
-    tail = (last3 << np.uint64(42)) | (last2 << np.uint64(21)) | c
-    own = pos >= np.repeat(context, sizes)
-    return scramble(h)[own].view(np.int64), scramble(before(ctx))[own].view(np.int64), tail[own].view(np.int64), sizes - context
-
-
-COUNTS = "h long, ctx long, tail long, n1 long, n0 long"
-
-
-def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held = (Counter(), Counter())
-    for f in frames:
-        for text, toxic in zip(f.text, f.toxic):
-            held[int(toxic)].update(units(text))
-        if len(held[0]) + len(held[1]) > WORDS_HELD:
-            yield _count_rows(held)
-            held = (Counter(), Counter())
-    yield _count_rows(held)
-
-
-def _count_rows(held: tuple[Counter, Counter]) -> pd.DataFrame:
-    found = list(held[0].keys() | held[1].keys())
-    names = [x.split()[0] for x in COUNTS.split(", ")]
-    if not found:
-        return pd.DataFrame({c: np.zeros(0, np.int64) for c in names})
-    h, ctx, tail, sizes = windows(found)
-    h, at, owner = np.unique(h, return_index=True, return_inverse=True)
-    n1, n0 = (np.bincount(owner, np.repeat(np.fromiter((held[k][w] for w in found), np.int64, len(found)), sizes)).astype(np.int64) for k in (1, 0))
-    return pd.DataFrame(dict(zip(names, (h, ctx[at], tail[at], n1, n0))))
-
-
-def train(labelled: DataFrame) -> DataFrame:
-    """One row per window seen twice or more, or context that tells: h, ctx, ratio of its last character, ratio of a character never seen after it.
-
-    labelled: text, toxic (0 or 1). Ratios are logarithms of the toxic to the ordinary model.
-    """
-    counts = staged(labelled.mapInPandas(_count, COUNTS).groupBy("h", "ctx", "tail").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "tox-counts")
-    # shared backoff: continuation counts of the last character after two, one and none before it
-    three = counts.groupBy("tail").agg(F.count("*").alias("t"))
-    three = three.withColumn("two", F.shiftright("tail", 21)).withColumn("last", F.col("tail").bitwiseAND(F.lit((1 << 21) - 1)))
-    ctx3 = three.groupBy("two").agg(F.sum("t").alias("two_t"), F.count("*").alias("two_n"))
-    one = three.groupBy("last").agg(F.count("*").alias("one_t"))
-    total = one.agg(F.sum("one_t").alias("s"), F.count("*").alias("n")).first()
-    s, n = float(total["s"] or 1), float(total["n"] or 1)
-    flat = (F.col("one_t") + 1) / (s + n)
-    shared = three.join(ctx3, "two").join(one, "last").select("tail", (((F.col("t") - DISCOUNT) + DISCOUNT * F.col("two_n") * flat) / F.col("two_t")).alias("backoff"))
-    # of each context: how often and before how many kinds of character it stands in each class
-    kept = lambda k: F.when(F.col(f"n{k}") > 1, F.col(f"n{k}") - DISCOUNT).otherwise(0.0)
-    by_ctx = counts.groupBy("ctx").agg(*[F.sum(f"n{k}").alias(f"c{k}") for k in "01"], *[F.sum(kept(k)).alias(f"k{k}") for k in "01"])
-    weight = lambda k: F.when(F.col(f"c{k}") > 0, (F.col(f"c{k}") - F.col(f"k{k}")) / F.col(f"c{k}")).otherwise(1.0)
-    by_ctx = by_ctx.select("ctx", "c0", "c1", weight("0").alias("w0"), weight("1").alias("w1"))
-    prob = lambda k: F.when(F.col(f"c{k}") > 0, kept(k) / F.col(f"c{k}")).otherwise(0.0) + F.col(f"w{k}") * F.col("backoff")
-    seen = counts.where("n0 + n1 > 1").join(by_ctx, "ctx").join(shared, "tail")
-    seen = seen.select("h", "ctx", F.log(prob("1") / prob("0")).cast("float").alias("ratio"))
-    after = by_ctx.select(F.col("ctx").alias("h"), F.log(F.col("w1") / F.col("w0")).cast("float").alias("other")).where("other <> 0")
-    return seen.join(after, "h", "full").select("h", "ctx", F.coalesce("ratio", F.lit(0.0)).cast("float").alias("ratio"), F.coalesce("other", F.lit(0.0)).cast("float").alias("other"), F.col("ratio").isNotNull().alias("seen"))
-
-
-class Ratios:
-    """Log ratios of words or pieces, from sorted arrays; those met lately are remembered.
-
-    Of several parts, one adds the characters whose context is its own. Windows without seen are contexts only.
-    """
-
-    def __init__(self, h: np.ndarray, ratio: np.ndarray, other: np.ndarray, seen: np.ndarray | None = None, part: int = 0, parts: int = 1):
-        order = np.argsort(h, kind="stable")
-        self.h, self.ratio, self.other, self.known = h[order], ratio[order], other[order], {}
-        self.seen = np.ones(len(h), bool) if seen is None else seen[order]
-        self.part, self.parts = part, parts
-
-    def _at(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.h, h), max(len(self.h) - 1, 0))
-        return at, self.h[at] == h if len(self.h) else np.zeros(len(h), bool)
-
-    def of(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) > WORDS_HELD:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            h, ctx, _, sizes = windows(new)
-            at, hit = self._at(h)
-            value = np.zeros(len(h))
-            if len(self.h):
-                hit &= self.seen[at]
-                value[hit] = self.ratio[at[hit]]
-            # a character that is new after a known context; after an unknown one, what follows is shared
-            lost = np.flatnonzero(~hit)
-            at, there = self._at(ctx[lost])
-            value[lost[there]] = self.other[at[there]]
-            if self.parts > 1:
-                value[ctx % self.parts != self.part] = 0.0
-            for w, v in zip(new, np.add.reduceat(value, np.cumsum(sizes) - sizes).tolist()):
-                known[w] = v
-        return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-
-
-FEATURES = "n long, total double, n_strong long, strong double, top array<double>"
-
-
-def _summed(values: list[np.ndarray], f: pd.DataFrame) -> pd.DataFrame:
-    """f with the features' sums of the values of each row's words."""
-    out = []
-    for v in values:
-        strong = v[v > EVIDENCE]
-        out.append((len(v), float(v.sum()), len(strong), float(strong.sum()), np.sort(v)[-3:].tolist()))
-    f[["n", "total", "n_strong", "strong", "top"]] = pd.DataFrame(out, columns=["n", "total", "n_strong", "strong", "top"], index=f.index)
-    return f
-
-
-def _evidence(model, part: int, parts: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ratios = Ratios(*model.value, part, parts)
-        for f in frames:
-            values, texts = [], f.text.tolist()
-            for s in chunks(texts, 200_000):
-                found = [units(t) for t in texts[s]]
-                values += np.split(ratios.of(list(chain.from_iterable(found))), np.cumsum([len(u) for u in found])[:-1])
-            f = f.drop(columns="text")
-            if parts > 1:
-                f["sums"] = [v.astype(np.float32).tobytes() for v in values]
-                yield f
-            else:
-                yield _summed(values, f)
+_WORD = re.compile(r"[^\W_]+")
+
+WORDS = "batch long, texts int, word string, n1 long, n0 long, posts binary, at int, doc_id long, fold long, toxic int, n long"
+_WORDS = pa.schema(
+    [("batch", pa.int64()), ("texts", pa.int32()), ("word", pa.string()), ("n1", pa.int64()), ("n0", pa.int64()), ("posts", pa.binary()), ("at", pa.int32()), ("doc_id", pa.int64()), ("fold", pa.int64()),
+     ("toxic", pa.int32()), ("n", pa.int64())]
+)
+_POST = np.dtype([("at", "<u2"), ("n", "<u4")])
+_SUM = np.dtype([("at", "<u2"), ("total", "<f4"), ("strong", "<f4"), ("peak", "<f4")])
+
+
+def units(text: str) -> Iterator[str]:
+    """The words of a text, and the windows of runs that are longer."""
+    for m in _WORD.finditer(text.lower()):
+        w = m[0]
+        if len(w) <= RUN:
+            yield w
+        else:
+            for i in range(len(w) - PIECE + 1):
+                yield w[i : i + PIECE]
+
+
+class _Numbers(dict):
+    """Number of each word, given as it is met."""
+
+    def __missing__(self, w: str) -> int:
+        n = self[w] = len(self)
+        return n
+
+
+class _Batch:
+    """Numbered texts with the words in them."""
+
+    def __init__(self, number: int):
+        self.number, self.chars = number, 0
+        self.known, self.codes, self.times, self.rows = _Numbers(), [], [], []
+
+    def add(self, doc_id, fold, toxic, text: str) -> None:
+        if len(text) > BATCH_CHARS:
+            found = Counter(units(text))
+            code, times = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+        else:
+            words = _WORD.findall(text.lower())
+            if max(map(len, words), default=0) > RUN:
+                words = list(units(text))
+            code, times = np.unique(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)), return_counts=True)
+        self.codes.append(code)
+        self.times.append(times)
+        self.rows.append((doc_id, fold, toxic, int(times.sum())))
+        self.chars += len(text)
+
+    def tables(self) -> Iterator[pa.RecordBatch]:
+        n, words = len(self.rows), list(self.known)
+        sizes = np.fromiter(map(len, self.codes), np.int64, n)
+        code, times, at = np.concatenate(self.codes), np.concatenate(self.times), np.repeat(np.arange(n), sizes)
+        weight = [np.array([fold in (1, 2, 3) and toxic == k for _, fold, toxic, _ in self.rows], np.int64) for k in (1, 0)]
+        n1, n0 = (np.bincount(code, times * w[at], len(words)).astype(np.int64) for w in weight)
+        order = np.argsort(code, kind="stable")
+        posts = np.empty(len(code), _POST)
+        posts["at"], posts["n"] = at[order], times[order]
+        ends = np.cumsum(np.bincount(code, minlength=len(words)))
+        for a in range(0, len(words), 50_000):
+            some = words[a : a + 50_000]
+            offsets = np.r_[ends[a - 1] if a else 0, ends[a : a + 50_000]] * _POST.itemsize
+            data = posts[offsets[0] // _POST.itemsize : offsets[-1] // _POST.itemsize].tobytes()
+            binary = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((offsets - offsets[0]).astype(np.int32)), pa.py_buffer(data)])
+            yield self._table(len(some), word=pa.array(some, pa.string()), n1=pa.array(n1[a : a + 50_000]), n0=pa.array(n0[a : a + 50_000]), posts=binary)
+        doc_id, fold, toxic, length = zip(*self.rows)
+        yield self._table(n, at=pa.array(range(n), pa.int32()), doc_id=pa.array(doc_id, pa.int64()), fold=pa.array(fold, pa.int64()), toxic=pa.array(toxic, pa.int32()), n=pa.array(length, pa.int64()))
+
+    def _table(self, size: int, **columns: pa.Array) -> pa.RecordBatch:
+        columns |= {"batch": pa.array(np.full(size, self.number)), "texts": pa.array(np.full(size, len(self.rows), np.int32))}
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in _WORDS], schema=_WORDS)
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, number = TaskContext.get().partitionId(), 0
+    held = _Batch(part << 32)
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "fold", "toxic", "text"))):
+            held.add(*row)
+            if held.chars >= BATCH_CHARS or len(held.rows) >= BATCH_TEXTS:
+                yield from held.tables()
+                number += 1
+                held = _Batch(part << 32 | number)
+    if held.rows:
+        yield from held.tables()
+
+
+def kept(n: np.ndarray) -> np.ndarray:
+    """What a class keeps of its counts."""
+    return np.where(n > 1, n - DISCOUNT, 0.0)
+
+
+def shared(n: np.ndarray) -> np.ndarray:
+    """What both classes together keep."""
+    return np.maximum(n - DISCOUNT, 0.0)
+
+
+class Spelling:
+    """The tree of the prefixes of words that come in order, with whole heads."""
+
+    def __init__(self, words: list[str], n1: np.ndarray, n0: np.ndarray):
+        self.counts = (n1, n0, n1 + n0)
+        letters = np.array([w + END for w in words], f"U{RUN + 1}")
+        self.codes = letters.view(np.uint32).reshape(len(words), RUN + 1)
+        self.new = np.vstack([np.ones(RUN + 1, bool), np.logical_or.accumulate(self.codes[1:] != self.codes[:-1], axis=1)])
+
+    def nodes(self, depth: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(node of each word, first word of each node, counts of each node) of the prefixes of so many characters."""
+        begin = np.flatnonzero(self.new[:, depth - 1])
+        return np.cumsum(self.new[:, depth - 1]) - 1, begin, [np.add.reduceat(c, begin) for c in self.counts]
+
+    def continuations(self) -> tuple[np.ndarray, np.ndarray]:
+        """(character, number of contexts that it follows in the counted words)."""
+        found = []
+        for depth in range(HEAD + 1, RUN + 2):
+            _, begin, (_, _, n) = self.nodes(depth)
+            c = self.codes[begin, depth - 1]
+            found.append(c[(c > 0) & (n > 0)])
+        return np.unique(np.concatenate(found), return_counts=True)
+
+    def ratios(self, base: Base) -> np.ndarray:
+        """Log ratio of the toxic to the ordinary model of each word."""
+        node, _, counts = self.nodes(HEAD)
+        out = base.of_heads(*counts)[node]
+        for depth in range(HEAD + 1, RUN + 2):
+            below, begin, n = self.nodes(depth)
+            parent, c = node[begin], self.codes[begin, depth - 1]
+            before = [x[parent] for x in counts]
+            rest = [x - np.bincount(parent, k(y), len(x)) for x, y, k in zip(counts, n, (kept, kept, shared))]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                both = (shared(n[2]) + rest[2][parent] * base.of(c)) / before[2]
+                p = [np.where(before[k] > 0, (kept(n[k]) + rest[k][parent] * both) / before[k], both) for k in (0, 1)]
+                step = np.where((c > 0) & (before[2] > 0), np.log(p[0] / p[1]), 0.0)
+            out += step[below]
+            node, counts = below, n
+        return out
+
+
+class Base:
+    """What the whole of the counts says: totals of the heads, and the continuation of each character."""
+
+    def __init__(self, chars: list[int], times: list[int], totals: list[float], rests: list[float], heads: int):
+        order = np.argsort(np.asarray(chars, np.uint32))
+        self.chars, self.times = np.asarray(chars, np.uint32)[order], np.asarray(times, np.float64)[order]
+        self.total = float(self.times.sum()) + len(self.chars) + 1
+        self.totals, self.rests, self.n_heads = totals, rests, heads
+
+    def of(self, c: np.ndarray) -> np.ndarray:
+        if not len(self.chars):
+            return np.full(len(c), 1.0)
+        at = np.minimum(np.searchsorted(self.chars, c), len(self.chars) - 1)
+        return (np.where(self.chars[at] == c, self.times[at], 0.0) + 1) / self.total
+
+    def of_heads(self, n1: np.ndarray, n0: np.ndarray, n: np.ndarray) -> np.ndarray:
+        if not (self.totals[0] and self.totals[1]):
+            return np.zeros(len(n))
+        both = (shared(n) + self.rests[2] / (self.n_heads + 1)) / self.totals[2]
+        return np.log((kept(n1) + self.rests[0] * both) / self.totals[0] / ((kept(n0) + self.rests[1] * both) / self.totals[1]))
+
+
+def _whole_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Sorted (word, n1, n0) in runs of whole heads, about SPELLED words at a time."""
+    words, counts, at_least = [], [], SPELLED
+    for b in batches:
+        words += b.column("word").to_pylist()
+        counts.append(np.column_stack([b.column(c).to_numpy() for c in ("n1", "n0")]))
+        if len(words) >= at_least:
+            cut = len(words) - 1
+            head = (words[cut] + END)[:HEAD]
+            while cut and (words[cut - 1] + END)[:HEAD] == head:
+                cut -= 1
+            if cut:
+                n = np.concatenate(counts)
+                yield words[:cut], n[:cut, 0], n[:cut, 1]
+                words, counts = words[cut:], [n[cut:]]
+            at_least = len(words) + SPELLED
+    if words:
+        n = np.concatenate(counts)
+        yield words, n[:, 0], n[:, 1]
+
+
+def _continuations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for words, n1, n0 in _whole_heads(batches):
+        c, times = Spelling(words, n1, n0).continuations()
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), pa.array(times.astype(np.int64))], ["c", "times"])
+
+
+def _ratios(base: Base):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, n1, n0 in _whole_heads(batches):
+            r = Spelling(words, n1, n0).ratios(base)
+            for a in range(0, len(words), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(words[a : a + 50_000], pa.string()), pa.array(r[a : a + 50_000])], ["word", "ratio"])
 
     return run
 
 
-def _met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        values = [sum(np.frombuffer(b, np.float32).astype(np.float64) for b in x) for x in f.sums]
-        yield _summed(values, f.drop(columns="sums"))
-
-
-def evidence(texts: DataFrame, model: DataFrame) -> DataFrame:
-    """texts (row, text, further columns) without text, with the sums that the features come from."""
-    spark = texts.sparkSession
-    entries = model.count()
-    # a window is in the part of its context, and as a context in its own
-    parts = 1 if entries <= MODEL_ENTRIES else -(-2 * entries // MODEL_ENTRIES)
-    keys = ", ".join(f"`{c}` {t}" for c, t in texts.drop("text").dtypes)
-    out = None
-    for k in range(parts):
-        own = model if parts == 1 else model.where((F.pmod("ctx", F.lit(parts)) == k) | (F.pmod("h", F.lit(parts)) == k))
-        t = own.select("h", "ratio", "other", "seen").toArrow()
-        arrays = spark.sparkContext.broadcast(tuple(t[c].to_numpy() for c in ("h", "ratio", "other", "seen")))
-        some = texts.mapInPandas(_evidence(arrays, k, parts), f"{keys}, {FEATURES if parts == 1 else 'sums binary'}")
-        out = some if out is None else out.unionByName(some)
-    if parts > 1:
-        out = out.groupBy(*[c for c in texts.columns if c != "text"]).agg(F.collect_list("sums").alias("sums")).mapInPandas(_met, f"{keys}, {FEATURES}")
-    return out
-
-
-def features(e: pd.DataFrame) -> np.ndarray:
-    n = np.maximum(e["n"].to_numpy(), 1)
-    top = np.array([sum(max(0.0, x) for x in t) / 3 for t in e["top"]]) if len(e) else np.zeros(0)
-    strong = e["strong"].to_numpy() / n
-    return np.column_stack([np.ones(len(e)), np.clip(e["total"].to_numpy() / n, -3, 3), np.log1p(100 * strong), np.minimum(top, 12), np.minimum(top, 12) * np.log1p(100 * strong), np.log1p(e["n_strong"].to_numpy()), np.log(n)])
+def word_ratios(counts: DataFrame) -> DataFrame:
+    """(word, ratio) of every word of counts (word, n1, n0: how often it stands in toxic and in ordinary training texts)."""
+    spark = counts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    head = F.substring(F.concat("word", F.lit(END)), 1, HEAD)
+    counts = staged(counts, "tox-vocabulary")
+    ordered = counts.repartition(parts, head).sortWithinPartitions("word")
+    seen = counts.where("n1 + n0 > 0")
+    own = lambda c: F.when(F.col(c) > 1, F.col(c) - DISCOUNT).otherwise(0.0)
+    t = seen.groupBy(head.alias("head")).agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).agg(
+        F.sum("n1"), F.sum("n0"), F.sum(own("n1")), F.sum(own("n0")), F.sum(F.greatest(F.col("n1") + F.col("n0") - DISCOUNT, F.lit(0.0))), F.count("*")
+    ).first()
+    n1, n0, k1, k0, k, heads = (float(x or 0) for x in t)
+    follows = seen.repartition(parts, head).sortWithinPartitions("word").mapInArrow(_continuations, "c long, times long").groupBy("c").agg(F.sum("times").alias("times")).collect()
+    base = Base([r["c"] for r in follows], [r["times"] for r in follows], [n1, n0, n1 + n0], [n1 - k1, n0 - k0, n1 + n0 - k], int(heads))
+    return ordered.mapInArrow(_ratios(base), "word string, ratio double")
+
+
+PACKED = "batch long, sums binary"
+
+
+def _packed(batch: np.ndarray, at: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
+    """Sums, sorted by batch, as one row per batch."""
+    sums = np.empty(len(at), _SUM)
+    sums["at"] = at
+    for name, v in zip(("total", "strong", "peak"), values):
+        sums[name] = v
+    cut = np.flatnonzero(np.r_[True, batch[1:] != batch[:-1]]) if len(batch) else np.zeros(0, np.int64)
+    rows = [sums[a:b].tobytes() for a, b in zip(cut, np.r_[cut[1:], len(at)])]
+    return pa.RecordBatch.from_arrays([pa.array(batch[cut], pa.int64()), pa.array(rows, pa.binary())], ["batch", "sums"])
+
+
+def _merged(parts: list[tuple]) -> tuple:
+    """(batch, at, sums) of all parts, each (batch, at) once, in order."""
+    batch, at = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    order = np.lexsort((at, batch))
+    batch, at = batch[order], at[order]
+    first = np.flatnonzero(np.r_[True, (batch[1:] != batch[:-1]) | (at[1:] != at[:-1])])
+    return batch[first], at[first], [np.add.reduceat(np.concatenate([p[2][k] for p in parts])[order], first) for k in range(3)]
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joined words (batch, ratio, posts) as sums per text, packed by batch."""
+    held, size = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        posts = b.column("posts").cast(pa.large_binary())
+        ends = np.frombuffer(posts.buffers()[1], np.int64)[posts.offset : posts.offset + len(posts) + 1]
+        p = np.frombuffer(posts.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(_POST)
+        each = np.diff(ends) // _POST.itemsize
+        batch, ratio = (np.repeat(b.column(c).to_numpy(), each) for c in ("batch", "ratio"))
+        strong = np.maximum(ratio - EVIDENCE, 0.0)
+        held.append(_merged([(batch, p["at"].astype(np.int64), [p["n"] * ratio, strong, strong**POWER])]))
+        size += len(held[-1][0])
+        if size > HELD:
+            held = [_merged(held)]
+            size = len(held[0][0])
+            if size > HELD // 2:
+                yield _packed(*held[0])
+                held, size = [], 0
+    if held:
+        yield _packed(*_merged(held))
+
+
+FEATURES = "batch long, at int, total double, strong double, peak double"
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed sums, sorted by batch, as one row per text."""
+    held, at = [], None
+
+    def rows(parts: list[tuple]) -> pa.RecordBatch:
+        batch, place, values = _merged(parts)
+        return pa.RecordBatch.from_arrays([pa.array(batch), pa.array(place.astype(np.int32)), *map(pa.array, values)], ["batch", "at", "total", "strong", "peak"])
+
+    for b in batches:
+        for number, sums in zip(b.column("batch").to_pylist(), b.column("sums").to_pylist()):
+            if number != at and held:
+                yield rows(held)
+                held = []
+            s, at = np.frombuffer(sums, _SUM), number
+            held.append((np.full(len(s), number), s["at"].astype(np.int64), [s[c].astype(np.float64) for c in ("total", "strong", "peak")]))
+    if held:
+        yield rows(held)
+
+
+def inputs() -> list:
+    """What the curve sees: the difference over the length; strong parts over the length, in all and as a power mean; the length."""
+    m = F.greatest(F.col("n"), F.lit(1))
+    difference = F.least(F.greatest(F.col("total") / m, F.lit(-3.0)), F.lit(3.0))
+    return [difference, F.log1p(100 * F.col("strong") / m), F.log1p(F.col("strong")), F.pow(F.col("peak"), F.lit(1 / POWER)), F.log(m.cast("double"))]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton's method."""
+    """Logistic regression by Newton's method; the first weight is the constant."""
+    x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -254,48 +360,56 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _scores(w: np.ndarray):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f["score"] = 1 / (1 + np.exp(-np.clip(features(f) @ w, -30, 30)))
-            yield f[["doc_id", "held_out", "score"]]
-
-    return run
+def _curve(found: DataFrame) -> list[float] | float:
+    """Weights of the curve, or the score of every text if the labels have one class or none."""
+    known = found.where("toxic IS NOT NULL AND fold <> 0")
+    n = {(r["last"], r["toxic"]): r["n"] for r in known.groupBy((F.col("fold") == 4).alias("last"), "toxic").agg(F.count("*").alias("n")).collect()}
+    classes = {k[1] for k in n}
+    if len(classes) < 2:
+        return float(next(iter(classes), 0))
+    if (True, 0) in n and (True, 1) in n:
+        known = known.where("fold = 4")
+        rows = n[True, 0] + n[True, 1]
+    else:
+        rows = sum(n.values())
+    order = F.xxhash64("doc_id", "n", "total")
+    share = min(1.0, 4 * FIT_ROWS / rows)
+    if share < 1:
+        known = known.where(order <= int(-(2**63) + share * 2**64))
+    sample = known.select(order.alias("h"), "doc_id", F.col("toxic").cast("double").alias("y"), *[c.alias(f"x{i}") for i, c in enumerate(inputs())])
+    sample = sample.orderBy("h", "doc_id", "y", "x0").limit(FIT_ROWS).collect()
+    y = np.array([r["y"] for r in sample])
+    if len(set(y.tolist())) < 2:
+        return float(y.mean())
+    return fit(np.array([r[3:] for r in sample], float), y).tolist()
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs (doc_id, text); labels: doc_id, toxic."""
     spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"), fold.alias("fold"))
-    known = staged(labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "tox-labels")
-    n_labels = known.count()
-    chosen = least_hashes(known.where(F.crc32(F.col("doc_id").cast("string")) % 5 == 4), "doc_id", n_labels, FIT_ROWS)
-    if n_labels <= BROADCAST_LABELS:
-        known = F.broadcast(known)
-    labelled = texts.where("fold <> 0").join(known, "doc_id")
-    model = staged(train(labelled.where("fold < 4").select("text", "toxic")), "tox-model")
-    sample = labelled.where("fold = 4").select("doc_id", "text", "toxic").join(F.broadcast(chosen), "doc_id", "left_semi")
-    sample = sample.withColumn("row", F.xxhash64("text")).dropDuplicates(["doc_id", "row"])
-    e = staged(evidence(sample, model), "tox-fit").toPandas().sort_values(["doc_id", "row"])
-    y = e["toxic"].to_numpy(dtype=float) if len(e) else np.zeros(0)
-    if len(set(y.tolist())) > 1:
-        w = fit(features(e), y)
-    else:
-        share = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
-        w = np.r_[np.log(share / (1 - share)), np.zeros(6)]
-    rows = texts.select("doc_id", (F.col("fold") == 0).alias("held_out"), "text")
-    if model.count() > MODEL_ENTRIES:
-        # the sums of the parts meet by row: equal rows travel as one and are repeated afterwards
-        rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-        times = rows.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.count("*").cast("int").alias("_times"))
-        found = evidence(rows.dropDuplicates(["doc_id", "row"]), model)
-        found = found.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")))
-        found = found.withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("_times"))))
+    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = staged(known, "tox-labels")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), fold.alias("fold")).join(known, "doc_id", "left")
+    index = staged(texts.select("doc_id", "fold", "toxic", "text").mapInArrow(_index, WORDS), "tox-words")
+    words = index.where("word IS NOT NULL")
+    counts = words.groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    ratios = staged(word_ratios(counts), "tox-ratios")
+    sums = words.select("word", "batch", "posts").join(ratios, "word").select("batch", "ratio", "posts").mapInArrow(_sums, PACKED)
+    sums = sums.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(_spread, FEATURES)
+    rows = index.where("at IS NOT NULL").select("batch", "at", "doc_id", "fold", "toxic", "n")
+    found = staged(rows.join(sums, ["batch", "at"], "left").fillna(0.0, ["total", "strong", "peak"]), "tox-found")
+    curve = _curve(found)
+    if isinstance(curve, float):
+        value = F.lit(curve)
     else:
-        found = evidence(rows, model)
-    scored = found.mapInPandas(_scores(w), "doc_id long, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        z = F.lit(curve[0])
+        for w, x in zip(curve[1:], inputs()):
+            z = z + F.lit(w) * x
+        value = F.round(1 / (1 + F.exp(-z)), 9)
+    out = found.select("doc_id", (F.col("fold") == 0).alias("held_out"), value.alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
