@@ -1,21 +1,22 @@
 """Exact removal of repeated passages by super-k-mer partitioning (operator 8).
 
-A window is WINDOW consecutive words. Its minimiser is the least hash among its SEED_WORDS-word
-sequences; consecutive windows that share a minimiser travel as one packed string (a super-k-mer) to
-the minimiser's bucket, where sorting the windows counts them exactly. A word is removed if a window
-that covers it also starts in a document with a smaller id.
-
-1. A narrow pass notes which minimisers occur in more than one document. Equal windows have equal
-   minimisers, so nothing else can repeat and only those super-k-mers travel.
-2. Equal packed strings are merged before they meet (a map-side minimum and maximum of the document
-   id), so a group of copies sends one string per task.
-3. Buckets are sorted window by window. A minimiser with more than HOT distinct strings is split: its
-   windows are dealt by their own hash instead, an exact way for the rest.
-4. Results go back by string to the occurrences, then as intervals to the documents.
-
-Defined cases: a null text has no words; a null id ranks after all ids; rows with the same id do not
-repeat each other (only a smaller id does); repeated rows are judged alike; an empty table gives an
-empty result; other columns are ignored.
+A window is WINDOW consecutive words. Its minimiser is the least hash among its SEED_WORDS-word sequences; consecutive
+windows that share a minimiser travel as one packed string (a super-k-mer, of at most RUN windows) to the minimiser's
+bucket, where sorting the windows counts them exactly. A word is removed if a window that covers it also starts in a
+document with a smaller id.
+
+1. One pass in place notes each document's minimisers, beside the digest that the document has if nothing goes. Of
+   documents with the same whole text only those with the least id go on: of the others every word of every window goes.
+2. Equal windows have equal minimisers, so only super-k-mers whose minimiser stands in more than one document travel.
+   Equal packed strings are merged on the way (a map-side minimum and maximum of the document id).
+3. Buckets are sorted window by window: by a hash, then equal hashes word by word. A minimiser with more than HOT
+   windows is split, its windows are dealt by a 128-bit hash of their words instead: the exact way for the rest.
+4. Results go back by string to the occurrences, then as intervals to the documents, of which only those with a hit are
+   read again.
+
+Defined cases: a null text has no words; a null id ranks after all ids; rows with the same id do not repeat each other
+(only a smaller id does); repeated rows are judged alike; an empty table gives an empty result; other columns are
+ignored. Documents are told apart by id and the 128-bit digest of their text.
 """
 
 from __future__ import annotations
@@ -25,17 +26,21 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, staged, table
+from tessera.llm.common import WORD, drop_path, new_path, staged, table
 from tessera.llm.shingles import WordHashes, scramble
 
 WINDOW = 50
 SEED_WORDS = 8
-#: Distinct strings of a minimiser that one task sorts together.
-HOT = 2000
+#: Windows of a packed string, and of a minimiser that one task sorts together.
+RUN, HOT = 400, 16_384
+#: Rank of a null id.
+LAST = 2**63 - 1
+#: Characters of packed strings that a task holds before it passes them on.
+HELD = 8 << 20
 _WORD = re.compile(WORD)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,111 +67,159 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def super_kmers(h: np.ndarray, window: int = WINDOW, seed_words: int = SEED_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser, first window, number of windows) of each run of windows that share a minimiser."""
+def super_kmers(h: np.ndarray, window: int = WINDOW, seed_words: int = SEED_WORDS, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(minimiser, first window, number of windows) of each run of at most so many windows that share a minimiser."""
     if len(h) < window:
         none = np.zeros(0, np.int64)
         return none, none, none
     least = sliding_min(gram_hashes(h, seed_words), window - seed_words + 1)
     at = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    return least[at].view(np.int64), at, np.diff(np.r_[at, len(least)])
+    size = np.diff(np.r_[at, len(least)])
+    if size.max() > run:
+        pieces = -(-size // run)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        at, size = np.repeat(at, pieces) + nth * run, np.minimum(np.repeat(size, pieces) - nth * run, run)
+    return least[at].view(np.int64), at, size
 
 
-def _minimisers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _rows(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+    return zip(*(batch.column(c).to_pylist() for c in columns))
+
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as a record batch; whole numbers stay whole beside nulls."""
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows) if rows else ((),) * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
+
+
+def _sha(words: list[str]) -> str:
+    return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+SEEN = "doc_id long, pid long, cls binary, n_words long, sha string, minimisers array<long>"
+
+
+def _see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
-    for f in frames:
-        keys, docs = [], []
-        for doc_id, text in zip(f.pid, f.text):
-            m = np.unique(super_kmers(word_hashes(_WORD.findall(text), known))[0])
-            keys.append(m)
-            docs.append(np.full(len(m), doc_id))
-        if keys:
-            yield pd.DataFrame({"minimiser": np.concatenate(keys), "pid": np.concatenate(docs)})
+    for b in batches:
+        out = []
+        for doc_id, text in _rows(b, "doc_id", "text"):
+            words = _WORD.findall(text)
+            found = np.unique(super_kmers(word_hashes(words, known))[0])
+            out.append((doc_id, LAST if doc_id is None else doc_id, hashlib.md5(text.encode("utf-8", "surrogatepass")).digest(), len(words), _sha(words), found.tolist()))
+        yield _batch(SEEN, out)
+
 
+PACKED = "minimiser long, n int, pid long, cls binary, start int, sid binary, packed string"
 
-def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
-    for f in frames:
-        out, held = [], 0
-        for pid, row, text, wanted in zip(f.pid, f.row, f.text, f.wanted):
+    out, held = [], 0
+    for b in batches:
+        for pid, cls, text, wanted in _rows(b, "pid", "cls", "text", "wanted"):
             words = _WORD.findall(text)
             keys, starts, counts = super_kmers(word_hashes(words, known))
-            hit = np.isin(keys, np.asarray(wanted))
+            hit = np.isin(keys, np.asarray(wanted, np.int64))
             for k, s, n in zip(keys[hit].tolist(), starts[hit].tolist(), counts[hit].tolist()):
                 packed = " ".join(words[s : s + n + WINDOW - 1])
-                out.append((k, pid, row, s, hashlib.blake2b(packed.encode(), digest_size=16).digest(), packed))
+                out.append((k, n, pid, cls, s, hashlib.blake2b(packed.encode("utf-8", "surrogatepass"), digest_size=16).digest(), packed))
                 held += len(packed)
-            if held > 8 << 20:
-                yield pd.DataFrame(out, columns=PACKED_NAMES)
+            if held > HELD:
+                yield _batch(PACKED, out)
                 out, held = [], 0
-        yield pd.DataFrame(out, columns=PACKED_NAMES)
-
-
-PACKED = "minimiser long, pid long, row long, start int, sid binary, packed string"
-PACKED_NAMES = [x.split()[0] for x in PACKED.split(", ")]
+    yield _batch(PACKED, out)
 
 
-def _windows(packed: str, ids: dict[str, int]) -> list[bytes]:
-    """Each window as the bytes of its word numbers; numbers are the task's own, so equal bytes mean equal words."""
-    words = packed.split(" ")
-    raw = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words)).tobytes()
-    return [raw[4 * i : 4 * (i + WINDOW)] for i in range(len(words) - WINDOW + 1)]
+def sorted_windows(strings: list[str], low: list[int]) -> list[np.ndarray]:
+    """Of each packed string the least id of each of its windows, over all strings: windows are sorted, equal ones side by side.
 
-
-def _sort_bucket(rows: list[tuple]) -> Iterator[tuple]:
-    """(sid, earliest id of each window) of the strings in a bucket that a smaller id repeats."""
+    Sorted are hashes; windows with the same hash are told apart by their words, and sorted by them where hashes lie.
+    """
     ids: dict[str, int] = {}
-    first: dict[bytes, int] = {}
-    cut = [_windows(packed, ids) for _, packed, _, _ in rows]
-    for (_, _, low, _), windows in zip(rows, cut):
-        for w in windows:
-            if first.get(w, low) >= low:
-                first[w] = low
-    for (sid, _, _, high), windows in zip(rows, cut):
-        least = [first[w] for w in windows]
-        if min(least) < high:
-            yield sid, least
-
-
-def _buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by minimiser; a bucket may span batches."""
-    out, held, at = [], [], None
-    for f in frames:
-        for k, sid, packed, low, high in zip(f.minimiser, f.sid, f.packed, f.low, f.high):
-            if k != at and held:
-                out += _sort_bucket(held)
-                held = []
-            at = k
-            held.append((sid, packed, low, high))
+    words = [np.fromiter((ids.setdefault(w, len(ids)) for w in s.split(" ")), np.int32) for s in strings]
+    counts = np.array([len(w) - WINDOW + 1 for w in words])
+    flat = np.concatenate(words)
+    first_word = np.cumsum([0, *[len(w) for w in words[:-1]]])
+    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first_word, counts)
+    seeds = gram_hashes(scramble((flat.astype(np.uint64) + np.uint64(1)) * _MIX), WINDOW)[at]
+    order = np.argsort(seeds, kind="stable")
+    windows = np.lib.stride_tricks.sliding_window_view(flat, WINDOW)
+    same = seeds[order][1:] == seeds[order][:-1]
+    pairs = np.flatnonzero(same)
+    equal = np.concatenate([(windows[at[order[p]]] == windows[at[order[p + 1]]]).all(axis=1) for p in np.array_split(pairs, len(pairs) // 20_000 + 1)])
+    if not equal.all():
+        order = np.lexsort(windows[at].T)
+        same = (windows[at[order[1:]]] == windows[at[order[:-1]]]).all(axis=1)
+    begin = np.flatnonzero(np.r_[True, ~same])
+    least = np.minimum.reduceat(np.repeat(np.asarray(low, np.int64), counts)[order], begin)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(least, np.diff(np.r_[begin, len(order)]))
+    return np.split(out, np.cumsum(counts)[:-1])
+
+
+LEAST = "sid binary, least array<long>"
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings (minimiser, n, sid, packed, low, high), sorted by minimiser, that a smaller id repeats.
+
+    Whole buckets are sorted together, up to about HOT windows: equal windows are of one bucket.
+    """
+    out, held, windows, at = [], [], 0, None
+
+    def sort() -> None:
+        sids, packed, low, high = zip(*held)
+        for sid, h, least in zip(sids, high, sorted_windows(list(packed), list(low))):
+            if least.min() < h:
+                out.append((sid, least.tolist()))
+
+    for b in batches:
+        for k, n, *row in _rows(b, "minimiser", "n", "sid", "packed", "low", "high"):
+            if k != at and windows > HOT:
+                sort()
+                held, windows = [], 0
+            at, windows = k, windows + n
+            held.append(row)
         if len(out) > 2000:
-            yield pd.DataFrame(out, columns=["sid", "least"])
+            yield _batch(LEAST, out)
             out = []
     if held:
-        out += _sort_bucket(held)
-    yield pd.DataFrame(out, columns=["sid", "least"])
+        sort()
+    yield _batch(LEAST, out)
+
 
+LOOSE = "sid binary, i int, w binary, low long"
 
-def _unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every window of the strings of hot minimisers, by a 128-bit hash."""
-    for f in frames:
-        for sid, packed, low in zip(f.sid, f.packed, f.low):
+    for b in batches:
+        out = []
+        for sid, packed, low in _rows(b, "sid", "packed", "low"):
             words = packed.split(" ")
-            n = len(words) - WINDOW + 1
-            keys = [hashlib.blake2b(" ".join(words[i : i + WINDOW]).encode(), digest_size=16).digest() for i in range(n)]
-            yield pd.DataFrame({"sid": [sid] * n, "i": np.arange(n, dtype=np.int32), "w": keys, "low": np.full(n, low)})
+            out += [(sid, i, hashlib.blake2b(" ".join(words[i : i + WINDOW]).encode("utf-8", "surrogatepass"), digest_size=16).digest(), low) for i in range(len(words) - WINDOW + 1)]
+            if len(out) > 50_000:
+                yield _batch(LOOSE, out)
+                out = []
+        yield _batch(LOOSE, out)
 
 
-def _covered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+COVERED = "pid long, cls binary, a long, b long"
+
+
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word intervals that repeated windows of an occurrence cover."""
-    for f in frames:
+    for b in batches:
         out = []
-        for pid, row, start, least in zip(f.pid, f.row, f.start, f.least):
-            at = np.flatnonzero(np.asarray(least) < pid)
+        for pid, cls, start, least in _rows(b, "pid", "cls", "start", "least"):
+            at = np.flatnonzero(np.asarray(least, np.int64) < pid)
             if len(at):
                 cut = np.flatnonzero(np.r_[True, np.diff(at) > 1])
-                for a, b in zip(at[cut], at[np.r_[cut[1:], len(at)] - 1]):
-                    out.append((row, int(start + a), int(start + b + WINDOW)))
-        yield pd.DataFrame(out, columns=["row", "a", "b"]).astype({"row": np.int64, "a": np.int64, "b": np.int64})
+                out += [(pid, cls, int(start + x), int(start + y + WINDOW)) for x, y in zip(at[cut], at[np.r_[cut[1:], len(at)] - 1])]
+        yield _batch(COVERED, out)
 
 
 def kept_words(words: list[str], intervals) -> list[str]:
@@ -176,57 +229,85 @@ def kept_words(words: list[str], intervals) -> list[str]:
     return words if keep.all() else [w for w, k in zip(words, keep) if k]
 
 
-def intervals_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs (key, text) with row (its fingerprint) and gone: the word intervals to remove, or null."""
+def _texts(docs: DataFrame, key: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("pid"), F.unhex(F.md5(text)).alias("cls"), text.alias("text"))
+
+
+def found(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, copies, gone) of docs (key, text).
+
+    documents: doc_id, pid, cls, n_words and sha of the whole text; copies: the least id (first) of each text with a
+    window that several documents have; gone: the word intervals to remove from each (pid, cls) with the least id.
+    """
     spark = docs.sparkSession
-    pid = F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1))
-    texts = docs.select(key, F.coalesce(F.col("text"), F.lit("")).alias("text"), pid.alias("pid"), F.xxhash64(pid, "text").alias("row"))
-    occurs = staged(texts.select("pid", "text").mapInPandas(_minimisers, "minimiser long, pid long"), "minimisers")
-    shared = occurs.groupBy("minimiser").agg(F.min("pid").alias("low"), F.max("pid").alias("high")).where("low < high")
-    wanted = occurs.join(shared, "minimiser").groupBy("pid").agg(F.collect_set("minimiser").alias("wanted"))
-    packed = staged(texts.join(wanted, "pid").select("pid", "row", "text", "wanted").mapInPandas(_pack, PACKED), "super-kmers")
-    strings = staged(packed.groupBy("minimiser", "sid", "packed").agg(F.min("pid").alias("low"), F.max("pid").alias("high")), "strings")
-    hot = strings.groupBy("minimiser").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("minimiser")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = _texts(docs, key)
+    seen = staged(texts.select("doc_id", "text").mapInArrow(_see, SEEN), "seen")
+    copies = staged(seen.where(F.col("n_words") >= WINDOW).groupBy("cls").agg(F.min("pid").alias("first"), F.max("pid").alias("last")).where("first < last").select("cls", "first"), "copies")
+    alone = seen.where(F.col("n_words") >= WINDOW).select("pid", "cls", "minimisers").join(copies, "cls", "left").where("first IS NULL OR first = pid")
+    path = new_path(spark, "minimisers")
+    occurs = staged(alone.select("pid", "cls", F.explode("minimisers").alias("minimiser")), "", path)
+    shared = staged(occurs.groupBy("minimiser").agg(F.min("pid").alias("low"), F.max("pid").alias("high")).where("low < high").select("minimiser"), "shared")
+    wanted = staged(occurs.join(shared, "minimiser").groupBy("pid", "cls").agg(F.collect_set("minimiser").alias("wanted")), "wanted")
+    drop_path(spark, path)
+    packed = staged(texts.join(wanted, ["pid", "cls"]).select("pid", "cls", "text", "wanted").mapInArrow(_pack, PACKED), "super-kmers")
+    strings = staged(packed.groupBy("minimiser", "n", "sid", "packed").agg(F.min("pid").alias("low"), F.max("pid").alias("high")), "strings")
+    hot = staged(strings.groupBy("minimiser").agg(F.sum("n").alias("windows")).where(F.col("windows") > HOT).select("minimiser"), "hot")
     cold = strings.join(hot, "minimiser", "left_anti").repartition(parts, "minimiser").sortWithinPartitions("minimiser")
-    least = cold.mapInPandas(_buckets, "sid binary, least array<long>")
-    loose = staged(strings.join(hot, "minimiser", "left_semi").select("sid", "packed", "low").mapInPandas(_unpack, "sid binary, i int, w binary, low long"), "hot-windows")
-    firsts = loose.groupBy("w").agg(F.min("low").alias("first"), F.count("*").alias("n")).where("n > 1").select("w", "first")
+    least = cold.select("minimiser", "n", "sid", "packed", "low", "high").mapInArrow(_buckets, LEAST)
+    loose = staged(strings.join(hot, "minimiser", "left_semi").select("sid", "packed", "low").mapInArrow(_unpack, LOOSE), "hot-windows")
+    firsts = staged(loose.groupBy("w").agg(F.min("low").alias("first"), F.count("*").alias("n")).where("n > 1").select("w", "first"), "hot-firsts")
     split = loose.join(firsts, "w", "left").select("sid", "i", F.coalesce("first", "low").alias("first"))
     split = split.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("i", "first"))).alias("x")).select("sid", F.transform("x", lambda x: x["first"]).alias("least"))
-    found = least.unionByName(split)
-    spans = packed.select("pid", "row", "start", "sid").join(found, "sid").select("pid", "row", "start", "least").mapInPandas(_covered, "row long, a long, b long")
-    gone = spans.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
-    return texts.join(gone, "row", "left")
+    results = staged(least.unionByName(split), "string-results")
+    spans = packed.select("pid", "cls", "start", "sid").join(results, "sid").select("pid", "cls", "start", "least").mapInArrow(_covered, COVERED)
+    gone = spans.groupBy("pid", "cls").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+    return seen.drop("minimisers"), copies, staged(gone, "gone")
+
 
+DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
-def _digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
         out = []
-        for doc_id, text, gone in zip(f.doc_id, f.text, f.gone):
+        for doc_id, text, gone in _rows(b, "doc_id", "text", "gone"):
             words = _WORD.findall(text)
             kept = kept_words(words, gone)
-            out.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
-        x = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
-        x["doc_id"] = x["doc_id"].astype("Int64")
-        yield x
+            out.append((doc_id, len(words), len(words) - len(kept), _sha(kept)))
+        yield _batch(DIGEST, out)
+
+
+def digests(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every row of docs."""
+    seen, copies, gone = found(docs, key)
+    rows = seen.join(copies, "cls", "left").join(gone.select("pid", "cls", F.lit(True).alias("hit")), ["pid", "cls"], "left")
+    copy = F.coalesce(F.col("first") < F.col("pid"), F.lit(False))
+    whole = rows.where(copy | F.col("hit").isNull()).select(
+        "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(0).alias("n_removed"), F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("sha")).alias("kept_sha256")
+    )
+    cut = _texts(docs, key).join(gone, ["pid", "cls"]).select("doc_id", "text", "gone").mapInArrow(_digest, DIGEST)
+    return whole.unionByName(cut)
 
 
-def _rewrite(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        f["text"] = [" ".join(kept_words(_WORD.findall(text), gone)) if gone is not None else text for text, gone in zip(f.text, f.gone)]
-        yield f.drop(columns="gone")
+def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [" ".join(kept_words(_WORD.findall(text), gone)) if gone is not None else text for text, gone in _rows(b, "text", "gone")]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, text) with repeated passages removed; untouched texts stay as they are."""
     kind = docs.schema[key].dataType.simpleString()
-    return intervals_of(docs, key).select(key, "text", "gone").mapInPandas(_rewrite, f"{key} {kind}, text string")
+    _, copies, gone = found(docs, key)
+    rows = _texts(docs, key).join(copies, "cls", "left").join(gone, ["pid", "cls"], "left")
+    rows = rows.withColumn("text", F.when(F.col("first") < F.col("pid"), F.lit("")).otherwise(F.col("text")))
+    return rows.select("doc_id", "text", "gone").mapInArrow(_rewrite, "doc_id long, text string").select(F.col("doc_id").cast(kind).alias(key), "text")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = intervals_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", "text", "gone").mapInPandas(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return digests(table(spark, sf_dir, "documents"))
 
 
 ORACLE = rf"""
