@@ -14,7 +14,8 @@ Jaccard similarity is at least THRESHOLD.
 
 Buckets and components with more than BLOCK members (or SHINGLES shingles) are split into blocks, and
 pairs of blocks are dealt to tasks, so none is held whole, nothing is capped, and only rows per
-member leave a task. A pair of similarity 0.8 shares no band with a probability of 3e-5, and is
+member leave a task. Counting every link of a component of m different texts compares m * m pairs and carries each text
+m / BLOCK times; equal texts are one member, whatever their number. A pair of similarity 0.8 shares no band with a probability of 3e-5, and is
 pruned with a probability of at most TOLERANCE at each comparison.
 
 Defined cases: null or blank texts have no shingles and no links, each is its own class; a text of
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, connected_components, staged, table
+from tessera.llm.common import WORD, connected_components, drop_path, new_path, staged, table
 from tessera.llm.shingles import WordHashes, chunks, minima32, scramble, shingles
 
 THRESHOLD = 0.8
@@ -180,7 +181,7 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     often = np.bincount(column) > 1
     keep = often[column]
     column, owner = (np.cumsum(often) - 1)[column[keep]], owner[keep]
-    out = np.zeros((n, n), np.float32)
+    out = np.zeros((n, n))
     width = 2048
     for c in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, [c, c + width])
@@ -204,7 +205,7 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             size, copies, cls = np.array([len(s) for s in sets]), g.copies.to_numpy(), g.cls.tolist()
             common = common_counts(sets)
             # J >= t as common * (1 + t) >= t * (|a| + |b|), in whole numbers: t is 4/5
-            linked = common * 9 >= 4 * (size[:, None] + size[None, :])
+            linked = common.astype(np.int64) * 9 >= 4 * (size[:, None] + size[None, :])
             np.fill_diagonal(linked, False)
             b1, b2, block = g.b1.iloc[0], g.b2.iloc[0], g.block.to_numpy()
             if b1 != b2:
@@ -229,7 +230,7 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _verified(rows: list[tuple]) -> pd.DataFrame:
     f = pd.DataFrame(rows, columns=["cls", "links", "label", "root", "other"])
-    f["label"] = f["label"].astype("Int64")
+    f["label"] = pd.array([r[2] for r in rows], "Int64")  # a column of numbers and nothing would pass through floats
     return f
 
 
@@ -252,14 +253,17 @@ def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     pid = F.coalesce(F.col(key).cast("long"), F.lit(BIG))
     rows = docs.select(F.col(key), pid.alias("pid"), F.unhex(F.md5(text)).alias("cls"), text.alias("text"))
-    signed = staged(rows.select("pid", "cls", "text").mapInPandas(_sign, SIGNED), "signed")
+    path = new_path(spark, "signed")
+    signed = staged(rows.select("pid", "cls", "text").mapInPandas(_sign, SIGNED), "", path)
     reps = staged(signed.groupBy("cls").agg(F.min("pid").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "classes")
+    drop_path(spark, path)
     banded = reps.select("cls", F.explode("keys").alias("key"))
     full = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    full = staged(full, "full-buckets")
     members = _dealt(banded.join(full, "key"), "key", "blocks").select("key", "b1", "b2", "block", "cls").join(reps.select("cls", "sig"), "cls")
     edges = members.repartition(parts, *TASK).sortWithinPartitions(*TASK).mapInPandas(_prune, "a binary, b binary")
     comps = staged(connected_components(edges).select(F.col("id").alias("cls"), F.col("component").alias("comp")).join(reps.select("cls", "rep", "copies", "n"), "cls"), "components")
-    sizes = comps.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / SHINGLES)).alias("blocks"))
+    sizes = staged(comps.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / SHINGLES)).alias("blocks")), "component-sizes")
     comps = comps.join(sizes, "comp")
     # always by shuffling: a plan that changes with the size would not show on small tables what large ones cost
     wanted = comps.select(F.col("rep").alias("pid"), "cls").hint("merge")
@@ -274,7 +278,8 @@ def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     per_class = reps.select("cls", "rep", "copies").join(links, "cls", "left").join(labels, "cls", "left").select(
         "cls", F.coalesce("far_root", "near_root", "cls").alias("root"), F.coalesce("far", "label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    out = rows.select(key, "pid", "cls").join(per_class, "cls", "left")
+    # written, so that Spark can split a class that holds many of the rows
+    out = rows.select(key, "pid", "cls").join(staged(per_class, "per-class"), "cls", "left")
     class_id = F.coalesce("class_id", "pid")
     class_id = F.when(class_id == BIG, F.col(key).cast("long")).otherwise(class_id).alias("class_id")
     return out.select(key, "pid", "cls", "root", class_id, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
