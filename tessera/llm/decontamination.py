@@ -10,7 +10,11 @@ and one of HASHES equal MinHash values makes a candidate: a passage at that boun
 probability below 4e-6. Minima of the larger segments come from those of the smaller. Candidates are
 verified by the exact share of the item's shingles in the whole document.
 
-Documents are never shuffled: items come in blocks of at most ITEM_BLOCK to every task, one pass a block.
+Documents are never shuffled: items come to every task in blocks of at most about BLOCK_CHARS characters, one pass a
+block, so that what is broadcast is bounded whatever the number and length of the items (one item is never cut).
+
+What is found are items of which a passage holds the share; shingles that lie scattered over a document count when a
+candidate is verified, but a document that has them scattered only is not surely a candidate.
 
 Defined cases: a null or blank text holds nothing; a text of one to four words is one shingle, so it
 matches an equal text only; blank items never match; repeated rows are reported each; an empty table
@@ -22,11 +26,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import WORD, table
 from tessera.llm.shingles import WordHashes, chunks, minima, shingles
 
 HASHES = 64
@@ -34,16 +38,16 @@ THRESHOLD = 0.8
 SMALLEST = 16
 #: Items of up to so many shingles are looked up without MinHash, whose segments are too long for them.
 EXACT = 8
-#: Items of one pass; about 1 KB each goes to every executor.
-ITEM_BLOCK = 20_000
+#: Characters of the items of one pass (the index takes about eight bytes for each); an item counts for ITEM_CHARS more, its MinHash values.
+BLOCK_CHARS, ITEM_CHARS = 8_000_000, 100
 SEED = 9
 
 
 class ItemIndex:
     """The items of a block: shingle sets, and for each size class the MinHash values to look for."""
 
-    def __init__(self, ids: list, texts: list):
-        self.ids, self.sets, self.classes = ids, [], {}
+    def __init__(self, texts: list):
+        self.sets, self.classes = [], {}
         values, counts = shingles(texts, WordHashes())
         for i, x in enumerate(np.split(values, np.cumsum(counts)[:-1]) if len(counts) else []):
             self.sets.append(np.unique(x))
@@ -116,51 +120,58 @@ class ItemIndex:
 
 
 def _blocks(spark: SparkSession, benchmark: DataFrame):
-    """Indexes of the items, at most about ITEM_BLOCK each."""
-    n = benchmark.count()
-    parts = -(-n // ITEM_BLOCK)
+    """(indexes of the items, their keys as Arrow values) of blocks of at most about BLOCK_CHARS characters."""
+    weight = F.length(F.coalesce("text", F.lit(""))) + ITEM_CHARS
+    key = F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    items = benchmark.where(F.col("text").rlike(WORD)).select("item_id", "text")
+    parts = -(-(items.agg(F.sum(weight.cast("long"))).first()[0] or 0) // BLOCK_CHARS)
     for k in range(parts):
-        part = benchmark if parts == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        rows = part.select("item_id", "text").collect()
-        yield spark.sparkContext.broadcast(ItemIndex([r[0] for r in rows], [r[1] for r in rows]))
+        t = (items if parts == 1 else items.where(F.pmod(key, F.lit(parts)) == k)).toArrow()
+        ids, texts = t.column("item_id").combine_chunks(), t.column("text").to_pylist()
+        yield spark.sparkContext.broadcast((ItemIndex(texts), ids))
 
 
-PAIRS = "doc_id long, item_id long, n_shared long, n_item long"
+def _found(index, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, int]]]]:
+    """Each batch with the (row, item, shingles shared) in it."""
+    known = WordHashes()
+    for b in batches:
+        texts, out = b.column("text").to_pylist(), []
+        for s in chunks(texts):
+            out += [(s.start + d, i, n) for d, i, n in index.search(texts[s], known)]
+        yield b, out
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Pairs (doc_id, item_id, n_shared, n_item) where the document holds at least THRESHOLD of the item."""
+    """Pairs (doc_id, item_id, n_shared, n_item) where the document holds at least THRESHOLD of the item; ids keep their types."""
     spark, out = docs.sparkSession, None
-    for index in _blocks(spark, benchmark):
-
-        def search(frames: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            known, ix = WordHashes(), index.value
-            for f in frames:
-                ids, texts = f.doc_id.tolist(), f.text.tolist()
-                for s in chunks(texts):
-                    rows = [(ids[s][d], ix.ids[i], n, len(ix.sets[i])) for d, i, n in ix.search(texts[s], known)]
-                    yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_shared", "n_item"]).astype({"doc_id": "Int64", "item_id": "Int64"})
-
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(search, PAIRS)
+    kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
+    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_shared long, n_item long"
+    for block in _blocks(spark, benchmark):
+
+        def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            index, ids = block.value
+            for b, pairs in _found(index, batches):
+                rows, items = pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())
+                shared, sizes = pa.array([p[2] for p in pairs], pa.int64()), pa.array([len(index.sets[p[1]]) for p in pairs], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), ids.take(items), shared, sizes], ["doc_id", "item_id", "n_shared", "n_item"])
+
+        found = docs.select("doc_id", "text").mapInArrow(search, schema)
         out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], PAIRS) if out is None else out
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item, decided in place."""
+    """The rows of docs that hold no item, decided in place; rows are passed on as they are."""
     spark = docs.sparkSession
-    for index in _blocks(spark, benchmark):
-
-        def clean(frames: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            known, ix = WordHashes(), index.value
-            for f in frames:
-                texts, bad = f.text.tolist(), np.zeros(len(f), bool)
-                for s in chunks(texts):
-                    for d, _, _ in ix.search(texts[s], known):
-                        bad[s.start + d] = True
-                yield f[~bad]
-
-        docs = docs.mapInPandas(clean, docs.schema)
+    for block in _blocks(spark, benchmark):
+
+        def clean(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for b, pairs in _found(block.value[0], batches):
+                good = np.ones(b.num_rows, bool)
+                good[[d for d, _, _ in pairs]] = False
+                yield b.filter(pa.array(good))
+
+        docs = docs.mapInArrow(clean, docs.schema)
     return docs
 
 
