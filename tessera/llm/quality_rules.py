@@ -5,7 +5,7 @@ rate of each host is shrunk towards an empirical beta prior, and the host's verd
 
 Defined cases: a null text counts as empty (no words, base rules fail it); a null host is a host of
 its own; repeated rows are judged alike, one result row each; an empty table gives an empty result;
-other columns are ignored.
+other columns are ignored by the verdicts and kept by the filter, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ MAX_DUP_LINE_PCT = 60
 MEAN_WORD = (2.0, 16.0)
 #: A host whose shrunk failure rate is above this is rejected with all its documents.
 MAX_HOST_RATE = 0.5
-#: Rejected hosts up to this many are broadcast to the texts; more are joined by shuffling.
-BROADCAST_HOSTS = 50_000
 #: Bounds of the prior's strength, in documents.
 PRIOR = (1.0, 1000.0)
 
@@ -46,7 +44,8 @@ def repeated_window_words(w: Column, n: int = WINDOW) -> Column:
     Hashes only choose which windows to compare; the windows themselves decide.
     """
     starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    hashed = F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, n)))
+    single = F.transform(w, lambda x: F.xxhash64(x))
+    hashed = let(single, lambda h: F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + (j - 1)) for j in range(n)])))
 
     def exact(h: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), (i + 1).alias("i"))))
@@ -63,13 +62,13 @@ def document_stats(docs: DataFrame, *keep: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(SPACE)) != "")
     out = docs.select(
-        *keep,
+        F.struct(*keep).alias("keep"),
         let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_window_words(w).alias("n_repeat_words"))).alias("w"),
         F.length(F.translate(text, SPACE, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
     )
-    return out.select(*keep, "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines")
+    return out.select("keep.*", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines")
 
 
 def with_rules(stats: DataFrame) -> DataFrame:
@@ -107,7 +106,8 @@ def judge(docs: DataFrame, key: str = "doc_id", host: str = "source") -> DataFra
     """Rule counts and verdicts, one row per row of docs."""
     stats = staged(document_stats(docs, key, host), "quality")
     judged = with_rules(stats)
-    verdicts = host_verdicts(judged, host).withColumnRenamed(host, "_host")
+    # written, so that Spark can split a host with very many documents
+    verdicts = staged(host_verdicts(judged, host).withColumnRenamed(host, "_host"), "host-verdicts")
     return (
         judged.join(verdicts, judged[host].eqNullSafe(verdicts["_host"]))
         .withColumn("kept", ~F.col("failed") & F.col("host_kept"))
@@ -118,19 +118,14 @@ def judge(docs: DataFrame, key: str = "doc_id", host: str = "source") -> DataFra
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of docs that pass, with their own columns.
 
-    Verdicts are worked out beside the text in one narrow pass for the hosts, and again in place, so
-    that the texts themselves are never shuffled.
+    Counts are worked out once. What passes the rules is written with its verdict, of what fails the host only; then
+    the hosts are judged, and the rows of bad ones go.
     """
-    keep = [c for c in docs.columns]
-    stats = staged(document_stats(docs, host), "quality")
-    bad = staged(host_verdicts(with_rules(stats), host).where(~F.col("host_kept")).select(F.col(host).alias("_host")), "bad-hosts")
-    own = with_rules(document_stats(docs, *keep)).where(~F.col("failed")).select(*keep)
-    n = bad.count()
-    if n == 0:
-        return own
-    if n <= BROADCAST_HOSTS:
-        bad = F.broadcast(bad)
-    return own.join(bad, own[host].eqNullSafe(bad["_host"]), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text", F.col(host).alias("host"))
+    judged = with_rules(document_stats(rows, "doc", "host")).select("host", "failed", F.when(~F.col("failed"), F.col("doc")).alias("doc"))
+    judged = staged(judged, "quality")
+    bad = staged(host_verdicts(judged, "host").where(~F.col("host_kept")).select(F.col("host").alias("bad")), "bad-hosts")
+    return judged.where(~F.col("failed")).join(bad, F.col("host").eqNullSafe(F.col("bad")), "left_anti").select("doc.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
