@@ -2,7 +2,8 @@
 
 Every version of a text is addressed by its SHA-256. The ledger holds the (blob, rule version) pairs
 scanned so far with what was found; a run scans only unseen pairs, each blob once however many paths
-hold it, adds them to the ledger and joins the findings back to all paths.
+hold it, appends them to the ledger and joins the findings back to all paths. A new RULE_VERSION makes every pair new.
+Texts that no rule's hint fits are entered as clean where they are read; only the others are shuffled.
 
 Defined cases: a null text counts as empty and has no findings; repeated rows each get their
 findings; an empty table gives an empty result; other columns are ignored by the scan and kept by
@@ -12,12 +13,13 @@ the redaction. Offsets are code points, end exclusive.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, staged, table
+from tessera.llm.common import let, new_path, staged, table
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -81,37 +83,81 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
     return placed.groupBy("blob").agg(F.sort_array(F.collect_list(span)).cast(SPANS).alias("spans"))
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(paths with spans, ledger after the run).
+LEDGER = "blob binary, rule_version string, spans array<struct<start:bigint,kind:int,stop:bigint>>"
+
+
+def likely(text: Column) -> Column:
+    """Whether a rule may match; what no hint fits is clean, and its text need not travel."""
+    return reduce(lambda a, b: a | b, [F.coalesce(text.rlike(r.hint), F.lit(False)) for r in RULES])
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at path, empty before the first run."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return spark.read.schema(LEDGER).parquet(path)
+    return spark.createDataFrame([], LEDGER)
+
 
-    docs: key and text; ledger: blob, rule_version, spans (null where nothing was found).
-    Copies of a blob meet in a map-side aggregate, so a blob that holds a third of all rows sends one
+def address(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, blob, likely) of every row, written: what a run needs of a text that is clean or seen."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return staged(docs.select(key, blob_id(text).alias("blob"), likely(text).alias("likely")), "secret-paths")
+
+
+def unseen(docs: DataFrame, paths: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Ledger rows of the blobs of docs that the ledger lacks under RULE_VERSION, each scanned once.
+
+    paths: see address. Blobs without a hint are entered as clean from their address alone; of the others one text each
+    meets the ledger. Copies of a blob meet in a map-side aggregate, so a blob that holds a third of all rows sends one
     row per task.
     """
-    addressed = docs.select(blob_id(F.col("text")).alias("blob"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    blobs = addressed.groupBy("blob").agg(F.first("text").alias("text"))
-    if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
-    found = staged(scan_blobs(blobs), "secret-findings")
-    paths = docs.select(key, blob_id(F.col("text")).alias("blob"))
-    seen = paths.select("blob").distinct()
-    if ledger is not None:
-        seen = seen.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
-    new = seen.join(found, "blob", "left").select("blob", F.lit(RULE_VERSION).alias("rule_version"), "spans")
-    after = new if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(new)
-    known = found
-    if ledger is not None:
-        known = found.unionByName(ledger.where((F.col("rule_version") == RULE_VERSION) & F.col("spans").isNotNull()).select("blob", "spans"))
-    return paths.join(known, "blob", "left").drop("blob"), after
-
-
-def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span found replaced by a mark, n_chars brought up to date; rows stay."""
-    addressed = docs.select(blob_id(F.col("text")).alias("blob"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    found = staged(scan_blobs(addressed.groupBy("blob").agg(F.first("text").alias("text"))), "secret-findings")
+    known = ledger.where(F.col("rule_version") == RULE_VERSION).select("blob")
+    new = paths.groupBy("blob").agg(F.first("likely").alias("likely")).join(known, "blob", "left_anti")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    texts = docs.where(likely(F.col("text"))).select(blob_id(text).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    found = scan_blobs(texts.join(known, "blob", "left_anti"))
+    return new.join(found, "blob", "left").select("blob", F.lit(RULE_VERSION).alias("rule_version"), "spans")
+
+
+def update(docs: DataFrame, path: str, paths: DataFrame | None = None) -> None:
+    """One run: scan what is new in docs and append it to the ledger at path. One run at a time writes a ledger.
+
+    A run that fails has appended nothing, or all: run again, it scans what is still unseen.
+    """
+    ledger = read_ledger(docs.sparkSession, path)
+    new = staged(unseen(docs, address(docs) if paths is None else paths, ledger), "secret-entries")
+    new.write.mode("append").parquet(path)
+
+
+def findings(paths: DataFrame, path: str) -> DataFrame:
+    """Every path (key, blob) with the spans that the ledger has of its blob, null if none."""
+    ledger = read_ledger(paths.sparkSession, path)
+    known = ledger.where((F.col("rule_version") == RULE_VERSION) & F.col("spans").isNotNull()).select("blob", "spans")
+    return paths.drop("likely").join(known, "blob", "left")
+
+
+def scan(docs: DataFrame, ledger: DataFrame | None = None, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(paths with spans, ledger after the run), without a folder: ledger has the rows of earlier runs."""
+    before = docs.sparkSession.createDataFrame([], LEDGER) if ledger is None else ledger.select("blob", "rule_version", "spans")
+    paths = address(docs, key)
+    after = before.unionByName(staged(unseen(docs, paths, before), "secret-entries"))
+    known = after.where((F.col("rule_version") == RULE_VERSION) & F.col("spans").isNotNull()).select("blob", "spans")
+    return paths.drop("likely").join(known, "blob", "left").drop("blob"), after
+
+
+def redact(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """docs with every span found replaced by a mark, n_chars brought up to date; rows stay.
+
+    path: a ledger that earlier runs have written to; without one every blob is new. Rows without a hint are passed on
+    in place, whatever their columns are named.
+    """
+    spark = docs.sparkSession
+    path = path or new_path(spark, "secret-ledger")
+    update(docs, path, address(docs, docs.columns[0]))
     text = F.col("text")
 
-    def cut(spans: Column) -> Column:
+    def cut(spans: Column, text: Column) -> Column:
         def piece(s: Column, i: Column) -> Column:
             done = F.when(i == 0, F.lit(0)).otherwise(F.array_max(F.transform(F.slice(spans, 1, i), lambda x: x["stop"])))
             return F.when(s["start"] >= done, F.concat(F.substr(text, (done + 1).cast("int"), (s["start"] - done).cast("int")), F.lit(MARK))).otherwise("")
@@ -119,12 +165,14 @@ def redact(docs: DataFrame) -> DataFrame:
         last = F.array_max(F.transform(spans, lambda x: x["stop"]))
         return F.concat(F.array_join(F.transform(spans, piece), ""), F.substr(text, (last + 1).cast("int"), F.length(text)))
 
-    joined = docs.withColumn("_blob", blob_id(text)).join(found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left")
-    new = F.when(F.col("_spans").isNull(), text).otherwise(cut(F.col("_spans")))
-    out = joined.withColumn("text", new)
+    rows = docs.where(likely(text)).select(F.struct(*docs.columns).alias("doc"), blob_id(text).alias("blob"))
+    rows = findings(rows, path)
+    own, spans = F.col("doc")["text"], F.col("spans")
+    new = F.when(spans.isNull(), own).otherwise(cut(spans, own))
+    columns = {c: F.col("doc")[c] for c in docs.columns} | {"text": new}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        columns["n_chars"] = F.when(spans.isNull(), F.col("doc")["n_chars"]).otherwise(F.length(new).cast(docs.schema["n_chars"].dataType))
+    return docs.where(~likely(text)).unionByName(rows.select(*[c.alias(n) for n, c in columns.items()]))
 
 
 def digest_columns(paths: DataFrame) -> DataFrame:
@@ -140,8 +188,13 @@ def digest_columns(paths: DataFrame) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths, _ = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return digest_columns(paths)
+    """Two runs over one ledger: the versions that were there first (even ids), then all, of which only the rest is scanned."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), new_path(spark, "secret-ledger")
+    paths = address(docs)
+    earlier = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
+    update(docs.where(earlier), path, paths.where(earlier))
+    update(docs, path, paths)
+    return digest_columns(findings(paths, path))
 
 
 def _oracle() -> str:
