@@ -1,115 +1,122 @@
-"""Content-addressed WARC archive (operator 6).
-
-Payload bytes are stored once, under their SHA-256, by the response record of the smallest page id;
-records with an equal payload are revisits that hold no payload. Each record's exact header stands
-apart from the payloads, and a record is rebuilt by joins: header to payload digest, revisit to
-response. The archives are WARC/1.1 files, written by Spark's text writer with the record end as line
-separator, so they can lie in any store that Spark reaches; they are read back as binary files and
-parsed by Content-Length. Reading checks both digests of every payload.
-
-Defined cases: a null html is an empty payload; a null url becomes an empty target URI; a null page
-id ranks after all others and revisits the smallest id, or is the response if there is none; rows
-with the same page id and payload are all responses (equal records); an empty table gives an empty
-archive; other columns are ignored. min_revisit_bytes leaves smaller payloads as responses each.
+"""Content-addressed WARC archive (operator 6, DataFrame functions; files are parsed in Python).
+
+An archive has two parts. payloads holds the bytes of each distinct payload once, under their SHA-256; headers holds the
+exact header of every record apart, with the digest of its payload: one WARC/1.1 record per row, a response for the
+smallest page id of a payload, revisits for the others. Records are rebuilt by joins, header to payload, and what is
+rebuilt is verified: both digests and the length that the header states are worked out from the bytes again, and reading
+fails where they differ.
+
+export writes the records as gzipped WARC files of about FILE_BYTES, through Spark's text writer with the record end as
+line separator, so they can lie in any store that Spark reaches; import_files reads such files by Content-Length.
+
+Defined cases: a null html is an empty payload; a null url becomes an empty target URI, of other urls CR, LF and % are
+escaped where one of them breaks a line; a null page id ranks after all others and revisits the smallest id, or is the
+response if there is none; rows with the same page id and payload are all responses (equal records); an empty table
+gives an empty archive; other columns are ignored. min_revisit_bytes leaves smaller payloads as responses each.
 """
 
 from __future__ import annotations
 
-import base64
-import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path, table
+from tessera.llm.common import new_path, staged, table
 
 RECORD_END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records of an archive file at most; a file is read back whole by one task.
-FILE_RECORDS = 500
-
-
-def record_id(page_id: object, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}')}>"
-
-
-def sha1_of(payload: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
-
-
-def _uri(url: str | None) -> str:
-    return (url or "").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if url and ("\r" in url or "\n" in url) else (url or "")
-
+LAST = 2**63 - 1
+#: Bytes of an exported file, on average; a file is read back whole by one task, a larger record alone.
+FILE_BYTES = 64 << 20
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+def base32_sha1(payload: Column) -> Column:
+    """The SHA-1 of binary in base32: ten hex digits at a time make eight symbols."""
+    h = F.sha1(payload)
+    symbols = F.concat(*[F.lpad(F.conv(F.substring(h, 1 + 10 * i, 10), 16, 32), 8, "0") for i in range(4)])
+    return F.translate(symbols, "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
+
+
+def record_id(page_id: Column, sha256: Column) -> Column:
+    """A name-based UUID of id and payload digest."""
+    h = F.sha1(F.concat(F.coalesce(page_id.cast("string"), F.lit("")), F.lit("/"), sha256).cast("binary"))
+    part = lambda a, n: F.substring(h, a, n)
+    return F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-a"), part(18, 3), F.lit("-"), part(21, 12), F.lit(">"))
+
+
+def _header(kind: Column, page_id: Column, url: Column, sha256: Column, sha1: Column, length: Column, first: Column) -> Column:
+    """The exact header of a record, with the empty line that ends it."""
+    uri = F.coalesce(url, F.lit(""))
+    uri = F.when(uri.rlike("[\r\n]"), F.replace(F.replace(F.replace(uri, F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))).otherwise(uri)
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+    revisit = kind == "revisit"
+    return F.concat(
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", kind), line("WARC-Record-ID", record_id(page_id, sha256)), line("WARC-Date", F.lit(DATE)), line("WARC-Target-URI", uri),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1)), line("X-Payload-SHA256", sha256), line("X-Page-Id", F.coalesce(page_id.cast("string"), F.lit(""))),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", record_id(first, sha256)))).otherwise(line("Content-Type", F.lit("text/html; charset=utf-8"))),
+        line("Content-Length", F.when(revisit, F.lit("0")).otherwise(length.cast("string"))), F.lit("\r\n"),
+    )
 
-def _id(v: object) -> str:
-    return "" if v is None or v != v else str(int(v))
 
+def field(header: Column, name: str) -> Column:
+    """A header field, null if it is not there."""
+    return F.nullif(F.regexp_extract(header, rf"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
 
-def header_of(kind: str, page_id: object, url: str | None, sha256: str, sha1: str, length: int, refers: object = None) -> str:
-    lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(_id(page_id), sha256)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_uri(url)}",
-        f"WARC-Payload-Digest: sha1:{sha1}", f"X-Payload-SHA256: {sha256}", f"X-Page-Id: {_id(page_id)}",
-    ]
-    if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(_id(refers), sha256)}"]
-    else:
-        lines += ["Content-Type: text/html; charset=utf-8"]
-    return "\r\n".join([*lines, f"Content-Length: {length}"]) + RECORD_END
 
+def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> None:
+    """Write the archive of pages (page_id, url, html) to path: payloads by digest, and headers."""
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    raw = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("sha256", F.sha2("payload", 256))
+    # equal payloads meet in a map-side aggregate: one that a third of the pages have sends one row per task
+    raw.groupBy("sha256").agg(F.first("payload").alias("payload")).write.parquet(path + "/payloads")
+    narrow = staged(raw.select("page_id", "url", "sha256", base32_sha1(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("n")), "warc-pages")
+    pid = F.coalesce(F.col("page_id"), F.lit(LAST))
+    # written, so that Spark can split the payload that very many pages have
+    first = staged(narrow.groupBy("sha256").agg(F.min(pid).alias("first")), "warc-first")
+    small = F.col("n") < min_revisit_bytes
+    rows = narrow.join(first, "sha256").withColumn("kind", F.when(small | (pid == F.col("first")), "response").otherwise("revisit"))
+    refers = F.when((F.col("kind") == "revisit") & (F.col("first") < LAST), F.col("first"))
+    header = _header(F.col("kind"), F.col("page_id"), F.col("url"), F.col("sha256"), F.col("sha1"), F.col("n"), refers)
+    rows.select(header.alias("header"), "sha256").write.parquet(path + "/headers")
 
-def _records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        out = []
-        for page_id, url, html, sha256, sha1, kind, first in zip(f.page_id, f.url, f.html, f.sha256, f.sha1, f.kind, f.first_id):
-            if kind == "response":
-                payload = html.encode()
-                out.append(header_of(kind, page_id, url, sha256, sha1, len(payload)) + html)
-            else:
-                out.append(header_of(kind, page_id, url, sha256, sha1, 0, first))
-        yield pd.DataFrame({"value": out})
 
+def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(headers, payloads): exact record headers with their payload's digest, and payload bytes once per digest."""
+    headers = spark.read.schema("header string, sha256 string").parquet(path + "/headers")
+    return headers, spark.read.schema("sha256 string, payload binary").parquet(path + "/payloads")
 
-def _sha1(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        f["sha1"] = [sha1_of(x.encode()) for x in f.html]
-        yield f
 
+def restore(spark: SparkSession, path: str) -> DataFrame:
+    """Every record with its full payload, rebuilt by joins and verified.
 
-def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> None:
-    """Write the archive of pages (page_id, url, html) to path: headers and payloads of responses, then revisits."""
-    big = F.lit(2**63 - 1).cast("long")
-    html = F.coalesce(F.col("html"), F.lit(""))
-    raw = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("sha256"))
-    ids = raw.select(F.coalesce(F.col("page_id").cast("long"), big).alias("pid"), "sha256", F.octet_length("html").alias("n"))
-    first = ids.where(F.col("n") >= min_revisit_bytes).groupBy("sha256").agg(F.min("pid").alias("first_pid"))
-    # responses carry their html to where their id is; the copies' html never leaves the scan
-    held = raw.withColumn("pid", F.coalesce(F.col("page_id").cast("long"), big))
-    keys = first.select(F.col("first_pid").alias("pid"), "sha256")
-    responses = held.join(keys, ["pid", "sha256"], "left_semi")
-    if min_revisit_bytes > 0:
-        responses = responses.unionByName(held.where(F.octet_length("html") < min_revisit_bytes))
-    schema = "page_id long, url string, html string, sha256 string, sha1 string"
-    cols = ["page_id", "url", "html", "sha256"]
-    out = responses.select(F.col("page_id").cast("long"), "url", "html", "sha256").mapInPandas(_sha1, schema).withColumn("kind", F.lit("response")).withColumn("first_id", F.lit(None).cast("long"))
-    _put(out, path + "/responses")
-    # a digest is verified against the bytes that were stored under it, and revisits copy it from there
-    stored = _parsed(pages.sparkSession, path + "/responses").select("sha256", F.col("payload_digest").alias("sha1")).distinct()
-    rest = (
-        raw.select(F.col("page_id").cast("long"), "url", F.lit("").alias("html"), "sha256", F.octet_length("html").alias("n"))
-        .withColumn("pid", F.coalesce(F.col("page_id"), big)).where(F.col("n") >= min_revisit_bytes)
-        .join(first, "sha256").where("pid <> first_pid").join(stored, "sha256")
-        .select(*cols, "sha1", F.lit("revisit").alias("kind"), F.when(F.col("first_pid") < big, F.col("first_pid")).alias("first_id"))
+    (page_id, record_id, record_type, refers_record, sha256, payload_digest, header, payload)
+    """
+    headers, payloads = read(spark, path)
+    # a payload is verified once, under its digest, before it is joined to its records
+    payloads = payloads.withColumn("sha1", base32_sha1(F.col("payload"))).withColumn("good", F.sha2("payload", 256) == F.col("sha256")).withColumnRenamed("sha256", "_sha256")
+    h = F.col("header")
+    rows = headers.select(
+        field(h, "X-Page-Id").cast("long").alias("page_id"), field(h, "WARC-Record-ID").alias("record_id"), field(h, "WARC-Type").alias("record_type"), field(h, "WARC-Refers-To").alias("refers_record"),
+        field(h, "X-Payload-SHA256").alias("sha256"), F.replace(field(h, "WARC-Payload-Digest"), F.lit("sha1:"), F.lit("")).alias("payload_digest"), field(h, "Content-Length").cast("long").alias("stated"), "header",
     )
-    _put(rest, path + "/revisits")
+    joined = rows.join(payloads, F.col("sha256") == F.col("_sha256"), "left")
+    right = F.col("good") & (F.col("sha1") == F.col("payload_digest")) & ((F.col("record_type") == "revisit") | (F.col("stated") == F.octet_length("payload")))
+    checked = F.when(F.coalesce(right, F.lit(False)), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload does not have the digest and length of its record: "), F.col("record_id"))))
+    return joined.select("page_id", "record_id", "record_type", "refers_record", "sha256", "payload_digest", "header", checked.cast("binary").alias("payload"))
 
 
-def _put(rows: DataFrame, path: str) -> None:
-    rows.mapInPandas(_records, "value string").write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def export(spark: SparkSession, path: str, files: str) -> None:
+    """Write the archive at path as gzipped WARC files: responses with their payload, revisits without."""
+    rows = restore(spark, path).select("record_type", "record_id", F.when(F.col("record_type") == "response", F.concat("header", F.col("payload").cast("string"))).otherwise(F.col("header")).alias("value"))
+    rows = staged(rows, "warc-records")
+    size = rows.agg(F.sum(F.octet_length("value").cast("long"))).first()[0] or 0
+    parts = -(-size // FILE_BYTES) or 1
+    rows.repartition(parts, "record_id").select("value").write.option("lineSep", RECORD_END).option("compression", "gzip").text(files)
 
 
 def parse(data: bytes) -> Iterator[tuple[str, dict[str, str], bytes]]:
@@ -126,61 +133,39 @@ def parse(data: bytes) -> Iterator[tuple[str, dict[str, str], bytes]]:
         at = end + n + 4
 
 
-def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        for content in f.content:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        headers, kinds, payloads = zip(*rows) if rows else ((),) * 3
+        return pa.RecordBatch.from_arrays([pa.array(headers, pa.string()), pa.array(kinds, pa.string()), pa.array(payloads, pa.binary())], ["header", "record_type", "payload"])
+
+    for b in batches:
+        for content in b.column("content").to_pylist():
             rows, held = [], 0
             for header, x, payload in parse(zlib.decompress(content, 31)):
-                kind, sha1 = x["WARC-Type"], x["WARC-Payload-Digest"].removeprefix("sha1:")
-                if kind == "response" and (sha1_of(payload) != sha1 or hashlib.sha256(payload).hexdigest() != x["X-Payload-SHA256"]):
-                    raise ValueError(f"payload of {x['WARC-Record-ID']} does not have its digest")
-                rows.append((int(x["X-Page-Id"]) if x["X-Page-Id"] else None, x["WARC-Record-ID"], kind, x.get("WARC-Refers-To"), x["X-Payload-SHA256"], sha1, header, payload if kind == "response" else None, len(payload)))
+                rows.append((header, x["WARC-Type"], payload))
                 held += len(payload) + len(header)
                 if held > 4 << 20:
-                    yield _frame(rows)
+                    yield batch(rows)
                     rows, held = [], 0
-            if rows:
-                yield _frame(rows)
-
-
-PARSED = "page_id long, record_id string, record_type string, refers_record string, sha256 string, payload_digest string, header string, payload binary, content_length long"
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    f = pd.DataFrame(rows, columns=[x.split()[0] for x in PARSED.split(", ")])
-    f["page_id"] = f["page_id"].astype("Int64")
-    return f
-
+            yield batch(rows)
 
-def _parsed(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInPandas(_read, PARSED)
 
-
-def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(headers, payloads): exact record headers with their digest, and payload bytes once per digest."""
-    every = _parsed(spark, path + "/responses").unionByName(_parsed(spark, path + "/revisits"))
-    headers = every.drop("payload")
-    payloads = _parsed(spark, path + "/responses").select("sha256", "payload", "content_length").dropDuplicates(["sha256"])
-    return headers, payloads
-
-
-def restore(spark: SparkSession, path: str) -> DataFrame:
-    """Every record with its header and full payload, rebuilt by joins."""
-    headers, payloads = read(spark, path)
-    return headers.drop("content_length").join(payloads, "sha256")
+def import_files(spark: SparkSession, files: str, path: str) -> None:
+    """Make an archive at path of WARC files that export has written."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(files).select("content").mapInArrow(_read, "header string, record_type string, payload binary")
+    found = staged(found, "warc-imported")
+    found.where("record_type = 'response'").groupBy(F.sha2("payload", 256).alias("sha256")).agg(F.first("payload").alias("payload")).write.parquet(path + "/payloads")
+    found.select("header", field(F.col("header"), "X-Payload-SHA256").alias("sha256")).write.parquet(path + "/headers")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record, as rebuilt from the archive; a revisit's response is found by the record that it refers to."""
     path = new_path(spark, "warc")
-    write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    responses = _parsed(spark, path + "/responses").select("page_id", "record_id", "record_type", "sha256", "payload_digest", "content_length")
-    revisits = _parsed(spark, path + "/revisits").select("page_id", "record_type", "refers_record", "payload_digest", "sha256")
-    source = responses.select(F.col("record_id").alias("refers_record"), F.col("page_id").alias("refers_to"), "content_length").dropDuplicates(["refers_record"])
-    joined = revisits.join(source, "refers_record")
-    return responses.select("page_id", F.col("content_length").alias("payload_bytes"), "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"), "sha256").unionByName(
-        joined.select("page_id", F.col("content_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "sha256")
-    )
+    write(table(spark, sf_dir, "pages"), path)
+    records = restore(spark, path).select("page_id", "record_id", "record_type", "refers_record", "sha256", "payload_digest", F.octet_length("payload").cast("long").alias("payload_bytes"))
+    records = staged(records, "warc-restored")
+    source = staged(records.where("record_type = 'response'").groupBy(F.col("record_id").alias("source_record")).agg(F.min("page_id").alias("refers_to")), "warc-sources")
+    return records.join(source, F.col("refers_record") == F.col("source_record"), "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "sha256")
 
 
 #: The digest in base32: five bytes of SHA-1 at a time make eight symbols.
