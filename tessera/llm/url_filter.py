@@ -1,17 +1,18 @@
 """URL filter by a ratio of character language models (operator 7, DataFrame functions only).
 
-Rules on host and path decide first, the longest that fits. All other URLs are judged by two smoothed
-variable-order Markov models, one of the URLs that rules accept and one of those they reject. Orders
-0 to 2 are blended by how varied each context has been (Witten-Bell). The verdict compares the
-length-normalised log-likelihood difference with a threshold calibrated on rule-labelled URLs that
-the models have not seen.
-
-The alphabet has 34 symbols, so the model is one array of 34^3 ratios whatever the input's size; a
-score is worked out in place from it and no URL is ever shuffled for scoring.
-
-Defined cases: a null URL or one without :// has empty host and path and is judged as the empty
-string; repeated rows are judged alike; an empty table gives an empty result; without labelled URLs
-every ratio is 0 and the verdict is allow; other columns are ignored.
+Rules on host and path decide first, the longest that fits. All other URLs are judged by two smoothed variable-order
+Markov models, one of the URLs that the rules accept and one of those they reject (the rules are the only labels). Each
+symbol is judged after the longest context that its model has seen, up to ORDER symbols, blended with the shorter ones
+by how varied each context has been (Witten-Bell). The verdict compares the length-normalised log-likelihood difference
+with a threshold calibrated on rule-labelled URLs that the models have not seen.
+
+Every distinct URL is cut to its sequences of ORDER + 1 symbols; each distinct sequence is judged once, in joins with
+the counts of its ends, and the ratios are summed by URL in whole millionths, so no order of adding changes a score.
+The work is linear in the length of a URL, and only a histogram of scores reaches the driver.
+
+Defined cases: a null URL or one without :// has empty host and path and is judged as the empty string; repeated rows
+are judged alike; an empty table gives an empty result; without labelled URLs every ratio is 0 and the verdict is allow;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +33,12 @@ RULES = (
 #: Symbols: letters, any digit, separators, any other, end, start.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0/._-~$^"
 A = len(ALPHABET)
+#: Symbols of the longest context.
+ORDER = 4
 #: Share of accepted held-out URLs that may be blocked.
 FALSE_BLOCK = 0.01
-#: Score steps of one nat in which the threshold is calibrated.
-STEPS = 1000
+#: Ratios are whole parts of a nat, scores are whole parts of a nat per symbol.
+PARTS, STEPS = 1_000_000, 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT_URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -55,64 +58,60 @@ def with_parts(pages: DataFrame) -> DataFrame:
 def symbols(host: Column, path: Column) -> Column:
     """The string that the models read: start marks, host and path in the alphabet, end mark."""
     s = F.translate(F.concat(host, path), UPPER + "123456789", LOWER + "0" * 9)
-    return F.concat(F.lit("^^"), F.regexp_replace(s, r"[^a-z0/._-]", "~"), F.lit("$"))
-
-
-def cells(s: Column) -> Column:
-    """Numbers of the three-symbol sequences in s."""
-    chars = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.instr(F.lit(ALPHABET), F.substr(s, i, F.lit(1))) - 1)
-    return let(chars, lambda c: F.transform(F.slice(c, 3, F.size(c)), lambda x, i: (F.get(c, i) * A + F.get(c, i + 1)) * A + x))
-
-
-def train(labelled: DataFrame) -> DataFrame:
-    """One row per cell: log ratio of the rejected to the accepted model. labelled: s, blocked."""
-    counts = labelled.select("blocked", F.explode(cells(F.col("s"))).alias("cell")).groupBy("cell").agg(
-        F.count(F.when(F.col("blocked"), 1)).alias("n1"), F.count(F.when(~F.col("blocked"), 1)).alias("n0")
-    )
-    every = labelled.sparkSession.range(A**3).select(F.col("id").cast("int").alias("cell"))
-    c3 = staged(every.join(counts, "cell", "left").fillna(0, ["n0", "n1"]).selectExpr("cell", f"cell div {A} AS ab", f"cell % {A * A} AS bc", f"(cell div {A}) % {A} AS b", f"cell % {A} AS c", "n0", "n1"), "url-counts")
-    c3.createOrReplaceTempView("_url_cells")
-    logs = []
-    for k in "01":
-        logs.append(f"ln((n{k} + t3_{k} * (n2_{k} + t2_{k} * p1_{k}) / (m2_{k} + t2_{k})) / (m3_{k} + t3_{k}))")
-    two = ", ".join(f"sum(n{k}) AS n2_{k}" for k in "01")
-    ctx2 = ", ".join(f"sum(n2_{k}) AS m2_{k}, greatest(count_if(n2_{k} > 0), 1) AS t2_{k}" for k in "01")
-    ctx3 = ", ".join(f"sum(n{k}) AS m3_{k}, greatest(count_if(n{k} > 0), 1) AS t3_{k}" for k in "01")
-    one = ", ".join(f"(sum(n{k}) + 1.0D) / (sum(sum(n{k})) OVER () + {A}) AS p1_{k}" for k in "01")
-    spark = labelled.sparkSession
-    return spark.sql(f"""
-      WITH c2 AS (SELECT bc, b, {two} FROM _url_cells GROUP BY bc, b),
-           x2 AS (SELECT b, {ctx2} FROM c2 GROUP BY b),
-           x3 AS (SELECT ab, {ctx3} FROM _url_cells GROUP BY ab),
-           c1 AS (SELECT c, {one} FROM _url_cells GROUP BY c)
-      SELECT cell, {logs[1]} - {logs[0]} AS ratio
-      FROM _url_cells JOIN c2 USING (bc) JOIN x2 ON x2.b = _url_cells.b JOIN x3 USING (ab) JOIN c1 USING (c)
-    """)
+    return F.concat(F.lit("^" * ORDER), F.regexp_replace(s, r"[^a-z0/._-]", "~"), F.lit("$"))
 
 
-def judge(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """key, host, path, rule, score (nats per symbol, in 1/STEPS), verdict of every row."""
-    parts = with_parts(pages.select(key, "url")).withColumn("s", symbols(F.col("host"), F.col("path")))
-    labelled = parts.where("rule_verdict IS NOT NULL").select("s", (F.col("rule_verdict") == "block").alias("blocked"), (F.conv(F.substring(F.md5("s"), 1, 8), 16, 10).cast("long") % 5 == 0).alias("held_out"))
-    model = staged(train(labelled.where("NOT held_out")), "url-model")
-    # A**3 numbers, whatever the input: a constant of the plan that follows
-    ratios = F.split(F.lit(",".join(repr(x["ratio"]) for x in model.orderBy("cell").collect())), ",").cast("array<double>")
+def sequences(s: Column) -> Column:
+    """The sequences of ORDER + 1 symbols in s, one for each symbol after the start marks."""
+    return let(F.split(s, ""), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - (ORDER + 1)), lambda i: F.concat(*[F.get(c, i + j) for j in range(ORDER + 1)])))
+
+
+def train(counts: DataFrame, every: DataFrame) -> DataFrame:
+    """(seq, ratio) of every sequence: log ratio of the rejected to the accepted model, in PARTS.
+
+    counts: seq, n1, n0 (how often it stands in rejected and in accepted URLs); every: seq, each once.
+    """
+    out = every.select("seq", F.lit(1.0 / A).alias("p1"), F.lit(1.0 / A).alias("p0"))
+    for order in range(ORDER + 1):
+        # of each end of order + 1 symbols its counts, of each context of order symbols how often and how varied it is
+        end = counts.groupBy(F.right("seq", F.lit(order + 1)).alias("end")).agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+        end = staged(end, "url-ends")
+        context = end.groupBy(F.substring("end", 1, order).alias("context")).agg(*[f(k) for k in "10" for f in (lambda k: F.sum(f"n{k}").alias(f"m{k}"), lambda k: F.count_if(F.col(f"n{k}") > 0).alias(f"t{k}"))])
+        out = out.withColumn("end", F.right("seq", F.lit(order + 1))).withColumn("context", F.substring("end", 1, order))
+        out = out.join(end, "end", "left").join(context, "context", "left").fillna(0, ["n1", "n0", "m1", "m0", "t1", "t0"])
+        p = lambda k: F.when(F.col(f"m{k}") > 0, (F.col(f"n{k}") + F.col(f"t{k}") * F.col(f"p{k}")) / (F.col(f"m{k}") + F.col(f"t{k}"))).otherwise(F.col(f"p{k}"))
+        out = out.select("seq", p("1").alias("p1"), p("0").alias("p0"))
+    return out.select("seq", F.round((F.log("p1") - F.log("p0")) * PARTS).cast("long").alias("ratio"))
 
-    def scored(df: DataFrame) -> DataFrame:
-        mean = let(ratios, lambda r: let(cells(F.col("s")), lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + F.get(r, x)) / F.size(c)))
-        return df.withColumn("score", F.floor(mean * STEPS).cast("long"))
 
-    held = scored(labelled.where("held_out AND NOT blocked")).groupBy("score").count().orderBy(F.desc("score"))
+def judge(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, host, path, rule, verdict, score (nats per symbol, in 1/STEPS) of every row."""
+    parts = with_parts(pages.select(key, "url")).withColumn("s", symbols(F.col("host"), F.col("path")))
+    parts = staged(parts.select(key, "host", "path", "rule", "rule_verdict", "s", F.unhex(F.md5("s")).alias("k")), "url-parts")
+    held_out = F.conv(F.substring(F.md5("s"), 1, 8), 16, 10).cast("long") % 5 == 0
+    # URLs that are equal to the models are cut once; how often each stands in which class goes with it
+    blocked, accepted = (F.count_if(F.coalesce(F.col("rule_verdict") == v, F.lit(False))) for v in ("block", "allow"))
+    urls = parts.groupBy("k").agg(F.first("s").alias("s"), blocked.alias("blocked"), accepted.alias("accepted"))
+    cut = staged(urls.select("k", "blocked", "accepted", held_out.alias("held_out"), F.explode(sequences(F.col("s"))).alias("seq")), "url-sequences")
+    use = lambda c: F.sum(F.when(F.col("held_out"), 0).otherwise(F.col(c)))
+    every = staged(cut.groupBy("seq").agg(use("blocked").alias("n1"), use("accepted").alias("n0")), "url-counts")
+    trained = every.agg(F.sum("n1"), F.sum("n0")).first()
+    if trained[0] and trained[1]:
+        model = staged(train(every.where("n1 + n0 > 0"), every), "url-model")
+    else:
+        model = every.select("seq", F.lit(0).cast("long").alias("ratio"))
+    mean = F.sum("ratio").cast("double") / (F.count("*") * (PARTS // STEPS)).cast("double")
+    scores = staged(cut.join(model, "seq").groupBy("k", "held_out", "accepted").agg(F.floor(mean).cast("long").alias("score")), "url-scores")
     # the histogram has at most a few ten thousand bars: scores are bounded by the smoothing
-    bars = held.collect()
-    allowed, threshold = int(FALSE_BLOCK * sum(b["count"] for b in bars)), 0
+    bars = scores.where("held_out AND accepted > 0").groupBy("score").agg(F.sum("accepted").alias("n")).orderBy(F.desc("score")).collect()
+    allowed, threshold = int(FALSE_BLOCK * sum(b["n"] for b in bars)), 0
     for b in bars:
-        allowed -= b["count"]
+        allowed -= b["n"]
         if allowed < 0:
             threshold = max(0, b["score"])
             break
     own = F.when(F.col("score") > threshold, "block").otherwise("allow")
-    return scored(parts).select(key, "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), "score")
+    return parts.join(scores.select("k", "score"), "k").select(key, "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), "score")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,14 +119,18 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """Every symbol of every URL by itself, blended from the longest context down by one expression."""
     order = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     case = lambda what: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{what(k, h, p)}'" for k, h, p in order) + " END"
-    two = ", ".join(f"sum(n{k})::DOUBLE AS n2_{k}" for k in "01")
-    ctx2 = ", ".join(f"sum(n2_{k}) AS m2_{k}, greatest(count(*) FILTER (n2_{k} > 0), 1)::DOUBLE AS t2_{k}" for k in "01")
-    ctx3 = ", ".join(f"sum(n{k})::DOUBLE AS m3_{k}, greatest(count(*) FILTER (n{k} > 0), 1)::DOUBLE AS t3_{k}" for k in "01")
-    one = ", ".join(f"(sum(n{k}) + 1)::DOUBLE / (sum(sum(n{k})) OVER () + {A})::DOUBLE AS p1_{k}" for k in "01")
-    logs = [f"ln((n{k} + t3_{k} * (n2_{k} + t2_{k} * p1_{k}) / (m2_{k} + t2_{k})) / (m3_{k} + t3_{k}))" for k in "01"]
-    at = lambda i: f"(instr('{ALPHABET}', substr(s, {i}, 1)) - 1)"
+    ends = lambda o: f"""e{o} AS (SELECT right(q, {o + 1}) AS e{o}, count(*) FILTER (rv = 'block')::DOUBLE AS n1_{o}, count(*) FILTER (rv = 'allow')::DOUBLE AS n0_{o} FROM tr GROUP BY 1),
+c{o} AS (SELECT left(e{o}, {o}) AS x{o}, sum(n1_{o}) AS m1_{o}, sum(n0_{o}) AS m0_{o}, count(*) FILTER (n1_{o} > 0)::DOUBLE AS t1_{o}, count(*) FILTER (n0_{o} > 0)::DOUBLE AS t0_{o} FROM e{o} GROUP BY 1)"""
+
+    def blend(k: str, o: int) -> str:
+        lower = blend(k, o - 1) if o else f"(1.0::DOUBLE / {A}::DOUBLE)"
+        return f"(CASE WHEN coalesce(m{k}_{o}, 0) > 0 THEN (coalesce(n{k}_{o}, 0) + t{k}_{o} * {lower}) / (m{k}_{o} + t{k}_{o}) ELSE {lower} END)"
+
+    orders = range(ORDER + 1)
+    joins = " ".join(f"LEFT JOIN e{o} ON e{o}.e{o} = right(q, {o + 1}) LEFT JOIN c{o} ON c{o}.x{o} = left(right(q, {o + 1}), {o})" for o in orders)
     return rf"""
 WITH p AS (
   SELECT row_number() OVER () AS k, page_id, translate(regexp_extract(coalesce(url, ''), '{SPLIT_URL}', 1), '{UPPER}', '{LOWER}') AS host,
@@ -135,25 +138,18 @@ WITH p AS (
   FROM pages
 ), r AS (
   SELECT *, {case(lambda k, h, p: h + p)} AS rule, {case(lambda k, h, p: k)} AS rv,
-         '^^' || regexp_replace(translate(host || path, '{UPPER}123456789', '{LOWER}000000000'), '[^a-z0/._-]', '~', 'g') || '$' AS s
+         '{"^" * ORDER}' || regexp_replace(translate(host || path, '{UPPER}123456789', '{LOWER}000000000'), '[^a-z0/._-]', '~', 'g') || '$' AS s
   FROM p
 ), t AS (
   SELECT *, ('0x' || substr(md5(s), 1, 8))::BIGINT % 5 = 0 AS held FROM r
 ), g AS (
-  SELECT k, i, ({at('i')} * {A} + {at('i + 1')}) * {A} + {at('i + 2')} AS cell FROM (SELECT k, s, unnest(range(1, length(s) - 1)) AS i FROM t)
-), n AS (
-  SELECT cell, count(*) FILTER (rv = 'block') AS n1, count(*) FILTER (rv = 'allow') AS n0 FROM g JOIN t USING (k) WHERE rv IS NOT NULL AND NOT held GROUP BY cell
-), c3 AS (
-  SELECT cell, cell // {A} AS ab, cell % {A * A} AS bc, (cell // {A}) % {A} AS b, cell % {A} AS c, coalesce(n0, 0) AS n0, coalesce(n1, 0) AS n1
-  FROM (SELECT unnest(range(0, {A ** 3})) AS cell) LEFT JOIN n USING (cell)
-), c2 AS (SELECT bc, b, {two} FROM c3 GROUP BY bc, b),
-x2 AS (SELECT b, {ctx2} FROM c2 GROUP BY b),
-x3 AS (SELECT ab, {ctx3} FROM c3 GROUP BY ab),
-c1 AS (SELECT c, {one} FROM c3 GROUP BY c),
-m AS (
-  SELECT cell, {logs[1]} - {logs[0]} AS ratio FROM c3 JOIN c2 USING (bc) JOIN x2 ON x2.b = c3.b JOIN x3 USING (ab) JOIN c1 USING (c)
+  SELECT k, rv, held, substr(s, i, {ORDER + 1}) AS q FROM (SELECT k, rv, held, s, unnest(range(1, length(s) - {ORDER - 1})) AS i FROM t)
+), tr AS (
+  SELECT q, rv FROM g WHERE rv IS NOT NULL AND NOT held
+), {", ".join(map(ends, orders))}, m AS (
+  SELECT q, round((ln({blend('1', ORDER)}) - ln({blend('0', ORDER)})) * {PARTS})::BIGINT AS ratio FROM (SELECT DISTINCT q FROM g) {joins}
 ), sc AS (
-  SELECT k, floor(sum(ratio ORDER BY i) / count(*) * {STEPS})::BIGINT AS score FROM g JOIN m USING (cell) GROUP BY k
+  SELECT k, floor(sum(ratio)::DOUBLE / (count(*) * {PARTS // STEPS})::DOUBLE)::BIGINT AS score FROM g JOIN m USING (q) GROUP BY k
 ), h AS (
   SELECT score, sum(count(*)) OVER (ORDER BY score DESC) AS above, sum(count(*)) OVER () AS n FROM sc JOIN t USING (k) WHERE rv = 'allow' AND held GROUP BY score
 ), th AS (
