@@ -110,7 +110,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    blocks = lambda y: _picked(y).replace(" div ", " // ")
+    """Every block that a document lies in is a row here, picked or not; the operator works with sums in closed form."""
     return rf"""
 WITH d AS (
   SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
@@ -155,10 +155,18 @@ WITH d AS (
   SELECT *, (shard * 7919 + {SEED}) % m1 AS o1, (shard * 104729 + {SEED}) % m2 AS o2 FROM c
 ), f AS (
   SELECT *, (sum(size) OVER (PARTITION BY skey, shard ORDER BY ord, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS p FROM placed
+), g AS (
+  SELECT f.*, row_number() OVER () AS rid, line, m1, m2, q1, q2, o1, o2 FROM f LEFT JOIN e USING (skey, shard)
+), place AS (
+  SELECT *, p AS a, p + size AS z FROM g WHERE size > 0 UNION ALL SELECT *, line + p AS a, line + p + size AS z FROM g WHERE size > 0
+), block AS (
+  SELECT *, unnest(range(a // {BLOCK}, (z - 1) // {BLOCK} + 1)) AS i FROM place
+), held AS (
+  SELECT rid, sum(least(z, (i + 1) * {BLOCK}) - greatest(a, i * {BLOCK})) FILTER (
+    CASE WHEN i < m1 THEN ((i + 1) * q1 + o1) // m1 > (i * q1 + o1) // m1 ELSE ((i - m1 + 1) * q2 + o2) // m2 > ((i - m1) * q2 + o2) // m2 END
+  ) AS taken FROM block GROUP BY rid
 )
-SELECT doc_id, size, source_size::BIGINT AS source_size, target,
-       coalesce({blocks('(p + size)')} - {blocks('p')} + {blocks('(line + p + size)')} - {blocks('(line + p)')}, 0)::BIGINT AS taken
-FROM f LEFT JOIN e USING (skey, shard)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM g LEFT JOIN held USING (rid)
 """
 
 
