@@ -1,7 +1,9 @@
 """Jaccard join, repeated passages, decontamination, WARC: against brute force."""
 
+import base64
 import hashlib
 import random
+import shutil
 
 import numpy as np
 import pytest
@@ -150,11 +152,11 @@ def passages(seed=1):
 
 
 def check_removed(spark, data):
-    docs = substring_dedup.intervals_of(frame(spark, data)).select("doc_id", "text", "gone").mapInPandas(substring_dedup._digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    docs = substring_dedup.digests(frame(spark, data))
     assert sorted(map(repr, map(tuple, docs.collect()))) == sorted(map(repr, brute_removed(data)))
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
+@pytest.mark.parametrize("hot", [16_384, 1])
 def test_passages_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
     check_removed(spark, rows(passages()))
@@ -164,6 +166,36 @@ def test_passages_of_hard_rows(spark):
     check_removed(spark, HARD + [(None, HARD[4][1], "en", "s", 1), (3, HARD[4][1], "en", "s", 1)])
 
 
+def test_runs_of_one_word_stay_small():
+    """Many windows with one minimiser travel in strings of at most RUN windows, and every window is in one of them."""
+    h = substring_dedup.word_hashes(["a"] * 5000 + ["b"] * 60, substring_dedup.WordHashes())
+    _, at, n = substring_dedup.super_kmers(h)
+    assert n.max() <= substring_dedup.RUN and n.sum() == len(h) - 49 and (at[1:] == at[:-1] + n[:-1]).all()
+
+
+def test_windows_are_told_apart_by_their_words(monkeypatch):
+    """Sorting by lying hashes falls back on the words."""
+    rnd = random.Random(3)
+    strings = [" ".join(rnd.choice("ab") for _ in range(rnd.randint(50, 70))) for _ in range(30)] + [" ".join("a" * 60)] * 2
+    low = [rnd.randint(0, 9) for _ in strings]
+    first = {}
+    cut = [[tuple(s.split()[i : i + 50]) for i in range(len(s.split()) - 49)] for s in strings]
+    for ws, k in zip(cut, low):
+        for w in ws:
+            first[w] = min(first.get(w, k), k)
+    want = [[first[w] for w in ws] for ws in cut]
+    assert [x.tolist() for x in substring_dedup.sorted_windows(strings, low)] == want
+    monkeypatch.setattr(substring_dedup, "scramble", lambda h: h & np.uint64(1))
+    assert [x.tolist() for x in substring_dedup.sorted_windows(strings, low)] == want
+
+
+def test_copies_without_ids_stay(spark):
+    base = " ".join(f"u{i}" for i in range(60))
+    data = [(None, base, "en", "s", 1)] * 3 + [(4, base, "en", "s", 1)]
+    check_removed(spark, data)
+    check_removed(spark, data[:3])
+
+
 def test_rewritten_texts(spark):
     base = " ".join(f"u{i}" for i in range(60))
     got = {r.doc_id: r.text for r in substring_dedup.remove_repeats(frame(spark, rows([base, "before " + base + " after", "  two  blanks "]), extra=True)).collect()}
@@ -197,8 +229,31 @@ def test_leaks_equal_brute_force(spark):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(d) for d, *_ in data if d not in bad) and kept.columns == docs.columns
 
 
+def test_ids_of_any_type_stay_exact(spark):
+    """Ids pass unchanged beside nulls, also those that are no numbers, and so do all columns of kept rows."""
+    item = " ".join(f"i{j}" for j in range(20))
+    docs = spark.createDataFrame([(2**60 + 1, item, None), (None, item, 2**60 + 3), (2**60 + 3, "clean words in this one", 2**60 + 5)], "doc_id long, text string, n_chars long")
+    bench = spark.createDataFrame([("item/1", item), (None, item)], "item_id string, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contained_items(docs, bench).collect()}
+    assert got == {(d, i) for d in (2**60 + 1, None) for i in ("item/1", None)}
+    assert [tuple(r) for r in decontamination.drop_contaminated(docs, bench).collect()] == [(2**60 + 3, "clean words in this one", 2**60 + 5)]
+
+
+def test_recall_of_near_copies(spark):
+    """Pairs at 0.8 to 0.85 are all linked: what bands and pruning miss is far below one in a thousand."""
+    rnd = random.Random(8)
+    texts = []
+    for i in range(300):
+        w = [f"p{i}x{j}" for j in range(104)]
+        for c in range(rnd.choice((1, 2))):  # each change in the middle touches five of a hundred shingles: 95/105 and 90/110
+            w[20 + 40 * c] = "changed"
+        texts += [" ".join(f"p{i}x{j}" for j in range(104)), " ".join(w)]
+    got = jaccard_join.classes(frame(spark, rows(texts))).groupBy("class_id").count().where("count = 2").count()
+    assert got == 300
+
+
 def test_items_in_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontamination, "ITEM_BLOCK", 3)
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 1000)
     items = [" ".join(f"i{k}w{j}" for j in range(20)) for k in range(10)]
     docs = frame(spark, rows(["x " + " ".join(items[:2]), "clean words only in this one", items[9]]))
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
@@ -218,27 +273,46 @@ def test_warc_round_trip(spark, tmp_path):
     got = warc_archive.restore(spark, path).collect()
     assert sorted((str(r.page_id), bytes(r.payload)) for r in got) == sorted((str(i), (h or "").encode()) for i, _, h in data)
     assert all(r.header.startswith("WARC/1.1\r\n") and r.header.endswith("\r\n\r\n") for r in got)
+    warc_archive.export(spark, path, path + "/files")
+    warc_archive.import_files(spark, path + "/files", path + "/again")
+    key = lambda r: (r.header, bytes(r.payload))
+    assert sorted(map(key, warc_archive.restore(spark, path + "/again").collect())) == sorted(map(key, got))
     _, payloads = warc_archive.read(spark, path)
     assert payloads.count() == len({h or "" for _, _, h in data})
     smallest = {}
     for i, _, h in data:
         smallest[h or ""] = min(smallest.get(h or "", 10**9), 10**9 if i is None else i)
+    ids = {(r.page_id, bytes(r.payload)): r.record_id for r in got}
     for r in got:
         first = smallest[bytes(r.payload).decode()]
+        assert r.refers_record == (ids[first, bytes(r.payload)] if r.record_type == "revisit" else None)
         assert r.record_type == ("response" if r.page_id == first else "revisit")
 
 
-def test_warc_reader_notices_damage():
-    good = (warc_archive.header_of("response", 1, "u", hashlib.sha256(b"hi").hexdigest(), warc_archive.sha1_of(b"hi"), 2) + "hi\r\n\r\n").encode()
+def test_warc_reader_notices_damage(spark, tmp_path):
+    good = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
     assert [p for _, _, p in warc_archive.parse(good * 2)] == [b"hi", b"hi"]
     with pytest.raises(ValueError):
         list(warc_archive.parse(good.replace(b"hi", b"hihi")))
+    path = str(tmp_path / "w")
+    warc_archive.write(spark.createDataFrame([(1, "u", "hi")], "page_id long, url string, html string"), path)
+    warc_archive.read(spark, path)[1].withColumn("payload", F.lit("ho").cast("binary")).write.parquet(path + "/other")
+    shutil.rmtree(path + "/payloads")
+    shutil.move(path + "/other", path + "/payloads")
+    with pytest.raises(Exception, match="does not have the digest"):
+        warc_archive.restore(spark, path).collect()
+
+
+def test_warc_digests(spark):
+    for payload in (b"", b"hi", bytes(range(256)) * 9):
+        got = spark.createDataFrame([(payload,)], "p binary").select(warc_archive.base32_sha1(F.col("p")).alias("x")).first().x
+        assert got == base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
 def test_empty_tables(spark, tmp_path):
     docs = spark.createDataFrame([], SCHEMA)
     assert jaccard_join.classes(docs).count() == 0 and jaccard_join.keep_one(docs).count() == 0
-    assert substring_dedup.intervals_of(docs).count() == 0
+    assert substring_dedup.digests(docs).count() == 0 and substring_dedup.remove_repeats(docs).count() == 0
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contained_items(docs, none).count() == 0 and decontamination.drop_contaminated(docs, none).count() == 0
     warc_archive.write(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e"))
@@ -256,6 +330,6 @@ def test_short_items_in_long_documents(spark):
         held = item[: 4 + -(-4 * n // 5)] if i % 2 else item
         docs.append([f"f{rnd.randint(0, 10**6)}" for _ in range(rnd.randint(0, 90))] + held + [f"f{rnd.randint(0, 10**6)}" for _ in range(90)])
     texts = [" ".join(w) for w in docs]
-    index = decontamination.ItemIndex([i for i, _ in items], [t for _, t in items])
+    index = decontamination.ItemIndex([t for _, t in items])
     got = {(d, i) for d, i, _ in index.search(texts, decontamination.WordHashes())}
     assert got == {(i, i) for i in range(3000)}

@@ -3,7 +3,7 @@
 import corpus_pipeline
 from tessera.llm import mixing
 
-from .helpers import SCHEMA, frame, rows, shingles, words
+from .helpers import BIG_ID, SCHEMA, brute_mix, frame, rows, shingles, words
 from .test_copies import brute_links, near_copies
 from .test_text_rules import brute_repeat, brute_secrets
 
@@ -11,7 +11,8 @@ from .test_text_rules import brute_repeat, brute_secrets
 def test_stages(spark, tmp_path):
     item = " ".join(f"bench{i}" for i in range(20))
     texts = near_copies(groups=5, size=6) + ["too short", "leak " * 3 + item + " and some more words", "my token=abcdefghijklmnop is here with " + " ".join(f"z{i}" for i in range(30)), "again " * 50, None]
-    data = rows(texts)
+    data = rows(texts) + [(BIG_ID, "a document with an id beyond floats " + " ".join(f"y{i}" for i in range(30)), "en", "src1", None)]
+    data += [(BIG_ID + 2, "another document with such an id " + " ".join(f"x{i}" for i in range(30)), "en", "src1", BIG_ID)]
     d = str(tmp_path)
     frame(spark, data).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
@@ -30,6 +31,7 @@ def test_stages(spark, tmp_path):
     assert set(seen[2]) == set(seen[3]) == clean
     assert [i for i in clean if brute_secrets(seen[2][i].text)] and not [i for i in clean if brute_secrets(seen[3][i].text)]
     assert set(seen[4]) == clean and sum(r.taken for r in seen[4].values()) > 0
+    assert {i: r.taken for i, r in seen[4].items()} == brute_mix([(i, r.text, r.source) for i, r in seen[3].items()])
     assert all(r.taken <= mixing.MAX_REPEAT * r.size for r in seen[4].values())
 
 
@@ -38,6 +40,18 @@ def test_run_gives_the_same(spark, small):
     assert a == b and a
 
 
+def test_rows_pass_unchanged(spark, tmp_path):
+    """Ids beyond floats beside a null one, and other whole numbers with nulls, come through all stages as they are."""
+    d = str(tmp_path)
+    text = lambda c: f"the document {c} has its own words " + " ".join(f"{c}{i}" for i in range(30))
+    data = [(BIG_ID, text("a"), "en", "s", None), (None, text("b"), None, None, BIG_ID), (BIG_ID + 2, text("c"), "en", "s", 7)]
+    docs = frame(spark, data)
+    spark.createDataFrame([(0, "one two three four five six seven")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, d)
+        assert sorted(map(repr, map(tuple, docs.collect()))) == sorted(map(repr, data)), name
+
+
 def test_empty_documents(spark, tmp_path):
     d = str(tmp_path)
     spark.createDataFrame([], SCHEMA).write.parquet(f"{d}/documents.parquet")

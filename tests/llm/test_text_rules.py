@@ -1,6 +1,7 @@
 """Quality rules, mixing, secrets, URLs: DuckDB and brute force, hard rows, empty tables."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import mixing, quality_rules, registry, secret_scan, url_filter
 
-from .helpers import HARD, LONG, SCHEMA, frame, rows, words
+from .helpers import HARD, LONG, SCHEMA, brute_mix, brute_targets, frame, rows, words
 
 TABLES = "documents pages benchmark labels".split()
 
@@ -75,24 +76,6 @@ def test_bad_host_goes_with_its_good_documents(spark):
 # mixing
 
 
-def brute_targets(sizes, weights, share):
-    """Fill by weight; who reaches its cap stops and the rest goes on."""
-    cap, left = {k: 2.0 * v for k, v in sizes.items()}, share
-    out, open_ = dict.fromkeys(sizes, 0.0), set(sizes)
-    while open_ and left > 1e-9:
-        w = sum(weights[k] for k in open_)
-        full = {k for k in open_ if out[k] + left * weights[k] / w >= cap[k]}
-        if not full:
-            for k in open_:
-                out[k] += left * weights[k] / w
-            break
-        for k in full:
-            left -= cap[k] - out[k]
-            out[k] = cap[k]
-        open_ -= full
-    return out
-
-
 def test_mix_follows_targets(spark):
     rnd = random.Random(1)
     data = []
@@ -114,6 +97,7 @@ def test_mix_follows_targets(spark):
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 2 * mixing.BLOCK
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(sized).collect()))
+    assert {r.doc_id: r.taken for r in got} == brute_mix([(d, t, s) for d, t, _, s, _ in data])
 
 
 def test_sainte_lague_gives_the_highest_quotients(spark):
@@ -132,6 +116,9 @@ def test_sainte_lague_gives_the_highest_quotients(spark):
 
 
 def test_mix_of_hard_rows(spark):
+    data = [(100 + i if d in (None, 5) else d, *x) for i, (d, *x) in enumerate(HARD)]
+    got = mixing.mix(mixing.sizes(frame(spark, data), "source")).collect()
+    assert {r.doc_id: r.taken for r in got} == brute_mix([(d, t, s) for d, t, _, s, _ in data])
     got = mixing.mix(mixing.sizes(frame(spark, HARD), "source")).collect()
     assert len(got) == len(HARD) and all(r.taken <= 2 * r.size for r in got)
 
@@ -184,6 +171,33 @@ def test_ledger_scans_only_unseen_blobs(spark):
     assert {r.doc_id: r.spans for r in secret_scan.digest_columns(secret_scan.scan(b, stale)[0]).collect()}[10] == "assign:0:18"
 
 
+def test_ledger_in_a_folder(spark, tmp_path):
+    """Runs append what is new; what an earlier run has entered is not scanned again, whatever paths hold it."""
+    path = str(tmp_path / "ledger")
+    a, b = frame(spark, rows(["token=abcdefghijkl", "clean"])), frame(spark, rows(["token=abcdefghijkl", "deadbeefdeadbeef", "clean", None], start=10))
+    secret_scan.update(a, path)
+    assert secret_scan.read_ledger(spark, path).count() == 2
+    secret_scan.update(b, path)
+    secret_scan.update(b, path)
+    ledger = secret_scan.read_ledger(spark, path)
+    assert ledger.count() == 4 and ledger.select("blob").distinct().count() == 4
+    assert ledger.where("blob = unhex(sha2('clean', 256)) AND spans IS NULL").count() == 1
+    found = secret_scan.digest_columns(secret_scan.findings(secret_scan.address(b), path))
+    assert {r.doc_id: r.spans for r in found.collect()} == {10: "assign:0:18", 11: "hex:0:16", 12: "", 13: ""}
+    # what the ledger says is believed: an entry of another finding shows that the redaction did not scan the blob again
+    marked = str(tmp_path / "marked")
+    ledger.withColumn("spans", F.when(F.col("spans").isNotNull(), F.expr("array(named_struct('start', 0L, 'kind', 0, 'stop', 2L))")).cast(secret_scan.SPANS)).write.parquet(marked)
+    assert {r.doc_id: r.text for r in secret_scan.redact(b, marked).collect()} == {10: "[SECRET]ken=abcdefghijkl", 11: "[SECRET]adbeefdeadbeef", 12: "clean", 13: None}
+
+
+def test_hints_never_miss(spark):
+    texts = [*secret_texts(), "eyJabcdefgh1.eyJabcdefgh2.abcdefgh3", "ghp_" + "a" * 36, "xoxb-1234567890", "-----BEGIN RSA PRIVATE KEY-----"]
+    docs = frame(spark, rows(texts))
+    found = {r.blob for r in secret_scan.scan_blobs(docs.select(secret_scan.blob_id(F.col("text")).alias("blob"), "text")).collect()}
+    likely = {r.blob for r in docs.where(secret_scan.likely(F.col("text"))).select(secret_scan.blob_id(F.col("text")).alias("blob")).collect()}
+    assert len(found) > 4 and found <= likely
+
+
 def test_redaction(spark):
     docs = frame(spark, rows(["é token=abcdefghijkl end", "clean", None, "token=deadbeefdeadbeef deadbeefdeadbeef"]), extra=True)
     got = {r.doc_id: r for r in secret_scan.redact(docs).collect()}
@@ -203,7 +217,7 @@ def brute_url(u):
 
 
 def test_urls(spark):
-    urls = [None, "", "no scheme", "://", "http://A.Example.COM/en/7x?q#f", "http://example.com/en/8", "https://x.example.net/de/8", "https://example.net/de/7", "http://notexample.com/en/7", "ftp://org/es/1", "http://x.org?/es/", "http://x.org/a://b", "http://é.com/ü\n/x", "http://" + "a" * 5000 + ".com/en/"]
+    urls = [None, "", "no scheme", "://", "http://A.Example.COM/en/7x?q#f", "http://example.com/en/8", "https://x.example.net/de/8", "https://example.net/de/7", "http://notexample.com/en/7", "ftp://org/es/1", "http://x.org?/es/", "http://x.org/a://b", "http://é.com/ü\n/x", "http://" + "a" * 5000 + ".com/en/", "data://x/" + "Zz9%é" * 20_000]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls * 2)], "page_id long, url string, html string").withColumn("score", F.lit("clash"))
     got = url_filter.judge(pages).collect()
     assert len(got) == len(urls) * 2
@@ -213,6 +227,28 @@ def test_urls(spark):
         assert (r.rule, r.verdict) == (max(fits)[1:] if fits else (None, r.verdict)) and r.verdict in ("allow", "block")
 
 
+def test_url_ratios_equal_brute_force(spark):
+    """Each symbol is blended from the longest context that was seen, whatever comes before it."""
+    rnd = random.Random(4)
+    strings = [["^" * url_filter.ORDER + "".join(rnd.choice("abc/") for _ in range(rnd.randint(0, 12))) + "$" for _ in range(30)] for _ in "10"]
+    cut = [[s[i : i + url_filter.ORDER + 1] for s in c for i in range(len(s) - url_filter.ORDER)] for c in strings]
+
+    def p(k, seq):
+        out = 1 / url_filter.A
+        for o in range(url_filter.ORDER + 1):
+            ends = [q[-o - 1 :] for q in cut[k]]
+            same = [e for e in ends if e[:o] == seq[-o - 1 : -1][:o]] if o else ends
+            if same:
+                out = (same.count(seq[-o - 1 :]) + len(set(same)) * out) / (len(same) + len(set(same)))
+        return out
+
+    every = sorted(set(cut[0]) | set(cut[1]) | {"zzzzz", "abcd$"})
+    counts = spark.createDataFrame([(q, cut[0].count(q), cut[1].count(q)) for q in every], "seq string, n1 long, n0 long")
+    got = {r.seq: r.ratio for r in url_filter.train(counts.where("n1 + n0 > 0"), counts).collect()}
+    for q in every:
+        assert abs(got[q] / url_filter.PARTS - math.log(p(0, q) / p(1, q))) < 1e-5, q
+
+
 def test_url_model_tells_the_classes_apart(spark):
     rnd = random.Random(2)
     word = lambda cs: "".join(rnd.choice(cs) for _ in range(8))
