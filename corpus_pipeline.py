@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontamination, jaccard_join, mixing, quality_rules, secret_scan
-from tessera.llm.common import staged, table
+from tessera.llm.common import drop_since, mark, new_path, staged, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, point = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_path(spark, f"pipeline-{name}")
+        docs = staged(stage(spark, docs, sf_dir), "", path)
+        drop_since(spark, point, path)  # what the stage read and made is not read again
     return STAGES[-1][1](spark, docs, sf_dir)
