@@ -14,12 +14,12 @@ A text is judged by the difference of its two log-likelihoods over its length, a
 strong expressions (log ratio above EVIDENCE) make, each counted once: over the length, in all, and as a power mean that
 the strongest dominate. A logistic curve fitted on labelled texts that the counts have not seen makes a score of them.
 
-How it runs, with one plan at every size: each task numbers the texts of a batch and writes, for each distinct word of
-the batch, its class counts and in which texts it stands how often. Word counts are summed and spelled, sorted by word,
-a run of whole heads at a time; a word's ratio meets the batches in a join that Spark can split at frequent words, and
-sums per text come back to their batch. No model is collected or broadcast (but one number for each character that
-occurs, of 1.1 million that Unicode has), and whole texts are read once, never shuffled unless the labels are too many
-for Spark to broadcast.
+How it runs, with one plan at every size: each task numbers the texts of a batch and writes, for each head in the
+batch, its words and in which texts they stand how often. Labels meet a batch as a list of its labelled texts, and class
+counts meet by head; a head's counted words and its words of all batches then meet in one sorted stream, where words are
+spelled and sums per text made, which go back to their batch. Heads that hold more than their share are salted. No model
+is collected or broadcast (but one number for each character that occurs, of 1.1 million that Unicode has), and whole
+texts are read once and never shuffled.
 
 Defined cases: null or blank texts score as texts without evidence; a null id counts as held out; labels that are null,
 neither 0 nor 1, or without a text are not used, of repeated labels the largest counts; repeated rows are scored alike;
@@ -48,21 +48,25 @@ END = "$"
 DISCOUNT = 0.75
 #: Log ratio from which an expression speaks for toxicity, and the power of the mean that the strongest dominate.
 EVIDENCE, POWER = 2.0, 4
-#: Characters and texts of a batch, words that are spelled at a time, and sums that a task holds before it passes them on.
-BATCH_CHARS, BATCH_TEXTS, SPELLED, HELD = 8_000_000, 60_000, 200_000, 2_000_000
+#: Characters and texts of a batch; words that are spelled at a time and the bytes that go with them; sums or words that a task holds before it passes them on.
+BATCH_CHARS, BATCH_TEXTS, SPELLED, SPELLED_BYTES, HELD = 16_000_000, 60_000, 200_000, 16 << 20, 2_000_000
 #: Labelled rows at most that the logistic curve is fitted on, least hashes first.
 FIT_ROWS = 20_000
 _WORD = re.compile(r"[^\W_]+")
 
-WORDS = "batch long, texts int, word string, n1 long, n0 long, posts binary, at int, doc_id long, fold long, toxic int, n long"
-_WORDS = pa.schema(
-    [("batch", pa.int64()), ("texts", pa.int32()), ("word", pa.string()), ("n1", pa.int64()), ("n0", pa.int64()), ("posts", pa.binary()), ("at", pa.int32()), ("doc_id", pa.int64()), ("fold", pa.int64()),
-     ("toxic", pa.int32()), ("n", pa.int64())]
+INDEX = "batch long, head string, words string, lens binary, posts binary, at int, doc_id long, fold long, n long"
+_INDEX = pa.schema(
+    [("batch", pa.int64()), ("head", pa.string()), ("words", pa.string()), ("lens", pa.binary()), ("posts", pa.binary()), ("at", pa.int32()), ("doc_id", pa.int64()), ("fold", pa.int64()), ("n", pa.int64())]
 )
-_POST = np.dtype([("at", "<u2"), ("n", "<u4")])
+#: A word in a text: the text's number and how often; more than 255 times are several in a row.
+_POST = np.dtype([("at", "<u2"), ("n", "u1")])
 _SUM = np.dtype([("at", "<u2"), ("total", "<f4"), ("strong", "<f4"), ("peak", "<f4")])
 
 
+def head_of(w: str) -> str:
+    return (w + END)[:HEAD]
+
+
 def units(text: str) -> Iterator[str]:
     """The words of a text, and the windows of runs that are longer."""
     for m in _WORD.finditer(text.lower()):
@@ -89,7 +93,7 @@ class _Batch:
         self.number, self.chars = number, 0
         self.known, self.codes, self.times, self.rows = _Numbers(), [], [], []
 
-    def add(self, doc_id, fold, toxic, text: str) -> None:
+    def add(self, doc_id, fold, text: str) -> None:
         if len(text) > BATCH_CHARS:
             found = Counter(units(text))
             code, times = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
@@ -98,40 +102,52 @@ class _Batch:
             if max(map(len, words), default=0) > RUN:
                 words = list(units(text))
             code, times = np.unique(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)), return_counts=True)
-        self.codes.append(code)
-        self.times.append(times)
-        self.rows.append((doc_id, fold, toxic, int(times.sum())))
+        self.codes.append(code.astype(np.int32))
+        self.times.append(times.astype(np.int32))
+        self.rows.append((doc_id, fold, int(times.sum())))
         self.chars += len(text)
 
     def tables(self) -> Iterator[pa.RecordBatch]:
         n, words = len(self.rows), list(self.known)
+        by_word = sorted(range(len(words)), key=words.__getitem__)
+        place = np.empty(len(words), np.int32)
+        place[by_word] = np.arange(len(words))
+        words = [words[i] for i in by_word]
         sizes = np.fromiter(map(len, self.codes), np.int64, n)
-        code, times, at = np.concatenate(self.codes), np.concatenate(self.times), np.repeat(np.arange(n), sizes)
-        weight = [np.array([fold in (1, 2, 3) and toxic == k for _, fold, toxic, _ in self.rows], np.int64) for k in (1, 0)]
-        n1, n0 = (np.bincount(code, times * w[at], len(words)).astype(np.int64) for w in weight)
+        code, times, at = place[np.concatenate(self.codes)], np.concatenate(self.times), np.repeat(np.arange(n, dtype=np.uint16), sizes)
         order = np.argsort(code, kind="stable")
+        code, times, at = code[order], times[order], at[order]
+        several = -(-times // 255)
+        if len(times) and several.max() > 1:
+            nth = np.arange(several.sum()) - np.repeat(np.cumsum(several) - several, several)
+            code, at, times = np.repeat(code, several), np.repeat(at, several), np.minimum(np.repeat(times, several) - 255 * nth, 255)
         posts = np.empty(len(code), _POST)
-        posts["at"], posts["n"] = at[order], times[order]
-        ends = np.cumsum(np.bincount(code, minlength=len(words)))
-        for a in range(0, len(words), 50_000):
-            some = words[a : a + 50_000]
-            offsets = np.r_[ends[a - 1] if a else 0, ends[a : a + 50_000]] * _POST.itemsize
-            data = posts[offsets[0] // _POST.itemsize : offsets[-1] // _POST.itemsize].tobytes()
-            binary = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((offsets - offsets[0]).astype(np.int32)), pa.py_buffer(data)])
-            yield self._table(len(some), word=pa.array(some, pa.string()), n1=pa.array(n1[a : a + 50_000]), n0=pa.array(n0[a : a + 50_000]), posts=binary)
-        doc_id, fold, toxic, length = zip(*self.rows)
-        yield self._table(n, at=pa.array(range(n), pa.int32()), doc_id=pa.array(doc_id, pa.int64()), fold=pa.array(fold, pa.int64()), toxic=pa.array(toxic, pa.int32()), n=pa.array(length, pa.int64()))
+        posts["at"], posts["n"] = at, times
+        lens = np.bincount(code, minlength=len(words)).astype("<u4")
+        ends = np.r_[0, np.cumsum(lens.astype(np.int64))]
+        rows, held, a = [], 0, 0
+        for b in range(1, len(words) + 1):
+            if b == len(words) or head_of(words[b]) != head_of(words[a]):
+                rows.append((head_of(words[a]), " ".join(words[a:b]), lens[a:b].tobytes(), posts[ends[a] : ends[b]].tobytes()))
+                held += len(rows[-1][3])
+                a = b
+                if held > 4 << 20 or b == len(words):
+                    columns = zip(("head", "words", "lens", "posts"), zip(*rows))
+                    yield self._table(len(rows), **{c: pa.array(x, _INDEX.field(c).type) for c, x in columns})
+                    rows, held = [], 0
+        doc_id, fold, length = zip(*self.rows)
+        yield self._table(n, at=pa.array(range(n), pa.int32()), doc_id=pa.array(doc_id, pa.int64()), fold=pa.array(fold, pa.int64()), n=pa.array(length, pa.int64()))
 
     def _table(self, size: int, **columns: pa.Array) -> pa.RecordBatch:
-        columns |= {"batch": pa.array(np.full(size, self.number)), "texts": pa.array(np.full(size, len(self.rows), np.int32))}
-        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in _WORDS], schema=_WORDS)
+        columns["batch"] = pa.array(np.full(size, self.number))
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in _INDEX], schema=_INDEX)
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, number = TaskContext.get().partitionId(), 0
     held = _Batch(part << 32)
     for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "fold", "toxic", "text"))):
+        for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "fold", "text"))):
             held.add(*row)
             if held.chars >= BATCH_CHARS or len(held.rows) >= BATCH_TEXTS:
                 yield from held.tables()
@@ -141,6 +157,76 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from held.tables()
 
 
+COUNTED = "head string, words string, n1 binary, n0 binary"
+
+
+def _counted_row(head: str, counts: dict[str, list[int]]) -> tuple:
+    words = sorted(counts)
+    n = np.array([counts[w] for w in words], np.int64)
+    return head, " ".join(words), n[:, 0].tobytes(), n[:, 1].tobytes()
+
+
+def _counted_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.binary(), pa.binary()))], ["head", "words", "n1", "n0"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the index, sorted by batch after the list of its labelled texts, as class counts of each head's words."""
+    held: dict[str, dict[str, list[int]]] = {}
+    size, number, toxic = 0, None, None
+    for b in batches:
+        for batch, marks, head, words, lens, posts in zip(*(b.column(c).to_pylist() for c in ("batch", "marks", "head", "words", "lens", "posts"))):
+            if batch != number:
+                number, toxic = batch, None
+            if marks is not None:
+                toxic = np.zeros(1 << 16, np.int8)
+                marks = np.asarray(marks, np.int64)
+                toxic[marks >> 1] = 1 + (marks & 1)
+            elif toxic is not None:
+                p, ends = np.frombuffer(posts, _POST), np.cumsum(np.frombuffer(lens, "<u4").astype(np.int64))
+                kind = toxic[p["at"]]
+                if not kind.any():
+                    continue
+                n0, n1 = (np.diff(np.r_[0, np.cumsum(p["n"].astype(np.int64) * (kind == k))[ends - 1]]) for k in (1, 2))
+                own, names = held.setdefault(head, {}), words.split(" ")
+                for i in np.flatnonzero(n0 + n1).tolist():
+                    c = own.get(names[i])
+                    if c is None:
+                        own[names[i]] = [int(n1[i]), int(n0[i])]
+                        size += 1
+                    else:
+                        c[0] += int(n1[i])
+                        c[1] += int(n0[i])
+        if size > HELD // 4:
+            yield _counted_rows([_counted_row(h, c) for h, c in held.items()])
+            held, size = {}, 0
+    if held:
+        yield _counted_rows([_counted_row(h, c) for h, c in held.items()])
+
+
+def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts, sorted by head, as one row per head."""
+    out, held, size, at = [], {}, 0, None
+    for b in batches:
+        for head, words, n1, n0 in zip(*(b.column(c).to_pylist() for c in ("head", "words", "n1", "n0"))):
+            if head != at and held:
+                out.append(_counted_row(at, held))
+                size += len(held)
+                held = {}
+                if size > 100_000:
+                    yield _counted_rows(out)
+                    out, size = [], 0
+            at = head
+            for w, x, y in zip(words.split(" "), np.frombuffer(n1, np.int64).tolist(), np.frombuffer(n0, np.int64).tolist()):
+                c = held.setdefault(w, [0, 0])
+                c[0] += x
+                c[1] += y
+    if held:
+        out.append(_counted_row(at, held))
+    yield _counted_rows(out)
+
+
 def kept(n: np.ndarray) -> np.ndarray:
     """What a class keeps of its counts."""
     return np.where(n > 1, n - DISCOUNT, 0.0)
@@ -214,59 +300,44 @@ class Base:
         return np.log((kept(n1) + self.rests[0] * both) / self.totals[0] / ((kept(n0) + self.rests[1] * both) / self.totals[1]))
 
 
-def _whole_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """Sorted (word, n1, n0) in runs of whole heads, about SPELLED words at a time."""
-    words, counts, at_least = [], [], SPELLED
+def _spellings(batches: Iterator[pa.RecordBatch]) -> Iterator[Spelling]:
+    """Rows of COUNTED as trees of whole heads, about SPELLED words at a time."""
+    words, n1, n0 = [], [], []
     for b in batches:
-        words += b.column("word").to_pylist()
-        counts.append(np.column_stack([b.column(c).to_numpy() for c in ("n1", "n0")]))
-        if len(words) >= at_least:
-            cut = len(words) - 1
-            head = (words[cut] + END)[:HEAD]
-            while cut and (words[cut - 1] + END)[:HEAD] == head:
-                cut -= 1
-            if cut:
-                n = np.concatenate(counts)
-                yield words[:cut], n[:cut, 0], n[:cut, 1]
-                words, counts = words[cut:], [n[cut:]]
-            at_least = len(words) + SPELLED
+        for w, x, y in zip(*(b.column(c).to_pylist() for c in ("words", "n1", "n0"))):
+            words += w.split(" ")
+            n1.append(np.frombuffer(x, np.int64))
+            n0.append(np.frombuffer(y, np.int64))
+            if len(words) > SPELLED:
+                yield Spelling(words, np.concatenate(n1), np.concatenate(n0))
+                words, n1, n0 = [], [], []
     if words:
-        n = np.concatenate(counts)
-        yield words, n[:, 0], n[:, 1]
+        yield Spelling(words, np.concatenate(n1), np.concatenate(n0))
 
 
-def _continuations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for words, n1, n0 in _whole_heads(batches):
-        c, times = Spelling(words, n1, n0).continuations()
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), pa.array(times.astype(np.int64))], ["c", "times"])
+BASE = "c long, times long, h1 long, h0 long, k1 double, k0 double, k double, heads long"
 
 
-def _ratios(base: Base):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, n1, n0 in _whole_heads(batches):
-            r = Spelling(words, n1, n0).ratios(base)
-            for a in range(0, len(words), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(words[a : a + 50_000], pa.string()), pa.array(r[a : a + 50_000])], ["word", "ratio"])
-
-    return run
+def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a partition's heads add to Base: how often each character follows, and in a row without character the heads' sums."""
+    for tree in _spellings(batches):
+        c, times = tree.continuations()
+        n1, n0, n = tree.nodes(HEAD)[2]
+        values = (int(n1.sum()), int(n0.sum()), float(kept(n1).sum()), float(kept(n0).sum()), float(shared(n).sum()), int((n > 0).sum()))
+        columns = [[*c.tolist(), None], [*times.tolist(), None], *[[None] * len(c) + [v] for v in values]]
+        types = [pa.int64()] * 4 + [pa.float64()] * 3 + [pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], [x.split()[0] for x in BASE.split(", ")])
 
 
-def word_ratios(counts: DataFrame) -> DataFrame:
-    """(word, ratio) of every word of counts (word, n1, n0: how often it stands in toxic and in ordinary training texts)."""
-    spark = counts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    head = F.substring(F.concat("word", F.lit(END)), 1, HEAD)
-    counts = staged(counts, "tox-vocabulary")
-    ordered = counts.repartition(parts, head).sortWithinPartitions("word")
-    seen = counts.where("n1 + n0 > 0")
-    own = lambda c: F.when(F.col(c) > 1, F.col(c) - DISCOUNT).otherwise(0.0)
-    t = seen.groupBy(head.alias("head")).agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).agg(
-        F.sum("n1"), F.sum("n0"), F.sum(own("n1")), F.sum(own("n0")), F.sum(F.greatest(F.col("n1") + F.col("n0") - DISCOUNT, F.lit(0.0))), F.count("*")
-    ).first()
-    n1, n0, k1, k0, k, heads = (float(x or 0) for x in t)
-    follows = seen.repartition(parts, head).sortWithinPartitions("word").mapInArrow(_continuations, "c long, times long").groupBy("c").agg(F.sum("times").alias("times")).collect()
-    base = Base([r["c"] for r in follows], [r["times"] for r in follows], [n1, n0, n1 + n0], [n1 - k1, n0 - k0, n1 + n0 - k], int(heads))
-    return ordered.mapInArrow(_ratios(base), "word string, ratio double")
+def base_of(counted: DataFrame) -> Base:
+    """counted: one row of COUNTED per head."""
+    found = counted.mapInArrow(_base, BASE).groupBy("c").agg(*[F.sum(x).alias(x) for x in ("times", "h1", "h0", "k1", "k0", "k", "heads")]).collect()
+    t = next((r for r in found if r["c"] is None), None)
+    if t is None:
+        return Base([], [], [0.0] * 3, [0.0] * 3, 0)
+    n1, n0 = float(t["h1"]), float(t["h0"])
+    follows = [r for r in found if r["c"] is not None]
+    return Base([r["c"] for r in follows], [r["times"] for r in follows], [n1, n0, n1 + n0], [n1 - t["k1"], n0 - t["k0"], n1 + n0 - t["k"]], t["heads"])
 
 
 PACKED = "batch long, sums binary"
@@ -292,28 +363,68 @@ def _merged(parts: list[tuple]) -> tuple:
     return batch[first], at[first], [np.add.reduceat(np.concatenate([p[2][k] for p in parts])[order], first) for k in range(3)]
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joined words (batch, ratio, posts) as sums per text, packed by batch."""
-    held, size = [], 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        posts = b.column("posts").cast(pa.large_binary())
-        ends = np.frombuffer(posts.buffers()[1], np.int64)[posts.offset : posts.offset + len(posts) + 1]
-        p = np.frombuffer(posts.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(_POST)
-        each = np.diff(ends) // _POST.itemsize
-        batch, ratio = (np.repeat(b.column(c).to_numpy(), each) for c in ("batch", "ratio"))
-        strong = np.maximum(ratio - EVIDENCE, 0.0)
-        held.append(_merged([(batch, p["at"].astype(np.int64), [p["n"] * ratio, strong, strong**POWER])]))
-        size += len(held[-1][0])
-        if size > HELD:
-            held = [_merged(held)]
-            size = len(held[0][0])
-            if size > HELD // 2:
-                yield _packed(*held[0])
-                held, size = [], 0
-    if held:
-        yield _packed(*_merged(held))
+class _Chunk:
+    """Words of some heads, counted or standing in batches."""
+
+    def __init__(self):
+        self.counts: dict[str, tuple[int, int]] = {}
+        self.names, self.lens, self.posts, self.batches, self.bytes = [], [], [], [], 0
+
+    def add(self, batch, words, lens, posts, n1, n0) -> None:
+        names = words.split(" ")
+        if posts is None:
+            self.counts.update(zip(names, zip(np.frombuffer(n1, np.int64).tolist(), np.frombuffer(n0, np.int64).tolist())))
+        else:
+            self.names += names
+            self.lens.append(np.frombuffer(lens, "<u4").astype(np.int64))
+            self.posts.append(posts)
+            self.batches.append((batch, len(names)))
+            self.bytes += len(posts)
+
+    def sums(self, base: Base) -> tuple:
+        words = sorted({*self.counts, *self.names})
+        n = np.array([self.counts.get(w, (0, 0)) for w in words], np.int64)
+        ratio = dict(zip(words, Spelling(words, n[:, 0], n[:, 1]).ratios(base).tolist()))
+        each = np.concatenate(self.lens)
+        value = np.repeat(np.fromiter(map(ratio.__getitem__, self.names), np.float64, len(self.names)), each)
+        batch = np.repeat(np.repeat([b for b, _ in self.batches], [k for _, k in self.batches]), each)
+        p = np.frombuffer(b"".join(self.posts), _POST)
+        # of a word that stands in a text more than 255 times, the strong part counts once
+        starts = np.zeros(len(p), bool)
+        starts[np.cumsum(each) - each] = True
+        once = starts | np.r_[True, p["at"][1:] != p["at"][:-1]]
+        strong = np.where(once, np.maximum(value - EVIDENCE, 0.0), 0.0)
+        return _merged([(batch, p["at"].astype(np.int64), [p["n"] * value, strong, strong**POWER])])
+
+
+def _sums(base: Base):
+    """Rows sorted by head and salt, counted words first, as sums per text, packed by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, chunk, at = [], 0, _Chunk(), None
+        for b in batches:
+            for head, salt, batch, words, lens, posts, n1, n0 in zip(*(b.column(c).to_pylist() for c in ("head", "salt", "batch", "words", "lens", "posts", "n1", "n0"))):
+                full = len(chunk.names) > SPELLED or chunk.bytes > SPELLED_BYTES
+                if full and chunk.names:
+                    held.append(chunk.sums(base))
+                    size += len(held[-1][0])
+                    counts = chunk.counts if (head, salt) == at else {}  # the head goes on in the next chunk
+                    chunk = _Chunk()
+                    chunk.counts = {w: c for w, c in counts.items() if head_of(w) == head}
+                    if size > HELD:
+                        held = [_merged(held)]
+                        size = len(held[0][0])
+                        if size > HELD // 2:
+                            yield _packed(*held[0])
+                            held, size = [], 0
+                at = head, salt
+                chunk.add(batch, words, lens, posts, n1, n0)
+        if chunk.names:
+            held.append(chunk.sums(base))
+        if held:
+            yield _packed(*_merged(held))
+
+    return run
 
 
 FEATURES = "batch long, at int, total double, strong double, peak double"
@@ -360,6 +471,20 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def _salted(index: DataFrame, counted: DataFrame, parts: int) -> DataFrame:
+    """Rows of the index and counted words, in the order of heads; a head with more than a part of all bytes is dealt."""
+    sizes = staged(index.groupBy("head").agg(F.sum(F.octet_length("posts").cast("long")).alias("bytes")), "tox-heads")
+    total = sizes.agg(F.sum("bytes")).first()[0] or 1
+    hot = sizes.where(F.col("bytes") * parts > total).select("head", F.ceil(F.col("bytes") * parts / total).cast("int").alias("salts"))
+    hot = F.broadcast(hot)  # fewer rows than parts
+    salts = F.coalesce(F.col("salts"), F.lit(1))
+    empty = F.lit(None).cast("binary")
+    a = index.join(hot, "head", "left").select("head", F.pmod(F.xxhash64("batch"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), "batch", "words", "lens", "posts", empty.alias("n1"), empty.alias("n0"))
+    b = counted.join(hot, "head", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    b = b.select("head", "salt", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("batch"), "words", empty.alias("lens"), empty.alias("posts"), "n1", "n0")
+    return a.unionByName(b).repartition(parts, "head", "salt").sortWithinPartitions("head", "salt", "kind")
+
+
 def _curve(found: DataFrame) -> list[float] | float:
     """Weights of the curve, or the score of every text if the labels have one class or none."""
     known = found.where("toxic IS NOT NULL AND fold <> 0")
@@ -391,14 +516,18 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = staged(known, "tox-labels")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), fold.alias("fold")).join(known, "doc_id", "left")
-    index = staged(texts.select("doc_id", "fold", "toxic", "text").mapInArrow(_index, WORDS), "tox-words")
-    words = index.where("word IS NOT NULL")
-    counts = words.groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    ratios = staged(word_ratios(counts), "tox-ratios")
-    sums = words.select("word", "batch", "posts").join(ratios, "word").select("batch", "ratio", "posts").mapInArrow(_sums, PACKED)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold.alias("fold"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    every = staged(texts.mapInArrow(_index, INDEX), "tox-index")
+    rows = staged(every.where("at IS NOT NULL").select("batch", "at", "doc_id", "fold", "n").join(known, "doc_id", "left"), "tox-texts")
+    index = every.where("head IS NOT NULL").select("batch", "head", "words", "lens", "posts")
+    none = F.lit(None).cast("string")
+    marks = rows.where("toxic IS NOT NULL AND fold IN (1, 2, 3)").groupBy("batch").agg(F.collect_list(F.col("at") * 2 + F.col("toxic")).alias("marks"))
+    marks = marks.select("batch", F.lit(0).alias("kind"), "marks", none.alias("head"), none.alias("words"), none.cast("binary").alias("lens"), none.cast("binary").alias("posts"))
+    met = index.select("batch", F.lit(1).alias("kind"), F.lit(None).cast("array<int>").alias("marks"), "head", "words", "lens", "posts").unionByName(marks)
+    counted = met.repartition(parts, "batch").sortWithinPartitions("batch", "kind").mapInArrow(_count, COUNTED)
+    counted = staged(counted.repartition(parts, "head").sortWithinPartitions("head").mapInArrow(_sum_counts, COUNTED), "tox-counted")
+    sums = staged(_salted(index, counted, parts).mapInArrow(_sums(base_of(counted)), PACKED), "tox-sums")
     sums = sums.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(_spread, FEATURES)
-    rows = index.where("at IS NOT NULL").select("batch", "at", "doc_id", "fold", "toxic", "n")
     found = staged(rows.join(sums, ["batch", "at"], "left").fillna(0.0, ["total", "strong", "peak"]), "tox-found")
     curve = _curve(found)
     if isinstance(curve, float):

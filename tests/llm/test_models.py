@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import pii, toxicity
@@ -115,10 +116,14 @@ def test_ratios_equal_brute_force(spark, monkeypatch):
     words = sorted({"".join(rnd.choice("abcé") for _ in range(rnd.randint(1, toxicity.RUN))) for _ in range(400)} | {"".join(rnd.choice("ab") for _ in range(rnd.randint(1, 6))) for _ in range(80)})
     n1, n0 = ([rnd.choice((0, 0, 0, 1, 2, 7)) for _ in words] for _ in "10")
     want = dict(zip(words, brute_ratio(words, n1, n0)))
+    heads = {}
+    for w, *n in zip(words, n1, n0):
+        heads.setdefault(toxicity.head_of(w), {})[w] = n
+    counted = spark.createDataFrame([toxicity._counted_row(h, c) for h, c in heads.items()], toxicity.COUNTED).repartition(3)
     for spelled in (toxicity.SPELLED, 10):
         monkeypatch.setattr(toxicity, "SPELLED", spelled)
-        got = {r.word: r.ratio for r in toxicity.word_ratios(spark.createDataFrame(list(zip(words, n1, n0)), "word string, n1 long, n0 long")).collect()}
-        assert got.keys() == want.keys() and all(abs(got[w] - want[w]) < 1e-9 for w in words)
+        got = toxicity.Spelling(words, np.array(n1), np.array(n0)).ratios(toxicity.base_of(counted))
+        assert np.allclose(got, [want[w] for w in words], atol=1e-9)
 
 
 def test_class_models_are_probabilities():
@@ -137,10 +142,16 @@ def test_class_models_are_probabilities():
         node, counts = below, c
 
 
-def test_features_equal_brute_force(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_features_equal_brute_force(spark, monkeypatch, small):
     """Sums over words that stand in batches, tasks and partitions are those over each text."""
+    if small:  # many batches, chunks and salts
+        real_salted = toxicity._salted
+        monkeypatch.setattr(toxicity, "_salted", lambda index, counted, parts: real_salted(index, counted, 40))
+        for name, value in (("BATCH_TEXTS", 7), ("SPELLED", 10), ("HELD", 50)):
+            monkeypatch.setattr(toxicity, name, value)
     texts, labels = toxic_corpus(150)
-    texts += [texts[0], "", None, "ab " * 70_000]
+    texts += [texts[0], "", None, "ab " * 70_000, "grubkin " * 300]
     docs, lab = frame(spark, rows(texts)).repartition(5), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     seen = {}
     real = toxicity._curve
