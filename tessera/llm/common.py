@@ -100,7 +100,7 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     # what was shuffled for the table is not needed any more: the driver's cleaner deletes it once its handles are collected
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -60,7 +60,7 @@ _INDEX = pa.schema(
 )
 #: A word in a text: the text's number and how often; more than 255 times are several in a row.
 _POST = np.dtype([("at", "<u2"), ("n", "u1")])
-_SUM = np.dtype([("at", "<u2"), ("total", "<f4"), ("strong", "<f4"), ("peak", "<f4")])
+_TOTAL, _STRONG = np.dtype([("at", "<u2"), ("total", "<f4")]), np.dtype([("at", "<u2"), ("strong", "<f4"), ("peak", "<f4")])
 
 
 def head_of(w: str) -> str:
@@ -340,18 +340,19 @@ def base_of(counted: DataFrame) -> Base:
     return Base([r["c"] for r in follows], [r["times"] for r in follows], [n1, n0, n1 + n0], [n1 - t["k1"], n0 - t["k0"], n1 + n0 - t["k"]], t["heads"])
 
 
-PACKED = "batch long, sums binary"
+PACKED = "batch long, totals binary, strongs binary"
 
 
 def _packed(batch: np.ndarray, at: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
     """Sums, sorted by batch, as one row per batch."""
-    sums = np.empty(len(at), _SUM)
-    sums["at"] = at
-    for name, v in zip(("total", "strong", "peak"), values):
-        sums[name] = v
+    totals, strongs = np.empty(len(at), _TOTAL), np.empty(len(at), _STRONG)
+    totals["at"], totals["total"] = at, values[0]
+    strongs["at"], strongs["strong"], strongs["peak"] = at, values[1], values[2]
     cut = np.flatnonzero(np.r_[True, batch[1:] != batch[:-1]]) if len(batch) else np.zeros(0, np.int64)
-    rows = [sums[a:b].tobytes() for a, b in zip(cut, np.r_[cut[1:], len(at)])]
-    return pa.RecordBatch.from_arrays([pa.array(batch[cut], pa.int64()), pa.array(rows, pa.binary())], ["batch", "sums"])
+    ends = np.r_[cut[1:], len(at)]
+    some = [strongs[a:b] for a, b in zip(cut, ends)]
+    rows = [totals[a:b].tobytes() for a, b in zip(cut, ends)], [x[x["strong"] > 0].tobytes() for x in some]
+    return pa.RecordBatch.from_arrays([pa.array(batch[cut], pa.int64()), *(pa.array(r, pa.binary()) for r in rows)], ["batch", "totals", "strongs"])
 
 
 def _merged(parts: list[tuple]) -> tuple:
@@ -439,12 +440,14 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(batch), pa.array(place.astype(np.int32)), *map(pa.array, values)], ["batch", "at", "total", "strong", "peak"])
 
     for b in batches:
-        for number, sums in zip(b.column("batch").to_pylist(), b.column("sums").to_pylist()):
+        for number, totals, strongs in zip(*(b.column(c).to_pylist() for c in ("batch", "totals", "strongs"))):
             if number != at and held:
                 yield rows(held)
                 held = []
-            s, at = np.frombuffer(sums, _SUM), number
-            held.append((np.full(len(s), number), s["at"].astype(np.int64), [s[c].astype(np.float64) for c in ("total", "strong", "peak")]))
+            at = number
+            for sums, kind in ((totals, _TOTAL), (strongs, _STRONG)):
+                x = np.frombuffer(sums, kind)
+                held.append((np.full(len(x), number), x["at"].astype(np.int64), [x[c].astype(np.float64) if c in kind.names else np.zeros(len(x)) for c in ("total", "strong", "peak")]))
     if held:
         yield rows(held)
 
@@ -472,11 +475,12 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def _salted(index: DataFrame, counted: DataFrame, parts: int) -> DataFrame:
-    """Rows of the index and counted words, in the order of heads; a head with more than a part of all bytes is dealt."""
+    """Rows of the index and counted words, in the order of heads; a head with more than a quarter of a part of all bytes is dealt."""
+    quarter = 4 * parts
     sizes = staged(index.groupBy("head").agg(F.sum(F.octet_length("posts").cast("long")).alias("bytes")), "tox-heads")
     total = sizes.agg(F.sum("bytes")).first()[0] or 1
-    hot = sizes.where(F.col("bytes") * parts > total).select("head", F.ceil(F.col("bytes") * parts / total).cast("int").alias("salts"))
-    hot = F.broadcast(hot)  # fewer rows than parts
+    hot = sizes.where(F.col("bytes") * quarter > total).select("head", F.ceil(F.col("bytes") * quarter / total).cast("int").alias("salts"))
+    hot = F.broadcast(hot)  # fewer rows than quarters of parts
     salts = F.coalesce(F.col("salts"), F.lit(1))
     empty = F.lit(None).cast("binary")
     a = index.join(hot, "head", "left").select("head", F.pmod(F.xxhash64("batch"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), "batch", "words", "lens", "posts", empty.alias("n1"), empty.alias("n0"))
