@@ -35,8 +35,10 @@ from tessera.llm.shingles import WordHashes, scramble
 
 WINDOW = 50
 SEED_WORDS = 8
-#: Windows of a packed string, and of a minimiser that one task sorts together.
-RUN, HOT = 400, 16_384
+#: Windows of a packed string, and of a minimiser that one task sorts together (about 60 MB).
+RUN, HOT = 400, 262_144
+#: Windows that are sorted at a time where several buckets are smaller.
+SORTED = 16_384
 #: Rank of a null id.
 LAST = 2**63 - 1
 #: Characters of packed strings that a task holds before it passes them on.
@@ -166,7 +168,7 @@ LEAST = "sid binary, least array<long>"
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Strings (minimiser, n, sid, packed, low, high), sorted by minimiser, that a smaller id repeats.
 
-    Whole buckets are sorted together, up to about HOT windows: equal windows are of one bucket.
+    Whole buckets are sorted together, about SORTED windows at a time: equal windows are of one bucket.
     """
     out, held, windows, at = [], [], 0, None
 
@@ -178,7 +180,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for k, n, *row in _rows(b, "minimiser", "n", "sid", "packed", "low", "high"):
-            if k != at and windows > HOT:
+            if k != at and windows > SORTED:
                 sort()
                 held, windows = [], 0
             at, windows = k, windows + n

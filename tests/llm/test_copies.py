@@ -156,7 +156,7 @@ def check_removed(spark, data):
     assert sorted(map(repr, map(tuple, docs.collect()))) == sorted(map(repr, brute_removed(data)))
 
 
-@pytest.mark.parametrize("hot", [16_384, 1])
+@pytest.mark.parametrize("hot", [262_144, 1])
 def test_passages_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
     check_removed(spark, rows(passages()))
