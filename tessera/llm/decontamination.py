@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, table
-from tessera.llm.shingles import WordHashes, chunks, minima, shingles
+from tessera.llm.shingles import WordHashes, chunks, minima32, shingles
 
 HASHES = 64
 THRESHOLD = 0.8
@@ -63,7 +63,7 @@ class ItemIndex:
         self.lookup = {}
         for level, members in self.classes.items():
             flat, starts = np.concatenate([self.sets[i] for i in members]), np.cumsum([0, *[len(self.sets[i]) for i in members[:-1]]])
-            sig = minima(flat, starts, HASHES, SEED)
+            sig = minima32(flat, starts, HASHES, SEED)
             order = np.argsort(sig, axis=1, kind="stable")
             self.lookup[level] = (np.take_along_axis(sig, order, 1), np.asarray(members)[order])
 
@@ -90,7 +90,7 @@ class ItemIndex:
         blocks = -(-counts[used] // SMALLEST)
         owner = np.repeat(used, blocks)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        sig = minima(values, first[owner] + SMALLEST * within, HASHES, SEED)
+        sig = minima32(values, first[owner] + SMALLEST * within, HASHES, SEED)
         for level in range(max(self.lookup) + 1):
             if level:
                 head = np.flatnonzero(within % 2 == 0)
