@@ -88,7 +88,12 @@ LEDGER = "blob binary, rule_version string, spans array<struct<start:bigint,kind
 
 def likely(text: Column) -> Column:
     """Whether a rule may match; what no hint fits is clean, and its text need not travel."""
-    return reduce(lambda a, b: a | b, [F.coalesce(text.rlike(r.hint), F.lit(False)) for r in RULES])
+    def may(rule: Rule) -> Column:
+        literal = next((x for x in ("AKIA", "-----BEGIN ", "eyJ", "gh", "xox") if rule.hint.startswith(x)), None)
+        fits = F.lit(True) if literal == rule.hint else text.rlike(rule.hint)
+        return fits if literal is None else text.contains(literal) & fits
+
+    return F.coalesce(reduce(lambda a, b: a | b, map(may, RULES)), F.lit(False))
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -100,33 +105,31 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def address(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, blob, likely) of every row, written: what a run needs of a text that is clean or seen."""
+    """(key, blob, likely, text) of every row, written: the text only where a hint fits, so it is all that a run reads."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return staged(docs.select(key, blob_id(text).alias("blob"), likely(text).alias("likely")), "secret-paths")
+    rows = docs.select(key, blob_id(text).alias("blob"), likely(text).alias("likely"), text.alias("text"))
+    return staged(rows.select(key, "blob", "likely", F.when(F.col("likely"), F.col("text")).alias("text")), "secret-paths")
 
 
-def unseen(docs: DataFrame, paths: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Ledger rows of the blobs of docs that the ledger lacks under RULE_VERSION, each scanned once.
+def unseen(paths: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Ledger rows of the blobs of paths (blob, likely, text) that the ledger lacks under RULE_VERSION, each scanned once.
 
-    paths: see address. Blobs without a hint are entered as clean from their address alone; of the others one text each
-    meets the ledger. Copies of a blob meet in a map-side aggregate, so a blob that holds a third of all rows sends one
-    row per task.
+    Blobs without a hint are entered as clean from their address alone; of the others one text each meets the ledger.
+    Copies of a blob meet in a map-side aggregate, so a blob that holds a third of all rows sends one row per task.
     """
     known = ledger.where(F.col("rule_version") == RULE_VERSION).select("blob")
-    new = paths.groupBy("blob").agg(F.first("likely").alias("likely")).join(known, "blob", "left_anti")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    texts = docs.where(likely(F.col("text"))).select(blob_id(text).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    new = paths.select("blob").distinct().join(known, "blob", "left_anti")
+    texts = paths.where("likely").groupBy("blob").agg(F.first("text").alias("text"))
     found = scan_blobs(texts.join(known, "blob", "left_anti"))
     return new.join(found, "blob", "left").select("blob", F.lit(RULE_VERSION).alias("rule_version"), "spans")
 
 
-def update(docs: DataFrame, path: str, paths: DataFrame | None = None) -> None:
-    """One run: scan what is new in docs and append it to the ledger at path. One run at a time writes a ledger.
+def update(paths: DataFrame, path: str) -> None:
+    """One run: scan what is new in paths (see address) and append it to the ledger at path. One run at a time writes a ledger.
 
     A run that fails has appended nothing, or all: run again, it scans what is still unseen.
     """
-    ledger = read_ledger(docs.sparkSession, path)
-    new = staged(unseen(docs, address(docs) if paths is None else paths, ledger), "secret-entries")
+    new = staged(unseen(paths, read_ledger(paths.sparkSession, path)), "secret-entries")
     new.write.mode("append").parquet(path)
 
 
@@ -134,16 +137,16 @@ def findings(paths: DataFrame, path: str) -> DataFrame:
     """Every path (key, blob) with the spans that the ledger has of its blob, null if none."""
     ledger = read_ledger(paths.sparkSession, path)
     known = ledger.where((F.col("rule_version") == RULE_VERSION) & F.col("spans").isNotNull()).select("blob", "spans")
-    return paths.drop("likely").join(known, "blob", "left")
+    return paths.drop("likely", "text").join(known, "blob", "left")
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(paths with spans, ledger after the run), without a folder: ledger has the rows of earlier runs."""
     before = docs.sparkSession.createDataFrame([], LEDGER) if ledger is None else ledger.select("blob", "rule_version", "spans")
     paths = address(docs, key)
-    after = before.unionByName(staged(unseen(docs, paths, before), "secret-entries"))
+    after = before.unionByName(staged(unseen(paths, before), "secret-entries"))
     known = after.where((F.col("rule_version") == RULE_VERSION) & F.col("spans").isNotNull()).select("blob", "spans")
-    return paths.drop("likely").join(known, "blob", "left").drop("blob"), after
+    return paths.drop("likely", "text").join(known, "blob", "left").drop("blob"), after
 
 
 def redact(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -154,8 +157,10 @@ def redact(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "secret-ledger")
-    update(docs, path, address(docs, docs.columns[0]))
     text = F.col("text")
+    marked = docs.select(F.struct(*docs.columns).alias("doc"), blob_id(text).alias("blob"), likely(text).alias("likely"))
+    marked = staged(marked.select("blob", "likely", F.when(F.col("likely"), F.col("doc")).alias("doc")), "secret-rows")
+    update(marked.select("blob", "likely", F.col("doc")["text"].alias("text")), path)
 
     def cut(spans: Column, text: Column) -> Column:
         def piece(s: Column, i: Column) -> Column:
@@ -165,8 +170,7 @@ def redact(docs: DataFrame, path: str | None = None) -> DataFrame:
         last = F.array_max(F.transform(spans, lambda x: x["stop"]))
         return F.concat(F.array_join(F.transform(spans, piece), ""), F.substr(text, (last + 1).cast("int"), F.length(text)))
 
-    rows = docs.where(likely(text)).select(F.struct(*docs.columns).alias("doc"), blob_id(text).alias("blob"))
-    rows = findings(rows, path)
+    rows = findings(marked.where("likely"), path)
     own, spans = F.col("doc")["text"], F.col("spans")
     new = F.when(spans.isNull(), own).otherwise(cut(spans, own))
     columns = {c: F.col("doc")[c] for c in docs.columns} | {"text": new}
@@ -192,8 +196,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), new_path(spark, "secret-ledger")
     paths = address(docs)
     earlier = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
-    update(docs.where(earlier), path, paths.where(earlier))
-    update(docs, path, paths)
+    update(paths.where(earlier), path)
+    update(paths, path)
     return digest_columns(findings(paths, path))
 
 

@@ -175,10 +175,10 @@ def test_ledger_in_a_folder(spark, tmp_path):
     """Runs append what is new; what an earlier run has entered is not scanned again, whatever paths hold it."""
     path = str(tmp_path / "ledger")
     a, b = frame(spark, rows(["token=abcdefghijkl", "clean"])), frame(spark, rows(["token=abcdefghijkl", "deadbeefdeadbeef", "clean", None], start=10))
-    secret_scan.update(a, path)
+    secret_scan.update(secret_scan.address(a), path)
     assert secret_scan.read_ledger(spark, path).count() == 2
-    secret_scan.update(b, path)
-    secret_scan.update(b, path)
+    for _ in range(2):
+        secret_scan.update(secret_scan.address(b), path)
     ledger = secret_scan.read_ledger(spark, path)
     assert ledger.count() == 4 and ledger.select("blob").distinct().count() == 4
     assert ledger.where("blob = unhex(sha2('clean', 256)) AND spans IS NULL").count() == 1
