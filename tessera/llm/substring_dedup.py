@@ -10,7 +10,8 @@ document with a smaller id.
 2. Equal windows have equal minimisers, so only super-k-mers whose minimiser stands in more than one document travel.
    Equal packed strings are merged on the way (a map-side minimum and maximum of the document id).
 3. Buckets are sorted window by window: by a hash, then equal hashes word by word. A minimiser with more than HOT
-   windows is split, its windows are dealt by a 128-bit hash of their words instead: the exact way for the rest.
+   windows is split, its windows are dealt by a 128-bit hash of their words instead: the exact way for the rest. A
+   window that no other document has ends there; only windows that a larger id repeats go back to their strings.
 4. Results go back by string to the occurrences, then as intervals to the documents, of which only those with a hit are
    read again.
 
@@ -88,7 +89,7 @@ def _rows(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
 
 def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     """Rows as a record batch; whole numbers stay whole beside nulls."""
-    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
     fields = [x.split() for x in schema.split(", ")]
     columns = zip(*rows) if rows else ((),) * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
@@ -160,7 +161,8 @@ def sorted_windows(strings: list[str], low: list[int]) -> list[np.ndarray]:
     return np.split(out, np.cumsum(counts)[:-1])
 
 
-LEAST = "sid binary, least array<long>"
+#: Of a string the windows that a smaller id repeats, and the least id of each.
+LEAST = "sid binary, at array<int>, least array<long>"
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,20 +170,21 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Whole buckets are sorted together, up to about HOT windows: equal windows are of one bucket.
     """
-    out, held, windows, at = [], [], 0, None
+    out, held, windows, bucket = [], [], 0, None
 
     def sort() -> None:
         sids, packed, low, high = zip(*held)
         for sid, h, least in zip(sids, high, sorted_windows(list(packed), list(low))):
-            if least.min() < h:
-                out.append((sid, least.tolist()))
+            at = np.flatnonzero(least < h)
+            if len(at):
+                out.append((sid, at.tolist(), least[at].tolist()))
 
     for b in batches:
         for k, n, *row in _rows(b, "minimiser", "n", "sid", "packed", "low", "high"):
-            if k != at and windows > HOT:
+            if k != bucket and windows > HOT:
                 sort()
                 held, windows = [], 0
-            at, windows = k, windows + n
+            bucket, windows = k, windows + n
             held.append(row)
         if len(out) > 2000:
             yield _batch(LEAST, out)
@@ -191,16 +194,16 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(LEAST, out)
 
 
-LOOSE = "sid binary, i int, w binary, low long"
+LOOSE = "sid binary, i int, w binary, low long, high long"
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every window of the strings of hot minimisers, by a 128-bit hash."""
     for b in batches:
         out = []
-        for sid, packed, low in _rows(b, "sid", "packed", "low"):
+        for sid, packed, low, high in _rows(b, "sid", "packed", "low", "high"):
             words = packed.split(" ")
-            out += [(sid, i, hashlib.blake2b(" ".join(words[i : i + WINDOW]).encode("utf-8", "surrogatepass"), digest_size=16).digest(), low) for i in range(len(words) - WINDOW + 1)]
+            out += [(sid, i, hashlib.blake2b(" ".join(words[i : i + WINDOW]).encode("utf-8", "surrogatepass"), digest_size=16).digest(), low, high) for i in range(len(words) - WINDOW + 1)]
             if len(out) > 50_000:
                 yield _batch(LOOSE, out)
                 out = []
@@ -214,8 +217,8 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word intervals that repeated windows of an occurrence cover."""
     for b in batches:
         out = []
-        for pid, cls, start, least in _rows(b, "pid", "cls", "start", "least"):
-            at = np.flatnonzero(np.asarray(least, np.int64) < pid)
+        for pid, cls, start, at, least in _rows(b, "pid", "cls", "start", "at", "least"):
+            at = np.asarray(at, np.int64)[np.asarray(least, np.int64) < pid]
             if len(at):
                 cut = np.flatnonzero(np.r_[True, np.diff(at) > 1])
                 out += [(pid, cls, int(start + x), int(start + y + WINDOW)) for x, y in zip(at[cut], at[np.r_[cut[1:], len(at)] - 1])]
@@ -256,12 +259,12 @@ def found(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame, D
     hot = staged(strings.groupBy("minimiser").agg(F.sum("n").alias("windows")).where(F.col("windows") > HOT).select("minimiser"), "hot")
     cold = strings.join(hot, "minimiser", "left_anti").repartition(parts, "minimiser").sortWithinPartitions("minimiser")
     least = cold.select("minimiser", "n", "sid", "packed", "low", "high").mapInArrow(_buckets, LEAST)
-    loose = staged(strings.join(hot, "minimiser", "left_semi").select("sid", "packed", "low").mapInArrow(_unpack, LOOSE), "hot-windows")
-    firsts = staged(loose.groupBy("w").agg(F.min("low").alias("first"), F.count("*").alias("n")).where("n > 1").select("w", "first"), "hot-firsts")
-    split = loose.join(firsts, "w", "left").select("sid", "i", F.coalesce("first", "low").alias("first"))
-    split = split.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("i", "first"))).alias("x")).select("sid", F.transform("x", lambda x: x["first"]).alias("least"))
+    loose = staged(strings.join(hot, "minimiser", "left_semi").select("sid", "packed", "low", "high").mapInArrow(_unpack, LOOSE), "hot-windows")
+    firsts = staged(loose.groupBy("w").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last").select("w", "first"), "hot-firsts")
+    split = loose.join(firsts, "w").where("first < high").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("i", "first"))).alias("x"))
+    split = split.select("sid", F.col("x.i").alias("at"), F.col("x.first").alias("least"))
     results = staged(least.unionByName(split), "string-results")
-    spans = packed.select("pid", "cls", "start", "sid").join(results, "sid").select("pid", "cls", "start", "least").mapInArrow(_covered, COVERED)
+    spans = packed.select("pid", "cls", "start", "sid").join(results, "sid").select("pid", "cls", "start", "at", "least").mapInArrow(_covered, COVERED)
     gone = spans.groupBy("pid", "cls").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
     return seen.drop("minimisers"), copies, staged(gone, "gone")
 
