@@ -29,20 +29,26 @@ def all_overlaps(docs: DataFrame, gold: DataFrame, query: str, doc: str, least:
     return hits.withColumn("overlap", F.col("_hits") / F.col("_n")).where(F.col("overlap") >= least).drop("_n", "_hits")
 
 
-def first_hits(overlaps: DataFrame, query: str, thresholds=THRESHOLDS) -> DataFrame:
-    """(query, threshold, hit_rank): rank of the first row at or above each threshold, null if none."""
+def gated(overlaps: DataFrame, passes: Column) -> DataFrame:
+    """Each row twice, by gate: as it is (false), and with an overlap of 0 unless it passes the provenance gate (true)."""
+    both = overlaps.withColumn("gate", F.explode(F.array(F.lit(False), F.lit(True))))
+    return both.withColumn("overlap", F.when(F.col("gate") & ~F.coalesce(passes, F.lit(False)), 0.0).otherwise(F.col("overlap")))
+
+
+def first_hits(overlaps: DataFrame, query: str, thresholds=THRESHOLDS, by: tuple[str, ...] = ()) -> DataFrame:
+    """(query, by, threshold, hit_rank): rank of the first row at or above each threshold, null if none."""
     t = overlaps.withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in thresholds])))
-    return t.groupBy(query, "threshold").agg(F.min(F.when(F.col("overlap") >= F.col("threshold"), F.col("rank"))).alias("hit_rank"))
+    return t.groupBy(query, *by, "threshold").agg(F.min(F.when(F.col("overlap") >= F.col("threshold"), F.col("rank"))).alias("hit_rank"))
 
 
-def metric_grid(hits: DataFrame, query: str, span: str | None = None, cutoffs=CUTOFFS) -> DataFrame:
-    """(threshold, k, recall, hit, mrr): recall over gold spans, then means over queries; an empty set is 0."""
+def metric_grid(hits: DataFrame, query: str, span: str | None = None, cutoffs=CUTOFFS, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, threshold, k, recall, hit, mrr): recall over gold spans, then means over queries; an empty set is 0."""
     h = hits.withColumn("k", F.explode(F.array(*[F.lit(k) for k in cutoffs])))
     found = F.coalesce(F.col("hit_rank") <= F.col("k"), F.lit(False))
-    per = h.groupBy(query, "threshold", "k").agg(
+    per = h.groupBy(query, *by, "threshold", "k").agg(
         F.avg(found.cast("double")).alias("recall"), F.max(found.cast("double")).alias("hit"), F.coalesce(1.0 / F.min(F.when(found, F.col("hit_rank"))), F.lit(0.0)).alias("rr")
     )
-    return per.groupBy("threshold", "k").agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4).alias(n) for c, n in (("recall", "recall"), ("hit", "hit"), ("rr", "mrr"))])
+    return per.groupBy(*by, "threshold", "k").agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4).alias(n) for c, n in (("recall", "recall"), ("hit", "hit"), ("rr", "mrr"))])
 
 
 def ceiling(best: DataFrame, thresholds=THRESHOLDS) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine, cosine_with
+from tessera.operators.governance import base_form, not_superseded
 
 # Weights, boosts and floors.
 ALPHA, RRF_K = 0.7, 60
@@ -49,17 +51,22 @@ def dense_topk(corpus: DataFrame, vector: Sequence[float], k: int, key: str, boo
 
 
 def dense_topk_many(corpus: DataFrame, queries: DataFrame, k: int, key: str, query: str, column: str = "embedding") -> DataFrame:
-    """Per query (query, query_vector) its k nearest rows with rank.
+    """Per query (query, query_vector) its k nearest rows with rank."""
+    near = lambda block: ranked(block, query, [F.desc("cos_sim"), F.asc(key)]).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, map(near, similarities(corpus, queries, query, column)))
+
+
+def similarities(corpus: DataFrame, queries: DataFrame, query: str, column: str = "embedding") -> list[DataFrame]:
+    """Rows with cos_sim to each vector of the queries (query, query_vector), one frame for each block of queries.
 
     The queries are a stated set that goes to the tasks in blocks of at most about QUERY_BLOCK vectors.
     """
     blocks = -(-queries.count() // QUERY_BLOCK) or 1
-    out = None
+    out = []
     for b in range(blocks):
         some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
-        scored = corpus.where(F.col(column).isNotNull()).join(F.broadcast(some)).withColumn("cos_sim", cosine(F.col(column), F.col("query_vector")))
-        near = ranked(scored.drop(column, "query_vector"), query, [F.desc("cos_sim"), F.asc(key)]).where(F.col("rank") <= k)
-        out = near if out is None else out.unionByName(near)
+        pairs = corpus.where(F.col(column).isNotNull()).join(F.broadcast(some))
+        out.append(pairs.withColumn("cos_sim", cosine(F.col(column), F.col("query_vector"))).drop(column, "query_vector"))
     return out
 
 
@@ -147,6 +154,67 @@ def with_fallback(scoped: DataFrame, unscoped: DataFrame, queries: DataFrame, qu
     return scoped.unionByName(unscoped.join(empty, query, "left_semi"))
 
 
+#: What retrieve reads of a candidate and of a query.
+CANDIDATE = ["company", "form", "fiscal_year", "kind", "source_type", "signal"]
+QUESTION = ["scope", "form_hint", "years", "figures", "explanation"]
+
+
+def retrieve(
+    dense: list[DataFrame], sparse: list[DataFrame], queries: DataFrame, query: str, key: str, k: int,
+    amended: DataFrame | None = None, fusion: str = "rrf", alpha: float = ALPHA,
+) -> DataFrame:
+    """(query, key, score, cos_sim, rank): the k best candidates of every query, from both arms.
+
+    dense and sparse: blocks of (query, key, cos_sim or raw, CANDIDATE columns); queries: query and QUESTION columns, a null
+    scope is none. In this order: boosts decide what each arm fetches; a query keeps to its scope unless both arms are empty
+    there; rows that amended (company, fiscal_year, form) replaces make room; ranks or scores are fused; bonuses are added;
+    ties go to the higher key. cos_sim is null for what only the sparse arm found.
+
+    Each arm is cut to its fetch per query and side of the scope before the arms meet, so what is shuffled after
+    scoring follows the queries and not the corpus.
+    """
+    most = overfetch(k, True)
+    asked = queries.select(query, *QUESTION).withColumn("_fetch", F.when(F.col("figures"), most).otherwise(overfetch(k, False)))
+
+    def arm(block: DataFrame, name: str, raw: str) -> DataFrame:
+        cos = F.col("cos_sim") if raw == "cos_sim" else F.lit(None).cast("double")
+        r = block.select(query, key, *CANDIDATE, F.col(raw).alias("_raw"), cos.alias("cos_sim"), F.lit(name).alias("_arm")).join(asked, query)
+        factor = boost(
+            (F.col("company") == F.col("scope"), BOOST_COMPANY), (F.col("form") == F.col("form_hint"), BOOST_FORM),
+            (F.array_contains("years", F.col("fiscal_year")), BOOST_YEAR),
+        )
+        inside = F.coalesce(F.col("scope").isNull() | (F.col("company") == F.col("scope")), F.lit(False))
+        r = r.withColumn("_score", F.col("_raw") * factor).withColumn("_in", inside)
+        r = ranked(r, [query, "_in"], [F.desc("_score"), F.asc(key)], "_at").where(F.col("_at") <= most)
+        return r.where(F.col("_at") <= F.col("_fetch")).drop("_raw", "_at", "_fetch")
+
+    both = reduce(DataFrame.unionByName, [*(arm(b, "v", "cos_sim") for b in dense), *(arm(b, "b", "raw") for b in sparse)])
+    both = both.withColumn("_any", F.max("_in").over(W.partitionBy(query))).where("_in = _any").drop("_any")
+    if amended is not None:
+        keys = amended.select("company", "fiscal_year", base_form(F.col("form")).alias("_base")).distinct()
+        both = not_superseded(both.withColumn("_base", base_form(F.col("form"))), keys, ["company", "fiscal_year", "_base"], []).drop("_base")
+    both = ranked(both, [query, "_arm"], [F.desc("_score"), F.asc(key)])
+    of = lambda name, c: F.max(F.when(F.col("_arm") == name, F.col(c)))
+    found = both.groupBy(query, key).agg(
+        of("v", "rank").alias("_rv"), of("b", "rank").alias("_rb"), of("v", "_score").alias("_v"), of("b", "_score").alias("_b"), F.max("cos_sim").alias("cos_sim"),
+        *[F.first(c).alias(c) for c in ("kind", "source_type", "figures", "explanation")], F.coalesce(F.first("signal"), F.lit(0.0)).alias("signal"),
+    )
+    if fusion == "rrf":
+        rrf = F.coalesce(alpha / (RRF_K + F.col("_rv")), F.lit(0.0)) + F.coalesce((1 - alpha) / (RRF_K + F.col("_rb")), F.lit(0.0))
+        found = found.withColumn("_rrf", rrf).withColumn("_fused", minmax("_rrf", query))
+    else:
+        w = W.partitionBy(query)
+        empty = lambda c: F.max(F.col(c)).over(w).isNull()
+        found = found.withColumns({"_ev": empty("_v"), "_eb": empty("_b")}).fillna(0.0, ["_v", "_b"])
+        part = lambda c: F.when(F.col(f"_e{c}"), 0.0).otherwise(minmax(f"_{c}", query))
+        found = found.withColumn("_fused", alpha * part("v") + (1 - alpha) * part("b"))
+    figures = F.col("figures")
+    final = F.col("_fused") + signal_bonus("signal", query, figures) + evidence_bonus(figures, F.col("explanation"), F.col("kind"), F.coalesce("source_type", F.lit("sec")))
+    # nine places: sums that differ in their last bit only are ties
+    best = ranked(found.withColumn("_final", F.round(final, 9)), query, [F.desc("_final"), F.desc(key)]).where(F.col("rank") <= k)
+    return best.select(query, key, F.round("_final", 6).alias("score"), F.round("cos_sim", 6).alias("cos_sim"), "rank")
+
+
 def confidence(pool: DataFrame, queries: DataFrame, query: str, top1_min: float = TOP1_FLOOR, mean3_min: float = MEAN3_FLOOR) -> DataFrame:
     """Per query the gate's status from the cosine similarities of its candidates (null: sparse only)."""
     placed = ranked(pool, query, [F.desc_nulls_last("cos_sim")], "_place")

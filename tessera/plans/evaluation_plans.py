@@ -63,13 +63,22 @@ def overlap_first_hit(spark, sf_dir):
 
 
 def _grid(v: str) -> str:
-    return f"""SELECT '{v}' AS variant, threshold, k, round(avg(f), 4) AS recall, round(avg(f), 4) AS hit, round(avg(CASE WHEN f > 0 THEN 1.0 / h ELSE 0 END), 4) AS mrr FROM (
-  SELECT threshold, k, h, (CASE WHEN h <= k THEN 1 ELSE 0 END)::DOUBLE AS f FROM (SELECT item_id, threshold, min(CASE WHEN overlap >= threshold THEN rank END) AS h FROM {v}, {_LEVELS} GROUP BY ALL), (SELECT unnest([1, 3, 5, 10])::INTEGER AS k)) GROUP BY threshold, k"""
+    return f"""SELECT '{v}' AS variant, gate, threshold, k, round(avg(f), 4) AS recall, round(avg(f), 4) AS hit, round(avg(CASE WHEN f > 0 THEN 1.0 / h ELSE 0 END), 4) AS mrr FROM (
+  SELECT gate, threshold, k, h, (CASE WHEN h <= k THEN 1 ELSE 0 END)::DOUBLE AS f FROM (
+    SELECT item_id, gate, threshold, min(CASE WHEN overlap >= threshold AND (NOT gate OR coalesce(source = 'src' || (item_id % 20), false)) THEN rank END) AS h
+    FROM {v} JOIN documents USING (doc_id), {_LEVELS}, (SELECT unnest([true, false]) AS gate) GROUP BY ALL), (SELECT unnest([1, 3, 5, 10])::INTEGER AS k)) GROUP BY gate, threshold, k"""
 
 
 @query("recall_mrr_grid", f"WITH {_RETRIEVED}, {_overlaps('clean', True)}, {_overlaps('raw', False)} {_grid('clean')} UNION ALL {_grid('raw')}")
 def recall_mrr_grid(spark, sf_dir):
-    one = lambda name, clean: E.metric_grid(E.first_hits(overlaps(spark, sf_dir, clean), "item_id"), "item_id").select(F.lit(name).alias("variant"), "*")
+    """Thresholds by token variants by gate: an item's provenance is its source."""
+    source = table(spark, sf_dir, "documents").select("doc_id", "source")
+    passes = F.col("source") == F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
+
+    def one(name: str, clean: bool):
+        rows = E.gated(overlaps(spark, sf_dir, clean).join(source, "doc_id"), passes)
+        return E.metric_grid(E.first_hits(rows, "item_id", by=("gate",)), "item_id", by=("gate",)).select(F.lit(name).alias("variant"), "*")
+
     return one("clean", True).unionByName(one("raw", False))
 
 

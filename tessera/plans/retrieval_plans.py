@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions.vectors import cosine, dot, l2_normalised
+from tessera.operators import governance as G
 from tessera.operators import retrieval as R
 from tessera.plans.registry import query
 from tessera.sources.tables import table
@@ -152,25 +153,53 @@ def rerank_bonus(spark, sf_dir):
     return s.select("doc_id", F.round(R.evidence_bonus(figures, explain, F.col("kind"), F.col("src")), 6).alias("bonus"), F.round(R.signal_bonus("signal", "lang", figures), 6).alias("signal_bonus"))
 
 
-# flagship: the sparse arm ranks documents for each benchmark item, the dense arm ranks vectors that stand for the documents
+# flagship: the sparse arm ranks documents for each benchmark item, the dense arm vectors that stand for the documents;
+# filing metadata and the signals of a question follow from the ids
+_FORM = "CASE WHEN doc_id % 2 = 0 THEN '10-K' ELSE '10-Q' END || CASE WHEN doc_id % 500 = 7 THEN '/A' ELSE '' END"
+_SCOPE = "CASE WHEN item_id % 4 = 0 THEN NULL WHEN item_id % 9 = 1 THEN 'nobody' ELSE 'src' || (item_id % 20) END"
+_HINT = "CASE WHEN item_id % 5 = 1 THEN '10-K' WHEN item_id % 5 = 2 THEN '10-Q' END"
 _HYBRID = f"""WITH {_TERMS}, emb AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings),
 p AS (SELECT item_id, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
-dn AS (SELECT item_id, doc_id, list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))) AS score FROM emb, p),
-v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM dn) WHERE rank <= 15),
-t AS (SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hits) WHERE rank <= 15),
-f AS (SELECT coalesce(v.item_id, t.item_id) AS item_id, coalesce(v.doc_id, t.doc_id) AS doc_id, {_RRF} AS rrf FROM v FULL JOIN t ON v.item_id = t.item_id AND v.doc_id = t.doc_id),
-g AS (SELECT *, {_MINMAX('rrf', 'item_id')} AS score FROM f)
-SELECT item_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, doc_id DESC)::INTEGER AS rank FROM g) WHERE rank <= 5"""
+m AS (SELECT doc_id, source AS company, {_FORM} AS form, 2018 + doc_id % 4 AS fiscal_year, {_KIND} AS kind, {_SRC} AS src, {_NUM}::DOUBLE AS signal FROM documents),
+asked AS (SELECT item_id, {_SCOPE} AS scope, {_HINT} AS hint, 2018 + item_id % 4 AS fy, item_id % 3 = 0 AS fig, item_id % 3 = 1 AS exp FROM benchmark),
+arms AS (
+  SELECT 'v' AS arm, item_id, doc_id, list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))) AS raw FROM emb, p
+  UNION ALL SELECT 'b', item_id, doc_id, score FROM hits),
+s AS (
+  SELECT *, raw * (CASE WHEN company = scope THEN 1.5 ELSE 1 END::DOUBLE * CASE WHEN form = hint THEN 1.3 ELSE 1 END::DOUBLE * CASE WHEN fiscal_year = fy THEN 1.3 ELSE 1 END::DOUBLE) AS boosted
+  FROM arms JOIN m USING (doc_id) JOIN asked USING (item_id)),
+scoped AS (SELECT * FROM s WHERE scope IS NULL OR company = scope),
+pool AS (SELECT * FROM scoped UNION ALL SELECT * FROM s WHERE item_id NOT IN (SELECT item_id FROM scoped)),
+fetched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY arm, item_id ORDER BY boosted DESC, doc_id) AS n FROM pool) WHERE n <= CASE WHEN fig THEN 30 ELSE 15 END),
+gone AS (SELECT DISTINCT company, fiscal_year, replace(form, '/A', '') AS form FROM m WHERE form LIKE '%/A'),
+alive AS (SELECT *, row_number() OVER (PARTITION BY arm, item_id ORDER BY boosted DESC, doc_id) AS rank FROM fetched ANTI JOIN gone USING (company, fiscal_year, form)),
+f AS (
+  SELECT item_id, doc_id, fig, exp, kind, src, signal, max(raw) FILTER (arm = 'v') AS cos_sim,
+    coalesce(0.7::DOUBLE / (60 + max(rank) FILTER (arm = 'v')), 0) + coalesce(0.3::DOUBLE / (60 + max(rank) FILTER (arm = 'b')), 0) AS rrf
+  FROM alive GROUP BY ALL),
+g AS (
+  SELECT *, round({_MINMAX('rrf', 'item_id')} + CASE WHEN fig THEN 0.15::DOUBLE * {_MINMAX('signal', 'item_id')} ELSE 0 END
+    + CASE WHEN fig AND kind = 'table' THEN 0.2 ELSE 0 END::DOUBLE + CASE WHEN exp AND kind = 'narrative' THEN 0.12 ELSE 0 END::DOUBLE
+    + CASE WHEN exp AND src = 'transcript' AND kind IN ('qa', 'narrative') THEN 0.08 ELSE 0 END::DOUBLE - CASE WHEN fig AND src = 'news' THEN 0.03 ELSE 0 END::DOUBLE, 9) AS final FROM f)
+SELECT item_id, doc_id, round(final, 6)::DOUBLE AS score, round(cos_sim, 6) AS cos_sim, rank
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id DESC)::INTEGER AS rank FROM g) WHERE rank <= 5"""
 
 
 @query("hybrid_topk", _HYBRID)
 def hybrid_topk(spark, sf_dir):
+    m = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").alias("company"), F.expr(_FORM).alias("form"), (2018 + F.col("doc_id") % 4).alias("fiscal_year"), F.expr(_KIND).alias("kind"),
+        F.expr(_SRC).alias("source_type"), F.regexp_count("text", F.lit(X.NUMBER)).cast("double").alias("signal"),
+    )
+    asked = table(spark, sf_dir, "benchmark").select(
+        "item_id", F.expr(_SCOPE).alias("scope"), F.expr(_HINT).alias("form_hint"), F.array(2018 + F.col("item_id") % 4).alias("years"),
+        (F.col("item_id") % 3 == 0).alias("figures"), (F.col("item_id") % 3 == 1).alias("explanation"),
+    )
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    q = table(spark, sf_dir, "benchmark").select("item_id").join(e.select(F.col("doc_id").alias("item_id"), F.col("embedding").alias("query_vector")), "item_id")
-    dense = R.dense_topk_many(e, q, 15, "doc_id", "item_id")
-    words = R.ranked(sparse(spark, sf_dir, False), "item_id", [F.desc("score"), F.asc("doc_id")]).where("rank <= 15")
-    fused = R.fuse_rrf(dense, words, "item_id", "doc_id")
-    return R.ranked(fused, "item_id", [F.desc("rrf"), F.desc("doc_id")]).where("rank <= 5").select("item_id", "doc_id", F.round("fused", 6).alias("score"), "rank")
+    q = asked.select("item_id").join(e.select(F.col("doc_id").alias("item_id"), F.col("embedding").alias("query_vector")), "item_id")
+    words = sparse(spark, sf_dir, False).withColumnRenamed("score", "raw").join(m, "doc_id")
+    amended = m.where(G.is_amendment(F.col("form")))
+    return R.retrieve(R.similarities(e.join(m, "doc_id"), q, "item_id"), [words], asked, "item_id", "doc_id", 5, amended)
 
 
 @query("parent_child_best", "SELECT l_orderkey, l_linenumber, l_quantity, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem) JOIN orders ON o_orderkey = l_orderkey WHERE n = 1")

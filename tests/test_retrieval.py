@@ -61,3 +61,29 @@ def test_future_evidence_goes(spark):
 def test_boost_multiplies(spark):
     row = spark.createDataFrame([(1, None)], "a int, b int").select(R.boost((F.col("a") == 1, 1.5), (F.col("b") == 1, 1.3)).alias("x")).first()
     assert row.x == 1.5
+
+
+def test_retrieve_whole(spark):
+    """Scope with fallback, boosts before the cut, amendments, bonuses, ties to the higher key, no cosine from the sparse arm."""
+    rows = [  # key, company, form, year, kind, source, signal
+        (1, "A", "10-K", 2020, "narrative", "sec", 0.0), (2, "A", "10-K", 2021, "narrative", "sec", 0.0), (3, "B", "10-K", 2020, "table", "sec", 4.0),
+        (4, "B", "10-K/A", 2020, "narrative", "sec", None), (5, None, "10-Q", None, "qa", None, 1.0),
+    ]
+    meta = spark.createDataFrame(rows, "doc_id int, company string, form string, fiscal_year int, kind string, source_type string, signal double")
+    asked = spark.createDataFrame(
+        [(1, "A", None, [], False, False), (2, "Z", None, [2021], False, False), (3, None, "10-Q", [], True, False), (4, None, None, None, False, False)],
+        "q int, scope string, form_hint string, years array<int>, figures boolean, explanation boolean",
+    )
+    dense = meta.join(spark.createDataFrame([(q, d, c) for q in (1, 2, 3) for d, c in ((1, 0.5), (2, 0.5), (3, 0.6), (5, 0.55))], "q int, doc_id int, cos_sim double"), "doc_id")
+    words = meta.join(spark.createDataFrame([(3, 4, 1.0), (4, 4, 1.0), (4, 5, 1.0)], "q int, doc_id int, raw double"), "doc_id")
+    amended = meta.where("form = '10-K/A'")
+    for fusion in ("rrf", "minmax"):
+        got = {}
+        for r in R.retrieve([dense], [words], asked, "q", "doc_id", 3, amended, fusion).orderBy("q", "rank").collect():
+            got.setdefault(r.q, []).append((r.doc_id, r.cos_sim))
+        assert sorted(got[1]) == [(1, 0.5), (2, 0.5)]  # the scope's documents only
+        assert got[2][0] == (2, 0.5) and {d for d, _ in got[2]} == {1, 2, 5}  # nothing in scope: all; 3 is replaced; the year lifts 2 over 5
+        assert got[3][0] == (5, 0.55) and 3 not in dict(got[3])
+        assert sorted(got[4]) == [(4, None), (5, None)]
+    tied = R.retrieve([dense.where("q = 1")], [words], asked, "q", "doc_id", 3, None, "minmax").where("q = 1").orderBy("rank").collect()
+    assert [r.doc_id for r in tied] == [2, 1]
