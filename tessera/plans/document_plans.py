@@ -124,7 +124,11 @@ def company_mentions(spark, sf_dir):
     return t.join(u, "alias").select("doc_id", "item_id", "alias")
 
 
-@query("company_aliases")
+# names of two words, the first of five letters or more, without legal words: whole, compact and the first word
+_NAME = "trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query("company_aliases", f"SELECT c_custkey, unnest(list_distinct([{_NAME}, replace({_NAME}, ' ', ''), string_split({_NAME}, ' ')[1]])) AS alias FROM customer")
 def company_aliases(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.explode(X.company_aliases(F.col("c_name"))).alias("alias"))
 

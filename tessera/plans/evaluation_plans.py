@@ -184,7 +184,33 @@ def claim_numeric(spark, sf_dir):
     return rows.select("doc_id", F.size("found").alias("n_numbers"), p["value"].alias("value"), p["unit"].alias("unit"))
 
 
-@query("claim_verdict")
+def _listed(c: str, words) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+
+def _keywords(c: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in C.OVERLAP_STOP)
+    return f"list_distinct(list_filter(string_split_regex(lower({c}), '\\s+'), lambda x: x <> '' AND x NOT IN ({stop})))"
+
+
+_STRICT_TYPE = _TYPE.replace(" OR contains(lower(claim), 'k')", "")
+# the turns hold no digits, so no claim has a number and words alone decide; a turn with one fails the comparison
+_VERDICT = f"""WITH {_CLAIMS}, t AS (SELECT *, {_STRICT_TYPE} AS kind, lower(claim) AS low FROM s),
+v AS (
+  SELECT t.*, h.text, id || '/claim_' || substr(sha1('ACME::' || lower(trim(claim))), 1, 12) || '_' || lpad(idx::VARCHAR, greatest(2, length(idx::VARCHAR))::INT, '0') AS claim_id,
+    CASE kind WHEN 'prediction' THEN 'watch_later' WHEN 'opinion' THEN 'non_verifiable' ELSE 'check_now' END AS todo,
+    CASE WHEN {_listed('low', ['revenue', '营收'])} THEN 'revenue' WHEN {_listed('low', ['profit', '利润', 'net income'])} THEN 'profit' WHEN {_listed('low', ['margin', '毛利'])} THEN 'margin'
+      WHEN {_listed('low', ['eps', '每股'])} THEN 'eps' WHEN contains(low, 'share') AND contains(low, 'repurchase') THEN 'share' WHEN contains(low, 'cash') AND contains(low, 'flow') THEN 'cash flow' END AS metric
+  FROM t JOIN conversations h ON h.conv_id * 1000 + h.turn = t.id),
+w AS (
+  SELECT *, {_keywords('claim')} AS a, {_keywords('text')} AS b,
+    todo <> 'check_now' OR metric IS NULL OR CASE metric {" ".join(f"WHEN '{m}' THEN {_listed('lower(text)', names)}" for m, names in C.METRICS)} ELSE contains(lower(text), metric) END AS usable FROM v),
+x AS (SELECT *, usable AND len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) >= {C.SUPPORT_OVERLAP} * len(a) AS good FROM w)
+SELECT claim_id, CASE todo WHEN 'non_verifiable' THEN 'non_verifiable' WHEN 'watch_later' THEN 'not_yet_decidable' ELSE CASE WHEN good THEN 'verified' ELSE 'insufficient_evidence' END END AS verdict,
+  (todo = 'check_now' AND good)::BIGINT AS n_for, (todo = 'check_now' AND usable AND NOT good)::BIGINT AS n_against FROM x"""
+
+
+@query("claim_verdict", _VERDICT)
 def claim_verdict(spark, sf_dir):
     c = split(spark, sf_dir).select(F.col("id"), "claim", C.claim_type(F.col("claim"), loose_k=False).alias("kind"), C.claim_id(F.col("claim"), F.lit("ACME"), F.col("idx")).alias("hash"), "idx")
     c = c.withColumn("claim_id", F.concat_ws("/", F.col("id").cast("string"), F.col("hash"))).withColumn("found", C.numeric_bindings(F.col("claim")))
