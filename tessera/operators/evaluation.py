@@ -48,7 +48,8 @@ def metric_grid(hits: DataFrame, query: str, span: str | None = None, cutoffs=CU
     per = h.groupBy(query, *by, "threshold", "k").agg(
         F.avg(found.cast("double")).alias("recall"), F.max(found.cast("double")).alias("hit"), F.coalesce(1.0 / F.min(F.when(found, F.col("hit_rank"))), F.lit(0.0)).alias("rr")
     )
-    return per.groupBy(*by, "threshold", "k").agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4).alias(n) for c, n in (("recall", "recall"), ("hit", "hit"), ("rr", "mrr"))])
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 9)  # the order in which parts are summed must not decide the fourth place
+    return per.groupBy(*by, "threshold", "k").agg(*[F.round(mean(c), 4).alias(n) for c, n in (("recall", "recall"), ("hit", "hit"), ("rr", "mrr"))])
 
 
 def ceiling(best: DataFrame, thresholds=THRESHOLDS) -> DataFrame:

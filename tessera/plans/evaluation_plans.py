@@ -63,7 +63,7 @@ def overlap_first_hit(spark, sf_dir):
 
 
 def _grid(v: str) -> str:
-    return f"""SELECT '{v}' AS variant, gate, threshold, k, round(avg(f), 4) AS recall, round(avg(f), 4) AS hit, round(avg(CASE WHEN f > 0 THEN 1.0 / h ELSE 0 END), 4) AS mrr FROM (
+    return f"""SELECT '{v}' AS variant, gate, threshold, k, round(round(avg(f), 9), 4) AS recall, round(round(avg(f), 9), 4) AS hit, round(round(avg(CASE WHEN f > 0 THEN 1.0::DOUBLE / h ELSE 0 END), 9), 4) AS mrr FROM (
   SELECT gate, threshold, k, h, (CASE WHEN h <= k THEN 1 ELSE 0 END)::DOUBLE AS f FROM (
     SELECT item_id, gate, threshold, min(CASE WHEN overlap >= threshold AND (NOT gate OR coalesce(source = 'src' || (item_id % 20), false)) THEN rank END) AS h
     FROM {v} JOIN documents USING (doc_id), {_LEVELS}, (SELECT unnest([true, false]) AS gate) GROUP BY ALL), (SELECT unnest([1, 3, 5, 10])::INTEGER AS k)) GROUP BY gate, threshold, k"""
