@@ -1,6 +1,40 @@
 """Queries of this subpackage and the SQL for those that SQL can express."""
 
-from tessera.llm import decontamination, jaccard_join, mixing, pii, quality_rules, secret_scan, substring_dedup, toxicity, url_filter, warc_archive
+from tessera.llm import (
+    decontamination,
+    filter_audit,
+    jaccard_join,
+    mixing,
+    pii,
+    quality_rules,
+    secret_scan,
+    substring_dedup,
+    toxicity,
+    url_filter,
+    warc_archive,
+)
 
-QUERIES = {"op1_jaccard_join": jaccard_join.op1_jaccard_join, "op10_pii": pii.op10_pii, "op2_mixing": mixing.op2_mixing, "op3_toxicity": toxicity.op3_toxicity, "op4_secret_scan": secret_scan.op4_secret_scan, "op6_warc": warc_archive.op6_warc, "op7_url_filter": url_filter.op7_url_filter, "op8_substring_dedup": substring_dedup.op8_substring_dedup, "op9_decontamination": decontamination.op9_decontamination, "op5_quality_rules": quality_rules.op5_quality_rules}
-ORACLE_SQL = {"op1_jaccard_join": jaccard_join.ORACLE, "op2_mixing": mixing.ORACLE, "op4_secret_scan": secret_scan.ORACLE, "op6_warc": warc_archive.ORACLE, "op7_url_filter": url_filter.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE, "op9_decontamination": decontamination.ORACLE, "op5_quality_rules": quality_rules.ORACLE}
+QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1_jaccard_join,
+    "op2_mixing": mixing.op2_mixing,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_warc": warc_archive.op6_warc,
+    "op7_url_filter": url_filter.op7_url_filter,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_decontamination": decontamination.op9_decontamination,
+    "op10_pii": pii.op10_pii,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+}
+ORACLE_SQL = {
+    "op1_jaccard_join": jaccard_join.ORACLE,
+    "op2_mixing": mixing.ORACLE,
+    "op4_secret_scan": secret_scan.ORACLE,
+    "op5_quality_rules": quality_rules.ORACLE,
+    "op6_warc": warc_archive.ORACLE,
+    "op7_url_filter": url_filter.ORACLE,
+    "op8_substring_dedup": substring_dedup.ORACLE,
+    "op9_decontamination": decontamination.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
+}
