@@ -5,6 +5,7 @@ from tessera.llm import (
     filter_audit,
     jaccard_join,
     mixing,
+    phrase_mining,
     pii,
     quality_rules,
     secret_scan,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_pii": pii.op10_pii,
+    "op11_phrase_mining": phrase_mining.op11_phrase_mining,
     "op12_filter_audit": filter_audit.op12_filter_audit,
 }
 ORACLE_SQL = {
@@ -36,5 +38,6 @@ ORACLE_SQL = {
     "op7_url_filter": url_filter.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op9_decontamination": decontamination.ORACLE,
+    "op11_phrase_mining": phrase_mining.ORACLE,
     "op12_filter_audit": filter_audit.ORACLE,
 }
