@@ -1,6 +1,7 @@
 """Queries of this subpackage and the SQL for those that SQL can express."""
 
 from tessera.llm import (
+    class_lm,
     decontamination,
     filter_audit,
     jaccard_join,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
     "op11_phrase_mining": phrase_mining.op11_phrase_mining,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_class_lm": class_lm.op13_class_lm,
 }
 ORACLE_SQL = {
     "op1_jaccard_join": jaccard_join.ORACLE,
