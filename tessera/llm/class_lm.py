@@ -187,7 +187,8 @@ def exchange(inner: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndar
         gain = (_h(lower[i] + l[i, None]) - _h(lower[i])).sum(axis=0) + (_h(upper[:, j] + r[None, j]) - _h(upper[:, j])).sum(axis=1)
         d = m[own, own]
         gain += _h(d + l[:classes] + r[:classes] + s) + _h(d) - _h(d + l[:classes]) - _h(d + r[:classes])
-        for total, n in ((lower.sum(axis=0), l.sum() + s), (upper.sum(axis=1), r.sum() + s)):
+        # the word's neighbours stay counted wherever it goes
+        for total, n in ((lower.sum(axis=0) + r[:classes], l.sum() + s), (upper.sum(axis=1) + l[:classes], r.sum() + s)):
             gain -= _h(total + n) - _h(total)
         b = at[k] = int(gain.argmax())
         m[:, b] += l
