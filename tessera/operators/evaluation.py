@@ -12,12 +12,18 @@ THRESHOLDS = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7)
 CUTOFFS = (1, 3, 5, 10)
 
 
+def with_overlaps(retrieved: DataFrame, docs: DataFrame, gold: DataFrame, query: str, doc: str, variants: dict[str, bool]) -> DataFrame:
+    """retrieved (query, doc, rank) with a column for each variant (name: clean): the share of the gold text's content tokens in the document.
+
+    retrieved has some rows a query, so it goes to the documents: texts stay where they are, and only those that were found are read as tokens.
+    """
+    texts = docs.select(doc, F.col("text").alias("_text")).join(F.broadcast(retrieved), doc).join(F.broadcast(gold.select(query, F.col("text").alias("_gold"))), query)
+    tokens = lambda c, clean: content_tokens(F.col(c), clean, clean)
+    return texts.withColumns({name: token_overlap(tokens("_text", clean), tokens("_gold", clean)) for name, clean in variants.items()}).drop("_text", "_gold")
+
+
 def with_overlap(retrieved: DataFrame, docs: DataFrame, gold: DataFrame, query: str, doc: str, clean: bool = True) -> DataFrame:
-    """retrieved (query, doc, rank) with overlap: the share of the gold text's content tokens in the document."""
-    tokens = lambda df, key, name: df.select(key, content_tokens(F.col("text"), clean, clean).alias(name))
-    wanted = docs.join(retrieved.select(doc).distinct(), doc, "left_semi")
-    joined = retrieved.join(tokens(wanted, doc, "_c"), doc).join(tokens(gold, query, "_g"), query)
-    return joined.withColumn("overlap", token_overlap(F.col("_c"), F.col("_g"))).drop("_c", "_g")
+    return with_overlaps(retrieved, docs, gold, query, doc, {"overlap": clean})
 
 
 def all_overlaps(docs: DataFrame, gold: DataFrame, query: str, doc: str, least: float) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import cosine, cosine_with
-from tessera.operators.governance import base_form, not_superseded
+from tessera.functions.vectors import cosine_with
+from tessera.operators.governance import current_versions
+from tessera.operators.nearest import nearest
+from tessera.operators.topk import Factor
 
 # Weights, boosts and floors.
 ALPHA, RRF_K = 0.7, 60
@@ -39,10 +41,6 @@ def matching(rows: DataFrame, **wanted) -> DataFrame:
     return rows
 
 
-#: Query vectors of a block (about 8 KB each at 1,024 dimensions, so 16 MB at a time).
-QUERY_BLOCK = 2000
-
-
 def dense_topk(corpus: DataFrame, vector: Sequence[float], k: int, key: str, boost_by: Column | None = None, column: str = "embedding") -> DataFrame:
     """k rows with the highest boosted cosine similarity to one vector: key, cos_sim, score_v and the other columns."""
     scored = corpus.where(F.col(column).isNotNull()).withColumn("cos_sim", cosine_with(F.col(column), vector))
@@ -52,49 +50,17 @@ def dense_topk(corpus: DataFrame, vector: Sequence[float], k: int, key: str, boo
 
 def dense_topk_many(corpus: DataFrame, queries: DataFrame, k: int, key: str, query: str, column: str = "embedding") -> DataFrame:
     """Per query (query, query_vector) its k nearest rows with rank."""
-    near = lambda block: ranked(block, query, [F.desc("cos_sim"), F.asc(key)]).where(F.col("rank") <= k)
-    return reduce(DataFrame.unionByName, map(near, similarities(corpus, queries, query, column)))
-
-
-def similarities(corpus: DataFrame, queries: DataFrame, query: str, column: str = "embedding") -> list[DataFrame]:
-    """Rows with cos_sim to each vector of the queries (query, query_vector), one frame for each block of queries.
-
-    The queries are a stated set that goes to the tasks in blocks of at most about QUERY_BLOCK vectors.
-    """
-    blocks = -(-queries.count() // QUERY_BLOCK) or 1
-    out = []
-    for b in range(blocks):
-        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
-        pairs = corpus.where(F.col(column).isNotNull()).join(F.broadcast(some))
-        out.append(pairs.withColumn("cos_sim", cosine(F.col(column), F.col("query_vector"))).drop(column, "query_vector"))
-    return out
+    near = nearest(corpus, queries, k, key, query, column).drop("inside", "score").withColumnRenamed("raw", "cos_sim")
+    return ranked(near, query, [F.desc("cos_sim"), F.asc(key)]).where(F.col("rank") <= k)
 
 
 def ranked(rows: DataFrame, by: str | list[str], order: list[Column], name: str = "rank") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(W.partitionBy(by).orderBy(*order)))
 
 
-def term_frequencies(docs: DataFrame, key: str, text: Column, terms: DataFrame | None = None) -> DataFrame:
-    """(key, term, tf, n_terms): lower-case alphanumeric terms of each document, or those of them that terms (term) holds.
-
-    Terms that no query asks for are dropped before anything is counted, so they are never shuffled.
-    """
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-    rows = docs.select(key, words.alias("w")).select(key, F.size("w").alias("n_terms"), F.explode("w").alias("term"))
-    if terms is not None:
-        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy(key, "n_terms", "term").agg(F.count("*").alias("tf"))
-
-
-def sparse_scores(tf: DataFrame, query_terms: DataFrame, key: str, query: str, all_terms: bool) -> DataFrame:
-    """(query, key, hits, score): documents with the terms of (query, term); all_terms keeps full matches only.
-
-    Terms meet in an equi-join on the term; query terms that all documents share are summed before the shuffle.
-    """
-    need = query_terms.groupBy(query).agg(F.count("*").alias("need"))
-    hits = tf.join(query_terms, "term").groupBy(query, key).agg(F.count("*").alias("hits"), F.round(F.sum(F.log(1.0 + F.col("tf")) / F.log(1.0 + F.col("n_terms"))), 9).alias("score"))
-    hits = hits.join(need, query)
-    return (hits.where("hits = need") if all_terms else hits).drop("need")
+def terms_of(text: Column) -> Column:
+    """Lower-case alphanumeric terms of a text, in order and with repeats."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
 
 
 def minmax(score: str, within: str | list[str]) -> Column:
@@ -154,51 +120,75 @@ def with_fallback(scoped: DataFrame, unscoped: DataFrame, queries: DataFrame, qu
     return scoped.unionByName(unscoped.join(empty, query, "left_semi"))
 
 
-#: What retrieve reads of a candidate and of a query.
-CANDIDATE = ["company", "form", "fiscal_year", "kind", "source_type", "signal"]
-QUESTION = ["scope", "form_hint", "years", "figures", "explanation"]
+#: What an arm multiplies by where a candidate agrees with the question, and what a question keeps to.
+BOOSTS = (Factor("company", "scope", BOOST_COMPANY), Factor("form", "form_hint", BOOST_FORM), Factor("fiscal_year", "years", BOOST_YEAR))
+SCOPE = ("company", "scope")
+#: Rows of the child arm of a question, before and after their parents are told apart.
+CHILDREN = 30
+#: What retrieve reads of a candidate: for versions, and for bonuses.
+FILING = {"company": "string", "form": "string", "fiscal_year": "int", "period_label": "string", "section_name": "string"}
+EVIDENCE = {"kind": "string", "source_type": "string", "signal": "double"}
+
+
+def as_arm(rows: DataFrame, queries: DataFrame, query: str, raw: str) -> DataFrame:
+    """Rows (query, raw, FILING) that were scored elsewhere, as a search gives them: with inside, score and raw."""
+    asked = queries.select(query, "scope", "form_hint", "years")
+    factor = boost(
+        (F.col("company") == F.col("scope"), BOOST_COMPANY), (F.col("form") == F.col("form_hint"), BOOST_FORM),
+        (F.array_contains("years", F.col("fiscal_year")), BOOST_YEAR),
+    )
+    inside = F.coalesce(F.col("scope").isNull() | (F.col("company") == F.col("scope")), F.lit(False))
+    out = rows.withColumnRenamed(raw, "raw").join(asked, query)
+    return out.withColumns({"inside": inside, "score": F.col("raw") * factor}).drop("scope", "form_hint", "years")
 
 
 def retrieve(
-    dense: list[DataFrame], sparse: list[DataFrame], queries: DataFrame, query: str, key: str, k: int,
-    amended: DataFrame | None = None, fusion: str = "rrf", alpha: float = ALPHA,
+    dense: DataFrame, sparse: DataFrame, queries: DataFrame, query: str, key: str, k: int, amended: DataFrame | None = None, fusion: str = "rrf",
+    alpha: float = ALPHA, children: DataFrame | None = None, child: str | None = None, described=None,
 ) -> DataFrame:
-    """(query, key, score, cos_sim, rank): the k best candidates of every query, from both arms.
+    """(query, key, score, cos_sim, rank): the k best candidates of every query, from all arms.
 
-    dense and sparse: blocks of (query, key, cos_sim or raw, CANDIDATE columns); queries: query and QUESTION columns, a null
-    scope is none. In this order: boosts decide what each arm fetches; a query keeps to its scope unless both arms are empty
-    there; rows that amended (company, fiscal_year, form) replaces make room; ranks or scores are fused; bonuses are added;
-    ties go to the higher key. cos_sim is null for what only the sparse arm found.
+    dense and sparse: what nearest and search give, (query, inside, score, raw, key) with at least the columns of FILING
+    that there are and those of EVIDENCE, unless described(rows) adds the latter to the few rows that are left. children:
+    the same for rows of tables, by their key `child`, with key their parent's. queries: query, figures, explanation.
 
-    Each arm is cut to its fetch per query and side of the scope before the arms meet, so what is shuffled after
-    scoring follows the queries and not the corpus.
+    In this order: each arm is cut to its fetch of a question; a question keeps to its scope unless all arms are empty
+    there; a question for figures takes the best child of each parent into the dense arm; rows that amended filings replace
+    make room; ranks or scores are fused; bonuses are added; ties go to the higher key. cos_sim is null for what only
+    the sparse arm found. All that is shuffled follows the queries and not the corpus.
     """
-    most = overfetch(k, True)
-    asked = queries.select(query, *QUESTION).withColumn("_fetch", F.when(F.col("figures"), most).otherwise(overfetch(k, False)))
-
-    def arm(block: DataFrame, name: str, raw: str) -> DataFrame:
-        cos = F.col("cos_sim") if raw == "cos_sim" else F.lit(None).cast("double")
-        r = block.select(query, key, *CANDIDATE, F.col(raw).alias("_raw"), cos.alias("cos_sim"), F.lit(name).alias("_arm")).join(asked, query)
-        factor = boost(
-            (F.col("company") == F.col("scope"), BOOST_COMPANY), (F.col("form") == F.col("form_hint"), BOOST_FORM),
-            (F.array_contains("years", F.col("fiscal_year")), BOOST_YEAR),
-        )
-        inside = F.coalesce(F.col("scope").isNull() | (F.col("company") == F.col("scope")), F.lit(False))
-        r = r.withColumn("_score", F.col("_raw") * factor).withColumn("_in", inside)
-        r = ranked(r, [query, "_in"], [F.desc("_score"), F.asc(key)], "_at").where(F.col("_at") <= most)
-        return r.where(F.col("_at") <= F.col("_fetch")).drop("_raw", "_at", "_fetch")
-
-    both = reduce(DataFrame.unionByName, [*(arm(b, "v", "cos_sim") for b in dense), *(arm(b, "b", "raw") for b in sparse)])
+    fetch = F.when(F.col("figures"), overfetch(k, True)).otherwise(overfetch(k, False))
+    asked = queries.select(query, "figures", "explanation").withColumn("_fetch", fetch)
+    kept = FILING | EVIDENCE if described is None else FILING
+
+    def arm(rows: DataFrame, name: str) -> DataFrame:
+        columns = [F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in kept.items()]
+        cos = F.col("raw") if name != "b" else F.lit(None).cast("double")
+        tie = F.asc(child) if name == "c" else F.asc(key)
+        r = rows.join(asked, query)
+        r = ranked(r if name != "c" else r.where("figures"), [query, "inside"], [F.desc("score"), tie], "_at")
+        r = r.where(F.col("_at") <= (CHILDREN if name == "c" else F.col("_fetch")))
+        return r.select(query, key, *columns, F.col("score").alias("_score"), cos.alias("cos_sim"), F.lit(name).alias("_arm"), F.col("inside").alias("_in"), "_at", "figures", "explanation", "_fetch")
+
+    both = reduce(DataFrame.unionByName, [arm(dense, "v"), arm(sparse, "b"), *([arm(children, "c")] if children is not None else [])])
     both = both.withColumn("_any", F.max("_in").over(W.partitionBy(query))).where("_in = _any").drop("_any")
+    if children is not None:
+        near = ranked(both.where("_arm <> 'b'"), [query, key], [F.desc("_score"), F.desc("_arm"), F.asc("_at")], "_n").where("_n = 1").drop("_n")
+        near = ranked(near.withColumn("_arm", F.lit("v")), query, [F.desc("_score"), F.asc(key)], "_n").where("_n <= _fetch").drop("_n")
+        both = near.unionByName(both.where("_arm = 'b'"))
     if amended is not None:
-        keys = amended.select("company", "fiscal_year", base_form(F.col("form")).alias("_base")).distinct()
-        both = not_superseded(both.withColumn("_base", base_form(F.col("form"))), keys, ["company", "fiscal_year", "_base"], []).drop("_base")
+        both = current_versions(both, amended)
     both = ranked(both, [query, "_arm"], [F.desc("_score"), F.asc(key)])
     of = lambda name, c: F.max(F.when(F.col("_arm") == name, F.col(c)))
+    # a candidate has the same columns in each arm, so any of its rows will do
+    same = ["figures", "explanation", *(EVIDENCE if described is None else ())]
     found = both.groupBy(query, key).agg(
-        of("v", "rank").alias("_rv"), of("b", "rank").alias("_rb"), of("v", "_score").alias("_v"), of("b", "_score").alias("_b"), F.max("cos_sim").alias("cos_sim"),
-        *[F.first(c).alias(c) for c in ("kind", "source_type", "figures", "explanation")], F.coalesce(F.first("signal"), F.lit(0.0)).alias("signal"),
+        of("v", "rank").alias("_rv"), of("b", "rank").alias("_rb"), of("v", "_score").alias("_v"), of("b", "_score").alias("_b"),
+        F.max("cos_sim").alias("cos_sim"), *[F.first(c).alias(c) for c in same],
     )
+    if described is not None:
+        found = described(found)
+    found = found.withColumn("signal", F.coalesce("signal", F.lit(0.0)))
     if fusion == "rrf":
         rrf = F.coalesce(alpha / (RRF_K + F.col("_rv")), F.lit(0.0)) + F.coalesce((1 - alpha) / (RRF_K + F.col("_rb")), F.lit(0.0))
         found = found.withColumn("_rrf", rrf).withColumn("_fused", minmax("_rrf", query))

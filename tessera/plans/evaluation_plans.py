@@ -9,7 +9,7 @@ from tessera.operators import claims as C
 from tessera.operators import evaluation as E
 from tessera.operators import retrieval as R
 from tessera.plans.registry import query
-from tessera.plans.retrieval_plans import _TERMS, sparse
+from tessera.plans.retrieval_plans import _TERMS, sparse_best
 from tessera.sources.tables import table
 
 
@@ -42,7 +42,7 @@ _RETRIEVED = f"{_TERMS}, r AS (SELECT * FROM (SELECT item_id, doc_id, row_number
 
 
 def retrieved(spark, sf_dir):
-    return R.ranked(sparse(spark, sf_dir, False), "item_id", [F.desc("score"), F.asc("doc_id")]).where("rank <= 10").select("item_id", "doc_id", "rank")
+    return sparse_best(spark, sf_dir, 10).select("item_id", "doc_id", "rank")
 
 
 def _overlaps(name: str, clean: bool) -> str:
@@ -72,14 +72,12 @@ def _grid(v: str) -> str:
 @query("recall_mrr_grid", f"WITH {_RETRIEVED}, {_overlaps('clean', True)}, {_overlaps('raw', False)} {_grid('clean')} UNION ALL {_grid('raw')}")
 def recall_mrr_grid(spark, sf_dir):
     """Thresholds by token variants by gate: an item's provenance is its source."""
-    source = table(spark, sf_dir, "documents").select("doc_id", "source")
+    docs = table(spark, sf_dir, "documents")
     passes = F.col("source") == F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
-
-    def one(name: str, clean: bool):
-        rows = E.gated(overlaps(spark, sf_dir, clean).join(source, "doc_id"), passes)
-        return E.metric_grid(E.first_hits(rows, "item_id", by=("gate",)), "item_id", by=("gate",)).select(F.lit(name).alias("variant"), "*")
-
-    return one("clean", True).unionByName(one("raw", False))
+    found = retrieved(spark, sf_dir).join(docs.select("doc_id", "source"), "doc_id")
+    both = E.with_overlaps(found, docs, table(spark, sf_dir, "benchmark"), "item_id", "doc_id", {"clean": True, "raw": False})
+    long = both.unpivot(["item_id", "doc_id", "rank", "source"], ["clean", "raw"], "variant", "overlap")
+    return E.metric_grid(E.first_hits(E.gated(long, passes), "item_id", by=("variant", "gate")), "item_id", by=("variant", "gate"))
 
 
 _BEST = f"WITH {_PAIRS}, b AS (SELECT item_id, coalesce(max(overlap), 0.0)::DOUBLE AS best FROM benchmark LEFT JOIN o USING (item_id) GROUP BY item_id)"
@@ -111,17 +109,16 @@ z AS (SELECT count(*) FILTER (o = 0) AS old_zero, count(*) FILTER (n = 0) AS new
 SELECT old_recall, new_recall, old_zero AS old_zero_passing, new_zero AS new_zero_passing, old_reachable, new_reachable, new_recall >= 0.25 AS recall_ok, new_zero <= old_zero AS provenance_ok, new_reachable >= old_reachable AS ceiling_ok,
 new_p95 <= 1.5 * old_p95 AS latency_ok, new_recall >= 0.25 AND new_zero <= old_zero AND new_reachable >= old_reachable AND new_p95 <= 1.5 * old_p95 AS accepted FROM p, l, z""")
 def paired_decision(spark, sf_dir):
-    h = E.first_hits(overlaps(spark, sf_dir), "item_id", [0.5])
     recall = lambda k: F.round(F.avg(F.coalesce(F.col("hit_rank") <= k, F.lit(False)).cast("double")), 4)
     p95 = lambda odd: F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY value) FILTER (WHERE event_id % 2 = {odd})")
-    a, b = h.agg(recall(5).alias("old_recall"), recall(10).alias("new_recall")), table(spark, sf_dir, "events").agg(p95(0).alias("old_p95"), p95(1).alias("new_p95"))
+    b = table(spark, sf_dir, "events").agg(p95(0).alias("old_p95"), p95(1).alias("new_p95"))
     passes = F.col("source") == F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
     rows = overlaps(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     per = rows.groupBy("item_id").agg(
-        F.count_if(passes & (F.col("rank") <= 5)).alias("o"), F.count_if(passes).alias("n"), F.max(((F.col("overlap") >= 0.5) & (F.col("rank") <= 5)).cast("int")).alias("ro"), F.max((F.col("overlap") >= 0.5).cast("int")).alias("rn")
+        F.count_if(passes & (F.col("rank") <= 5)).alias("o"), F.count_if(passes).alias("n"), F.min(F.when(F.col("overlap") >= 0.5, F.col("rank"))).alias("hit_rank"), F.max(((F.col("overlap") >= 0.5) & (F.col("rank") <= 5)).cast("int")).alias("ro"), F.max((F.col("overlap") >= 0.5).cast("int")).alias("rn")
     )
-    c = per.agg(F.count_if(F.col("o") == 0).alias("old_zero_passing"), F.count_if(F.col("n") == 0).alias("new_zero_passing"), F.sum("ro").alias("old_reachable"), F.sum("rn").alias("new_reachable"))
-    pair = a.join(F.broadcast(b)).join(F.broadcast(c))
+    c = per.agg(recall(5).alias("old_recall"), recall(10).alias("new_recall"), F.count_if(F.col("o") == 0).alias("old_zero_passing"), F.count_if(F.col("n") == 0).alias("new_zero_passing"), F.sum("ro").alias("old_reachable"), F.sum("rn").alias("new_reachable"))
+    pair = c.join(F.broadcast(b))
     cols = ["old_recall", "new_recall", "old_zero_passing", "new_zero_passing", "old_reachable", "new_reachable", "recall_ok", "provenance_ok", "ceiling_ok", "latency_ok", "accepted"]
     return E.paired_decision(pair).select(*cols)
 

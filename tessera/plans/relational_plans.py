@@ -43,12 +43,12 @@ def amended_keys(spark, sf_dir):
 
 
 @query("supersession_antijoin", f"""WITH {_FILINGS}, {_CHUNKS}, {_AMENDED}, r AS (SELECT c.*, ticker, fy, form, period FROM c JOIN f USING (filing))
-SELECT form, count(*) AS n, sum(l_linenumber)::BIGINT AS lines FROM r WHERE form LIKE '%/A' OR NOT EXISTS (SELECT 1 FROM a WHERE a.ticker = r.ticker AND a.fy = r.fy AND (a.period IS NULL OR r.period IS NULL OR a.period = r.period)
+SELECT form, count(*) AS n, sum(l_linenumber)::BIGINT AS lines FROM r WHERE form LIKE '%/A' OR NOT EXISTS (SELECT 1 FROM a WHERE a.ticker = r.ticker AND a.fy = r.fy AND (a.period IS NULL OR a.period = r.period)
   AND (a.section IS NULL OR r.section IS NULL OR a.section = r.section)) GROUP BY form""")
 def supersession_antijoin(spark, sf_dir):
     f, c = filings(spark, sf_dir), chunks(spark, sf_dir)
     amended = G.amended_keys(f, c, "filing", ["ticker", "fy", "period"], "section")
-    kept = G.not_superseded(c.join(f, "filing"), amended, ["ticker", "fy"], ["period", "section"])
+    kept = G.not_superseded(c.join(f, "filing"), amended, ["ticker", "fy"], ["period"], ["section"])
     return kept.groupBy("form").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
 
 

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions.vectors import cosine, dot, l2_normalised
 from tessera.operators import governance as G
+from tessera.operators import postings as P
 from tessera.operators import retrieval as R
+from tessera.operators.nearest import fit_cells, in_cells, nearest, nearest_in_cells
+from tessera.operators.topk import order_of
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
@@ -91,24 +94,27 @@ hits AS (
 
 def item_terms(spark, sf_dir) -> DataFrame:
     """All terms of each benchmark item's whole text, as its query."""
-    w = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
-    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(w).alias("term")).distinct()
+    return table(spark, sf_dir, "benchmark").select("item_id", R.terms_of(F.col("text")).alias("terms"))
 
 
-def sparse(spark, sf_dir, all_terms: bool) -> DataFrame:
-    terms = item_terms(spark, sf_dir)
-    tf = R.term_frequencies(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), terms)
-    return R.sparse_scores(tf, terms, "doc_id", "item_id", all_terms)
+def document_postings(spark, sf_dir, *keep: str) -> DataFrame:
+    return P.postings(table(spark, sf_dir, "documents").select("doc_id", "text", *keep), "doc_id", "text", keep)
+
+
+def sparse_best(spark, sf_dir, k: int) -> DataFrame:
+    """(item_id, doc_id, score, rank) of each item's k best documents."""
+    found = P.search(document_postings(spark, sf_dir), item_terms(spark, sf_dir), k, "doc_id", "item_id")
+    return R.ranked(found, "item_id", order_of("score", "doc_id")).where(F.col("rank") <= k).select("item_id", "doc_id", "score", "rank")
 
 
 @query("sparse_term_match", f"WITH {_TERMS} SELECT item_id, doc_id, hits::BIGINT AS hits FROM hits JOIN need USING (item_id) WHERE hits = need")
 def sparse_term_match(spark, sf_dir):
-    return sparse(spark, sf_dir, True).select("item_id", "doc_id", "hits")
+    return P.matches(document_postings(spark, sf_dir), item_terms(spark, sf_dir), "item_id").select("item_id", "doc_id", "hits")
 
 
 @query("sparse_term_rank", f"WITH {_TERMS}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM hits) SELECT item_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= {K}")
 def sparse_term_rank(spark, sf_dir):
-    return R.ranked(sparse(spark, sf_dir, False), "item_id", [F.desc("score"), F.asc("doc_id")]).where(F.col("rank") <= K).select("item_id", "doc_id", r6("score"), "rank")
+    return sparse_best(spark, sf_dir, K).select("item_id", "doc_id", r6("score"), "rank")
 
 
 # two rankings of the same vectors: by similarity, and by a second score that follows from the ids
@@ -187,19 +193,111 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc
 
 @query("hybrid_topk", _HYBRID)
 def hybrid_topk(spark, sf_dir):
-    m = table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("source").alias("company"), F.expr(_FORM).alias("form"), (2018 + F.col("doc_id") % 4).alias("fiscal_year"), F.expr(_KIND).alias("kind"),
-        F.expr(_SRC).alias("source_type"), F.regexp_count("text", F.lit(X.NUMBER)).cast("double").alias("signal"),
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.col("source").alias("company"), F.expr(_FORM).alias("form"), (2018 + F.col("doc_id") % 4).alias("fiscal_year"),
     )
     asked = table(spark, sf_dir, "benchmark").select(
         "item_id", F.expr(_SCOPE).alias("scope"), F.expr(_HINT).alias("form_hint"), F.array(2018 + F.col("item_id") % 4).alias("years"),
-        (F.col("item_id") % 3 == 0).alias("figures"), (F.col("item_id") % 3 == 1).alias("explanation"),
+        (F.col("item_id") % 3 == 0).alias("figures"), (F.col("item_id") % 3 == 1).alias("explanation"), R.terms_of(F.col("text")).alias("terms"),
     )
+    meta = docs.drop("text")
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    q = asked.select("item_id").join(e.select(F.col("doc_id").alias("item_id"), F.col("embedding").alias("query_vector")), "item_id")
-    words = sparse(spark, sf_dir, False).withColumnRenamed("score", "raw").join(m, "doc_id")
-    amended = m.where(G.is_amendment(F.col("form")))
-    return R.retrieve(R.similarities(e.join(m, "doc_id"), q, "item_id"), [words], asked, "item_id", "doc_id", 5, amended)
+    q = asked.join(e.select(F.col("doc_id").alias("item_id"), F.col("embedding").alias("query_vector")), "item_id")
+    most = R.overfetch(5, True)
+    lists = P.postings(docs, "doc_id", "text", ["company", "form", "fiscal_year"])
+    words = P.search(lists, asked, most, "doc_id", "item_id", R.BOOSTS, R.SCOPE)
+    near = nearest(e.join(meta, "doc_id"), q, most, "doc_id", "item_id", "embedding", R.BOOSTS, R.SCOPE)
+    signal = docs.select("doc_id", "text"), F.regexp_count("text", F.lit(X.NUMBER)).cast("double")
+    amended = meta.where(G.is_amendment(F.col("form")))
+    return R.retrieve(near, words, asked.drop("terms"), "item_id", "doc_id", 5, amended, described=lambda found: found.join(signal[0], "doc_id").select(
+        "*", F.expr(_KIND).alias("kind"), F.expr(_SRC).alias("source_type"), signal[1].alias("signal")).drop("text"))
+
+
+# the whole retrieval: a child arm, amendments by period and section, min-max fusion; periods, sections and children follow from the ids
+_PERIOD = "CASE WHEN doc_id % 7 > 0 THEN ' q' || (1 + doc_id % 3) END"
+_SECTION = "CASE doc_id % 6 WHEN 0 THEN 'Item 7' WHEN 1 THEN 'MD&A' WHEN 2 THEN 'Full Document' WHEN 4 THEN 'Item  1A' WHEN 5 THEN 'Risk factors' END"
+_FORMS = "CASE WHEN doc_id % 2 = 0 THEN '10-K' ELSE '10-Q' END || CASE WHEN doc_id % 37 = 5 THEN '/A' ELSE '' END"
+_FACTORS = "(CASE WHEN company = scope THEN 1.5 ELSE 1 END::DOUBLE * CASE WHEN form = hint THEN 1.3 ELSE 1 END::DOUBLE * CASE WHEN fiscal_year = fy THEN 1.3 ELSE 1 END::DOUBLE)"
+_PAIR = "list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q)))"
+_WHOLE = f"""WITH {_TERMS}, emb AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT item_id, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
+m AS (
+  SELECT doc_id, source AS company, {_FORMS} AS form, 2018 + doc_id % 4 AS fiscal_year, {_KIND} AS kind, {_SRC} AS src, {_NUM}::DOUBLE AS signal,
+    upper(trim({_PERIOD})) AS period, upper({_SECTION}) AS section FROM documents),
+asked AS (SELECT item_id, {_SCOPE} AS scope, {_HINT} AS hint, 2018 + item_id % 4 AS fy, item_id % 3 = 0 AS fig, item_id % 3 = 1 AS exp FROM benchmark),
+arms AS (
+  SELECT 'v' AS arm, item_id, vec_id AS doc_id, NULL AS child, {_PAIR} AS raw FROM emb, p
+  UNION ALL SELECT 'b', item_id, doc_id, NULL, score FROM hits
+  UNION ALL SELECT 'c', item_id, vec_id // 3, vec_id, {_PAIR} FROM emb, p WHERE item_id % 3 = 0),
+s AS (SELECT *, raw * {_FACTORS} AS boosted, coalesce(scope IS NULL OR company = scope, false) AS side FROM arms JOIN m USING (doc_id) JOIN asked USING (item_id)),
+pool AS (SELECT * FROM (SELECT *, bool_or(side) OVER (PARTITION BY item_id) AS best_side FROM s) WHERE side = best_side),
+cut AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY arm, item_id ORDER BY boosted DESC, coalesce(child, doc_id)) AS n FROM pool)
+  WHERE n <= CASE WHEN arm = 'c' OR fig THEN 30 ELSE 15 END),
+near AS (SELECT * FROM cut WHERE arm <> 'b' QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY boosted DESC, arm DESC, n) = 1),
+found AS (
+  SELECT 'v' AS side_arm, * FROM near QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY boosted DESC, doc_id) <= CASE WHEN fig THEN 30 ELSE 15 END
+  UNION ALL SELECT 'b', * FROM cut WHERE arm = 'b'),
+named AS (
+  SELECT doc_id, upper(company) AS company, replace(form, '/A', '') AS base, fiscal_year, form LIKE '%/A' AS amends, period,
+    CASE WHEN section = 'FULL DOCUMENT' THEN NULL WHEN section LIKE 'ITEM%' THEN
+      CASE WHEN form LIKE '10-Q%' THEN NULL WHEN section = 'ITEM 7' THEN 'MD&A' ELSE 'RISK FACTORS' END ELSE section END AS section FROM m),
+gone AS (SELECT * FROM named WHERE amends),
+alive AS (
+  SELECT f.* FROM found f JOIN named x USING (doc_id) WHERE x.amends OR NOT EXISTS (
+    SELECT 1 FROM gone g WHERE g.company = x.company AND g.base = x.base AND g.fiscal_year = x.fiscal_year
+      AND (g.period IS NULL OR g.period = x.period) AND (x.section IS NULL OR g.section IS NULL OR g.section = x.section))),
+f AS (
+  SELECT item_id, doc_id, fig, exp, kind, src, signal, max(raw) FILTER (side_arm = 'v') AS cos_sim,
+    max(boosted) FILTER (side_arm = 'v') AS v, max(boosted) FILTER (side_arm = 'b') AS b FROM alive GROUP BY ALL),
+e AS (SELECT *, max(v) OVER (PARTITION BY item_id) IS NULL AS ev, max(b) OVER (PARTITION BY item_id) IS NULL AS eb FROM f),
+z AS (SELECT * REPLACE (coalesce(v, 0) AS v, coalesce(b, 0) AS b) FROM e),
+g AS (
+  SELECT *, round(0.7::DOUBLE * CASE WHEN ev THEN 0 ELSE {_MINMAX('v', 'item_id')} END + 0.3::DOUBLE * CASE WHEN eb THEN 0 ELSE {_MINMAX('b', 'item_id')} END
+    + CASE WHEN fig THEN 0.15::DOUBLE * {_MINMAX('signal', 'item_id')} ELSE 0 END
+    + CASE WHEN fig AND kind = 'table' THEN 0.2 ELSE 0 END::DOUBLE + CASE WHEN exp AND kind = 'narrative' THEN 0.12 ELSE 0 END::DOUBLE
+    + CASE WHEN exp AND src = 'transcript' AND kind IN ('qa', 'narrative') THEN 0.08 ELSE 0 END::DOUBLE - CASE WHEN fig AND src = 'news' THEN 0.03 ELSE 0 END::DOUBLE, 9) AS final FROM z)
+SELECT item_id, doc_id, round(final, 6)::DOUBLE AS score, round(cos_sim, 6) AS cos_sim, rank
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id DESC)::INTEGER AS rank FROM g) WHERE rank <= 5"""
+
+
+@query("retrieve_whole", _WHOLE)
+def retrieve_whole(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.col("source").alias("company"), F.expr(_FORMS).alias("form"), (2018 + F.col("doc_id") % 4).cast("int").alias("fiscal_year"),
+        F.expr(_PERIOD).alias("period_label"), F.expr(_SECTION).alias("section_name"),
+    )
+    asked = table(spark, sf_dir, "benchmark").select(
+        "item_id", F.expr(_SCOPE).alias("scope"), F.expr(_HINT).alias("form_hint"), F.array((2018 + F.col("item_id") % 4).cast("int")).alias("years"),
+        (F.col("item_id") % 3 == 0).alias("figures"), (F.col("item_id") % 3 == 1).alias("explanation"), R.terms_of(F.col("text")).alias("terms"),
+    )
+    meta, e = docs.drop("text"), table(spark, sf_dir, "embeddings").drop("label")
+    q = asked.join(e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vector")), "item_id")
+    most = R.overfetch(5, True)
+    lists = P.postings(docs, "doc_id", "text", list(R.FILING))
+    words = P.search(lists, asked, most, "doc_id", "item_id", R.BOOSTS, R.SCOPE)
+    near = nearest(e.withColumnRenamed("vec_id", "doc_id").join(meta, "doc_id"), q, most, "doc_id", "item_id", "embedding", R.BOOSTS, R.SCOPE)
+    rows = e.withColumn("doc_id", F.expr("vec_id div 3")).join(meta, "doc_id")
+    children = nearest(rows, q.where("figures"), R.CHILDREN, "vec_id", "item_id", "embedding", R.BOOSTS, R.SCOPE)
+    texts, signal = docs.select("doc_id", "text"), F.regexp_count("text", F.lit(X.NUMBER)).cast("double").alias("signal")
+
+    def described(found):
+        return found.join(texts, "doc_id").select("*", F.expr(_KIND).alias("kind"), F.expr(_SRC).alias("source_type"), signal).drop("text")
+
+    return R.retrieve(near, words, asked, "item_id", "doc_id", 5, meta, "minmax", children=children, child="vec_id", described=described)
+
+
+#: Cells of the inverted file.
+CELLS = 16
+
+
+@query("dense_in_cells", f"{_MANY_RANKED} SELECT query_id, vec_id, round(c, 6) AS cos_sim, rank FROM r WHERE rank <= {K}")
+def dense_in_cells(spark, sf_dir):
+    """The inverted file with all its cells probed: the exact search, by another way."""
+    e, q = table(spark, sf_dir, "embeddings"), probes(spark, sf_dir)
+    centres = fit_cells(e, CELLS, "vec_id")
+    found = nearest_in_cells(in_cells(e, centres), centres, q, CELLS, K, "vec_id", "query_id")
+    return R.ranked(found, "query_id", order_of("raw", "vec_id")).where(F.col("rank") <= K).select("query_id", "vec_id", F.round("raw", 6).alias("cos_sim"), "rank")
 
 
 @query("parent_child_best", "SELECT l_orderkey, l_linenumber, l_quantity, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem) JOIN orders ON o_orderkey = l_orderkey WHERE n = 1")

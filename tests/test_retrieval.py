@@ -42,8 +42,8 @@ def test_supersession_wildcards(spark):
         "id int, ticker string, fy int, period string, section string, form string",
     )
     amended = spark.createDataFrame([("T", 2020, "Q1", "5")], "ticker string, fy int, period string, section string")
-    kept = G.not_superseded(rows, amended, ["ticker", "fy"], ["period", "section"])
-    assert sorted(r.id for r in kept.collect()) == [2, 4, 5]
+    kept = G.not_superseded(rows, amended, ["ticker", "fy"], ["period"], ["section"])
+    assert sorted(r.id for r in kept.collect()) == [2, 3, 4, 5]  # a row without a period is replaced by amendments without one only
     assert "Join" in kept._jdf.queryExecution().executedPlan().toString() and "CartesianProduct" not in kept._jdf.queryExecution().executedPlan().toString()
 
 
@@ -77,13 +77,14 @@ def test_retrieve_whole(spark):
     dense = meta.join(spark.createDataFrame([(q, d, c) for q in (1, 2, 3) for d, c in ((1, 0.5), (2, 0.5), (3, 0.6), (5, 0.55))], "q int, doc_id int, cos_sim double"), "doc_id")
     words = meta.join(spark.createDataFrame([(3, 4, 1.0), (4, 4, 1.0), (4, 5, 1.0)], "q int, doc_id int, raw double"), "doc_id")
     amended = meta.where("form = '10-K/A'")
+    dense, words = R.as_arm(dense, asked, "q", "cos_sim"), R.as_arm(words, asked, "q", "raw")
     for fusion in ("rrf", "minmax"):
         got = {}
-        for r in R.retrieve([dense], [words], asked, "q", "doc_id", 3, amended, fusion).orderBy("q", "rank").collect():
+        for r in R.retrieve(dense, words, asked, "q", "doc_id", 3, amended, fusion).orderBy("q", "rank").collect():
             got.setdefault(r.q, []).append((r.doc_id, r.cos_sim))
         assert sorted(got[1]) == [(1, 0.5), (2, 0.5)]  # the scope's documents only
         assert got[2][0] == (2, 0.5) and {d for d, _ in got[2]} == {1, 2, 5}  # nothing in scope: all; 3 is replaced; the year lifts 2 over 5
         assert got[3][0] == (5, 0.55) and 3 not in dict(got[3])
         assert sorted(got[4]) == [(4, None), (5, None)]
-    tied = R.retrieve([dense.where("q = 1")], [words], asked, "q", "doc_id", 3, None, "minmax").where("q = 1").orderBy("rank").collect()
+    tied = R.retrieve(dense.where("q = 1"), words, asked, "q", "doc_id", 3, None, "minmax").where("q = 1").orderBy("rank").collect()
     assert [r.doc_id for r in tied] == [2, 1]
