@@ -10,9 +10,10 @@ positions where it starts. Lists are extended level by level:
 3. The length of a new list is the exact frequency in the block; lengths are summed by phrase (first part, last part),
    and only phrases that reach the least frequency keep their lists.
 
-Which phrases a block keeps is a join of its narrow (phrase, length) rows with the frequent ones: no set of phrases is
-collected or broadcast by hand, and no task holds more than a block. Scores, the parts' counts and the test for longer
-phrases are joins of the tables of frequent phrases; the first 2,000 of a language are ranked by shares of it first.
+Which phrases a block keeps is a window over the narrow (phrase, block, length) rows of all blocks: they are shuffled
+once, and a phrase has one row a block, as its block has counted it already. No set of phrases is collected or broadcast
+by hand, and no task holds more than a block. Scores, the parts' counts and the test for longer phrases are joins of
+the tables of frequent phrases; the first 2,000 of a language are ranked by shares of it first.
 
 Defined cases: a null text counts as empty, a null lang as `und`; repeated rows and rows without an id count each; empty
 pieces have no words; phrases never leave a piece, so a document may be cut between blocks at any piece; an empty table
@@ -26,18 +27,19 @@ from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged, table
+from tessera.llm.common import drop_path, new_path, staged, table
 
 #: Words of a phrase at most, occurrences at least, phrases of a language in the result.
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: A phrase goes if a longer one has at least this per cent of its occurrences.
 COVER_PCT = 100
 #: Tokens of a block, and of the open blocks of a task together.
-BLOCK, HELD = 2_000_000, 6_000_000
+BLOCK, HELD = 1_000_000, 3_000_000
 #: Shares in which a language's phrases are ranked before the final ranking.
 SHARES = 256
 #: Bytes of a UTF-8 text: letters A-Z to lower case, ends of pieces to a byte that no text has, tabs to spaces.
@@ -76,6 +78,15 @@ def tokens(words: list[bytes], known: _Vocabulary) -> np.ndarray:
     return ids[(ids > 0) | np.r_[True, ids[:-1] > 0]]
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, their lowest bytes first: most of the others are alike."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 3)
+
+
+def _unpacked(b: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 BLOCKS = "block long, lang string, vocabulary array<string>, counts array<long>, tokens binary"
 
 
@@ -90,7 +101,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = [w.decode("utf-8", "surrogatepass") for w in islice(known.pop(lang), 1, None)]
         counts = np.bincount(ids, minlength=len(words) + 1)[1:].tolist()
         del sizes[lang]
-        columns = [([next(number)], pa.int64()), ([lang], pa.string()), ([words], pa.list_(pa.string())), ([counts], pa.list_(pa.int64())), ([ids.tobytes()], pa.binary())]
+        columns = [([next(number)], pa.int64()), ([lang], pa.string()), ([words], pa.list_(pa.string())), ([counts], pa.list_(pa.int64())), ([_packed(ids)], pa.binary())]
         return pa.RecordBatch.from_arrays([pa.array(*c) for c in columns], ["block", "lang", "vocabulary", "counts", "tokens"])
 
     for b in batches:
@@ -115,14 +126,15 @@ def _lists(block: int, at: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     """The vertical lists of a block: phrases, lengths of their lists, positions list by list."""
     order = np.lexsort((at, ids))
     keys, sizes = np.unique(ids, return_counts=True)
-    binary = [pa.array([x.tobytes()], pa.binary()) for x in (keys.astype(np.int64), sizes.astype(np.int32), at[order].astype(np.int32))]
+    gaps = np.diff(at[order].astype(np.int32), prepend=np.int32(0))  # small within a list
+    binary = [pa.array([_packed(x)], pa.binary()) for x in (keys.astype(np.int64), sizes.astype(np.int32), gaps)]
     return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *binary], ["block", "keys", "sizes", "at"])
 
 
 def merged(keys: bytes, sizes: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position, first part, last part) where a phrase of the lists is followed, one word on, by another: all lists merged by position."""
-    where = np.frombuffer(at, np.int32)
-    ids = np.repeat(np.frombuffer(keys, np.int64), np.frombuffer(sizes, np.int32))
+    keys, sizes, gaps = (_unpacked(x, t) for x, t in ((keys, np.int64), (sizes, np.int32), (at, np.int32)))
+    where, ids = np.cumsum(gaps, dtype=np.int32), np.repeat(keys, sizes)
     order = np.argsort(where)
     where, ids = where[order], ids[order]
     hit = np.flatnonzero(where[1:] == where[:-1] + 1)
@@ -137,7 +149,7 @@ def _structs(b: pa.RecordBatch, column: str, i: int, *fields: str) -> list[np.nd
 def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(b.num_rows):
-            local = np.frombuffer(b.column("tokens")[i].as_py(), np.int32)
+            local = _unpacked(b.column("tokens")[i].as_py(), np.int32)
             nth, ids = _structs(b, "known", i, "nth", "id")
             to = np.full(int(local.max(initial=0)) + 1, -1, np.int64)
             to[nth] = ids
@@ -183,10 +195,20 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _lists(b.column("block")[i].as_py(), at[known][hit], ids[order][nth[hit]])
 
 
+def _frequent(rows: DataFrame, phrase: list[str], least: int) -> DataFrame:
+    """The rows (one a block and phrase, with n) of phrases with at least so many occurrences, f; id is the `row` of one of a phrase's rows.
+
+    Rows are numbered where they have met, so a phrase has one number however often a task is run again.
+    """
+    same = Window.partitionBy(*phrase)
+    met = rows.withColumn("f", F.sum("n").over(same)).where(F.col("f") >= least)
+    return met.withColumn("row", F.monotonically_increasing_id()).withColumn("id", F.min("row").over(same))
+
+
 def _with_known(lists: DataFrame, known: DataFrame, *fields: str) -> DataFrame:
-    """Blocks beside those frequent phrases that they hold: at most as many as a block has words."""
+    """Blocks beside those frequent phrases that they hold: at most as many as a block has words. Merged at every size, as one plan for all."""
     per = known.groupBy("block").agg(F.collect_list(F.struct(*fields)).alias("known"))
-    return lists.join(per, "block")
+    return lists.hint("merge").join(per, "block")
 
 
 def frequent_phrases(docs: DataFrame, lang: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[list[DataFrame], DataFrame]:
@@ -196,22 +218,21 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", least: int = LEAST, lo
     words), and without its first words one by one `suf`; `first` and `last` are the ids of its parts, one word shorter.
     """
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    blocks = staged(texts.mapInArrow(_blocks, BLOCKS), "blocks")
+    spark = docs.sparkSession
+    whole = new_path(spark, "blocks")
+    blocks = staged(texts.mapInArrow(_blocks, BLOCKS), "", whole)
     words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("vocabulary", "counts")).alias("nth", "w")).select("block", "lang", F.col("nth") + 1, "w.*").toDF("block", "lang", "nth", "word", "n")
     totals = staged(blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     none = F.array().cast("array<long>")
-    level = staged(
-        words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        .select("lang", F.monotonically_increasing_id().alias("id"), F.col("word").alias("phrase"), F.col("word").alias("tail"), "f", none.alias("pre"), none.alias("suf")),
-        "phrases-1",
-    )
+    words = staged(_frequent(words, ["lang", "word"], least), "words")
+    level = words.where("row = id").select("lang", "id", F.col("word").alias("phrase"), F.col("word").alias("tail"), "f", none.alias("pre"), none.alias("suf"))
     levels = [level]
-    known = words.join(level.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]).select("block", "nth", "id")
-    lists = staged(_with_known(blocks.select("block", "tokens"), known, "nth", "id").mapInArrow(_word_lists, LISTS), "lists-1")
+    path = new_path(spark, "lists-1")
+    lists = staged(_with_known(blocks.select("block", "tokens"), words, "nth", "id").mapInArrow(_word_lists, LISTS), "", path)
+    drop_path(spark, whole)
     for k in range(2, longest + 1):
-        pairs = staged(lists.mapInArrow(_pairs, PAIRS), f"pairs-{k}")
-        found = pairs.groupBy("first", "last").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        found = staged(found.select(F.monotonically_increasing_id().alias("id"), "first", "last", "f"), f"found-{k}")
+        pairs = staged(_frequent(lists.mapInArrow(_pairs, PAIRS), ["first", "last"], least), f"pairs-{k}")
+        found = pairs.where("row = id").select("id", "first", "last", "f")
         head = level.select("lang", F.col("id").alias("first"), F.col("phrase").alias("head"), F.concat("pre", F.array("f")).alias("pre"))
         tail = level.select(F.col("id").alias("last"), "tail", F.concat(F.array("f"), F.col("suf")).alias("suf"))
         level = staged(
@@ -220,8 +241,9 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", least: int = LEAST, lo
         levels.append(level)
         if k == longest or level.isEmpty():
             break
-        known = pairs.join(found.select("first", "last", "id"), ["first", "last"]).select("block", "first", "last", "id")
-        lists = staged(_with_known(lists, known, "first", "last", "id").mapInArrow(_extended, LISTS), f"lists-{k}")
+        path, old = new_path(spark, f"lists-{k}"), path
+        lists = staged(_with_known(lists, pairs, "first", "last", "id").mapInArrow(_extended, LISTS), "", path)
+        drop_path(spark, old)
     return levels, totals
 
 
