@@ -8,10 +8,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Size and overlap per source and kind; shortest chunk; rows that tables repeat.
 SIZES = {
@@ -27,11 +28,14 @@ def windows(docs: DataFrame, key: str, text: Column, size: int, overlap: int) ->
     """(key, chunk_index, text, n_tokens): windows of size words, each starting size - overlap after the last; JVM only."""
     step = max(1, size - overlap)
     w = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
-    rows = docs.select(key, w.alias("w")).where(F.size("w") > 0)
-    last = F.greatest(F.ceil((F.size("w") - size) / step), F.lit(0)).cast("int")
-    rows = rows.select(key, "w", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
-    part = F.slice("w", F.col("chunk_index") * step + 1, F.lit(size))
-    return rows.select(key, "chunk_index", F.array_join(part, " ").alias("text"), F.size(part).alias("n_tokens"))
+    def sliced(w: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(w) - size) / step), F.lit(0)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(w, i * step + 1, F.lit(size)))
+        return F.when(F.size(w) > 0, F.transform(parts, lambda x: F.struct(F.array_join(x, " ").alias("text"), F.size(x).alias("n_tokens"))))
+
+    # the windows are made before they are exploded, so that each row has its own words only
+    rows = docs.select(key, F.posexplode(F.element_at(F.transform(F.array(w), sliced), 1)).alias("chunk_index", "x"))
+    return rows.select(key, "chunk_index", "x.text", "x.n_tokens")
 
 
 def trimmed_windows(words: list[str], size: int, overlap: int) -> list[str]:
@@ -108,18 +112,23 @@ def packed_rows(table: str, size: int, repeat: int = ROW_OVERLAP) -> list[tuple[
 
 def chunks(segments: DataFrame, key: str, source: str) -> DataFrame:
     """(key, idx, chunk_index, section, kind, text, n_tokens) of segments (key, idx, section, kind, text)."""
-    kind_of = segments.schema[key].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for k, i, section, kind, text in zip(f[key], f.idx, f.section, f.kind, f.text):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, out = [], []
+            for i, (section, kind, text) in enumerate(zip(*(b.column(c).to_pylist() for c in ("section", "kind", "text")))):
                 size, overlap, *wide = SIZES.get((source, kind), DEFAULT_SIZE)
-                made = packed_rows(text, size, overlap) if kind == "table" else packed_sentences(text, size, overlap, tuple(wide))
-                out += [(k, i, n, section, kind, t, c) for n, (t, c) in enumerate(made)]
-            yield pd.DataFrame(out, columns=[key, "idx", "chunk_index", "section", "kind", "text", "n_tokens"])
+                made = packed_rows(text or "", size, overlap) if kind == "table" else packed_sentences(text or "", size, overlap, tuple(wide))
+                at += [i] * len(made)
+                out += [(n, section, kind, t, c) for n, (t, c) in enumerate(made)]
+            n, section, kind, text, count = zip(*out) if out else ((),) * 5
+            ids = b.select([key, "idx"]).take(pa.array(at, pa.int32()))  # as they came: no number passes through another type
+            columns = [ids.column(0), ids.column(1), pa.array(n, pa.int32()), *(pa.array(x, pa.string()) for x in (section, kind, text)), pa.array(count, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [key, "idx", "chunk_index", "section", "kind", "text", "n_tokens"])
 
-    return segments.select(key, "idx", "section", "kind", "text").mapInPandas(run, f"{key} {kind_of}, idx int, chunk_index int, section string, kind string, text string, n_tokens int")
+    rows = segments.select(key, F.col("idx").cast("int").alias("idx"), "section", "kind", "text")
+    text, number = T.StringType(), T.IntegerType()
+    made = [T.StructField(n, t) for n, t in (("chunk_index", number), ("section", text), ("kind", text), ("text", text), ("n_tokens", number))]
+    return rows.mapInArrow(run, T.StructType([rows.schema[key], rows.schema["idx"], *made]))
 
 
 def speaker_turns(paragraphs: DataFrame, key: str, order: str, speaker: Column, body: Column) -> DataFrame:
@@ -179,8 +188,26 @@ def embedded(docs: DataFrame, key: str, dim: int = 64, embed=None, text: str = "
             out.append([x / length for x in v])
         return out
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({key: f[key], "embedding": (embed or bag)([t or " " for t in f[text]])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vectors = (embed or bag)([t or " " for t in b.column(text).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(vectors, pa.list_(pa.float32()))], [key, "embedding"])
+
+    return docs.select(key, text).mapInArrow(run, T.StructType([docs.schema[key], T.StructField("embedding", T.ArrayType(T.FloatType()))]))
 
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<float>")
+
+def table_rows(segments: DataFrame, key: str) -> DataFrame:
+    """(key, idx, child_index, text): of each table among segments (key, idx, text) one text for each row with figures.
+
+    It has the table's title, its header and the rows of labels and years before the row, then the row. Rows that repeat are
+    given once; what is no whole table gives none.
+    """
+    whole = F.col("text").startswith("[TABLE]") & F.col("text").endswith("[/TABLE]")
+    lines = segments.where(whole).select(key, "idx", F.posexplode(F.split("text", "\n")).alias("n", "raw")).where("raw <> '[/TABLE]'")
+    lines = lines.withColumn("line", F.regexp_replace("raw", r"^\[(?:TABLE|HEADER|ROW)\] ?", ""))
+    years = F.forall(F.split("line", r" \| "), lambda c: c.rlike(r"^(?:FY\s?)?(?:19|20)\d{2}$"))
+    label = ~F.col("raw").startswith("[ROW]") | years | ~F.col("line").rlike(r"\d")
+    w = W.partitionBy(key, "idx").orderBy("n")
+    lines = lines.withColumn("label", label).withColumn("context", F.array_join(F.collect_list(F.when(F.col("label"), F.col("line"))).over(w.rowsBetween(W.unboundedPreceding, -1)), "\n"))
+    rows = lines.where("NOT label").groupBy(key, "idx", F.concat_ws("\n", "context", "line").alias("text")).agg(F.min("n").alias("n"))
+    return rows.select(key, "idx", (F.row_number().over(w) - 1).alias("child_index"), "text")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import chunking as K
-from tessera.operators import htmldoc as H
+from tessera.operators import pages as H
+from tessera.operators import sections as S
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
@@ -59,6 +60,10 @@ def qa_pairs(spark, sf_dir):
     return K.qa_pairs(turns, "conv_id")
 
 
+_TITLE = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
+_MAIN = "CASE WHEN contains(html, '<article') THEN regexp_extract(html, '(?s)<article.*?</article>') ELSE html END"
+
+
 @query("html_title", "SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
 def html_title(spark, sf_dir):
     t = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
@@ -72,20 +77,68 @@ def html_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).distinct()
 
 
-@query("html_text")
+_TAGS = "html|body|div|section|article|main|header|footer|nav|aside|table|center|form|blockquote|ul|ol|dl|p|h1|h2|h3|h4|h5|h6|li|dt|dd|tr|td|th|caption|br|hr|pre|title|head"
+
+
+def _plain(text: str) -> str:
+    """Character references of a text in SQL, the ampersand's last, and white space as single blanks."""
+    for name, value in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''"), ("copy", "©"), ("middot", "·"), ("nbsp", " "), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{value}')"
+    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+
+
+def _bare(html: str) -> str:
+    return f"regexp_replace({html}, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->|<![^>]*>|<title[^>]*>.*?</title>', ' ', 'g')"
+
+
+def _blocks(html: str) -> str:
+    """Blocks of text of a page in SQL: every tag that shapes a page cuts, other tags vanish."""
+    cut = f"regexp_replace({_bare(html)}, '(?i)</?({_TAGS})(\\s[^>]*)?/?>', chr(1), 'g')"
+    return f"list_filter(list_transform(string_split(regexp_replace({cut}, '<[a-zA-Z/][^>]*>', '', 'g'), chr(1)), lambda x: {_plain('x')}), lambda x: x <> '')"
+
+
+@query("html_text", f"SELECT page_id, {_plain(_TITLE)} AS title, len(b)::INTEGER AS n_blocks, array_to_string(b, chr(10)) AS text FROM (SELECT page_id, html, {_blocks('html')} AS b FROM pages)")
 def html_text(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", H.html_page("html").alias("p"))
-    return p.select("page_id", "p.title", F.size("p.blocks").alias("n_blocks"), F.array_join("p.blocks", "\n").alias("text"))
+    p = table(spark, sf_dir, "pages")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"])
+    told = H.contents(p, "page_id").groupBy("page_id").agg(F.count("*").cast("int").alias("n_blocks"), F.array_join(lines, "\n").alias("text"))
+    title = H.squeezed(H.unescaped(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)))
+    return p.select("page_id", title.alias("title")).join(told, "page_id", "left").select("page_id", "title", F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query("page_main", f"SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INTEGER AS idx, text FROM (SELECT page_id, unnest(b) AS text, unnest(range(1, len(b) + 1)) AS i FROM (SELECT page_id, {_blocks(_MAIN)} AS b FROM pages))")
+def page_main(spark, sf_dir):
+    return H.main_blocks(table(spark, sf_dir, "pages"), "page_id")
+
+
+@query("page_links", "SELECT DISTINCT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages)")
+def page_links(spark, sf_dir):
+    return H.links(table(spark, sf_dir, "pages"), "page_id")
+
+
+def _filings(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", "html", F.lit("10-K").alias("form"))
+
+
+def _lines(html: str) -> str:
+    """A page's text in SQL: blocks on lines of their own, an empty one where two or more tags that begin a line lie between."""
+    marked = f"regexp_replace({_bare(html)}, '(?i)<(p|div|tr|br|h1|h2|h3|h4|h5|li)(\\s[^>]*)?/?>', chr(2), 'g')"
+    marked = f"regexp_replace(regexp_replace({marked}, '(?i)</?({_TAGS})(\\s[^>]*)?/?>', chr(1), 'g'), '<[a-zA-Z/][^>]*>', '', 'g')"
+    wide = f"regexp_replace({marked}, '[\\x01\\s]*\\x02[\\x01\\s]*\\x02[\\x01\\x02\\s]*', chr(3), 'g')"
+    line = f"replace(replace({_plain('x')}, chr(3), chr(10) || chr(10)), chr(1), chr(10))"
+    pieces = f"list_transform(string_split(regexp_replace({wide}, '[\\x01\\x02\\s]*[\\x01\\x02][\\x01\\x02\\s]*', chr(1), 'g'), chr(1)), lambda x: {line})"
+    return f"trim(array_to_string(list_filter({pieces}, lambda x: x <> ''), chr(10)), chr(10))"
 
 
-@query("html_segments")
+# no page of the table has a heading on a line between empty ones, or an item: each is one section
+@query("html_segments", f"SELECT page_id, 0::INTEGER AS idx, 'Full Document' AS section, 'narrative' AS kind, t AS text FROM (SELECT page_id, {_lines('html')} AS t FROM pages) WHERE length(t) >= 200")
 def html_segments(spark, sf_dir):
-    return H.segments(table(spark, sf_dir, "pages"), "page_id")
+    return S.filing_segments(_filings(spark, sf_dir), "page_id").select("page_id", "idx", "section", "kind", "text")
 
 
 @query("page_chunks")
 def page_chunks(spark, sf_dir):
-    return K.chunks(H.segments(table(spark, sf_dir, "pages"), "page_id"), "page_id", "news")
+    return K.chunks(S.filing_segments(_filings(spark, sf_dir), "page_id"), "page_id", "news")
 
 
 @query("url_parts", r"SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '://([^/?#]+)', 1) AS host, regexp_extract(url, '://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '/(20[0-9]{2})/', 1) AS year, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page FROM pages")

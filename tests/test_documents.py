@@ -1,43 +1,26 @@
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking as K
-from tessera.operators import htmldoc as H
 
-TABLE = "<html><head><title> A  b </title><style>x{}</style></head><body><p>Before</p><table><caption>Sales</caption><tr><th>Item</th><th>2023</th></tr><tr><td>Cars</td><td>1,200</td></tr></table><script>var p='</p>'</script><p>After</p></body></html>"
+BIG = 2**60 + 1
 
 
-def test_caption_and_header():
-    title, blocks = H.page(TABLE)
-    assert title == "A b"
-    assert blocks == ["Before", "[TABLE] Sales\n[HEADER] Item | 2023\n[ROW] Cars | 1,200\n[/TABLE]", "After"]
+def test_table_rows_inherit_context(spark):
+    t = "[TABLE] Sales\n[HEADER] Item | A\n[ROW] 2023 | 2022\n[ROW] Cars | 1\n[ROW] Notes | none\n[ROW] Cars | 2\n[ROW] Cars | 1\n[/TABLE]"
+    rows = [(BIG, 0, t), (BIG, 1, "plain"), (None, 0, "[TABLE] T\n[ROW] a | 1"), (BIG + 2, 0, "[TABLE] T\n[ROW] 1\n[/TABLE]"), (3, 0, None)]
+    got = K.table_rows(spark.createDataFrame(rows, "k long, idx int, text string"), "k").orderBy("k", "child_index").collect()
+    head = "Sales\nItem | A\n2023 | 2022"
+    assert [(r.k, r.child_index, r.text) for r in got] == [
+        (BIG, 0, f"{head}\nCars | 1"), (BIG, 1, f"{head}\nNotes | none\nCars | 2"), (BIG, 2, f"{head}\nNotes | none\nCars | 1"), (BIG + 2, 0, "T\n1"),
+    ]
 
 
-def test_title_row_and_inferred_header():
-    html = "<table><tr><td>Cash flows</td></tr><tr><td>2023</td><td>2022</td></tr><tr><td>Net</td><td>5</td></tr></table>"
-    assert H.page(html)[1] == ["[TABLE] Cash flows\n[HEADER] 2023 | 2022\n[ROW] Net | 5\n[/TABLE]"]
-
-
-def test_preceding_block_titles_a_table():
-    assert H.page("<p>Debt</p><table><tr><td>a</td><td>1</td></tr></table>")[1][1].startswith("[TABLE] Debt")
-    assert H.page("<table><tr><td>a</td><td>1</td></tr></table>")[1][0].startswith("[TABLE] Table 1")
-
-
-def test_bad_html_does_not_fail():
-    assert H.page(None) == ("", []) and H.page("<p>a<div>b</table></p>")[1] == ["a", "b"]
-
-
-def test_sections_by_item():
-    long = "word " * 60
-    got = H.sections(["PART I", "Item 1. Business", long, "Item 1A. Risk Factors", long, "Item 2. Properties", "short"])
-    assert [n for n, _ in got] == ["Part I Item 1 Business", "Part I Item 1A Risk Factors"]
-    assert H.sections(["no headings"]) == [("Full Document", "no headings")]
-
-
-def test_table_children_inherit_context():
-    t = "[TABLE] Sales\n[HEADER] Item | A\n[ROW] 2023 | 2022\n[ROW] Cars | 1\n[ROW] Notes | none\n[ROW] Cars | 1\n[/TABLE]"
-    got = H.table_children(t)
-    assert got[0] == "Sales\nItem | A\n2023 | 2022\nCars | 1" and len(got) == 2
-    assert H.table_children("plain") == []
+def test_ids_that_no_float_holds(spark):
+    """Long ids beside nulls stay what they are in chunks and vectors."""
+    rows = [(BIG, 0, "s", "narrative", "Words of a text that is long enough to be kept as one chunk."), (None, 0, "s", "narrative", "x" * 80), (BIG + 2, 1, None, "table", "[TABLE] T\n[ROW] a | 1\n[/TABLE]"), (4, 0, "s", "narrative", None)]
+    df = spark.createDataFrame(rows, "k long, idx int, section string, kind string, text string")
+    assert {r.k for r in K.chunks(df, "k", "sec").collect()} >= {BIG, BIG + 2, None}
+    assert {r.k for r in K.embedded(df, "k").collect()} == {BIG, None, BIG + 2, 4}
 
 
 def test_windows(spark):
