@@ -141,3 +141,46 @@ def model_report(outputs: DataFrame) -> DataFrame:
     return outputs.agg(
         F.round(F.avg(F.coalesce(F.col("predicted") == F.col("gold"), F.lit(False)).cast("double")), 4).alias("pass_at_1"), F.round(F.avg(F.col("predicted").isNotNull().cast("double")), 4).alias("coverage"), F.round(F.avg("latency"), 4).alias("mean_latency")
     )
+
+
+def gate_measures(pool: DataFrame, query: str) -> DataFrame:
+    """(query, measure, value) of ranked pools (query, cos_sim, rank from 1): the best similarity, the means of the best three and ten."""
+    sims = pool.where("rank <= 10").groupBy(query).agg(
+        F.max("cos_sim").alias("top1"), F.avg(F.when(F.col("rank") <= 3, F.col("cos_sim"))).alias("mean3"), F.avg("cos_sim").alias("mean10")
+    )
+    return sims.unpivot([query], ["top1", "mean3", "mean10"], "measure", "value")
+
+
+#: Accuracy of the quantile sketches: they are exact up to about so many values.
+SKETCH = 4096
+
+
+def calibration(measures: DataFrame, group: str, edge: float = 0.25) -> DataFrame:
+    """(measure, group, n, low, median, high, floor, refused): distributions of the gate's measures in two groups of questions.
+
+    measures: group (true where the corpus has the answer), measure, value. Distributions are quantile sketches, which merge
+    between tasks. floor lies in the gap between the groups, nearer to those without an answer; where they overlap, at the
+    median of those without. refused: the share of the group below the floor.
+    """
+    sketch = measures.groupBy("measure", group).agg(F.kll_sketch_agg_double("value", SKETCH).alias("s"), F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    at = sketch.withColumn("median", F.kll_sketch_get_quantile_double("s", F.lit(0.5)))
+    of = lambda has, c: F.max(F.when(F.col(group) == has, F.col(c)))
+    ends = at.groupBy("measure").agg(of(True, "low").alias("_in"), of(False, "high").alias("_out"), of(False, "median").alias("_mid"))
+    floor = F.when(F.col("_in") > F.col("_out"), F.col("_out") + edge * (F.col("_in") - F.col("_out"))).otherwise(F.col("_mid"))
+    ends = ends.select("measure", floor.alias("floor"))
+    below = measures.join(ends, "measure").groupBy("measure", group).agg(F.avg((F.col("value") < F.col("floor")).cast("double")).alias("refused"))
+    return at.join(ends, "measure").join(below, ["measure", group]).select("measure", group, "n", "low", "median", "high", "floor", "refused")
+
+
+def hint_scores(cases: DataFrame, positive: str, negative: str, verdict: str, expected: str) -> DataFrame:
+    """One row: hit rates and verdict accuracy of benchmark cases.
+
+    positive, negative: whether the evidence holds what it should and what it should not; a case is met with the one and without
+    the other. Gated rates count only cases whose verdict is not an abstention.
+    """
+    met = (F.col(positive) & ~F.col(negative)).cast("double")
+    answered = ~F.col(verdict).isin("abstain", "not_yet_decidable")
+    return cases.agg(
+        F.count("*").alias("n_cases"), F.count_if(answered).alias("answered"), F.round(F.avg(met), 4).alias("met"), F.round(F.avg(F.when(answered, met)), 4).alias("met_answered"),
+        F.round(F.avg((F.col(verdict) == F.col(expected)).cast("double")), 4).alias("verdict_accuracy"),
+    )

@@ -41,16 +41,39 @@ def row_digest(columns: list[str]) -> Column:
     return F.sha2(row_text(columns), 256)
 
 
-def content_digest(rows: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """Order-insensitive digest per group: SHA-256 over the sorted digests of its rows.
+#: The numbers of 32 bits that a row's SHA-256 is read as.
+LIMBS = 8
+
+
+def state(rows: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by, n_rows, s0 to s7): the sum of the rows' SHA-256 values, each part of 32 bits by itself, and their number.
 
-    Rows are digested where they lie and summed up in 4096 buckets first, so that no task gathers the
-    digests of a whole table.
+    A multiset hash: it does not depend on order, is summed where rows lie before anything is shuffled, and states of parts
+    add up (merged), so that a table that gains or loses rows has its new state without being read again. Whoever can choose
+    very many rows could make two tables of the same sum; it is for finding changes, not for holding off forgers.
     """
-    by = by or []
-    d = rows.select(*by, row_digest(columns).alias("_d")).withColumn("_b", F.substring("_d", 1, 3))
-    d = d.groupBy(*by, "_b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_d")), ""), 256).alias("_h"), F.count("*").alias("_n"))
-    return d.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda x: x["_h"]), ""), 256).alias("digest"), F.sum("_n").alias("n_rows"))
+    d = rows.select(*(by or []), row_digest(columns).alias("_d"))
+    parts = [F.sum(F.conv(F.substring("_d", 8 * i + 1, 8), 16, 10).cast("decimal(18,0)")).alias(f"s{i}") for i in range(LIMBS)]
+    out = d.groupBy(*(by or [])).agg(F.count("*").alias("n_rows"), *parts)
+    return out.na.fill(0, [f"s{i}" for i in range(LIMBS)])
+
+
+def merged(states: DataFrame, other: DataFrame, by: list[str] | None = None, sign: int = 1) -> DataFrame:
+    """The state of the rows of both; with sign -1 that of the first without the rows of the second."""
+    columns = ["n_rows", *[f"s{i}" for i in range(LIMBS)]]
+    second = other.select(*(by or []), *[(sign * F.col(c)).alias(c) for c in columns])
+    return states.select(*(by or []), *columns).unionByName(second).groupBy(*(by or [])).agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def finished(states: DataFrame) -> DataFrame:
+    """States with their digest."""
+    parts = [f"s{i}" for i in range(LIMBS)]
+    return states.withColumn("digest", F.sha2(F.concat_ws(",", "n_rows", *parts), 256)).drop(*parts)
+
+
+def content_digest(rows: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """Order-insensitive digest (digest, n_rows) per group; see state."""
+    return finished(state(rows, columns, by))
 
 
 def differences(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -78,11 +101,13 @@ def full_match(expected: DataFrame, found: DataFrame, key: str, columns: list[st
     return e.join(f, key, "full").withColumn("reason", reason).where("reason IS NOT NULL").select(key, "reason")
 
 
-def manifest_errors(manifest_row: DataFrame, filings: DataFrame) -> DataFrame:
-    """Checks a manifest row (n_rows, digest) against the filings it describes: check_name, passed."""
-    now = content_digest(filings, filings.columns).select(F.col("digest").alias("_d"), F.col("n_rows").alias("_n"))
-    both = manifest_row.select("digest", "n_rows").join(F.broadcast(now))
-    return both.select(F.explode(F.array(F.struct(F.lit("digest").alias("check_name"), (F.col("digest") == F.col("_d")).alias("passed")), F.struct(F.lit("n_rows").alias("check_name"), (F.col("n_rows") == F.col("_n")).alias("passed")))).alias("c")).select("c.*")
+def manifest_errors(stored: DataFrame, filings: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """(by, check_name, passed): a manifest's rows (by, digest, n_rows) against the filings that it describes; what only one side has does not pass."""
+    now = content_digest(filings, columns, by).select(*by, F.col("digest").alias("_d"), F.col("n_rows").alias("_n"))
+    both = stored.select(*by, "digest", "n_rows").join(now, by, "full")
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    checks = F.array(*[F.struct(F.lit(n).alias("check_name"), same(n, c).alias("passed")) for n, c in (("digest", "_d"), ("n_rows", "_n"))])
+    return both.select(*by, F.explode(checks).alias("c")).select(*by, "c.*")
 
 
 def preconditions(pairs: list[tuple[str, str, str, str]], spark) -> DataFrame:
@@ -91,10 +116,18 @@ def preconditions(pairs: list[tuple[str, str, str, str]], spark) -> DataFrame:
     return spark.createDataFrame(rows, "check_name string, left string, right string, passed boolean")
 
 
-def chained(entries: DataFrame, order: str, payload: str, previous: str, own: str) -> DataFrame:
-    """Entries of an append log whose hash or link to the entry before does not hold. The log is one ordered file."""
+def chained(entries: DataFrame, file: str, order: str, payload: str, previous: str, own: str) -> DataFrame:
+    """Entries of an append log whose hash, or whose link to the entry before, does not hold.
+
+    The log lies in files that are numbered without gaps. Each is checked by itself; the first entry of a file is then joined
+    with the last one of the file before, so files are checked side by side however many there are.
+    """
     from pyspark.sql import Window as W
 
-    w = W.orderBy(order)
+    w = W.partitionBy(file).orderBy(order)
     want = F.sha2(F.concat(F.coalesce(F.col(previous), F.lit("")), F.col(payload)), 256)
-    return entries.withColumn("_before", F.lag(own).over(w)).where((F.col(own) != want) | ~F.col(previous).eqNullSafe(F.col("_before"))).drop("_before")
+    seen = entries.withColumns({"_n": F.row_number().over(w), "_before": F.lag(own).over(w)})
+    ends = entries.groupBy((F.col(file) + 1).alias(file)).agg(F.max_by(own, order).alias("_end"))
+    seen = seen.join(ends, file, "left").withColumn("_before", F.when(F.col("_n") == 1, F.col("_end")).otherwise(F.col("_before")))
+    bad = (F.coalesce(F.col(own), F.lit("")) != F.coalesce(want, F.lit("-"))) | ~F.col(previous).eqNullSafe(F.col("_before"))
+    return seen.where(bad).drop("_n", "_before", "_end")

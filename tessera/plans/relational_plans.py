@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import governance as G
 from tessera.operators import integrity as I
+from tessera.operators import relabel as L
 from tessera.operators import merge as M
 from tessera.operators import series as S
 from tessera.plans.registry import query
@@ -305,10 +306,21 @@ def identity_digest(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", I.row_digest(["n_nationkey", "n_name", "n_regionkey"]).alias("digest"))
 
 
-@query("content_digest", """WITH d AS (SELECT n_regionkey, sha256(n_nationkey || '|' || n_name || '|' || n_regionkey) AS h FROM nation), b AS (SELECT n_regionkey, substr(h, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM d GROUP BY ALL)
-SELECT n_regionkey, sha256(string_agg(h, '' ORDER BY b)) AS digest, sum(n)::BIGINT AS n_rows FROM b GROUP BY n_regionkey""")
+_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
+_LIMBS = ", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT)" for i in range(8))
+
+
+@query("content_digest", f"SELECT l_returnflag, l_linestatus, count(*) AS n_rows, sha256(concat_ws(',', count(*), {_LIMBS})) AS digest FROM (SELECT *, sha256(concat_ws('|', {', '.join(_LINE)})) AS h FROM lineitem) GROUP BY ALL")
 def content_digest(spark, sf_dir):
-    return I.content_digest(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name", "n_regionkey"], ["n_regionkey"])
+    return I.content_digest(table(spark, sf_dir, "lineitem"), _LINE, ["l_returnflag", "l_linestatus"])
+
+
+@query("digest_update", f"SELECT l_linestatus, count(*) AS n_rows, sha256(concat_ws(',', count(*), {_LIMBS})) AS digest FROM (SELECT *, sha256(concat_ws('|', {', '.join(_LINE)})) AS h FROM lineitem WHERE l_linenumber <> 2) GROUP BY ALL")
+def digest_update(spark, sf_dir):
+    """The digest of a table after rows came and went, from the states of what it was and of these rows."""
+    line, by = table(spark, sf_dir, "lineitem"), ["l_linestatus"]
+    part = lambda cond: I.state(line.where(cond), _LINE, by)
+    return I.finished(I.merged(I.merged(part("l_linenumber <= 4"), part("l_linenumber > 4"), by), part("l_linenumber = 2"), by, -1))
 
 
 @query("corpus_diff", "SELECT 'old' AS side, count(*) AS n FROM (SELECT o_orderkey, o_orderstatus FROM orders EXCEPT ALL SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'P' ELSE o_orderstatus END FROM orders) UNION ALL SELECT 'new', count(*) FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'P' ELSE o_orderstatus END FROM orders EXCEPT ALL SELECT o_orderkey, o_orderstatus FROM orders)")
@@ -328,11 +340,36 @@ def latency_p95(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.round(F.median("value"), 6).alias("p50"))
 
 
-@query("manifest_check", "SELECT 'digest' AS check_name, true AS passed UNION ALL SELECT 'n_rows', false")
+@query("manifest_check", "SELECT l_returnflag, name AS check_name, count(*) FILTER (l_returnflag = 'R' AND l_linenumber = 1) = 0 AS passed FROM lineitem, (SELECT unnest(['digest', 'n_rows']) AS name) GROUP BY ALL")
 def manifest_check(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    stored = I.content_digest(n, n.columns).withColumn("n_rows", F.col("n_rows") + 1)
-    return I.manifest_errors(stored, n)
+    """A manifest that was written before some rows of one group came."""
+    line, by = table(spark, sf_dir, "lineitem"), ["l_returnflag"]
+    return I.manifest_errors(I.content_digest(line.where("NOT (l_returnflag = 'R' AND l_linenumber = 1)"), _LINE, by), line, _LINE, by)
+
+
+# filings stand for orders, their chunks for lines; sections and texts follow from the keys
+_LABEL = "CASE l_partkey % 5 WHEN 0 THEN 'Defaults upon Senior Securities' WHEN 1 THEN 'Mine Safety Disclosures' WHEN 2 THEN 'Risk Factors' WHEN 3 THEN 'MD&A' ELSE 'Defaults upon Senior Securities' END"
+_SAYS = "CASE l_suppkey % 6 WHEN 0 THEN 'our  Market Risk is' WHEN 1 THEN 'of senior securities' WHEN 2 THEN 'disclosure controls' WHEN 3 THEN 'the Federal Mine Act' ELSE 'nothing' END"
+_CHUNK = f"c AS (SELECT l_orderkey AS filing, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, {_LABEL} AS section, {_SAYS} AS says FROM lineitem)"
+
+
+@query("section_relabel", f"""WITH {_CHUNK}, a AS (SELECT filing, min(i) AS second FROM c WHERE section = 'Risk Factors' GROUP BY filing),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY filing, section ORDER BY i) AS island FROM c WHERE section LIKE 'D%' OR section LIKE 'Mine%'),
+r AS (SELECT filing, section, min(i) AS first, max(i) AS last, bool_or(says = CASE WHEN section LIKE 'D%' THEN 'our  Market Risk is' ELSE 'disclosure controls' END) AS p1,
+  bool_or(says = CASE WHEN section LIKE 'D%' THEN 'of senior securities' ELSE 'the Federal Mine Act' END) AS p2 FROM g GROUP BY filing, section, island),
+b AS (SELECT r.*, second, CASE WHEN p1 AND p2 THEN CASE WHEN second IS NULL THEN 'mixed:no-anchor-default-part-i' ELSE 'mixed:position-tiebreak' END WHEN p1 THEN 'content:part-i'
+  WHEN p2 THEN 'content:part-ii' WHEN last < second THEN 'position:before-part-ii' WHEN first >= second THEN 'position:after-part-ii' ELSE 'unresolved' END AS basis FROM r LEFT JOIN a USING (filing)),
+n AS (SELECT *, basis LIKE '%-part-i' OR basis IN ('content:part-i', 'position:before-part-ii') OR (basis LIKE '%tiebreak' AND last < second) AS renamed FROM b)
+SELECT c.filing, c.i::INTEGER AS i, CASE WHEN coalesce(renamed, false) THEN CASE WHEN c.section LIKE 'D%' THEN 'Quantitative and Qualitative Disclosures about Market Risk' ELSE 'Controls and Procedures' END ELSE c.section END AS section
+FROM c LEFT JOIN n ON n.filing = c.filing AND n.section = c.section AND c.i BETWEEN n.first AND n.last""")
+def section_relabel(spark, sf_dir):
+    c = report_chunks(spark, sf_dir)
+    return L.relabelled(c, L.runs(c, "filing", "i", "section", "says"), "filing", "i", "section").select("filing", "i", "section")
+
+
+def report_chunks(spark, sf_dir):
+    place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("filing"), place.alias("i"), F.expr(_LABEL).alias("section"), F.expr(_SAYS).alias("says"))
 
 
 @query("set_equality", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'missing' ELSE 'different' END AS reason FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0")

@@ -332,6 +332,26 @@ def abstain_gate(spark, sf_dir):
     return R.confidence(pool, probes(spark, sf_dir), "query_id").select("query_id", r6("top1"), r6("mean_top3"), "status", "abstain")
 
 
+_MEASURES = f"""{_MANY_RANKED}, p AS (SELECT query_id, query_id % 200 = 0 AS inside, c, rank - 1 AS rank FROM r WHERE rank BETWEEN 2 AND 11),
+t AS (SELECT query_id, inside, max(c) AS top1, avg(c) FILTER (rank <= 3) AS mean3, avg(c) AS mean10 FROM p GROUP BY ALL),
+m AS (UNPIVOT t ON top1, mean3, mean10 INTO NAME measure VALUE value),
+d AS (SELECT measure, inside, count(*) AS n, min(value) AS low, quantile_disc(value, 0.5) AS median, max(value) AS high FROM m GROUP BY ALL),
+f AS (SELECT measure, CASE WHEN max(low) FILTER (inside) > max(high) FILTER (NOT inside) THEN max(high) FILTER (NOT inside) + 0.25::DOUBLE * (max(low) FILTER (inside) - max(high) FILTER (NOT inside))
+  ELSE max(median) FILTER (NOT inside) END AS floor FROM d GROUP BY measure),
+b AS (SELECT measure, inside, avg((value < floor)::INT) AS refused FROM m JOIN f USING (measure) GROUP BY ALL)
+SELECT measure, inside, n, round(low, 6) AS low, round(median, 6) AS median, round(high, 6) AS high, round(floor, 6) AS floor, round(refused, 6) AS refused FROM d JOIN f USING (measure) JOIN b USING (measure, inside)"""
+
+
+@query("gate_calibration", _MEASURES)
+def gate_calibration(spark, sf_dir):
+    """Every other probe stands for a question whose answer the corpus has; a probe itself is not counted."""
+    from tessera.operators import evaluation as E
+
+    pool = R.dense_topk_many(table(spark, sf_dir, "embeddings"), probes(spark, sf_dir), 11, "vec_id", "query_id").where("rank > 1")
+    m = E.gate_measures(pool.withColumn("rank", F.col("rank") - 1), "query_id").withColumn("inside", F.col("query_id") % 200 == 0)
+    return E.calibration(m, "inside").select("measure", "inside", "n", *[r6(c) for c in ("low", "median", "high", "floor", "refused")])
+
+
 @query("answerability", """WITH a AS (SELECT conv_id, turn, (conv_id + turn) % 6 AS n_results, CASE WHEN text LIKE '%a%' AND conv_id % 11 = 0 THEN 'X' END AS unknown_company, 'c' || (conv_id % 4) AS company, conv_id % 3 AS cs, turn % 3 AS y FROM conversations)
 SELECT conv_id, turn, CASE WHEN n_results = 0 THEN 'no_results' WHEN unknown_company IS NOT NULL THEN 'unknown_company' WHEN cs < conv_id % 4 THEN 'company_mismatch' WHEN y = 1 THEN 'year_mismatch' ELSE 'pass' END AS status FROM a""")
 def answerability(spark, sf_dir):

@@ -12,21 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators.merge import atomic_write, recover, replace_rows
+from tessera.operators import versions
 
 
-def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: list[str], transform: Callable[[DataFrame], DataFrame], format: str = "json") -> None:
-    """Read the files that are new since the last call, transform them, and merge them by key into target.
+def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: list[str], transform: Callable[[DataFrame], DataFrame], format: str = "json", name: str = "ingest") -> None:
+    """Read the files that are new since the last call, transform them, and merge them by key into the versioned table target.
 
-    A batch that is run again after a failure writes the same state: the merge replaces rows by key, and a crash
-    between the renames of a swap is mended before the table is read.
+    Only partitions that a batch's keys touch are rewritten. A version notes the last batch of the stream `name` that it holds,
+    so a batch that is run again after a failure is merged once; a crash at any point leaves the version before.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
+        last = versions.version(spark, target)
+        if last is not None and int(last.marks.get(name, -1)) >= batch_id:
+            return
         new = transform(batch)
         new = new.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*[F.desc(c) for c in new.columns]))).where("_n = 1").drop("_n")
-        state = replace_rows(spark.read.parquet(target), new, key) if recover(spark, target) else new
-        atomic_write(state, target)
+        versions.merge(spark, target, new, key, marks={name: str(batch_id)})
 
     stream = spark.readStream.schema(schema).format(format).load(source)
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
