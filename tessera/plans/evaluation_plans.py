@@ -129,18 +129,30 @@ def holdout_select(spark, sf_dir):
     return E.held_out(d, labels, d.join(labels.where("toxic = 1 AND doc_id % 4 = 0"), "doc_id"), "doc_id", "source").select("doc_id", "source")
 
 
-_ANSWERS = [
-    ("a1", "Revenue was $1,234.5 million [1].", False, False, [], ["1234.5"], 2, [1]), ("a2", "It fell by (12.5) percent [2, 3]", False, False, [], ["-12.5"], 3, [2]),
-    ("a3", "Forty two", False, False, ["forty-two"], [], 1, [1]), ("a4", "", True, True, [], [], 0, []), ("a5", "Net sales rose [4].", False, True, [], ["7"], 3, [1]),
-    ("a6", "The margin was 12% [1][2].", False, False, [], ["12"], 2, [2]),
-]
-_ANSWER_SQL = "SELECT * FROM (VALUES ('a1', true, true, true, 1.0, true), ('a2', true, true, true, 0.5, true), ('a3', true, true, false, 0.0, false), ('a4', true, false, false, 0.0, true), ('a5', false, false, false, 0.0, false), ('a6', true, true, true, 0.5, true)) AS t(id, answerability_ok, correct, citations_ok, support_precision, end_to_end)"
+# an answer about each order: a total with its thousands apart, and the evidence that it cites
+@query("citation_scoring", """WITH a AS (SELECT o_orderkey AS k, o_orderkey % 10 = 0 AS abstained, o_orderkey % 7 = 0 AS due, list_distinct([1 + o_custkey % 5, 1 + o_orderkey % 4]) AS cited FROM orders),
+s AS (SELECT k, abstained = due AS answerability_ok, NOT abstained AND k % 3 <> 0 AS correct, NOT abstained AND list_max(cited) <= 4 AS citations_ok,
+  CASE WHEN abstained THEN 0.0 ELSE len(list_filter(cited, lambda c: c <= 2)) / len(cited) END::DOUBLE AS support_precision, abstained, due FROM a)
+SELECT k AS id, answerability_ok, correct, citations_ok, round(support_precision, 6) AS support_precision, CASE WHEN due THEN abstained ELSE NOT abstained AND correct AND citations_ok END AS end_to_end FROM s""")
+def citation_scoring(spark, sf_dir):
+    k, first, second = F.col("o_orderkey"), 1 + F.col("o_custkey") % 5, 1 + F.col("o_orderkey") % 4
+    told = F.concat(F.lit("The total was $"), F.format_number(k + 0.5, 1), F.lit(" in all ["), first.cast("string"), F.lit(", "), second.cast("string"), F.lit("] and no more ["), first.cast("string"), F.lit("]."))
+    wanted = (k + F.when(k % 3 == 0, 1).otherwise(0)).cast("string")
+    answers = table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.when(k % 10 == 0, "").otherwise(told).alias("answer"), (k % 10 == 0).alias("abstained"), (k % 7 == 0).alias("should_abstain"), F.array(F.lit("nothing of the kind")).alias("accepted"),
+        F.array(F.concat(wanted, F.lit(".5"))).alias("expected"), F.lit(4).alias("n_chunks"), F.array(F.lit(1), F.lit(2)).alias("supporting"),
+    )
+    return E.answer_scores(answers).select("id", "answerability_ok", "correct", "citations_ok", F.round("support_precision", 6).alias("support_precision"), "end_to_end")
 
 
-@query("citation_scoring", _ANSWER_SQL.replace("1.0,", "1.0::DOUBLE,"))
-def citation_scoring(spark, sf_dir):
-    schema = "id string, answer string, abstained boolean, should_abstain boolean, accepted array<string>, expected array<string>, n_chunks int, supporting array<int>"
-    return E.answer_scores(spark.createDataFrame(_ANSWERS, schema)).select("id", "answerability_ok", "correct", "citations_ok", "support_precision", "end_to_end")
+# benchmark cases stand for orders: what the evidence holds and what was said of it follow from the keys
+@query("benchmark_scores", """WITH c AS (SELECT o_orderkey % 4 > 0 AS p, o_custkey % 5 = 0 AS n, ['supported', 'refuted', 'abstain'][1 + o_orderkey % 3] AS v, ['supported', 'refuted'][1 + o_custkey % 2] AS e FROM orders)
+SELECT count(*) AS n_cases, count(*) FILTER (v <> 'abstain') AS answered, round(avg((p AND NOT n)::INT), 4) AS met, round(avg((p AND NOT n)::INT) FILTER (v <> 'abstain'), 4) AS met_answered, round(avg((v = e)::INT), 4) AS verdict_accuracy FROM c""")
+def benchmark_scores(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda x, *names: F.element_at(F.array(*map(F.lit, names)), (1 + x % len(names)).cast("int"))
+    cases = table(spark, sf_dir, "orders").select((k % 4 > 0).alias("p"), (c % 5 == 0).alias("n"), pick(k, "supported", "refuted", "abstain").alias("v"), pick(c, "supported", "refuted").alias("e"))
+    return E.hint_scores(cases, "p", "n", "v", "e")
 
 
 _CLAIMS = r"""n AS (SELECT conv_id, turn, trim(regexp_replace(translate(text, '“”‘’', '""'''''), '\s+', ' ', 'g')) AS t FROM conversations),
