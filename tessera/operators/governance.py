@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,3 +112,25 @@ def provenance(chunks: DataFrame, filings: DataFrame, ids: DataFrame, filing: st
 def future_free(rows: DataFrame, as_of_year: int, year: str = "fiscal_year") -> DataFrame:
     """Drops rows of a later fiscal year; 0 and null say nothing."""
     return rows.where(F.coalesce(F.nullif(F.col(year), F.lit(0)), F.lit(as_of_year)) <= as_of_year)
+
+
+def context_lookup(chunks: DataFrame, filings: DataFrame, anchors: DataFrame, filing: str, index: str, width: int, text: str) -> DataFrame:
+    """Chunks around the anchors (filing, anchor) with their filing's columns, in the order of the document; what an amendment replaced is withheld.
+
+    filings: filing, company, form, fiscal_year and, where there is one, period_label; chunks: filing, index, text and, where there
+    is one, section_name. A withheld chunk has no text and a message that says why.
+    """
+    near = context_window(chunks, anchors, filing, index, width).join(filings, filing)
+    amendments = filings.where(is_amendment(F.col("form"))).join(chunks.select(filing, *[c for c in ("section_name",) if c in chunks.columns]).distinct(), filing, "left")
+    if "section_name" in chunks.columns:
+        # an amendment's chunks without a section say nothing, unless it has no others
+        named = F.max(F.col("section_name").isNotNull()).over(W.partitionBy(filing))
+        amendments = amendments.withColumn("_named", named).where(F.col("section_name").isNotNull() | ~F.col("_named")).drop("_named")
+    # what decides is the same for all chunks of a filing's section, so only these are asked
+    asked = [c for c in ("company", "form", "fiscal_year", "period_label", "section_name", "source_type") if c in near.columns]
+    kept = current_versions(near.select(*asked).distinct(), amendments).select(*[F.col(c).alias(f"_{n}") for n, c in enumerate(asked)], F.lit(True).alias("_kept"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{n}")) for n, c in enumerate(asked)])
+    out = near.join(kept, same, "left").withColumn("withheld", F.col("_kept").isNull()).drop("_kept", *[f"_{n}" for n in range(len(asked))])
+    what = F.concat_ws(" ", "company", "form", F.col("fiscal_year").cast("string"))
+    message = F.when(F.col("withheld"), F.concat(F.lit("replaced by a later amendment of "), what))
+    return out.withColumns({text: F.when(~F.col("withheld"), F.col(text)), "message": message})

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.chunking import qa_pairs, speaker_turns, transcript_sections
 from tessera.operators.pages import contents, squeezed
 
 # What the items of each form are called, by part where a form counts them twice.
@@ -217,3 +218,39 @@ def cleaned(pages: DataFrame, key: str, html: str = "html", form: str = "form",
 def filing_segments(pages: DataFrame, key: str, html: str = "html", form: str = "form", least: int = LEAST, profile: str = "candidate") -> DataFrame:
     """Segments of filings from their HTML: the whole cleaner."""
     return segments(sections(cleaned(pages, key, html, form, profile), key, least=least), key, least)
+
+
+def news_segments(articles: DataFrame, key: str) -> DataFrame:
+    """(key, idx, section, kind, title, text) of articles (key, title, summary, content): summary and content as one narrative, or, where
+    they hold tables, as a page's segments; an article without either has none. The article's title, where it has one, is that of all."""
+    filled = lambda c: F.nullif(_stripped(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    rows = articles.select(key, filled("title").alias("title"), F.concat_ws("\n\n", filled("summary"), filled("content")).alias("body")).where("body <> ''")
+    has_table = F.lower("body").contains("<table")
+    plain = rows.where(~has_table).select(
+        key, F.lit(0).alias("idx"), F.lit("news_article").alias("section"), F.lit("narrative").alias("kind"), F.coalesce("title", F.lit("News Article")).alias("title"), F.col("body").alias("text")
+    )
+    pages = rows.where(has_table).select(key, F.col("body").alias("html"), F.lit("10-K").alias("form"))
+    rich = filing_segments(pages, key, least=1).withColumnRenamed("title", "_title").join(rows.select(key, "title"), key)
+    return plain.unionByName(rich.select(key, "idx", "section", "kind", F.coalesce("title", "_title").alias("title"), "text"))
+
+
+# Fixed value: a paragraph that begins a speaker's turn.
+SPEAKER = r"^([A-Z][A-Za-z0-9 .,&'/-]{1,80}):\s*(.+)$"
+
+
+def transcript_segments(calls: DataFrame, key: str) -> DataFrame:
+    """(key, idx, section, kind, title, text) of calls (key, ticker, fiscal_year, quarter, text): a narrative for each turn of the prepared
+    remarks and of the closing, and questions with their answers."""
+    parts = transcript_sections(calls, key, F.col("text"))
+    named = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.lit(n).alias("section"), F.col(c).alias("said")) for i, (n, c) in enumerate((("prepared_remarks", "prepared"), ("qa", "qa"), ("closing", "closing")))]))
+    rows = parts.select(key, named.alias("x")).select(key, "x.*")
+    paragraphs = rows.select(F.struct(key, "at", "section").alias("place"), F.posexplode(F.split("said", r"\n\s*\n")).alias("n", "raw")).withColumn("raw", _stripped(F.col("raw"))).where("raw <> ''")
+    speaker = F.nullif(F.trim(F.regexp_extract("raw", SPEAKER, 1)), F.lit(""))
+    turns = speaker_turns(paragraphs, "place", "n", speaker, F.when(speaker.isNotNull(), F.trim(F.regexp_extract("raw", SPEAKER, 2))).otherwise(F.col("raw")))
+    told = F.concat(F.col("speaker"), F.lit(": "), F.col("text"))
+    single = turns.where("place.section <> 'qa'").select("place", F.col("turn").alias("n"), F.lit("narrative").alias("kind"), told.alias("text"))
+    pairs = qa_pairs(turns.where("place.section = 'qa'"), "place").select("place", F.col("pair").alias("n"), F.lit("qa").alias("kind"), "text")
+    both = single.unionByName(pairs).select(f"place.{key}", "place.at", "place.section", "n", "kind", "text").join(calls.select(key, "ticker", "fiscal_year", "quarter"), key)
+    label = F.when(F.col("section") == "qa", "Q&A").otherwise(F.initcap(F.replace("section", F.lit("_"), F.lit(" "))))
+    title = F.concat_ws(" ", F.col("ticker"), F.concat(F.lit("Q"), F.col("quarter").cast("string")), F.col("fiscal_year").cast("string"), label)
+    return both.select(key, (F.row_number().over(W.partitionBy(key).orderBy("at", "n")) - 1).alias("idx"), "section", "kind", title.alias("title"), "text")

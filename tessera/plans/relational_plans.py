@@ -73,6 +73,16 @@ def context_window(spark, sf_dir):
     return G.context_window(table(spark, sf_dir, "lineitem"), anchors, "l_orderkey", "l_linenumber", 1).select("l_orderkey", "l_linenumber", "anchor", "l_partkey", "l_extendedprice")
 
 
+@query("context_lookup", f"""WITH {_FILINGS}, {_CHUNKS}, {_AMENDED}, r AS (SELECT c.*, f.*, c.filing AS id FROM c JOIN f USING (filing) WHERE c.l_linenumber BETWEEN 1 AND 3 AND c.filing IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 200000)),
+w AS (SELECT *, form NOT LIKE '%/A' AND EXISTS (SELECT 1 FROM a WHERE a.ticker = r.ticker AND a.fy = r.fy AND (a.period IS NULL OR a.period = r.period) AND (a.section IS NULL OR r.section IS NULL OR a.section = r.section)) AS withheld FROM r)
+SELECT id AS filing, l_linenumber, withheld, CASE WHEN NOT withheld THEN l_partkey::VARCHAR END AS text, CASE WHEN withheld THEN 'replaced by a later amendment of ' || ticker || ' ' || form || ' ' || fy END AS message FROM w""")
+def context_lookup(spark, sf_dir):
+    f = filings(spark, sf_dir).select("filing", F.col("ticker").cast("string").alias("company"), "form", F.col("fy").alias("fiscal_year"), F.col("period").alias("period_label"))
+    c = chunks(spark, sf_dir).select("filing", "l_linenumber", F.col("l_partkey").cast("string").alias("text"), F.col("section").alias("section_name"))
+    anchors = table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_orderkey").alias("filing"), F.lit(2).alias("anchor"))
+    return G.context_lookup(c, f, anchors, "filing", "l_linenumber", 1, "text").select("filing", "l_linenumber", "withheld", "text", "message")
+
+
 @query("union_view", """SELECT 'document' AS source_type, doc_id AS id, coalesce(c_name, source) AS owner, length(text)::BIGINT AS n FROM documents LEFT JOIN customer ON c_custkey = doc_id
 UNION ALL SELECT 'page', page_id, regexp_extract(url, '://([^/?#]+)', 1), length(html)::BIGINT FROM pages UNION ALL SELECT 'turn', conv_id, role, length(text)::BIGINT FROM conversations""")
 def union_view(spark, sf_dir):

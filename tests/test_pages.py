@@ -212,3 +212,20 @@ def test_titles_and_main_part(spark):
     for r in P.main_blocks(df, "k").orderBy("k", "idx").collect():
         main.setdefault(r.k, []).append(r.text)
     assert main == {1: ["body", "in"], 2: ["m", "c"], 3: ["x"]}
+
+
+def test_news_and_calls_to_segments(spark):
+    news = [(BIG, " T ", "Sum", " Body "), (BIG + 2, None, None, "x"), (3, "T", " ", None), (4, "Own", "s", "<p>p</p>" + table(("a", "1"), ("b", "2")))]
+    got = {}
+    for r in S.news_segments(spark.createDataFrame(news, "k long, title string, summary string, content string"), "k").orderBy("k", "idx").collect():
+        got.setdefault(r.k, []).append((r.section, r.kind, r.title, r.text))
+    assert got[BIG] == [("news_article", "narrative", "T", "Sum\n\nBody")] and got[BIG + 2] == [("news_article", "narrative", "News Article", "x")] and 3 not in got
+    assert [(k, t) for _, k, t, _ in got[4]] == [("narrative", "Own"), ("table", "Own")]
+    call = "Operator: Welcome.\n\nJane Roe: Sales rose.\n\nCosts fell.\n\nQuestion-and-Answer Session\n\nJohn Doe: Why?\n\nJane Roe: Prices.\n\nJohn Doe: Thanks.\n\nThis concludes our call."
+    calls = spark.createDataFrame([(BIG, "ACME", 2023, 2, call), (4, "X", 2023, 1, None)], "k long, ticker string, fiscal_year int, quarter int, text string")
+    rows = S.transcript_segments(calls, "k").orderBy("k", "idx").collect()
+    assert [(r.section, r.kind, r.title) for r in rows[:2]] == [("prepared_remarks", "narrative", "ACME Q2 2023 Prepared Remarks")] * 2
+    assert rows[1].text == "Jane Roe: Sales rose.\n\nCosts fell."
+    assert [(r.kind, r.title) for r in rows if r.section == "qa"][0] == ("qa", "ACME Q2 2023 Q&A")
+    assert "John Doe: Why?" in " ".join(r.text for r in rows if r.section == "qa") and {r.k for r in rows} == {BIG}
+    assert [r.text for r in rows if r.section == "closing"] == ["Unknown: This concludes our call."]
