@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import citations, content_tokens, normalised, numbers_in, token_overlap
+from tessera.operators.topk import query_blocks, query_ids
 
 # Thresholds of the sweep and cut-offs.
 THRESHOLDS = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7)
@@ -26,13 +32,63 @@ def with_overlap(retrieved: DataFrame, docs: DataFrame, gold: DataFrame, query:
     return with_overlaps(retrieved, docs, gold, query, doc, {"overlap": clean})
 
 
+def _shares(docs: DataFrame, gold: DataFrame, query: str, doc: str, keep) -> DataFrame:
+    """(query, doc, overlap) of what keep(query numbers, doc rows, overlaps) chooses of each batch of documents.
+
+    The gold spans are a stated set: tasks hold their tokens, each with the spans that have it, and count a document's tokens span
+    by span, so that no pair of a span and a document leaves a task unless it is chosen.
+    """
+    spans = gold.select(query, content_tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    rows = docs.select(doc, content_tokens(F.col("text")).alias("tokens"))
+    schema = T.StructType([T.StructField(query, spans.schema[query].dataType), T.StructField(doc, rows.schema[doc].dataType), T.StructField("overlap", T.DoubleType())])
+
+    def task(asked):
+        ids = query_ids(asked, query, spans.schema[query].dataType)
+        sizes = np.array([len(a.tokens) for a in asked], float)
+        holds: dict[str, list[int]] = {}
+        for q, a in enumerate(asked):
+            for t in a.tokens:
+                holds.setdefault(t, []).append(q)
+
+        def run(batches):
+            for b in batches:
+                found = [[], [], []]
+                for i, tokens in enumerate(b.column("tokens").to_pylist()):
+                    hits = [q for t in tokens for q in holds.get(t, ())]
+                    if hits:
+                        share = np.bincount(hits, minlength=len(asked)) / sizes
+                        q = np.flatnonzero(share)
+                        for x, y in zip(found, (q, np.full(len(q), i), share[q])):
+                            x.append(y)
+                if found[0]:
+                    q, i, share = keep(*map(np.concatenate, found))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), b.column(doc).take(pa.array(i)), pa.array(share)], [query, doc, "overlap"])
+
+        return run
+
+    return reduce(DataFrame.unionByName, (rows.mapInArrow(task(asked), schema) for asked in query_blocks(spans, query)))
+
+
 def all_overlaps(docs: DataFrame, gold: DataFrame, query: str, doc: str, least: float) -> DataFrame:
-    """(query, doc, overlap) of every pair whose overlap is at least least (above 0): an equi-join on tokens, counted before and after the shuffle."""
-    g = gold.select(query, content_tokens(F.col("text")).alias("_g")).where(F.size("_g") > 0)
-    g = g.select(query, F.size("_g").alias("_n"), F.explode("_g").alias("token"))
-    d = docs.select(doc, F.explode(content_tokens(F.col("text"))).alias("token"))
-    hits = d.join(g, "token").groupBy(query, doc, "_n").agg(F.count("*").alias("_hits"))
-    return hits.withColumn("overlap", F.col("_hits") / F.col("_n")).where(F.col("overlap") >= least).drop("_n", "_hits")
+    """(query, doc, overlap) of every pair whose overlap is at least least (above 0)."""
+
+    def enough(q, i, share):
+        at = share >= least
+        return q[at], i[at], share[at]
+
+    return _shares(docs, gold, query, doc, enough)
+
+
+def best_overlaps(docs: DataFrame, gold: DataFrame, query: str, doc: str) -> DataFrame:
+    """(query, best): the highest overlap of each gold span, 0 where no document has a token of it."""
+
+    def highest(q, i, share):
+        order = np.lexsort((-share, q))
+        first = order[np.r_[True, q[order][1:] != q[order][:-1]]]
+        return q[first], i[first], share[first]
+
+    best = _shares(docs, gold, query, doc, highest).groupBy(query).agg(F.max("overlap").alias("best"))
+    return gold.select(query).join(best, query, "left").na.fill(0.0, ["best"])
 
 
 def gated(overlaps: DataFrame, passes: Column) -> DataFrame:

@@ -85,8 +85,7 @@ _CEILING = f"{_BEST} SELECT threshold, count(*) FILTER (best >= threshold) AS re
 
 
 def best_overlap(spark, sf_dir):
-    o = E.all_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "item_id", "doc_id", 1e-9).groupBy("item_id").agg(F.max("overlap").alias("best"))
-    return table(spark, sf_dir, "benchmark").select("item_id").join(o, "item_id", "left").fillna(0.0, ["best"])
+    return E.best_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "item_id", "doc_id")
 
 
 @query("oracle_ceiling", _CEILING)
