@@ -9,11 +9,13 @@ document with a smaller id.
    documents with the same whole text only those with the least id go on: of the others every word of every window goes.
 2. Equal windows have equal minimisers, so only super-k-mers whose minimiser stands in more than one document travel.
    Equal packed strings are merged on the way (a map-side minimum and maximum of the document id).
-3. Buckets are sorted window by window: by a hash, then equal hashes word by word. A minimiser with more than HOT
-   windows is split, its windows are dealt by a 128-bit hash of their words instead: the exact way for the rest. A
-   window that no other document has ends there; only windows that a larger id repeats go back to their strings.
-4. Results go back by string to the occurrences, then as intervals to the documents, of which only those with a hit are
-   read again.
+3. Buckets are sorted window by window: by a hash, then equal hashes word by word. The strings of a minimiser with more
+   than HOT windows are cut into super-k-mers again, by another order of longer sequences (ORDERS): equal windows have
+   equal minimisers in any order, consecutive ones still travel as one string, equal strings are merged on the way, and
+   what has a minimiser that no other document has ends there. So it goes on while there are such minimisers; in the
+   last order a sequence is a whole window, so a bucket is one window however many documents have it.
+4. Results go back by string to the strings that it was cut from, to the occurrences, then as intervals to the
+   documents, of which only those with a hit are read again.
 
 Defined cases: a null text has no words; a null id ranks after all ids; rows with the same id do not repeat each other
 (only a smaller id does); repeated rows are judged alike; an empty table gives an empty result; other columns are
@@ -38,6 +40,8 @@ WINDOW = 50
 SEED_WORDS = 8
 #: Windows of a packed string, and of a minimiser that one task sorts together.
 RUN, HOT = 400, 16_384
+#: Words of the sequences whose least hash is the minimiser: at first, and of strings whose minimiser has too many windows.
+ORDERS = (SEED_WORDS, 24, 40, 47, WINDOW)
 #: Rank of a null id.
 LAST = 2**63 - 1
 #: Characters of packed strings that a task holds before it passes them on.
@@ -68,12 +72,13 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def super_kmers(h: np.ndarray, window: int = WINDOW, seed_words: int = SEED_WORDS, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def super_kmers(h: np.ndarray, window: int = WINDOW, seed_words: int = SEED_WORDS, run: int = RUN, order: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(minimiser, first window, number of windows) of each run of at most so many windows that share a minimiser."""
     if len(h) < window:
         none = np.zeros(0, np.int64)
         return none, none, none
-    least = sliding_min(gram_hashes(h, seed_words), window - seed_words + 1)
+    grams = gram_hashes(h, seed_words)
+    least = sliding_min(scramble(grams ^ np.uint64(order)) if order else grams, window - seed_words + 1)
     at = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
     size = np.diff(np.r_[at, len(least)])
     if size.max() > run:
@@ -194,20 +199,49 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(LEAST, out)
 
 
-LOOSE = "sid binary, i int, w binary, low long, high long"
-
-
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of the strings of hot minimisers, by a 128-bit hash."""
-    for b in batches:
-        out = []
-        for sid, packed, low, high in _rows(b, "sid", "packed", "low", "high"):
-            words = packed.split(" ")
-            out += [(sid, i, hashlib.blake2b(" ".join(words[i : i + WINDOW]).encode("utf-8", "surrogatepass"), digest_size=16).digest(), low, high) for i in range(len(words) - WINDOW + 1)]
-            if len(out) > 50_000:
-                yield _batch(LOOSE, out)
-                out = []
-        yield _batch(LOOSE, out)
+CUT = "parent binary, offset int, minimiser long, n int, sid binary, packed string, low long, high long"
+
+
+def _cut(order: int, seed_words: int):
+    """Super-k-mers of strings in another order, with where in which string each begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in batches:
+            out, held = [], 0
+            for parent, packed, low, high in _rows(b, "sid", "packed", "low", "high"):
+                words = packed.split(" ")
+                for k, s, n in zip(*(x.tolist() for x in super_kmers(word_hashes(words, known), seed_words=seed_words, order=order))):
+                    part = " ".join(words[s : s + n + WINDOW - 1])
+                    out.append((parent, s, k, n, hashlib.blake2b(part.encode("utf-8", "surrogatepass"), digest_size=16).digest(), part, low, high))
+                    held += len(part)
+                if held > HELD:
+                    yield _batch(CUT, out)
+                    out, held = [], 0
+            yield _batch(CUT, out)
+
+    return run
+
+
+def _results(strings: DataFrame, parts: int, order: int = 0, orders: tuple[int, ...] = ORDERS) -> DataFrame:
+    """(sid, at, least) of strings (minimiser, n, sid, packed, low, high): the windows that a smaller id repeats, in order."""
+    keys = strings.groupBy("minimiser").agg(F.sum("n").alias("windows"), F.min("low").alias("first"), F.max("high").alias("last")).where("first < last")
+    last = order + 1 == len(orders)
+    keys = staged(keys.select("minimiser", (F.lit(not last) & (F.col("windows") > HOT)).alias("hot")), f"minimisers-{order}")
+    cold = strings.join(keys.where("NOT hot"), "minimiser", "left_semi").repartition(parts, "minimiser").sortWithinPartitions("minimiser")
+    found = cold.select("minimiser", "n", "sid", "packed", "low", "high").mapInArrow(_buckets, LEAST)
+    hot = keys.where("hot")
+    if last or hot.isEmpty():
+        return found
+    whole = strings.join(hot, "minimiser", "left_semi").select("sid", "packed", "low", "high")
+    cut = staged(whole.mapInArrow(_cut(order + 1, orders[order + 1]), CUT), f"cut-{order + 1}")
+    again = staged(cut.groupBy("minimiser", "n", "sid", "packed").agg(F.min("low").alias("low"), F.max("high").alias("high")), f"strings-{order + 1}")
+    inner = staged(_results(again, parts, order + 1, orders), f"results-{order + 1}")
+    # a string's windows meet again: at most RUN of them
+    back = cut.select("parent", "offset", "sid").join(inner, "sid")
+    windows = F.arrays_zip(F.transform("at", lambda i: i + F.col("offset")).alias("at"), "least")
+    whole = back.groupBy(F.col("parent").alias("sid")).agg(F.array_sort(F.flatten(F.collect_list(windows))).alias("w"))
+    return found.unionByName(whole.select("sid", F.col("w.at").alias("at"), F.col("w.least").alias("least")))
 
 
 COVERED = "pid long, cls binary, a long, b long"
@@ -256,14 +290,7 @@ def found(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame, D
     drop_path(spark, path)
     packed = staged(texts.join(wanted, ["pid", "cls"]).select("pid", "cls", "text", "wanted").mapInArrow(_pack, PACKED), "super-kmers")
     strings = staged(packed.groupBy("minimiser", "n", "sid", "packed").agg(F.min("pid").alias("low"), F.max("pid").alias("high")), "strings")
-    hot = staged(strings.groupBy("minimiser").agg(F.sum("n").alias("windows")).where(F.col("windows") > HOT).select("minimiser"), "hot")
-    cold = strings.join(hot, "minimiser", "left_anti").repartition(parts, "minimiser").sortWithinPartitions("minimiser")
-    least = cold.select("minimiser", "n", "sid", "packed", "low", "high").mapInArrow(_buckets, LEAST)
-    loose = staged(strings.join(hot, "minimiser", "left_semi").select("sid", "packed", "low", "high").mapInArrow(_unpack, LOOSE), "hot-windows")
-    firsts = staged(loose.groupBy("w").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last").select("w", "first"), "hot-firsts")
-    split = loose.join(firsts, "w").where("first < high").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("i", "first"))).alias("x"))
-    split = split.select("sid", F.col("x.i").alias("at"), F.col("x.first").alias("least"))
-    results = staged(least.unionByName(split), "string-results")
+    results = staged(_results(strings, parts), "string-results")
     spans = packed.select("pid", "cls", "start", "sid").join(results, "sid").select("pid", "cls", "start", "at", "least").mapInArrow(_covered, COVERED)
     gone = spans.groupBy("pid", "cls").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
     return seen.drop("minimisers"), copies, staged(gone, "gone")
