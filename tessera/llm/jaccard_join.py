@@ -292,12 +292,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     kept = found.groupBy("root", F.when(alone, F.col("pid")), F.when(alone, F.col("cls"))).agg(F.min(F.struct("pid", "cls")).alias("k")).select(F.col("k.pid").alias("_pid"), F.col("k.cls").alias("_cls"))
     kept = staged(kept, "kept")
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumn("_pid", F.coalesce(F.col(key).cast("long"), F.lit(BIG))).withColumn("_cls", F.unhex(F.md5(text)))
     # without id and words nothing says that two rows are one document
-    marked = marked.withColumn("_own", F.when(F.col(key).isNull() & ~text.rlike(WORD), F.monotonically_increasing_id()))
+    own = F.when(F.col(key).isNull() & ~text.rlike(WORD), F.monotonically_increasing_id())
+    # a row travels as one value, so that no column of the user's has a name of ours
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col(key).cast("long"), F.lit(BIG)).alias("_pid"), F.unhex(F.md5(text)).alias("_cls"), own.alias("_own"))
     joined = marked.join(kept.hint("merge"), ["_pid", "_cls"], "left_semi")
-    order = W.partitionBy("_pid", "_cls", "_own").orderBy(*[c for c, t in docs.dtypes if c != "text" and not t.startswith("map")])
-    return joined.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
+    order = W.partitionBy("_pid", "_cls", "_own").orderBy(*[F.col(f"doc.`{c}`") for c, t in docs.dtypes if c != "text" and not t.startswith("map")])
+    return joined.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("doc.*")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
