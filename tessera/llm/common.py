@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from itertools import count
 
@@ -67,27 +68,33 @@ def _forget_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(drop)
 
 
-#: Folders of staged tables in the order in which they were made.
-_made: list[str] = []
+#: Folders of staged tables in the order in which each thread made them: a run drops only its own.
+_made = threading.local()
+
+
+def _own() -> list[str]:
+    if not hasattr(_made, "paths"):
+        _made.paths = []
+    return _made.paths
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    _made.append(path)
+    _own().append(path)
     return path
 
 
 def mark() -> int:
     """A point in the list of staged tables, for drop_since."""
-    return len(_made)
+    return len(_own())
 
 
 def drop_since(spark: SparkSession, point: int, keep: str) -> None:
     """Delete all tables that were staged since the point but one, once nothing reads them any more."""
-    for path in _made[point:]:
+    for path in _own()[point:]:
         if path != keep:
             drop_path(spark, path)
-    _made[point:] = [keep]
+    _own()[point:] = [keep]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

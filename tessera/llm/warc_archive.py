@@ -133,6 +133,16 @@ def parse(data: bytes) -> Iterator[tuple[str, dict[str, str], bytes]]:
         at = end + n + 4
 
 
+def members(data: bytes) -> Iterator[bytes]:
+    """The contents of a gzip file's members, be it one for the file or one for each record."""
+    while data:
+        member = zlib.decompressobj(31)
+        yield member.decompress(data) + member.flush()
+        if not member.eof:
+            raise ValueError("a gzip member is cut short")
+        data = member.unused_data
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         headers, kinds, payloads = zip(*rows) if rows else ((),) * 3
@@ -141,7 +151,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for content in b.column("content").to_pylist():
             rows, held = [], 0
-            for header, x, payload in parse(zlib.decompress(content, 31)):
+            for header, x, payload in parse(b"".join(members(content))):
+                if "X-Payload-SHA256" not in x:
+                    raise ValueError(f"record {x.get('WARC-Record-ID')} does not say which payload it has")
                 rows.append((header, x["WARC-Type"], payload))
                 held += len(payload) + len(header)
                 if held > 4 << 20:

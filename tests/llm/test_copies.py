@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import random
+import gzip
 import shutil
+import threading
 
 import numpy as np
 import pytest
@@ -76,6 +78,36 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(brute_links(data)[1]))
 
 
+def test_keep_one_keeps_columns_of_any_name(spark):
+    data = rows(["one two three four five six", "one two three four five six", "another text of some words here"])
+    named = {"_n": 7, "_pid": 99, "_cls": "c", "_own": "o", "doc": "d", "k": 1, "root": "r", "a.b": 2}
+    docs = frame(spark, data).withColumns({c: F.lit(v) for c, v in named.items()})
+    got = jaccard_join.keep_one(docs).collect()
+    assert sorted(r.doc_id for r in got) == [0, 2]
+    assert all(r[c] == v for r in got for c, v in named.items())
+
+
+def test_runs_in_threads_drop_only_their_own(spark):
+    paths = {}
+
+    def run(name):
+        point = common.mark()
+        paths[name] = [common.new_path(spark, name) for _ in range(2)]
+        for p in paths[name]:
+            spark.range(1).write.parquet(p)
+        barrier.wait()
+        if name == "first":
+            common.drop_since(spark, point, paths[name][1])
+
+    barrier = threading.Barrier(2)
+    threads = [threading.Thread(target=run, args=(n,)) for n in ("first", "second")]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert [spark.read.parquet(p).count() for p in (paths["first"][1], *paths["second"])] == [1, 1, 1]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(paths["first"][0])
+
+
 def test_keep_one_with_null_and_repeated_ids(spark, monkeypatch):
     """Different texts without an id, or under one id, are different documents; equal and near ones are not."""
     near = near_copies(seed=6, groups=1, size=12)
@@ -156,12 +188,27 @@ def check_removed(spark, data):
     assert sorted(map(repr, map(tuple, docs.collect()))) == sorted(map(repr, brute_removed(data)))
 
 
-@pytest.mark.parametrize("hot", [16_384, 1])
+@pytest.mark.parametrize("hot", [16_384, 60, 1])
 def test_passages_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
     check_removed(spark, rows(passages()))
 
 
+def test_one_passage_in_very_many_contexts(spark, monkeypatch):
+    """Orders end with one string for the passage, and what is cut stays strings of many windows."""
+    monkeypatch.setattr(substring_dedup, "HOT", 400)
+    cuts = []
+    staged = substring_dedup.staged
+    monkeypatch.setattr(substring_dedup, "staged", lambda df, name, *a: (lambda out: (cuts.append((name, out.count(), out.agg(F.sum("n")).first()[0])) if name.startswith("cut") else None, out)[1])(staged(df, name, *a)))
+    rnd = random.Random(6)
+    word = lambda: f"v{rnd.randint(0, 100_000)}"
+    passage = [word() for _ in range(50)]
+    check_removed(spark, rows([" ".join([*(word() for _ in range(60)), *passage, *(word() for _ in range(rnd.choice((0, 60))))]) for _ in range(150)] + [" ".join(passage)] * 3))
+    assert len(cuts) >= 3 and [name for name, *_ in cuts] == [f"cut-{k}" for k in range(1, len(cuts) + 1)]
+    assert all(b[2] <= 0.8 * a[2] for a, b in zip(cuts, cuts[1:]))  # windows that no other document has end in each order
+    assert all(strings < 6 * 150 for _, strings, _ in cuts)
+
+
 def test_passages_of_hard_rows(spark):
     check_removed(spark, HARD + [(None, HARD[4][1], "en", "s", 1), (3, HARD[4][1], "en", "s", 1)])
 
@@ -277,6 +324,19 @@ def test_warc_round_trip(spark, tmp_path):
     warc_archive.import_files(spark, path + "/files", path + "/again")
     key = lambda r: (r.header, bytes(r.payload))
     assert sorted(map(key, warc_archive.restore(spark, path + "/again").collect())) == sorted(map(key, got))
+    # a gzip member for each record, as most archives have, loses none
+    whole = b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "w" / "files").glob("*.gz")))
+    parts = [h.encode() + content + b"\r\n\r\n" for h, _, content in warc_archive.parse(whole)]
+    (tmp_path / "each").mkdir()
+    (tmp_path / "each" / "all.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    warc_archive.import_files(spark, str(tmp_path / "each"), path + "/each")
+    assert sorted(map(key, warc_archive.restore(spark, path + "/each").collect())) == sorted(map(key, got))
+    (tmp_path / "each" / "all.warc.gz").write_bytes(gzip.compress(parts[0])[:-9])
+    with pytest.raises(Exception, match="cut short"):
+        warc_archive.import_files(spark, str(tmp_path / "each"), path + "/short")
+    (tmp_path / "each" / "all.warc.gz").write_bytes(gzip.compress(parts[0].replace(b"X-Payload-SHA256", b"X-Other")))
+    with pytest.raises(Exception, match="does not say which payload"):
+        warc_archive.import_files(spark, str(tmp_path / "each"), path + "/other")
     _, payloads = warc_archive.read(spark, path)
     assert payloads.count() == len({h or "" for _, _, h in data})
     smallest = {}
