@@ -1,9 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 3).
 
 Two models, one of toxic and one of ordinary texts, spell an expression (a word) to its end: its first HEAD
-characters at once, then character by character, each given all that comes before it in the word. A run of letters
-without a space that is longer than RUN is read as all its windows of PIECE characters, so that expressions of scripts
-without spaces are met wherever they stand.
+characters at once, then character by character, each given all that comes before it in the word. Every code point but
+white space is read: letters, marks and digits that follow each other are a word, every other sign (punctuation, symbols,
+emoji) is one by itself. A word is read as all its windows of RUN characters, of which a word of up to so many has one,
+itself. A run in a script that is written without spaces is read from each of its characters on, for as many characters,
+so that expressions are met wherever they stand.
 
 Class counts are discounted absolutely; one that was seen once keeps nothing of its own (its discount is 1). What is
 taken away goes to a backoff that both classes share: the counts of both together, discounted in turn, and below them
@@ -30,6 +32,7 @@ ones; other columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,9 +45,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import staged, table
 
 HEAD = 3
-#: Characters of the longest run that is one word, and of the windows of longer ones.
-RUN, PIECE = 16, 6
-END = "$"
+#: Characters of the windows of a word.
+RUN = 16
+#: The end of a word: white space, which no word has.
+END = "\t"
 DISCOUNT = 0.75
 #: Log ratio from which an expression speaks for toxicity, and the power of the mean that the strongest dominate.
 EVIDENCE, POWER = 2.0, 4
@@ -52,7 +56,21 @@ EVIDENCE, POWER = 2.0, 4
 BATCH_CHARS, BATCH_TEXTS, SPELLED, SPELLED_BYTES, HELD = 16_000_000, 60_000, 200_000, 16 << 20, 2_000_000
 #: Labelled rows at most that the logistic curve is fitted on, least hashes first.
 FIT_ROWS = 20_000
-_WORD = re.compile(r"[^\W_]+")
+#: Scripts without spaces: Thai, Lao, Myanmar, Khmer, Japanese syllables, Han.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
+
+
+def _spaced() -> str:
+    """Ranges of all other letters, marks and digits."""
+    apart = re.compile(f"[{UNSPACED}]")
+    inside = [unicodedata.category(chr(c))[0] in "LMN" and not apart.match(chr(c)) for c in range(0x110000)]
+    at = np.flatnonzero(np.diff(np.r_[0, np.array(inside, np.int8), 0]))
+    return "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in at.reshape(-1, 2).tolist())
+
+
+_LETTERS = _spaced()
+_WORD = re.compile(rf"[{_LETTERS}]+|[{UNSPACED}]+|[^\s{_LETTERS}{UNSPACED}]")
+_APART = re.compile(f"[{UNSPACED}]")
 
 INDEX = "batch long, head string, words string, lens binary, posts binary, at int, doc_id long, fold long, n long"
 _INDEX = pa.schema(
@@ -68,14 +86,12 @@ def head_of(w: str) -> str:
 
 
 def units(text: str) -> Iterator[str]:
-    """The words of a text, and the windows of runs that are longer."""
+    """What is spelled of a text: windows of its words, its other signs, and runs of scripts without spaces from each character on."""
     for m in _WORD.finditer(text.lower()):
         w = m[0]
-        if len(w) <= RUN:
-            yield w
-        else:
-            for i in range(len(w) - PIECE + 1):
-                yield w[i : i + PIECE]
+        last = len(w) - 1 if _APART.match(w) else max(len(w) - RUN, 0)
+        for i in range(last + 1):
+            yield w[i : i + RUN]
 
 
 class _Numbers(dict):
@@ -99,7 +115,7 @@ class _Batch:
             code, times = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
         else:
             words = _WORD.findall(text.lower())
-            if max(map(len, words), default=0) > RUN:
+            if max(map(len, words), default=0) > RUN or _APART.search(text):
                 words = list(units(text))
             code, times = np.unique(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)), return_counts=True)
         self.codes.append(code.astype(np.int32))

@@ -198,11 +198,37 @@ def test_ends_of_long_runs_count(spark):
         assert auc(some.score.to_numpy(), np.array(y)[some.doc_id]) > 0.9
 
 
-def test_every_character_is_in_a_unit():
+def test_every_code_point_is_read():
+    R = toxicity.RUN
     for n in range(1, 70):
         word = "".join(chr(97 + i % 26) for i in range(n))
-        found = list(toxicity.units(f"{word}, {word.upper()}!"))
-        assert found == ([word] if n <= toxicity.RUN else [word[i : i + toxicity.PIECE] for i in range(n - toxicity.PIECE + 1)]) * 2
+        windows = [word[i : i + R] for i in range(max(n - R, 0) + 1)]
+        assert list(toxicity.units(f"{word}, {word.upper()}!")) == [*windows, ",", *windows, "!"]
+    assert list(toxicity.units("हिन्दी में f*ck 😀👍🏽 a_b e\u0301t\u00e9 $5\x00")) == ["हिन्दी", "में", "f", "*", "ck", "😀", "👍", "🏽", "a", "_", "b", "e\u0301té", "$", "5", "\x00"]
+    assert list(toxicity.units("ภาษาไทยที่")) == ["ภาษาไทยที่"[i:] for i in range(10)]
+    assert list(toxicity.units("漢字x漢")) == ["漢字", "字", "x", "漢"]
+    rnd = random.Random(1)
+    for _ in range(200):
+        t = "".join(chr(rnd.choice([rnd.randrange(32, 0x3000), rnd.randrange(0x3000, 0xD800), rnd.randrange(0x1F300, 0x1FA00)])) for _ in range(rnd.randrange(40)))
+        told = Counter("".join(toxicity.units(t)))
+        assert all(told[c] >= n for c, n in Counter(t.lower()).items() if not c.isspace())
+
+
+def test_marks_symbols_and_runs_decide(spark):
+    """Texts that differ in vowel signs, in signs, in emoji or somewhere in a run without spaces are told apart."""
+    rnd = random.Random(17)
+    pairs = [("किताब", "कुताब"), ("f*ck", "f+ck"), ("😡😡", "😀😀"), ("สวัสดีชาวโลก", "สวัสดีชาวโฅก")]
+    texts, y = [], []
+    for i in range(1600):
+        bad = rnd.random() < 0.3
+        filler = "".join(rnd.choice("กขคง") for _ in range(9)) if i % 4 == 3 else " " + " ".join(rnd.choice(["one", "two", "three", "four"]) for _ in range(9)) + " "
+        texts.append(filler + pairs[i % 4][0 if bad else 1] + filler)
+        y.append(int(bad))
+    labels = spark.createDataFrame([(i, 1, k) for i, k in enumerate(y)], "doc_id long, quality int, toxic int")
+    got = toxicity.score(frame(spark, rows(texts)), labels).toPandas().sort_values("doc_id")
+    for kind in range(4):
+        some = got[got.held_out & (got.doc_id % 4 == kind)]
+        assert auc(some.score.to_numpy(), np.array(y)[some.doc_id]) > 0.95, kind
 
 
 # personal data
