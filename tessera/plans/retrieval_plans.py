@@ -386,7 +386,7 @@ def query_intents(spark, sf_dir):
 def ts_rank_topk(spark, sf_dir):
     from tessera.functions import fts
 
-    q = item_terms(spark, sf_dir).groupBy("item_id").agg(F.array_join(F.sort_array(F.collect_list("term")), " ").alias("query_text"))
+    q = item_terms(spark, sf_dir).select("item_id", F.array_join(F.sort_array(F.array_distinct("terms")), " ").alias("query_text"))
     found = fts.search(table(spark, sf_dir, "documents").select("doc_id", "text"), q, "doc_id", "item_id")
     return R.ranked(found, "item_id", [F.desc("bm25_raw"), F.asc("doc_id")]).where(F.col("rank") <= K).select("item_id", "doc_id", F.round("bm25_raw", 9).alias("bm25_raw"), "rank")
 
