@@ -60,17 +60,21 @@ FIT_ROWS = 20_000
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
 
 
-def _spaced() -> str:
-    """Ranges of all other letters, marks and digits."""
+def _letters(stop: int, marks_only: bool = False) -> str:
+    """Ranges of letters, marks and digits of other scripts."""
     apart = re.compile(f"[{UNSPACED}]")
-    inside = [unicodedata.category(chr(c))[0] in "LMN" and not apart.match(chr(c)) for c in range(0x110000)]
+    mark = lambda c: unicodedata.category(c)[0] == "M"
+    inside = [(mark(c) or (c.isalnum() and not marks_only)) and not apart.match(c) for c in map(chr, range(stop))]
     at = np.flatnonzero(np.diff(np.r_[0, np.array(inside, np.int8), 0]))
     return "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in at.reshape(-1, 2).tolist())
 
 
-_LETTERS = _spaced()
+_LETTERS = _letters(0x110000)
 _WORD = re.compile(rf"[{_LETTERS}]+|[{UNSPACED}]+|[^\s{_LETTERS}{UNSPACED}]")
 _APART = re.compile(f"[{UNSPACED}]")
+#: The same for texts that hold no marks, no script without spaces and nothing beyond the first 65,536 code points, much faster.
+_PLAIN = re.compile(r"[^\W_]+|[^\w\s]|_")
+_OTHER = re.compile(f"[{_letters(0x10000, True)}{UNSPACED.split(chr(0x20000))[0]}]")
 
 INDEX = "batch long, head string, words string, lens binary, posts binary, at int, doc_id long, fold long, n long"
 _INDEX = pa.schema(
@@ -85,10 +89,15 @@ def head_of(w: str) -> str:
     return (w + END)[:HEAD]
 
 
+def words_of(low: str) -> list[str]:
+    """Words, other signs and runs of scripts without spaces of a text in lower case."""
+    plain = low.isascii() or not (_OTHER.search(low) or max(low) > "\uffff")
+    return (_PLAIN if plain else _WORD).findall(low)
+
+
 def units(text: str) -> Iterator[str]:
     """What is spelled of a text: windows of its words, its other signs, and runs of scripts without spaces from each character on."""
-    for m in _WORD.finditer(text.lower()):
-        w = m[0]
+    for w in words_of(text.lower()):
         last = len(w) - 1 if _APART.match(w) else max(len(w) - RUN, 0)
         for i in range(last + 1):
             yield w[i : i + RUN]
@@ -114,7 +123,7 @@ class _Batch:
             found = Counter(units(text))
             code, times = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
         else:
-            words = _WORD.findall(text.lower())
+            words = words_of(text.lower())
             if max(map(len, words), default=0) > RUN or _APART.search(text):
                 words = list(units(text))
             code, times = np.unique(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)), return_counts=True)

@@ -209,7 +209,8 @@ def test_every_code_point_is_read():
     assert list(toxicity.units("漢字x漢")) == ["漢字", "字", "x", "漢"]
     rnd = random.Random(1)
     for _ in range(200):
-        t = "".join(chr(rnd.choice([rnd.randrange(32, 0x3000), rnd.randrange(0x3000, 0xD800), rnd.randrange(0x1F300, 0x1FA00)])) for _ in range(rnd.randrange(40)))
+        t = "".join(chr(rnd.choice([rnd.randrange(32, 0x300), rnd.randrange(32, 0x3000), rnd.randrange(0x3000, 0xD800), rnd.randrange(0x1F300, 0x1FA00)])) for _ in range(rnd.randrange(40)))
+        assert toxicity.words_of(t.lower()) == toxicity._WORD.findall(t.lower())
         told = Counter("".join(toxicity.units(t)))
         assert all(told[c] >= n for c, n in Counter(t.lower()).items() if not c.isspace())
 
