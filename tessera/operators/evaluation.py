@@ -24,6 +24,8 @@ def with_overlaps(retrieved: DataFrame, docs: DataFrame, gold: DataFrame, query:
     retrieved has some rows a query, so it goes to the documents: texts stay where they are, and only those that were found are read as tokens.
     """
     texts = docs.select(doc, F.col("text").alias("_text")).join(F.broadcast(retrieved), doc).join(F.broadcast(gold.select(query, F.col("text").alias("_gold"))), query)
+    # the found texts are dealt anew, as they may all lie in a few files
+    texts = texts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), doc)
     tokens = lambda c, clean: content_tokens(F.col(c), clean, clean)
     return texts.withColumns({name: token_overlap(tokens("_text", clean), tokens("_gold", clean)) for name, clean in variants.items()}).drop("_text", "_gold")
 
