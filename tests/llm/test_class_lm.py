@@ -3,10 +3,13 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import class_lm
@@ -184,3 +187,22 @@ def test_planted_classes_and_held_out_perplexity(spark):
             found[int(model.context[k])][w[:2]] += int(model.counts[k])
     pure = sum(c.most_common(1)[0][1] for c in found.values()) / sum(sum(c.values()) for c in found.values())
     assert pure > 0.95
+
+
+@pytest.mark.parametrize("step", ["count", "bigrams", "score"])
+def test_memory_does_not_grow_with_the_batch(step):
+    """A batch of many long rows is taken apart piece by piece: 1.2 million words at once take some hundred MB."""
+    texts = [" ".join(f"w{(i * 31 + k * 7) % 3000}" for k in range(600)) for i in range(2000)]
+    names = [f"w{i}".encode() for i in range(2000)]
+    n, c = len(names), 4
+    context = np.r_[c, c + 1, np.arange(n) % c]
+    model = class_lm.Model(names, np.r_[1, 0, np.ones(n, np.int64)], context, context, np.ones((c + 2, 2 * c + 2)), np.full((c + 2, 2 * c + 2), 0.1), np.full(n + 2, 0.1), n, n, c)
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array([False] * len(texts)), pa.array(texts)], ["row", "doc_id", "held_out", "text"])
+    run = {"count": class_lm._count_words, "bigrams": class_lm._bigrams(SimpleNamespace(value=names), n), "score": class_lm._in_place(SimpleNamespace(value=model))}[step]
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) if step == "score" else rows > 0
+    assert peak < 60e6
