@@ -6,16 +6,19 @@ ts_rank with its default weight; no database was at hand to compare with.
 
 from __future__ import annotations
 
-import functools
 import math
 import re
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.batches import pieces
+
 # Stop words of the English dictionary.
 STOP = frozenset(
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their "
@@ -93,7 +96,6 @@ def stem(w: str) -> str:
 
 # PostgreSQL's text search keeps so many positions of a lexeme and counts no further than the highest.
 MAX_POSITIONS, MAX_POSITION = 255, 16383
-_stem = functools.lru_cache(maxsize=200_000)(stem)
 
 
 def positions(text: str | None) -> dict[str, list[int]]:
@@ -101,12 +103,21 @@ def positions(text: str | None) -> dict[str, list[int]]:
     out: dict[str, list[int]] = {}
     for i, w in enumerate(_WORD.findall((text or "").lower()), 1):
         if w not in STOP:
-            at = out.setdefault(_stem(w), [])
+            at = out.setdefault(stem(w), [])
             if len(at) < MAX_POSITIONS:
                 at.append(min(i, MAX_POSITION))
     return out
 
 
+def _near(gap: int) -> float:
+    near = 1e-30 if gap > 100 else 1.0 / (1.005 + 0.05 * math.exp(gap / 1.5 - 2))
+    return math.sqrt(WEIGHT * WEIGHT * near)
+
+
+#: Weight of two positions by the words between them, the last one for all that are further apart.
+_GAPS = [_near(g) for g in range(102)]
+
+
 def rank(doc: dict[str, list[int]], lexemes: list[str]) -> float:
     """Rank of a document that has all lexemes, 0 otherwise."""
     lexemes = list(dict.fromkeys(lexemes))
@@ -126,8 +137,7 @@ def rank(doc: dict[str, list[int]], lexemes: list[str]) -> float:
                 for b in doc[lexemes[k]]:
                     gap = abs(a - b)
                     if gap:
-                        near = 1e-30 if gap > 100 else 1.0 / (1.005 + 0.05 * math.exp(gap / 1.5 - 2))
-                        w = math.sqrt(WEIGHT * WEIGHT * near)
+                        w = _GAPS[min(gap, 101)]
                         res = w if res < 0 else 1.0 - (1.0 - res) * (1.0 - w)
     return max(res, 0.0)
 
@@ -146,19 +156,38 @@ def tsquery(text: pd.Series) -> pd.Series:
     return text.map(lambda t: list(positions(t)))
 
 
-@F.pandas_udf(T.DoubleType())
-def ts_rank(text: pd.Series, lexemes: pd.Series) -> pd.Series:
-    return pd.Series([rank(positions(t), list(x)) for t, x in zip(text, lexemes)], dtype="float64")
+def _found(asked: list[Row], ids: pa.Array, query: str, key: str):
+    """Ranks of the asked queries in each text; a text is met by the queries whose longest lexeme it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[str, list[int]] = {}
+        for q, a in enumerate(asked):
+            by.setdefault(min(a.lexemes, key=lambda x: (-len(x), x)), []).append(q)
+        for b in pieces(batches):
+            at, who, ranks = [], [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
+                doc = positions(text)
+                for q in (q for x in doc.keys() & by.keys() for q in by[x]):
+                    r = rank(doc, asked[q].lexemes)
+                    if r > 0:
+                        at.append(i)
+                        who.append(q)
+                        ranks.append(r)
+            if at:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(who)), b.column(key).take(pa.array(at)), pa.array(ranks)], [query, key, "bm25_raw"])
+
+    return run
 
 
 def search(docs: DataFrame, queries: DataFrame, key: str, query: str, text: str = "text") -> DataFrame:
     """(query, key, bm25_raw) of the documents that have all lexemes of a query (query, query_text).
 
-    Candidates come from an equi-join on one lexeme of each query, its longest; the other lexemes are
-    tested on the candidates only, and texts travel only to be ranked.
+    The queries go to the tasks in blocks; a text is read once for each block, where it lies, and is never shuffled.
     """
+    from tessera.operators.topk import query_blocks, query_ids
+
     q = queries.select(query, tsquery("query_text").alias("lexemes")).where(F.size("lexemes") > 0)
-    q = q.withColumn("lexeme", F.array_sort("lexemes", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(1))[0])
-    d = docs.select(key, F.explode(tsquery(text)).alias("lexeme"))
-    found = d.join(q, "lexeme").select(key, query, "lexemes").join(docs.select(key, text), key)
-    return found.select(query, key, ts_rank(F.col(text), F.col("lexemes")).alias("bm25_raw")).where("bm25_raw > 0")
+    schema = T.StructType([q.schema[query], docs.schema[key], T.StructField("bm25_raw", T.DoubleType())])
+    rows = docs.select(key, F.col(text).alias("text"))
+    blocks = ((asked, query_ids(asked, query, q.schema[query].dataType)) for asked in query_blocks(q, query))
+    return reduce(DataFrame.unionByName, (rows.mapInArrow(_found(asked, ids, query, key), schema) for asked, ids in blocks))

@@ -35,10 +35,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.batches import pieces
 from tessera.llm.common import staged, table
 
 #: Classes of clustered words; words that are clustered; words that tasks hold.
@@ -50,8 +50,6 @@ SWEEPS, BUCKETS = 6, 256
 WEIGHT = 0.999
 #: Tokens that are counted before counts are passed on, and different words.
 CHUNK, HELD = 4_000_000, 400_000
-#: Bytes of text that a task takes apart at a time, whatever the rows of its batches are.
-SLICE = 1 << 20
 #: Numbers of the end and of all words outside the lexicon.
 END, REST = 0, 1
 _BYTES = bytes.maketrans(bytes(range(65, 91)) + bytes(range(9, 14)), bytes(range(97, 123)) + b" " * 5)
@@ -61,15 +59,6 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_BYTES).split()
 
 
-def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The rows of all batches in pieces of at most so many bytes of text and one row."""
-    for b in batches:
-        piece = np.cumsum(pc.binary_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
-        cuts = np.r_[0, np.flatnonzero(np.diff(piece)) + 1, b.num_rows]
-        for begin, end in zip(cuts, cuts[1:]):
-            yield b.slice(int(begin), int(end - begin))
-
-
 def _column(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
@@ -82,7 +71,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = [w.decode("utf-8", "surrogatepass") for w in found]
         return pa.RecordBatch.from_arrays([_column(words, pa.string()), _column(list(found.values()), pa.int64())], ["word", "n"])
 
-    for b in slices(batches):
+    for b in pieces(batches):
         for text in b.column("text").to_pylist():
             found.update(tokens(text))
             found[b""] += 1
@@ -120,7 +109,7 @@ def _bigrams(lexicon, contexts: int):
             columns = [_column(keys // size, pa.int32()), _column(keys % size, pa.int32()), _column(counts, pa.int64())]
             return pa.RecordBatch.from_arrays(columns, ["prev", "cur", "n"])
 
-        for b in slices(batches):
+        for b in pieces(batches):
             _, ids, _ = numbered(b.column("text").to_pylist(), known)
             prev = np.r_[END, ids[:-1]]  # what precedes a text is the end of another
             held.append(np.where(prev < contexts + 2, prev, REST) * size + ids)
@@ -387,7 +376,7 @@ def _in_place(sent):
         model: Model = sent.value
         known = _Numbers((w, k) for k, w in enumerate(model.lexicon, start=2))
         base = np.log10((model.counts + 1) / model.base)
-        for b in slices(batches):
+        for b in pieces(batches):
             lists, ids, ends = numbered(b.column("text").to_pylist(), known)
             if not len(lists):
                 continue

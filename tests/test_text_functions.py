@@ -117,3 +117,16 @@ def test_question_parsing(spark):
     assert [r.resolved for r in P.resolved_filter(f.withColumn("k", F.lit(1)), c, "k", "n").orderBy("n").collect()] == ["COST", "Other", "COST", "JNJ"]
     s = spark.createDataFrame([("AMZN revenue 2019", ["AMZN", "Amazon"]), ("amazon", ["Amazon"])], "q string, n array<string>")
     assert [r.x for r in s.select(P.without_mentions(F.col("q"), F.col("n")).alias("x")).collect()] == ["revenue 2019", "amazon"]
+
+
+def test_search_reads_each_text_where_it_lies(spark):
+    """No text travels to be ranked, and a document is found once however many lexemes and copies of it there are."""
+    from tessera.functions import fts
+
+    docs = [(i, " ".join(f"alpha{i % 7} beta word{(i * k) % 50}" for k in range(60))) for i in range(200)] + [(900, None), (901, ""), (902, "alpha1 beta")]
+    asked = [(1, "alpha1 beta"), (2, "alpha2 word4 beta"), (3, "the of"), (4, "nowhere")]
+    found = fts.search(spark.createDataFrame(docs, "k long, body string"), spark.createDataFrame(asked, "q int, query_text string"), "k", "q", "body")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    want = sorted((q, k, fts.rank(fts.positions(t), list(fts.positions(x)))) for q, x in asked for k, t in docs)
+    assert sorted((r.q, r.k, r.bm25_raw) for r in found.collect()) == [w for w in want if w[2] > 0]
