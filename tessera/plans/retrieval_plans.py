@@ -97,19 +97,15 @@ def item_terms(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", R.terms_of(F.col("text")).alias("terms"))
 
 
-def document_postings(spark, sf_dir, *keep: str) -> DataFrame:
-    return P.postings(table(spark, sf_dir, "documents").select("doc_id", "text", *keep), "doc_id", "text", keep)
-
-
 def sparse_best(spark, sf_dir, k: int) -> DataFrame:
     """(item_id, doc_id, score, rank) of each item's k best documents."""
-    found = P.search(document_postings(spark, sf_dir), item_terms(spark, sf_dir), k, "doc_id", "item_id")
+    found = P.search_texts(table(spark, sf_dir, "documents"), item_terms(spark, sf_dir), k, "doc_id", "text", "item_id")
     return R.ranked(found, "item_id", order_of("score", "doc_id")).where(F.col("rank") <= k).select("item_id", "doc_id", "score", "rank")
 
 
 @query("sparse_term_match", f"WITH {_TERMS} SELECT item_id, doc_id, hits::BIGINT AS hits FROM hits JOIN need USING (item_id) WHERE hits = need")
 def sparse_term_match(spark, sf_dir):
-    return P.matches(document_postings(spark, sf_dir), item_terms(spark, sf_dir), "item_id").select("item_id", "doc_id", "hits")
+    return P.matches_texts(table(spark, sf_dir, "documents"), item_terms(spark, sf_dir), "doc_id", "text", "item_id").select("item_id", "doc_id", "hits")
 
 
 @query("sparse_term_rank", f"WITH {_TERMS}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM hits) SELECT item_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= {K}")
@@ -204,8 +200,7 @@ def hybrid_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     q = asked.join(e.select(F.col("doc_id").alias("item_id"), F.col("embedding").alias("query_vector")), "item_id")
     most = R.overfetch(5, True)
-    lists = P.postings(docs, "doc_id", "text", ["company", "form", "fiscal_year"])
-    words = P.search(lists, asked, most, "doc_id", "item_id", R.BOOSTS, R.SCOPE)
+    words = P.search_texts(docs, asked, most, "doc_id", "text", "item_id", ["company", "form", "fiscal_year"], R.BOOSTS, R.SCOPE)
     near = nearest(e.join(meta, "doc_id"), q, most, "doc_id", "item_id", "embedding", R.BOOSTS, R.SCOPE)
     signal = docs.select("doc_id", "text"), F.regexp_count("text", F.lit(X.NUMBER)).cast("double")
     amended = meta.where(G.is_amendment(F.col("form")))
@@ -274,8 +269,7 @@ def retrieve_whole(spark, sf_dir):
     meta, e = docs.drop("text"), table(spark, sf_dir, "embeddings").drop("label")
     q = asked.join(e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vector")), "item_id")
     most = R.overfetch(5, True)
-    lists = P.postings(docs, "doc_id", "text", list(R.FILING))
-    words = P.search(lists, asked, most, "doc_id", "item_id", R.BOOSTS, R.SCOPE)
+    words = P.search_texts(docs, asked, most, "doc_id", "text", "item_id", list(R.FILING), R.BOOSTS, R.SCOPE)
     near = nearest(e.withColumnRenamed("vec_id", "doc_id").join(meta, "doc_id"), q, most, "doc_id", "item_id", "embedding", R.BOOSTS, R.SCOPE)
     rows = e.withColumn("doc_id", F.expr("vec_id div 3")).join(meta, "doc_id")
     children = nearest(rows, q.where("figures"), R.CHILDREN, "vec_id", "item_id", "embedding", R.BOOSTS, R.SCOPE)

@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter
 from types import SimpleNamespace
 
@@ -164,3 +165,30 @@ def test_inverted_file_of_vectors_without_groups(spark, tmp_path):
     """The test table's vectors have no direction in common (the nearest are at 0.4), the worst case: it takes most cells."""
     few, most = recalls(spark, spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet").select("vec_id", "embedding"), str(tmp_path / "cells"), [4, 14])
     assert few < most and most >= 0.95
+
+
+def test_texts_are_searched_block_by_block(spark):
+    """Texts searched where they lie give what stored lists give; Python runs once a task and holds no whole batch of words."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 97}" for k in range(i % 40)), "c", 2019) for i in range(400)], "id long, text string, company string, year int")
+    asked = spark.createDataFrame([(1, ["w0", "w3"], "c", [2019]), (2, ["w96"], None, None), (3, ["none"], None, None)], "q int, terms array<string>, scope string, years array<int>")
+    lists = P.postings(docs, "id", "text", ["company", "year"], 16)
+    both = [P.search(lists, asked, 500, "id", "q", FACTORS, ("company", "scope")), P.search_texts(docs, asked, 500, "id", "text", "q", ["company", "year"], FACTORS, ("company", "scope"), 16)]
+    a, b = (sorted(map(tuple, x.collect())) for x in both)
+    assert a == b and a
+    plans = [x._jdf.queryExecution().executedPlan().toString().count("MapInArrow") for x in both]
+    assert plans == [2, 1]
+    key = lambda x: sorted(map(tuple, x.collect()))
+    assert key(P.matches(lists.select("*"), asked, "q")) == key(P.matches_texts(docs, asked, "id", "text", "q", ["company", "year"], 16)) != []
+
+
+def test_building_lists_holds_numbers_only(monkeypatch):
+    """Half a million postings of many equal words in one batch: a posting is a number, not a word of its own."""
+    texts = [" ".join(f"word{(i + k * 13) % 3001}" for k in range(250)) for i in range(2000)]
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([ids], ["id"]), pa.array(texts)], ["row", "text"])
+    monkeypatch.setattr(P, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    tracemalloc.start()
+    blocks = sum(b.num_rows for b in P._build(P.BLOCK)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert blocks == 1 and peak < 40e6
