@@ -14,17 +14,11 @@ def aliases(companies: DataFrame) -> DataFrame:
     return a.groupBy("alias").agg(F.min("ticker").alias("ticker"), F.count("*").alias("n")).where("n = 1").drop("n")
 
 
-def phrases(normal: Column, longest: int) -> Column:
-    """All runs of one to longest words."""
-    w = F.filter(F.split(normal, " "), lambda x: x != "")
-    runs = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(w) - i)), lambda n: F.array_join(F.slice(w, i + 1, n), " "))
-    return F.when(F.size(w) > 0, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 1), runs)))).otherwise(F.array().cast("array<string>"))
-
-
 def companies_named(questions: DataFrame, companies: DataFrame, key: str, text: str, longest: int = 6) -> DataFrame:
     """(key, ticker): a ticker in capitals first, then one in mixed case with two capitals, then the longest alias.
 
-    Words and phrases of a question meet tickers and aliases in equi-joins.
+    Words of a question meet tickers and the first words of aliases in equi-joins; an alias of up to longest words is then
+    looked up in the question, so that a question has a row for each word and not for each phrase.
     """
     tickers = companies.select("ticker").distinct()
     token = lambda p: F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1))
@@ -34,10 +28,17 @@ def companies_named(questions: DataFrame, companies: DataFrame, key: str, text:
         return w.join(tickers, "ticker").select(key, "ticker", F.lit(grade).alias("grade"), F.col("at").alias("place"))
 
     mixed = F.filter(token(r"\b([A-Za-z]{2,5})\b"), lambda x: F.length(F.regexp_replace(x, "[^A-Z]", "")) >= 2)
-    p = questions.select(key, F.explode(phrases(X.company_text(F.col(text)), longest)).alias("alias")).join(aliases(companies), "alias")
+    words = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    a = aliases(companies).withColumn("_w", words(F.col("alias")))
+    a = a.where(F.size("_w").between(1, longest) & (F.array_join("_w", " ") == F.col("alias"))).select("alias", "ticker", F.col("_w")[0].alias("_first"))
+    said = questions.select(key, words(X.company_text(F.col(text))).alias("_w")).select(key, F.array_join("_w", " ").alias("_said"), F.explode(F.array_distinct("_w")).alias("_first"))
+    p = said.join(a, "_first").where(spaced(F.col("_said")).contains(spaced(F.col("alias"))))
     found = first(token(r"\b([A-Z]{2,5})\b"), 0).unionByName(first(mixed, 1)).unionByName(p.select(key, "ticker", F.lit(2).alias("grade"), (-F.length("alias")).alias("place")))
-    best = found.groupBy(key).agg(F.min(F.struct("grade", "place", "ticker")).alias("b")).select(key, "b.ticker")
-    return questions.select(key).join(best, key, "left")
+    # every question is a row beside what was found for it, so keys are shuffled once
+    asked = questions.select(key, F.lit(None).cast("string").alias("ticker"), F.lit(None).cast("int").alias("grade"), F.lit(None).cast("int").alias("place"))
+    best = asked.unionByName(found).groupBy(key).agg(F.min(F.when(F.col("grade").isNotNull() & F.col(key).isNotNull(), F.struct("grade", "place", "ticker"))).alias("b"), F.count_if(F.col("grade").isNull()).cast("int").alias("n"))
+    return best.select(key, F.explode(F.array_repeat(F.col("b.ticker"), F.col("n"))).alias("ticker"))
 
 
 def resolved_filter(wanted: DataFrame, companies: DataFrame, key: str, name: str) -> DataFrame:

@@ -130,3 +130,14 @@ def test_search_reads_each_text_where_it_lies(spark):
     assert "Exchange" not in plan and "Join" not in plan
     want = sorted((q, k, fts.rank(fts.positions(t), list(fts.positions(x)))) for q, x in asked for k, t in docs)
     assert sorted((r.q, r.k, r.bm25_raw) for r in found.collect()) == [w for w in want if w[2] > 0]
+
+
+def test_questions_are_not_joined_with_themselves(spark):
+    """Repeated and null keys stay, aliases match whole words only, and questions are shuffled by key once."""
+    from tessera.operators import queryparse as P
+
+    c = spark.createDataFrame([("COST", "Costco Wholesale Corporation"), ("ARE", "Alexandria Real Estate Equities, Inc.")], "ticker string, name string")
+    q = spark.createDataFrame([(1, "did costco earn"), (1, "nothing"), (2, "what costcos sell"), (None, "costco"), (3, None)], "k int, t string")
+    found = P.companies_named(q, c, "k", "t")
+    assert "LeftOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.k or 0, r.ticker or "") for r in found.collect()) == [(0, ""), (1, "COST"), (1, "COST"), (2, ""), (3, "")]
