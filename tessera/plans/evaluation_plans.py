@@ -224,8 +224,7 @@ def claim_verdict(spark, sf_dir):
     c = c.withColumn("claim_id", F.concat_ws("/", F.col("id").cast("string"), F.col("hash"))).withColumn("found", C.numeric_bindings(F.col("claim")))
     claims = c.select("claim_id", "claim", C.checkability(F.col("kind"), F.lit("ACME")).alias("check"), C.metric(F.col("claim")).alias("metric"), C.comparator(F.col("claim")).alias("comparator"), C.primary(F.col("found"))["value"].alias("value"), F.lit(2024).alias("as_of_year"), "id")
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.lit(2020).alias("fiscal_year"))
-    evidence = claims.select("claim_id", "id").join(turns, "id").select("claim_id", "text", "fiscal_year", C.numeric_bindings(F.col("text")).alias("found"))
-    return C.verify(claims.drop("id"), evidence)
+    return C.verify(claims, turns.withColumn("found", C.numeric_bindings(F.col("text"))), "id")
 
 
 @query("gold_partition", "WITH i AS (SELECT doc_id FROM documents), c AS (SELECT doc_id FROM labels WHERE quality = 1), x AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM c) THEN 'both' ELSE 'neither' END AS reason FROM i WHERE (doc_id IN (SELECT doc_id FROM c)) = (doc_id IN (SELECT doc_id FROM x))")

@@ -37,6 +37,25 @@ def test_verdicts(spark):
     assert got == {"a": "verified", "b": "conflicting", "c": "non_verifiable", "d": "not_yet_decidable", "e": "verified", "f": "insufficient_evidence", "g": "insufficient_evidence"}
 
 
+def test_claims_that_share_their_evidence(spark):
+    claims = spark.createDataFrame(
+        [("a", "revenue was 5", "check_now", "revenue", None, Decimal(5), 2020, 1), ("b", "revenue was 6", "check_now", "revenue", None, Decimal(6), 2020, 1), ("c", "we sell red cars", "check_now", None, None, None, 2020, 1),
+         ("d", "we sell red cars", "check_now", None, None, None, 2020, None), ("e", "we sell red cars", "check_now", None, None, None, 2020, 2)],
+        "claim_id string, claim string, check string, metric string, comparator string, value decimal(38,6), as_of_year int, id long",
+    )
+    ev = spark.createDataFrame([(1, "sales of 5 as we sell blue and red cars", 2020), (2, None, 2020), (None, "we sell red cars", 2020)], "id long, text string, fiscal_year int").withColumn("found", C.numeric_bindings("text"))
+    got = C.verify(claims, ev, "id")
+    assert {r.claim_id: (r.verdict, r.n_for, r.n_against) for r in got.collect()} == {"a": ("verified", 1, 0), "b": ("conflicting", 0, 1), "c": ("verified", 1, 0), "d": ("insufficient_evidence", 0, 0), "e": ("insufficient_evidence", 0, 0)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    words = [x for x in plan.splitlines() if "array_distinct" in x]
+    assert len(words) == 2 and not any("Join" in x or "Aggregate" in x for x in words)  # each side's words are taken apart before they meet
+
+
+def test_ids_of_many_claims(spark):
+    rows = spark.range(99, 101).select(C.claim_id(F.lit("x"), F.lit("ACME"), F.col("id")).substr(20, 9).alias("x")).collect()
+    assert [r.x for r in rows] == ["99", "100"]
+
+
 def test_metrics_over_spans(spark):
     o = spark.createDataFrame([("q", "s1", 1, 0.1), ("q", "s1", 2, 0.6), ("q", "s2", 1, 0.3)], "q string, span string, rank int, overlap double")
     hits = o.withColumn("threshold", F.lit(0.5)).groupBy("q", "span", "threshold").agg(F.min(F.when(F.col("overlap") >= 0.5, F.col("rank"))).alias("hit_rank"))
