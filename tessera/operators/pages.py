@@ -85,7 +85,8 @@ def tokens(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """
     unseen = rf"(?is)<({'|'.join(UNSEEN)})\b[^>]*>.*?(?:</\1\s*>|\z)"
     seen = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), unseen, " ")
-    df = pages.select(key, F.posexplode(F.regexp_extract_all(seen, F.lit(_TOKEN), F.lit(0))).alias("pos", "token")).where("NOT rlike(token, '^<[!?]')")
+    # the outer form is not preceded by a filter that reads each page again; its null token falls to the condition
+    df = pages.select(key, F.posexplode_outer(F.regexp_extract_all(seen, F.lit(_TOKEN), F.lit(0))).alias("pos", "token")).where("NOT rlike(token, '^<[!?]')")
     df = df.withColumns({"tag": F.lower(F.regexp_extract("token", r"^</?([a-zA-Z][^\s/>]*)", 1)), "close": F.col("token").startswith("</"), "void": F.col("token").rlike("^<[a-zA-Z][^>]*/>$")})
     w = W.partitionBy(key).orderBy("pos")
     for name, tags in (("level", CONTAINERS), ("tables", ["table"]), ("titles", ["title"])):
@@ -106,8 +107,17 @@ def tokens(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 
 def _joined(of: list[str], df: DataFrame, **more: Column) -> DataFrame:
     """The texts of groups in order, as one text."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "")
-    return df.groupBy(*of).agg(squeezed(unescaped(text)).alias("text"), *[c.alias(n) for n, c in more.items()])
+    return df.groupBy(*of).agg(_told(F.collect_list(_placed())).alias("text"), *[c.alias(n) for n, c in more.items()])
+
+
+def _placed() -> Column:
+    """A token of text with its place; null for a tag."""
+    return F.when(F.col("tag") == "", F.struct("pos", "token"))
+
+
+def _told(texts: Column) -> Column:
+    """Tokens of text (an array of structs of pos and token) in order, as one text."""
+    return squeezed(unescaped(F.array_join(F.transform(F.array_sort(texts), lambda x: x["token"]), "")))
 
 
 def semantic_title(text: Column) -> Column:
@@ -171,59 +181,73 @@ def contents(pages: DataFrame, key: str, html: str = "html", profile: str = "can
     if profile not in PROFILES:
         raise ValueError(f"unknown representation profile: {profile}")
     toks = tokens(pages, key, html)
-    text = toks.where((F.col("tag") == "") & (F.col("titles") == 0))
-    blocks = _joined([key, "block"], text.where("tables = 0"), item=F.max("item"), pos=F.min(F.when(F.col("start"), F.col("pos"))), breaks=F.min(F.when(F.col("start"), F.col("breaks"))), level=F.min(F.when(F.col("start"), F.col("level"))))
-    blocks = blocks.where("text <> '' AND pos IS NOT NULL").select(key, "item", "pos", "breaks", "level", F.lit("text").alias("kind"), "text", F.lit(None).cast("long").alias("cells"))
-    inside = text.where("tables > 0")
-    cells = _joined([key, "item", "row", "cell", "region"], inside.where("region IN ('td', 'th')")).where("text <> ''")
-    marks = toks.where("tables > 0 AND tag = 'th' AND NOT close").groupBy(key, "item", "row").agg(F.lit(True).alias("th"))
-    ordered = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
-    rows = cells.groupBy(key, "item", "row").agg(F.transform(ordered("cell", "text"), lambda x: x["text"]).alias("values"))
-    rows = rows.join(marks, [key, "item", "row"], "left").na.fill(False, ["th"])
-    grids = rows.groupBy(key, "item").agg(F.transform(ordered("row", "values", "th"), lambda x: F.struct(x["values"].alias("values"), x["th"].alias("th"))).alias("rows"))
-    captions = _joined([key, "item"], inside.where("region = 'caption'")).withColumnRenamed("text", "caption")
-    heads = toks.where("start AND tag = 'table'").select(key, "item", "pos", "breaks", "level", F.coalesce(*[F.nullif(attribute(F.col("token"), a), F.lit("")) for a in ("summary", "aria-label", "title")]).alias("named"))
-    heads = heads.withColumn("number", F.row_number().over(W.partitionBy(key).orderBy("item")))
-    tables = heads.join(grids, [key, "item"]).join(captions, [key, "item"], "left")
+    text = (F.col("tag") == "") & (F.col("titles") == 0)
+    blocks = _joined([key, "block"], toks.where(text & (F.col("tables") == 0)), item=F.max("item"), begin=F.min(F.when(F.col("start"), F.struct("pos", "breaks", "level"))))
+    blocks = blocks.where("text <> '' AND begin IS NOT NULL").select(key, "item", "begin", "text")
+    # what tables hold, cell by cell, then row by row
+    ordered = lambda c: F.array_sort(F.collect_list(c))
+    th = (F.col("tag") == "th") & ~F.col("close")
+    inside = toks.where((F.col("tables") > 0) & (text | th))
+    cells = _joined([key, "item", "row", "cell", "region"], inside, th=F.bool_or(th), caption=F.collect_list(F.when(F.col("region") == "caption", _placed())))
+    value = F.when(F.col("region").isin("td", "th") & (F.col("text") != ""), F.struct("cell", "text"))
+    rows = cells.groupBy(key, "item", "row").agg(F.transform(ordered(value), lambda x: x["text"]).alias("values"), F.bool_or("th").alias("th"), F.flatten(F.collect_list("caption")).alias("caption"))
+    row = F.when(F.size("values") > 0, F.struct("row", "values", "th"))
+    grids = rows.groupBy(key, "item").agg(F.transform(ordered(row), lambda x: F.struct(x["values"].alias("values"), x["th"].alias("th"))).alias("rows"), _told(F.flatten(F.collect_list("caption"))).alias("caption"))
+    # pieces of content are grouped, not joined, as a join would read the tokens again for each use of a side. They are dealt anew:
+    # windows over tokens and windows over pieces in one stage are more generated code than Spark keeps, compiled again by each task
+    spans = toks.groupBy(key, "item").agg(F.min("level").alias("low"), F.min(F.when(F.col("start") & (F.col("tag") == "table"), F.struct("pos", "breaks", "level", "token"))).alias("head"))
+    parts = reduce(lambda a, x: a.unionByName(x, allowMissingColumns=True), (spans, blocks, grids, _containers(toks, key))).repartition(key, "item")
+    line = parts.groupBy(key, "item").agg(*[F.first(c, ignorenulls=True).alias(c) for c in parts.columns if c not in (key, "item")])
+    w = W.partitionBy(key).orderBy("item")
+    line = line.withColumns({"number": F.count("head").over(w), "dip": F.lag("low").over(w)})
+    is_table = F.col("head").isNotNull() & (F.size("rows") > 0)
     one = F.when((F.size("rows") == 1) & (F.size(F.get("rows", F.lit(0))["values"]) == 1), F.get(F.get("rows", F.lit(0))["values"], F.lit(0)))
     count = F.aggregate("rows", F.lit(0).cast("long"), lambda a, r: a + F.size(r["values"]))
-    items = blocks.unionByName(tables.select(key, "item", "pos", "breaks", "level", F.lit("table").alias("kind"), one.alias("text"), count.alias("cells")))
+    either = lambda c: F.when(is_table, F.col(f"head.{c}")).otherwise(F.col(f"begin.{c}")).alias(c)
+    items = line.where(is_table | F.col("begin").isNotNull()).select(
+        key, "item", either("pos"), either("breaks"), either("level"), F.when(is_table, "table").otherwise("text").alias("kind"), F.when(is_table, one).otherwise(F.col("text")).alias("text"),
+        F.when(is_table, count).alias("cells"), "dip", "number", "rows", "caption", F.when(is_table, F.col("head.token")).alias("token"), "c0", "c1", "c2",
+    )
+    named = F.coalesce(*[F.nullif(attribute(F.col("token"), a), F.lit("")) for a in ("summary", "aria-label", "title")])
+    full = _before(items, key).withColumn("named", F.when(F.col("kind") == "table", named))
     inline = F.get(F.filter(F.flatten(F.transform(F.slice("rows", 1, 2), lambda r: F.transform(r["values"], semantic_title))), lambda t: t.isNotNull()), F.lit(0))
     data = (F.size("rows") >= 2) & F.exists("rows", lambda r: F.exists(r["values"], lambda v: v.rlike(r"\d")))
-    full = tables.join(_before(toks, items, key), [key, "item"], "left")
     better = [inline, F.when(data, semantic_title(F.col("sibling")))] if profile == "candidate" else []
     given = F.coalesce(F.nullif("caption", F.lit("")), "named", *better, "block_before")
     title = F.coalesce(given, F.concat(F.lit("Table "), F.col("number").cast("string")))
     full = full.withColumns({"given": given.isNotNull(), "label": title})
-    shown = full.select(key, "item", "breaks", "label", serialised(F.col("rows"), F.col("label"), F.col("given"), profile == "candidate").alias("text")).where("text IS NOT NULL")
-    is_table = F.col("text").startswith("[TABLE]")
-    shown = shown.select(key, "item", "breaks", F.when(is_table, "table").otherwise("text").alias("kind"), F.when(is_table, F.col("label")).alias("title"), "text")
-    out = blocks.select(key, "item", "breaks", "kind", F.lit(None).cast("string").alias("title"), "text").unionByName(shown)
+    told = F.when(F.col("kind") == "table", serialised(F.col("rows"), F.col("label"), F.col("given"), profile == "candidate")).otherwise(F.col("text"))
+    shown = full.select(key, "item", "breaks", (F.col("kind") == "table").alias("table"), "label", told.alias("text")).where("text IS NOT NULL")
+    is_table = F.col("table") & F.col("text").startswith("[TABLE]")
+    out = shown.select(key, "item", "breaks", F.when(is_table, "table").otherwise("text").alias("kind"), F.when(is_table, F.col("label")).alias("title"), "text")
     w = W.partitionBy(key).orderBy("item")
     beside = (F.col("kind") == "table") | (F.lag("kind").over(w) == "table")
     gap = F.when((F.col("breaks") - F.lag("breaks").over(w) >= 2) | beside, 2).otherwise(1)
     return out.select(key, (F.row_number().over(w) - 1).alias("idx"), "kind", "title", gap.alias("gap"), "text")
 
 
-def _before(toks: DataFrame, items: DataFrame, key: str) -> DataFrame:
-    """(key, item, sibling, block_before) of tables: the text of the nearest sibling with content before it, and a short block before it in its container.
+def _containers(toks: DataFrame, key: str) -> DataFrame:
+    """(key, item, c0, c1, c2) of tables: place of the container that holds it, of the one around that and of the next, and whether it is the body."""
+    # at each level the last container that was opened before the table
+    opened = F.struct("level", "pos", F.col("tag").isin("body", "html").alias("top"), F.lit(None).cast("int").alias("item"), F.lit(None).cast("int").alias("up"))
+    asked = [F.struct((F.col("level") - 1 - i).alias("level"), "pos", F.lit(None).cast("boolean").alias("top"), "item", F.lit(i).alias("up")) for i in (0, 1, 2)]
+    both = F.when(F.col("start") & (F.col("tag") == "table"), F.array(opened, *asked)).otherwise(F.array(opened))
+    rows = toks.where(F.col("tag").isin(*CONTAINERS) & ~F.col("close")).select(key, F.explode(both).alias("x")).select(key, "x.*")
+    last = F.last(F.when(F.col("item").isNull(), F.struct("pos", "top")), ignorenulls=True).over(W.partitionBy(key, "level").orderBy("pos", F.col("item").isNotNull()).rowsBetween(W.unboundedPreceding, -1))
+    found = rows.withColumn("c", last).where("item IS NOT NULL")
+    root = F.struct(F.lit(-1).alias("pos"), F.lit(True).alias("top"))
+    return found.groupBy(key, "item").agg(*[F.first(F.when(F.col("up") == i, F.coalesce(F.when(F.col("level") > 0, F.col("c")), root)), ignorenulls=True).alias(f"c{i}") for i in (0, 1, 2)])
+
+
+def _before(items: DataFrame, key: str) -> DataFrame:
+    """Adds sibling and block_before to tables: the text of the nearest sibling with content before it, and a short block before it in its container.
 
     The sibling is looked for among the table's own siblings, then among its container's, then one up, up to the body. Its text
     is that of up to three pieces of content; a longer sibling, or a table of several cells, has none.
     """
-    dips = toks.groupBy(key, F.col("item")).agg(F.min("level").alias("dip")).select(key, (F.col("item") + 1).alias("item"), "dip")
-    line = items.join(dips, [key, "item"], "left")
     w = W.partitionBy(key).orderBy("item")
     back = {f"p{n}": F.lag(F.struct("item", "pos", "level", "kind", "text", "cells", "dip"), n).over(w) for n in (1, 2, 3, 4)}
-    line = line.withColumns(back).where("kind = 'table'")
-    # the containers of a table: at each level the last one that was opened before it
-    opened = toks.where(F.col("tag").isin(*CONTAINERS) & ~F.col("close")).select(key, "level", "pos", F.col("tag").isin("body", "html").alias("top"), F.lit(None).cast("int").alias("item"), F.lit(None).cast("int").alias("up"))
-    asked = line.select(key, "pos", "item", "level", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("up")).select(key, (F.col("level") - 1 - F.col("up")).alias("level"), "pos", F.lit(None).cast("boolean").alias("top"), "item", "up")
-    last = F.last(F.when(F.col("item").isNull(), F.struct("pos", "top")), ignorenulls=True).over(W.partitionBy(key, "level").orderBy("pos", F.col("item").isNotNull()).rowsBetween(W.unboundedPreceding, -1))
-    found = opened.unionByName(asked).withColumn("c", last).where("item IS NOT NULL")
-    root = F.struct(F.lit(-1).alias("pos"), F.lit(True).alias("top"))
-    containers = found.groupBy(key, "item").agg(*[F.first(F.when(F.col("up") == i, F.coalesce(F.when(F.col("level") > 0, F.col("c")), root)), ignorenulls=True).alias(f"c{i}") for i in (0, 1, 2)])
-    line = line.join(containers, [key, "item"])
+    line = items.withColumns(back)
     holds = lambda i: F.col("p1.pos") > F.col(f"c{i}.pos")
     up = F.when(holds(0), 0).when(~F.col("c0.top") & holds(1), 1).when(~F.col("c0.top") & ~F.col("c1.top") & holds(2), 2)
     line = line.withColumn("up", up).withColumn("base", F.col("level") - 1 - F.col("up"))
@@ -241,7 +265,8 @@ def _before(toks: DataFrame, items: DataFrame, key: str) -> DataFrame:
     own = F.filter(F.array("p1", "p2", "p3"), lambda p: p.isNotNull() & (p["pos"] > F.col("c0.pos")))
     ended = F.array_position(F.transform(own, lambda p: F.coalesce(stops(p), F.lit(True))), True)
     short = F.filter(F.when(ended > 0, F.slice(own, 1, (ended - 1).cast("int"))).otherwise(own), lambda p: F.length(p["text"]) <= MAX_TITLE)
-    return line.select(key, "item", sibling.alias("sibling"), F.get(short, F.lit(0))["text"].alias("block_before"))
+    table = F.col("kind") == "table"
+    return line.select(*items.columns, F.when(table, sibling).alias("sibling"), F.when(table, F.get(short, F.lit(0))["text"]).alias("block_before"))
 
 
 def page_title(html: Column) -> Column:

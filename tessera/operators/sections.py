@@ -120,13 +120,13 @@ def heading_name(heading: Column, form: Column) -> Column:
 def lines(texts: DataFrame, key: str, text: str = "text", form: str = "form", least: int = LEAST) -> DataFrame:
     """(key, form, n, line, size, heading, name, title) of each line: whether it is a heading where its text is cut, the
     section it begins and whether the line is only a heading's title."""
-    df = texts.select(key, F.upper(F.col(form)).alias("form"), F.length(text).alias("size"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("n", "line"))
+    df = texts.select(key, F.upper(F.col(form)).alias("form"), F.length(text).alias("size"), F.posexplode_outer(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("n", "line"))
     w, whole = W.partitionBy(key).orderBy("n"), W.partitionBy(key)
     past, to_here = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
     filled = F.when(squeezed(F.col("line")) != "", F.trim("line"))
     df = df.withColumns({
         "offset": F.coalesce(F.sum(F.length("line") + 1).over(past), F.lit(0)), "before": F.last(filled, ignorenulls=True).over(past),
-        "next": F.first(filled, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)),
+        "next": F.last(filled, ignorenulls=True).over(W.partitionBy(key).orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)),
         "blank_before": F.coalesce(F.max((squeezed(F.col("line")) == "").cast("int")).over(w.rowsBetween(-4, -1)), F.lit(0)) == 1,
         "blank_after": F.coalesce(F.max((squeezed(F.col("line")) == "").cast("int")).over(w.rowsBetween(1, 4)), F.lit(0)) == 1,
         "part": F.last(F.nullif(F.upper(F.regexp_extract("line", PART_LINE, 1)), F.lit("")), ignorenulls=True).over(to_here),
@@ -166,16 +166,21 @@ def sections(texts: DataFrame, key: str, text: str = "text", form: str = "form",
     """
     found = lines(texts, key, text, form, least)
     number = F.sum(F.col("heading").cast("int")).over(W.partitionBy(key).orderBy("n"))
-    rows = found.withColumn("number", number).where("number > 0")
-    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("heading") & ~F.col("title"), F.struct("n", "line")))), lambda x: x["line"]), "\n")
-    parts = rows.groupBy(key, "number").agg(F.first("name", ignorenulls=True).alias("section"), _stripped(told).alias("text"))
-    parts = parts.where((F.length("text") >= least))
-    parts = parts.withColumn("appendix", (F.col("section") == "Exhibits") | (F.lower("section").isin("item 16", "item 6") & (F.length("text") > APPENDIX)))
-    any_ = parts.groupBy(key).agg(F.lit(True).alias("cut"), F.bool_or(~F.col("appendix")).alias("kept"))
-    rest = texts.select(key, _stripped(F.coalesce(F.col(text), F.lit(""))).alias("text")).join(any_, key, "left")
-    rest = rest.where(F.col("cut").isNull() & (F.col("text") != "") | (~F.coalesce("kept", F.lit(False)) & (F.length("text") >= least)))
-    out = parts.where(~F.col("appendix")).select(key, "number", "section", "text").unionByName(rest.select(key, F.lit(0).cast("long").alias("number"), F.lit("Full Document").alias("section"), "text"))
-    return out.select(key, (F.row_number().over(W.partitionBy(key).orderBy("number")) - 1).alias("idx"), "section", "text")
+    line = F.struct("n", "line")
+    told = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["line"]), "\n")
+    parts = found.withColumn("number", number).groupBy(key, "number").agg(
+        F.first("name", ignorenulls=True).alias("section"), _stripped(told(F.when(~F.col("heading") & ~F.col("title"), line))).alias("text"), told(line).alias("own"),
+    )
+    good = (F.col("number") > 0) & (F.length("text") >= least)
+    appendix = (F.col("section") == "Exhibits") | (F.lower("section").isin("item 16", "item 6") & (F.length("text") > APPENDIX))
+    parts = parts.withColumns({"good": good, "kept": good & ~appendix})
+    # the parts of a text in one row, as whether it stays whole depends on all of them
+    texts = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("number", "section", "text", "kept", "own"))).alias("parts"), F.bool_or("good").alias("cut"))
+    kept = F.transform(F.filter("parts", lambda p: p["kept"]), lambda p: F.struct(p["section"].alias("section"), p["text"].alias("text")))
+    texts = texts.select(key, "cut", kept.alias("kept"), _stripped(F.array_join(F.transform("parts", lambda p: p["own"]), "\n")).alias("whole"))
+    whole = F.array(F.struct(F.lit("Full Document").alias("section"), F.col("whole").alias("text")))
+    out = F.when(F.size("kept") > 0, F.col("kept")).when(F.length("whole") >= F.when(F.col("cut"), least).otherwise(1), whole)
+    return texts.select(key, F.posexplode_outer(out).alias("idx", "x")).where("x IS NOT NULL").select(key, "idx", "x.section", "x.text")
 
 
 def _stripped(text: Column) -> Column:
@@ -189,7 +194,7 @@ def segments(parts: DataFrame, key: str, least: int = LEAST) -> DataFrame:
     """(key, idx, section, kind, title, text, table_index, header_text, row_count) of sections (key, idx, section, text): tables and the narrative between them."""
     told, tables = F.split("text", _TABLE, -1), F.regexp_extract_all("text", F.lit(f"({_TABLE})"))
     both = F.arrays_zip(told.alias("told"), tables.alias("table"))
-    rows = parts.select(key, "idx", "section", F.col("text").alias("whole"), F.posexplode(both).alias("n", "x"))
+    rows = parts.select(key, "idx", "section", F.col("text").alias("whole"), F.posexplode_outer(both).alias("n", "x"))
     pieces = F.explode(F.array(F.struct((2 * F.col("n")).alias("at"), F.lit("narrative").alias("kind"), _stripped(F.col("x.told")).alias("text")), F.struct((2 * F.col("n") + 1).alias("at"), F.lit("table").alias("kind"), F.col("x.table").alias("text"))))
     rows = rows.select(key, "idx", "section", "whole", "n", pieces.alias("p")).select(key, "idx", "section", "whole", "n", "p.*").where("text IS NOT NULL")
     held = F.col("text").rlike(r"(?m)^\[(?:ROW|HEADER)\]")

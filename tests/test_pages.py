@@ -229,3 +229,11 @@ def test_news_and_calls_to_segments(spark):
     assert [(r.kind, r.title) for r in rows if r.section == "qa"][0] == ("qa", "ACME Q2 2023 Q&A")
     assert "John Doe: Why?" in " ".join(r.text for r in rows if r.section == "qa") and {r.k for r in rows} == {BIG}
     assert [r.text for r in rows if r.section == "closing"] == ["Unknown: This concludes our call."]
+
+
+def test_pages_are_read_once(spark):
+    """Tokens are made in one place of the plan's shuffles and pieces meet without joins, whatever is made of them."""
+    df = spark.createDataFrame([(1, "<p>a</p><table><tr><td>1</td></tr></table>", "10-K")], "k long, html string, form string")
+    plan = S.filing_segments(df, "k")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("posexplode(regexp_extract_all" in x for x in plan) <= 4 and sum("Join" in x for x in plan) == 1
+    assert not any("Filter" in x and "<!--" in x for x in plan)  # nor read by a filter before
