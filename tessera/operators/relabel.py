@@ -45,26 +45,48 @@ def _by_label(label: Column, values: dict[str, str], then) -> Column:
     return out
 
 
-def runs(chunks: DataFrame, filing: str, index: str, section: str, text: str, rules: Rules = REPORTS) -> DataFrame:
-    """(filing, section, first, last, basis, target): each run under an affected label and what it is; target is null where it stays, basis 'unresolved' where nothing tells."""
-    rows = chunks.select(filing, index, section, text)
-    anchors = rows.where(F.col(section).isin(*rules.anchors)).groupBy(filing).agg(F.min(index).alias("second"))
-    hit = rows.where(F.col(section).isin(*rules.targets))
+def _judged(chunks: DataFrame, filing: str, index: str, section: str, text: str, rules: Rules, order: tuple[str, ...]) -> DataFrame:
+    """(filing, section, first, last, basis, target) of every run, basis and target null under labels that are not affected.
+
+    A run's last chunk knows all of it from what was met before, so runs are rows of one order and need no grouping or join; the order is
+    all that a task sorts. A chunk without a filing has no anchor and stays as it is, as does one without an index.
+    """
     flat = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " ")
     said = lambda words: F.coalesce(_by_label(F.col(section), words, lambda w: flat.rlike(w)), F.lit(False))
-    island = F.col(index) - F.row_number().over(W.partitionBy(filing, section).orderBy(index))
-    hit = hit.withColumns({"_i": island, "_p1": said(rules.first), "_p2": said(rules.second)})
-    per = hit.groupBy(filing, section, "_i").agg(F.min(index).alias("first"), F.max(index).alias("last"), F.bool_or("_p1").alias("p1"), F.bool_or("_p2").alias("p2"))
-    per = per.join(anchors, filing, "left")
+    order = order or (index,)
+    rows = chunks.select(*dict.fromkeys([filing, *order, index, section]), said(rules.first).alias("_p1"), said(rules.second).alias("_p2"))
+    w = W.partitionBy(filing).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    far, whole = w.rowsBetween(W.unboundedPreceding, W.currentRow), w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    beside = lambda f, step: F.coalesce((f(index).over(w) == F.col(index) + step) & f(section).over(w).eqNullSafe(F.col(section)), F.lit(False))
+    anchor = F.when(F.col(section).isin(*rules.anchors) & F.col(filing).isNotNull(), F.col(index))
+    rows = rows.withColumns({"_goes_on": beside(F.lag, -1), "_ends": ~beside(F.lead, 1), "second": F.min(anchor).over(whole)})
+    latest = lambda c: F.max(F.when(c, F.col(index))).over(far)
+    rows = rows.withColumns({"first": latest(~F.col("_goes_on")), "_at1": latest(F.col("_p1")), "_at2": latest(F.col("_p2"))}).where("_ends").withColumnRenamed(index, "last")
+    here = lambda c: F.coalesce(F.col(c) >= F.col("first"), F.lit(False))
+    p1, p2 = here("_at1"), here("_at2")
     before, after = F.col("last") < F.col("second"), F.col("first") >= F.col("second")
     basis = (
-        F.when(F.col("p2") & ~F.col("p1"), "content:part-ii").when(F.col("p1") & ~F.col("p2"), "content:part-i")
-        .when(F.col("p1") & F.col("second").isNull(), "mixed:no-anchor-default-part-i").when(F.col("p1"), "mixed:position-tiebreak")
+        F.when(p2 & ~p1, "content:part-ii").when(p1 & ~p2, "content:part-i")
+        .when(p1 & F.col("second").isNull(), "mixed:no-anchor-default-part-i").when(p1, "mixed:position-tiebreak")
         .when(before, "position:before-part-ii").when(after, "position:after-part-ii").otherwise("unresolved")
     )
-    per = per.withColumn("basis", basis)
+    rows = rows.withColumn("basis", F.when(F.col(section).isin(*rules.targets), basis))
     renamed = F.col("basis").isin("content:part-i", "mixed:no-anchor-default-part-i", "position:before-part-ii") | ((F.col("basis") == "mixed:position-tiebreak") & before)
-    return per.select(filing, section, "first", "last", "basis", F.when(renamed, _by_label(F.col(section), rules.targets, F.lit)).alias("target"))
+    return rows.select(filing, section, "first", "last", "basis", F.when(renamed & F.col(filing).isNotNull() & F.col("last").isNotNull(), _by_label(F.col(section), rules.targets, F.lit)).alias("target"))
+
+
+def runs(chunks: DataFrame, filing: str, index: str, section: str, text: str, rules: Rules = REPORTS, order: tuple[str, ...] = ()) -> DataFrame:
+    """(filing, section, first, last, basis, target): each run under an affected label and what it is; target is null where it stays, basis 'unresolved' where nothing tells.
+
+    A filing has an index once. order: columns that the index was numbered by, if it was: chunks that are sorted by them are not sorted again.
+    """
+    return _judged(chunks, filing, index, section, text, rules, order).where("basis IS NOT NULL")
+
+
+def renamed(chunks: DataFrame, filing: str, index: str, section: str, text: str, rules: Rules = REPORTS, order: tuple[str, ...] = ()) -> DataFrame:
+    """(filing, index, section) of every chunk, with its new name: plan and names in one pass, as runs hold each chunk once. Arguments as in runs()."""
+    every = _judged(chunks, filing, index, section, text, rules, order)
+    return every.select(filing, F.explode_outer(F.sequence("first", "last")).alias(index), F.coalesce("target", section).alias(section))
 
 
 def relabelled(chunks: DataFrame, plan: DataFrame, filing: str, index: str, section: str) -> DataFrame:

@@ -373,13 +373,17 @@ n AS (SELECT *, basis LIKE '%-part-i' OR basis IN ('content:part-i', 'position:b
 SELECT c.filing, c.i::INTEGER AS i, CASE WHEN coalesce(renamed, false) THEN CASE WHEN c.section LIKE 'D%' THEN 'Quantitative and Qualitative Disclosures about Market Risk' ELSE 'Controls and Procedures' END ELSE c.section END AS section
 FROM c LEFT JOIN n ON n.filing = c.filing AND n.section = c.section AND c.i BETWEEN n.first AND n.last""")
 def section_relabel(spark, sf_dir):
-    c = report_chunks(spark, sf_dir)
-    return L.relabelled(c, L.runs(c, "filing", "i", "section", "says"), "filing", "i", "section").select("filing", "i", "section")
+    return L.renamed(report_chunks(spark, sf_dir), "filing", "i", "section", "says", order=_PLACED)
+
+
+_PLACED = ("l_linenumber", "l_partkey", "l_suppkey")
 
 
 def report_chunks(spark, sf_dir):
-    place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("filing"), place.alias("i"), F.expr(_LABEL).alias("section"), F.expr(_SAYS).alias("says"))
+    """Labels and texts are made after the chunks are numbered, so that keys alone are dealt and sorted."""
+    place = F.row_number().over(W.partitionBy("filing").orderBy(*[F.col(c).asc_nulls_last() for c in _PLACED]))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("filing"), *_PLACED).withColumn("i", place)
+    return rows.withColumns({"section": F.expr(_LABEL), "says": F.expr(_SAYS)})
 
 
 @query("set_equality", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'missing' ELSE 'different' END AS reason FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0")

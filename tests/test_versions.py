@@ -216,6 +216,33 @@ def test_relabelling_by_content_then_position(spark):
     assert {r.basis: (r.runs, r.renamed) for r in L.basis_counts(plan).collect()}["mixed:position-tiebreak"] == (2, 1)
 
 
+def test_relabelling_in_one_pass(spark):
+    """The same names as by a plan that is joined; keys are dealt and sorted once, however the index was numbered."""
+    import random
+
+    r = random.Random(7)
+    texts = ["hedging", "mine act", "senior securities", "disclosure controls", "", None]
+    labels = [L.RISK, L.MINES, "Risk Factors", "MD&A", None]
+    data = [(k if k < 60 else None, i, s, r.choice(texts)) for k in range(61) for s, i in zip(r.choices(labels, [4, 4, 1, 1, 1], k=30), sorted(r.sample(range(40), 30)))]
+    df = frame(spark, data, "k long, i int, section string, text string").withColumn("place", F.col("i") * 10)
+    plan = L.runs(df, "k", "i", "section", "text")
+    assert plan.select("basis").distinct().count() == 7 and plan.where("k IS NULL").count() and not plan.where("k IS NULL AND target IS NOT NULL").count()
+    want = sorted(L.relabelled(df, plan, "k", "i", "section").select("k", "i", "section").collect(), key=repr)
+    for order in ((), ("place",), ("place", "i")):
+        assert sorted(L.renamed(df, "k", "i", "section", "text", order=order).collect(), key=repr) == want
+    assert len(want) == len(data) and {x.section for x in want} == {*labels, *L.TARGETS.values()}
+    bare = frame(spark, [(1, 0, L.RISK, "hedging"), (1, None, L.RISK, "hedging"), (1, None, L.RISK, "hedging")], "k long, i int, section string, text string")
+    assert sorted(map(tuple, L.renamed(bare, "k", "i", "section", "text").collect()), key=repr) == [(1, 0, L.TARGETS[L.RISK])] + 2 * [(1, None, L.RISK)]
+
+
+def test_relabelling_sorts_keys_once(spark, small):
+    from tessera.plans.relational_plans import section_relabel
+
+    plan = section_relabel(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1 and "Join" not in plan and "Aggregate" not in plan
+    assert "section" not in plan[plan.index("Sort [") :]
+
+
 def test_calibration_of_the_gate(spark):
     from tessera.operators import evaluation as E
 
